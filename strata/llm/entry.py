@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import licenses, media, mixing, packing, pii, quality, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_media": media.op3_media,
     "op5_mixing": mixing.op5_mixing,
+    "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
+    "op8_packing": packing.op8_packing,
+    "op9_pii": pii.op9_pii,
 }
 ORACLE_SQL = {
     "op5_mixing": mixing.OP5_SQL,
