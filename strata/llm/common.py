@@ -42,6 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_where(df: DataFrame, condition: str) -> DataFrame:
+    """``df.where(condition)`` for conditions on costly columns.
+
+    A plain filter is pushed below the projections that make its columns, which are then computed in the filter,
+    once for each mention, and again after it. A filter on a column that is not deterministic stays where it is.
+    """
+    return df.withColumn("_here", F.monotonically_increasing_id() >= 0).where(f"_here and ({condition})").drop("_here")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no DataFrame needs any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

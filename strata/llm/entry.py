@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, packing, pii, quality, sharding
+from . import licenses, media, mixing, packing, pii, quality, sharding, substrings
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_media": media.op3_media,
+    "op4_substrings": substrings.op4_substrings,
     "op5_mixing": mixing.op5_mixing,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
 }
 ORACLE_SQL = {
+    "op4_substrings": substrings.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_quality": quality.OP7_SQL,
 }

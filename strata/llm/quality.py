@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words
+from .common import SPACE, keep_where, table, words
 
 #: Words in a window of the repetition rule.
 SPAN = 8
@@ -56,8 +56,10 @@ def _repeat_words(hashes: Column) -> Column:
     windows are sorted by hash, those equal to a neighbour are kept, and the words they cover are counted
     from place to place.
     """
-    n = F.size(hashes)
-    windows = F.transform(F.sequence(F.lit(1), n - (SPAN - 1)), lambda i: F.xxhash64(F.slice(hashes, i, SPAN)))
+
+    def windows(h: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(h) - (SPAN - 1)), lambda i: F.xxhash64(F.slice(h, i, SPAN)))
+        return F.when(F.size(h) < SPAN + 1, 0).otherwise(F.transform(F.array(made), looked_at)[0])
 
     def covered(w: Column) -> Column:
         h = lambda j: F.get(w, j)["h"]
@@ -67,12 +69,12 @@ def _repeat_words(hashes: Column) -> Column:
         step = lambda a, s: F.struct(s.alias("last"), (a["sum"] + F.least(F.lit(SPAN), s - a["last"])).alias("sum"))
         return F.aggregate(starts, first, step, lambda a: a["sum"])
 
-    # Let-bindings by transform over one element: the windows and the sorted pairs are each made once.
+    # Let-bindings by transform over one element: hashes, windows and sorted pairs are each made once.
     def looked_at(w: Column) -> Column:
         pairs = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(F.transform(F.array(pairs), covered)[0])
 
-    return F.when(n < SPAN + 1, 0).otherwise(F.transform(F.array(windows), looked_at)[0])
+    return F.transform(F.array(hashes), windows)[0]
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def ablations(rows: DataFrame, policy: Policy = POLICY, rules: tuple[Rule, ...]
 def keep_good(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """The documents that a policy keeps, with the columns given."""
     kept = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return apply_policy(ledger(kept), policy).where("kept").select("_row.*")
+    return keep_where(apply_policy(ledger(kept), policy), "kept").select("_row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
