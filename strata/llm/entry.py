@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, packing, pii, quality, sharding, substrings
+from . import jaccard, licenses, media, mixing, packing, pii, quality, sharding, substrings
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE_SQL = {
     "op4_substrings": substrings.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_quality": quality.OP7_SQL,
+    "op10_jaccard": jaccard.OP10_SQL,
 }
