@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, media, mixing, packing, pii, quality, sharding, substrings
+from . import jaccard, licenses, media, mixing, packing, pii, quality, secrets, sharding, substrings
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_sharding": sharding.op2_sharding,
     "op3_media": media.op3_media,
     "op4_substrings": substrings.op4_substrings,
