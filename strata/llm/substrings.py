@@ -15,7 +15,7 @@ from .common import remove_path, stage, table
 
 SPAN = 20
 #: Windows estimated repeated that a task holds before it settles them among themselves.
-HELD = 4 << 20
+HELD = 1 << 20
 #: Text bytes for each group of windows and of documents, and the least number of groups.
 GROUP_BYTES, GROUPS = 4 << 20, 256
 

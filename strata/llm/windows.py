@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 #: Bytes of text whose arrays are held at once, but for a single longer text.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 ROWS = 2
 BLOCK_BITS = 20
 #: Cells of a row at most: 2 ** MAX_BITS bits are 256 MB. With more windows estimates only get larger.
@@ -29,7 +29,7 @@ MAX_BITS = 31
 #: From this estimate on a window counts as frequent.
 MANY = 16
 #: Windows whose cells are held before they are added up.
-HELD = 4 << 20
+HELD = 1 << 20
 
 _U = np.uint64
 _BYTE, _WORD, _CHECK = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(8)
+@lru_cache(4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2 ** 64."""
     inverse = pow(base, -1, 1 << 64)
@@ -56,7 +56,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values times powers of the base up to each place, and the inverse powers."""
-    n = max(1 << 16, 1 << int(len(values)).bit_length())
+    n = max(1 << 19, 1 << int(len(values)).bit_length())
     up, down = _powers(int(base), n)
     sums = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -159,35 +159,39 @@ class Counter:
     def __init__(self, bits: int):
         self.bits = bits
         self.held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-        self.sums = [(np.zeros(0, _U), np.zeros(0, np.int64)) for _ in range(ROWS)]
+        self.sums = [(np.zeros(0, np.uint32), np.zeros(0, np.uint16)) for _ in range(ROWS)]
         self.n = 0
 
     def add(self, hashes: np.ndarray) -> None:
         for r in range(ROWS):
-            self.held[r].append(_cell(hashes, r, self.bits))
+            self.held[r].append(_cell(hashes, r, self.bits).astype(np.uint32))
         self.n += len(hashes)
         if self.n > HELD:
             self._sum()
 
     def _sum(self) -> None:
         for r in range(ROWS):
-            cells, counts = np.unique(np.concatenate(self.held[r] or [np.zeros(0, _U)]), return_counts=True)
+            cells, counts = np.unique(np.concatenate(self.held[r] or [np.zeros(0, np.uint32)]), return_counts=True)
+            self.held[r] = []
             if len(self.sums[r][0]):
                 every = np.concatenate([self.sums[r][0], cells])
-                cells, at = np.unique(every, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([self.sums[r][1], counts])).astype(np.int64)
-            self.sums[r], self.held[r] = (cells, counts), []
+                total = np.concatenate([self.sums[r][1].astype(np.int64), counts])
+                order = np.argsort(every, kind="stable")  # two sorted runs
+                every, total = every[order], total[order]
+                first = np.flatnonzero(np.diff(every, prepend=np.uint32(0)) | (np.arange(len(every)) == 0))
+                cells, counts = every[first], np.add.reduceat(total, first)
+            self.sums[r] = cells, np.minimum(counts, 65535).astype(np.uint16)
         self.n = 0
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """The blocks met, in rows of SKETCH."""
         self._sum()
         for r, (cells, counts) in enumerate(self.sums):
-            block = cells >> _U(BLOCK_BITS)
+            block = cells >> np.uint32(BLOCK_BITS)
             rows: list[dict] = []
             for a, b in spans(block):
-                inside = (cells[a:b] & _U((1 << BLOCK_BITS) - 1)).astype(np.int64)
-                rows.append({"row": r, "block": int(block[a]), "cells": _gaps(inside), "counts": zlib.compress(np.minimum(counts[a:b], 65535).astype("<u2"), 1)})
+                inside = (cells[a:b] & np.uint32((1 << BLOCK_BITS) - 1)).astype(np.int64)
+                rows.append({"row": r, "block": int(block[a]), "cells": _gaps(inside), "counts": zlib.compress(counts[a:b].astype("<u2"), 1)})
                 if len(rows) == 64:
                     yield pa.RecordBatch.from_pylist(rows, SKETCH)
                     rows = []
@@ -276,10 +280,15 @@ class Estimates:
         return out
 
 
-@lru_cache(1)
+_LOADED: dict[tuple[str, int], Estimates] = {}
+
+
 def estimates(path: str, bits: int) -> Estimates:
-    """The sketch at a path, loaded once in each worker."""
-    return Estimates(path, bits)
+    """The sketch at a path, loaded once in each worker; the one before is let go first."""
+    if (path, bits) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, bits] = Estimates(path, bits)
+    return _LOADED[path, bits]
 
 
 def estimates_of(spark: SparkSession, path: str, bits: int) -> Estimates:
