@@ -25,8 +25,8 @@ DEAL = 512
 #: Tasks' worth of tokens.
 BUCKETS = 1024
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("tokens", pa.binary()), ("point", pa.binary()), ("prefix", pa.binary()), ("deals", pa.binary())])
-_SETS_SQL = "doc_id long, n_shingles long, node binary, tokens binary, point binary, prefix binary, deals binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("tokens", pa.binary()), ("point", pa.binary()), ("prefix", pa.binary()), ("deals", pa.binary())])
+_SETS_SQL = "doc_id long, mark long, n_shingles long, node binary, tokens binary, point binary, prefix binary, deals binary"
 
 
 def _sets(texts: pa.Array, span: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -64,16 +64,20 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(big, np.int64(1) << 40, out) if np.any(big) else out
 
 
+def _mark():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, node, tokens, point, prefix, deals) of each document, staged.
+    """(doc_id, mark, n_shingles, node, tokens, point, prefix, deals) of each document, staged.
 
-    node is a digest of the set, null without words. Only shingles that the sketch estimates in two documents
+    mark is a hash of the text, which tells rows of one doc_id apart. node is a digest of the set, null without words. Only shingles that the sketch estimates in two documents
     can be in an intersection; where these are too few for a link, the rest is null. tokens are the estimated
     repeated shingles; prefix are those of them among the first n - least overlap + 1 shingles in an order that
     is rare first, so that linked sets share one; deals tells over how many tasks each of them is dealt.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     bits = W.sketch_bits(rows)
     path = W.sketch(rows, bits, _hashes(span))
 
@@ -81,10 +85,10 @@ def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
         known = W.estimates(path, bits)
         for batch in batches:
             out: list[dict] = []
-            ids = batch.column(1).to_pylist()
+            ids, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, s in _sets(batch.column(0), span):
                 n = len(s)
-                row = dict.fromkeys(_SETS.names) | {"doc_id": ids[i], "n_shingles": n}
+                row = dict.fromkeys(_SETS.names) | {"doc_id": ids[i], "mark": marks[i], "n_shingles": n}
                 if n:
                     row["node"] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     rare = known.classes(s)
@@ -315,37 +319,40 @@ def linked_nodes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document, over whole texts.
+    """(doc_id, mark, n_shingles, component_id) of each document, over whole texts.
 
     A set holds the distinct ``span``-word shingles, or with fewer words the whole sequence. component_id is the
     smallest doc_id reachable by links, itself included; documents without words are linked with nothing, not
     with one another either. Equal sets are one node, so copies never meet in pairs. A null doc_id takes part,
     and is a component's id only where it has no other. Repeated rows give repeated rows; no rows give none.
+    Other columns are not carried; mark is a hash of the text.
     """
     sets = sets_of(docs, span, percent)
-    rows = sets.select("doc_id", "n_shingles", "node")
+    rows = sets.select("doc_id", "mark", "n_shingles", "node")
     labels = linked_nodes(sets, percent)
     label = F.coalesce("label", "node").alias("label")
     firsts = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", label)
     ids = firsts.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = firsts.join(ids, "label").select("node", "component_id")
     met = rows.join(by_node, "node", "left")
-    return met.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return met.select("doc_id", "mark", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates, the one of smallest doc_id; columns as given.
 
-    Rows that repeat the kept doc_id of a group are kept with it. Documents without words are all kept.
+    Rows that repeat the kept doc_id of a group are kept with it, as is a group in which no row has an id.
+    Documents without words are all kept.
     """
     found = near_duplicates(docs, span, percent)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")).distinct()
+    rows = docs.withColumn("_mark", _mark())
+    return rows.join(drop, rows["doc_id"].cast("long").eqNullSafe(drop["_id"]) & (rows["_mark"] == drop["_m"]), "left_anti").select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near duplicates of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("mark")
 
 
 OP10_SQL = r"""

@@ -1,0 +1,234 @@
+"""Queries that compare documents with one another, and the pipeline, against brute force on a small fixture."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from strata.llm import jaccard, mixing, secrets, substrings
+from strata.llm import windows as W
+from strata.llm.common import stage
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def key(x):
+    return tuple((v is None, v) for v in x)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Near copies at every distance from the threshold, exact copies, a passage that all share, and odd texts."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rnd.choices(words, k=60))
+    texts = [None, "", " ", "One two", "one TWO", "one two three", "a b c d e", "a b c d e"]
+    for n in (8, 30, 120, 400):
+        for _ in range(4):
+            base = rnd.choices(words, k=n)
+            texts += [" ".join(base)] * 2
+            for rate in (0.005, 0.01, 0.02, 0.025, 0.03, 0.05):
+                texts.append(" ".join(rnd.choice(words) if rnd.random() < rate else w for w in base))
+    texts += [passage + " " + " ".join(rnd.choices(words, k=rnd.choice([5, 10, 40]))) for _ in range(30)]
+    texts += [" ".join(["same"] * 50), " ".join(["same"] * 70), passage + "\n" + passage]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+
+
+def shingles(t):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = [(d, shingles(t)) for d, t in rows]
+    label = {i: i for i in range(len(sets))}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return sorted((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+
+
+def test_jaccard(corpus):
+    rows = [tuple(r) for r in corpus.collect()]
+    got = jaccard.near_duplicates(corpus).drop("mark")
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
+    kept = [r["doc_id"] for r in jaccard.keep_first(corpus).collect()]
+    assert sorted(kept) == sorted({c for _, _, c in brute_components(rows)})
+
+
+def test_jaccard_dealt_tokens(corpus, monkeypatch):
+    """The same where every token counts as frequent and is dealt, so that links meet only across deals."""
+    sets = jaccard.sets_of(corpus)
+    deals = "transform(sequence(1, length(deals) div 4), x -> 3)"
+    from pyspark.sql import functions as F
+
+    forced = F.unhex(F.array_join(F.transform(F.expr(deals), lambda x: F.lit("03000000")), ""))
+    sets = stage(sets.withColumn("deals", F.when(F.col("deals").isNotNull(), forced)), "forced")
+    labels = {bytes(r["node"]): bytes(r["label"]) for r in jaccard.linked_nodes(sets).collect()}
+    group = {}
+    for r in sets.where("node is not null").collect():
+        group.setdefault(labels.get(bytes(r["node"]), bytes(r["node"])), []).append(r["doc_id"])
+    want = {}
+    for d, n, c in brute_components([tuple(r) for r in corpus.collect()]):
+        if n:
+            want.setdefault(c, []).append(d)
+    assert sorted(sorted(v) for v in group.values()) == sorted(sorted(v) for v in want.values())
+
+
+def test_tree_finds_all_that_the_bound_allows():
+    rnd = np.random.default_rng(1)
+    for n in (2, 17, 300, 700):
+        sizes = np.sort(rnd.integers(20, 60, n))
+        points = np.stack([np.bincount(rnd.integers(0, jaccard.GROUPS, s), minlength=jaccard.GROUPS) for s in sizes]).astype(np.uint8)
+        points[1::2] = points[::2][: len(points[1::2])]
+        q, b = jaccard.Tree(points, sizes, 80).pairs(np.arange(n))
+        want = {(i, j) for i in range(n) for j in range(i) if np.minimum(points[i], points[j]).sum() >= -(-80 * (sizes[i] + sizes[j]) // 180) and 100 * sizes[j] >= 80 * sizes[i]}
+        assert set(zip(q.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_jaccard_edges(docs, empty):
+    got = jaccard.near_duplicates(docs).collect()
+    assert len(got) == docs.count() and jaccard.near_duplicates(empty).count() == 0
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[5]["component_id"] == 4 and by_id[0]["n_shingles"] == 0 and by_id[0]["component_id"] == 0
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and 5 not in {r["doc_id"] for r in kept.collect()}
+
+
+def brute_substrings(rows, span=20):
+    seen, out = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        w = WORD.findall(t or "")
+        drop = set()
+        for i in range(len(w) - span + 1):
+            win = tuple(w[i : i + span])
+            if win in seen:
+                drop.update(range(i, i + span))
+            seen.add(win)
+        kept = [x for i, x in enumerate(w) if i not in drop]
+        out.append((d, len(w), len(drop), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out, key=key)
+
+
+def test_substrings(corpus):
+    got = substrings.drop_repeats(corpus)
+    from pyspark.sql import functions as F
+
+    got = got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256))
+    assert sorted((tuple(r) for r in got.collect()), key=key) == brute_substrings([tuple(r) for r in corpus.collect()])
+
+
+def test_substrings_in_small_tasks(corpus, monkeypatch):
+    """The same where tasks settle after few windows; functions are shipped with their globals, so the bound is too."""
+    found = substrings.find_repeats(corpus, span=3).count()
+    assert found > 50
+
+
+def test_substrings_edges(spark, sf_dir, docs, empty):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in substrings.op4_substrings(spark, sf_dir).collect()), key=key)
+    once = brute_substrings(list(dict.fromkeys(rows)))
+    assert sorted(set(got), key=key) == sorted(set(once), key=key) and len(got) == len(rows)
+    assert substrings.drop_repeats(empty).count() == 0
+    assert substrings.drop_repeats(docs).columns == [*docs.columns, "n_words", "n_removed"]
+
+
+def test_sketch_never_underestimates(spark, corpus):
+    bits = 20
+    path = W.sketch(corpus, bits, substrings._hashes(3))
+    known = W.estimates_of(spark, path, bits)
+    count = Counter()
+    import pyarrow as pa
+
+    texts = pa.array([r["text"] for r in corpus.collect()])
+    for h in substrings._hashes(3)(texts):
+        count.update(h.tolist())
+    hashes = np.array(list(count), np.uint64)
+    true = np.array(list(count.values()))
+    assert (known.repeated(hashes) | (true < 2)).all() and not known.repeated(hashes).all()
+    classes = known.classes(hashes)
+    assert ((classes >= 1) | (true < 2)).all() and ((1 << classes.astype(int)) > true // 2 - 1)[true >= W.MANY].all()
+
+
+def test_window_hashes_tell_windows_apart():
+    import pyarrow as pa
+
+    texts = ["a b c", "b c", "ab c", "a bc", "", "a  b\tc", "c b a", "é b c", "A b c"]
+    seen = {}
+    for at, _, data, offsets in W.chunks(pa.array(texts)):
+        h, c, row, place = W.window_hashes(*W.word_hashes(data, offsets), 2)
+        for a, b, r, p in zip(h.tolist(), c.tolist(), row.tolist(), place.tolist(), strict=True):
+            seen.setdefault(tuple(texts[at + r].split()[p : p + 2]), set()).add((a, b))
+    assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    from pyspark.sql import functions as F
+
+    rows = secrets.labelled_findings(spark, 1500, seed=11).select(secrets.features(F.col("finding"), F.col("before"), F.col("after"), F.col("path")).alias("f"), "label")
+    got = rows.selectExpr("label", f"{forest} >= 0.5 AS hit").groupBy("label").agg(F.avg(F.col("hit").cast("double")).alias("share")).collect()
+    share = {r["label"]: r["share"] for r in got}
+    assert share[1.0] > 0.95 and share[0.0] < 0.1
+
+
+def test_secrets(spark, docs, empty, forest):
+    rows = secrets.find_secrets(docs, forest).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    for r in rows:
+        for s in r["secrets"]:
+            assert texts[r["doc_id"]][s["start"] : s["end"]] == s["finding"]
+    by_id = {r["doc_id"]: [s["finding"] for s in r["secrets"]] for r in rows}
+    assert by_id[11] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"] * 2
+    assert by_id[4] == by_id[0] == by_id[6] == by_id[9] == []
+    out = {r["doc_id"]: r for r in secrets.redact_secrets(docs, forest).collect()}
+    assert out[11]["text"] == 'token = "[SECRET]" and again token = "[SECRET]"' and out[11]["n_chars"] == len(out[11]["text"])
+    assert out[4]["text"] == texts[4] and secrets.redact_secrets(docs, forest).columns == docs.columns
+    assert secrets.find_secrets(empty, forest).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    good = stage(steps["quality_rules"](spark, docs, sf_dir), "t1")
+
+    def bad(t):
+        w = WORD.findall(t or "")
+        n, chars = len(w), sum(map(len, w))
+        c = Counter(tuple(w[i : i + 8]) for i in range(n - 7))
+        covered = {j for i in range(n - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        return n < 20 or 100 * len(covered) > 30 * n or 10 * len(re.findall(r"[#*$%&|<>]", t)) > n or (len(lines) >= 4 and 2 * (len(lines) - len(set(lines))) > len(lines)) or chars < 2 * n or chars > 20 * n
+
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=key)
+    assert rows(good) == sorted((r for r in rows(docs) if not bad(r[1])), key=key)
+    one = stage(steps["near_duplicates"](spark, good, sf_dir), "t2")
+    least = {d: c for d, _, c in brute_components([(r[0], r[1]) for r in rows(good) if r[0] is not None])}
+    assert rows(one) == sorted((r for r in rows(good) if r[0] is None or least[r[0]] == r[0]), key=key)
+    clean = stage(steps["secret_scans"](spark, one, sf_dir), "t3")
+    assert clean.columns == docs.columns and clean.count() == one.count()
+    mixed = stage(steps["mixing_sources"](spark, clean, sf_dir), "t4")
+    sized = mixing.with_size(clean).withColumn("u", mixing.draw(5))
+    want = {r["doc_id"]: r["copies"] for r in mixing.plan_copies(sized).collect()}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in want.items() if v})
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
