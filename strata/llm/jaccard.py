@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import remove_path, stage, table
+from .common import lean, remove_path, stage, table
 
 SPAN = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -77,6 +77,7 @@ def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
     is rare first, so that linked sets share one; deals tells over how many tasks each of them is dealt.
     """
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     bits = W.sketch_bits(rows)
     path = W.sketch(rows, bits, _hashes(span))

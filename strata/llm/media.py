@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import new_path, table
+from .common import lean, new_path, table
 
 #: Samples in a row of an image; payloads are padded to whole rows, one at least.
 WIDTH = 64
@@ -117,6 +117,7 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     well, so a lost executor leaves at most a file that no list names. A null key is kept as a null.
     """
     spark = docs.sparkSession
+    lean(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)

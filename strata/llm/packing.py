@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table, with_rank
+from .common import lean, stage, table, with_rank
 
 #: Tokens of a sequence, the id that ends a document, and the vocabulary, by name or by path.
 CAPACITY = 1024
@@ -49,6 +49,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 
     A null text is empty; a document always ends with ``end_id``, so it has one piece at least.
     """
+    lean(docs.sparkSession)
     schema = _ARROW.append(pa.field("ids", pa.binary())) if with_ids else _ARROW
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pattern, table
+from .common import lean, pattern, table
 
 #: Kinds that always count, in the order in which equal starts are listed; then those of the method.
 BASE = ("email", "ip", "card", "phone")
@@ -127,6 +127,7 @@ def find_pii(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFr
     Row by row, without a shuffle; equal rows give equal spans, no rows give none, and a null or empty text an
     empty array. An existing column of that name is replaced.
     """
+    lean(docs.sparkSession)
     return docs.withColumn(name, pii_spans(F.col(text)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import windows as W
-from .common import remove_path, stage, table
+from .common import lean, remove_path, stage, table
 
 SPAN = 20
 #: Windows estimated repeated that a task holds before it settles them among themselves.
@@ -115,6 +115,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     ``ranges`` are pairs of 32-bit numbers: first word, end.
     """
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     bits = W.sketch_bits(rows)
     path = W.sketch(rows, bits, _hashes(span))
