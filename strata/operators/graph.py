@@ -15,7 +15,7 @@ def levels(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     front = start.select("node").distinct().withColumn("level", F.lit(0))
     seen = front
     for level in range(1, depth + 1):
-        reached = front.join(step, front["node"] == step["src"]).select(step["node"]).distinct()
+        reached = front.select(F.col("node").alias("src")).join(step, "src").select("node").distinct()
         front = reached.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
         seen = seen.unionByName(front)
     return seen

@@ -102,9 +102,9 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 @query(f"""
 WITH t AS (SELECT conv_id, turn, list_distinct({tok('left(text, 60)')}) AS t FROM conversations),
 k AS (SELECT conv_id, turn, t, list_filter(t, lambda x: NOT list_contains({_STOP}, x)) AS k FROM t)
-SELECT conv_id, turn, list_sort(CASE WHEN len(k) > 0 THEN k ELSE t END) AS terms FROM k""")
+SELECT conv_id, turn, array_to_string(list_sort(CASE WHEN len(k) > 0 THEN k ELSE t END), ' ') AS terms FROM k""")
 def stopword_terms(spark, sf_dir):
-    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(T.terms(F.left("text", F.lit(60)))).alias("terms"))
+    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.terms(F.left("text", F.lit(60)))), " ").alias("terms"))
 
 
 # --- names, vectors, fusion --------------------------------------------------------------------------------------
@@ -363,20 +363,20 @@ def verify_mismatch(spark, sf_dir):
 
 
 @query(_SNAP + """, p AS (SELECT doc_id - doc_id % 4 AS id, doc_id, digest FROM o)
-SELECT id, list_sort(coalesce(list(p.doc_id) FILTER (n.digest IS DISTINCT FROM p.digest), [])) AS stale_files, count(*) FILTER (n.digest IS DISTINCT FROM p.digest) > 0 AS stale
+SELECT id, array_to_string(list_sort(coalesce(list(p.doc_id) FILTER (n.digest IS DISTINCT FROM p.digest), [])), ',') AS stale_files, count(*) FILTER (n.digest IS DISTINCT FROM p.digest) > 0 AS stale
 FROM p LEFT JOIN n USING (doc_id) GROUP BY id""")
 def note_staleness(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
     pins = old.groupBy((F.col("doc_id") - F.col("doc_id") % 4).alias("id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "digest"))).alias("p"))
     notes = pins.select("id", F.col("p.doc_id").alias("files"), F.col("p.digest").alias("file_hashes"))
-    return indexing.staleness(notes, new, "doc_id", "digest")
+    return indexing.staleness(notes, new, "doc_id", "digest").withColumn("stale_files", F.array_join("stale_files", ","))
 
 
 _CO = """WITH r AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS i FROM lineitem), k AS (SELECT c FROM r GROUP BY c HAVING count(*) BETWEEN 2 AND 40), f AS (SELECT r.* FROM r JOIN k USING (c)),
 s AS (SELECT i, count(*) AS appearances FROM f GROUP BY i)"""
 
 
-@query(_CO + " SELECT a.i AS a, b.i AS b, count(*) AS together, s.appearances, round_even(count(*) / s.appearances, 3) AS confidence FROM f a JOIN f b ON a.c = b.c AND a.i <> b.i JOIN s ON s.i = a.i GROUP BY ALL")
+@query(_CO + " SELECT a, b, together, appearances, round_even(together / appearances, 3) AS confidence FROM (SELECT a.i AS a, b.i AS b, count(*) AS together FROM f a JOIN f b ON a.c = b.c AND a.i <> b.i GROUP BY ALL) JOIN s ON s.i = a")
 def cochange_pairs(spark, sf_dir):
     return indexing.cochange_pairs(tables.load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
@@ -435,14 +435,14 @@ def conflict_flags(spark, sf_dir):
 
 @query("""WITH r AS (SELECT *, md5(concat_ws(chr(10), lower(event_type), trim(regexp_replace(lower('User ' || (user_id % 20)), '[^\\p{L}\\p{N}]+', ' ', 'g')), '', 'a/b.cs', '')) AS fingerprint, substr(props, 1, 6 + event_id % 5) AS detail FROM events)
 SELECT fingerprint, count(*) AS occurrences, arg_min('User #' || (user_id % 20), event_id) AS title, arg_max(detail, length(detail) * 1000000000 - event_id) AS detail,
-       list_transform(list_sort(list_transform(list_distinct(list('t' || (event_id % 3))), lambda x: x)), lambda x: x) AS tags, max(ts) AS last_seen FROM r GROUP BY fingerprint""".replace("\\\\", "\\"))
+       array_to_string(list_sort(list_distinct(list('t' || (event_id % 3)))), ',') AS tags, max(ts) AS last_seen FROM r GROUP BY fingerprint""".replace("\\\\", "\\"))
 def learn_dedup_merge(spark, sf_dir):
     ev = tables.load(spark, sf_dir, "events")
     title = F.concat(F.lit("User #"), (F.col("user_id") % 20).cast("string"))
     fp = learnings.fingerprint(F.col("event_type"), title, F.lit(None).cast("string"), F.array(F.lit("a\\b.cs")), F.lit(None).cast("string"))
     detail = F.substring(F.col("props"), F.lit(1), (F.lit(6) + F.col("event_id") % 5).cast("int"))
     rows = ev.select(fp.alias("fingerprint"), F.col("event_id").alias("seq"), title.alias("title"), detail.alias("detail"), F.array(F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string"))).alias("tags"), F.lit(None).cast("string").alias("provider"), F.col("ts").alias("seen_at"))
-    return learnings.merge_records(rows).drop("provider").withColumn("tags", F.array_sort("tags"))
+    return learnings.merge_records(rows).drop("provider").withColumn("tags", F.array_join(F.array_sort("tags"), ","))
 
 
 @query(_REC + f" SELECT id, category FROM r WHERE (repo = 'o/r2' OR repo IS NULL) AND outcome = 'failed' AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY ORDER BY last_seen DESC, id LIMIT 20")
@@ -466,10 +466,10 @@ def summarize_period(spark, sf_dir):
 
 @query(_REC + """, c AS (SELECT title, category, count(*) AS c FROM r GROUP BY ALL), t AS (SELECT title, file, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, file) AS p FROM r GROUP BY title, file)
 SELECT title, count(*) AS n, sum(occurrences)::BIGINT AS corroborations, count(*) FILTER (outcome = 'worked') AS n_worked, count(*) FILTER (outcome = 'failed') AS n_failed,
- (SELECT category FROM c WHERE c.title = r.title ORDER BY c DESC, category LIMIT 1) AS category, (SELECT list(file ORDER BY p) FROM t WHERE t.title = r.title AND p <= 12) AS likely_files FROM r GROUP BY title""")
+ (SELECT category FROM c WHERE c.title = r.title ORDER BY c DESC, category LIMIT 1) AS category, (SELECT string_agg(file, ',' ORDER BY p) FROM t WHERE t.title = r.title AND p <= 12) AS likely_files FROM r GROUP BY title""")
 def proposal_rollup(spark, sf_dir):
     rows = _records(spark, sf_dir).withColumn("g", F.col("title"))
-    return learnings.proposal(rows, "g").drop("title").withColumnRenamed("g", "title")
+    return learnings.proposal(rows, "g").drop("title").withColumnRenamed("g", "title").withColumn("likely_files", F.array_join("likely_files", ","))
 
 
 @query("""WITH d AS (SELECT count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1 DAY AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND event_type <> 'error' AND event_type = 'signup')
@@ -496,7 +496,7 @@ def describe_table(spark, sf_dir):
 
 @query()
 def schema_overview(spark, sf_dir):
-    return catalog.overview(spark, sf_dir)
+    return catalog.overview(spark, sf_dir).withColumn("columns", F.array_join("columns", ", "))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 9000 ORDER BY c_custkey LIMIT 200")
@@ -596,10 +596,10 @@ _RING = "SELECT DISTINCT (l_suppkey % 9)::BIGINT AS src, (l_partkey % 9)::BIGINT
 
 @query(f"""WITH RECURSIVE e AS ({_RING}), p(start, path, last) AS (SELECT src, [src, dst], dst FROM e WHERE dst > src
 UNION ALL SELECT start, list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.last WHERE len(path) < 5 AND e.dst > start AND NOT list_contains(path, e.dst))
-SELECT DISTINCT len(path)::INT AS length, list_sort(path) AS nodes FROM p JOIN e ON e.src = p.last AND e.dst = p.start ORDER BY nodes LIMIT 25""")
+SELECT length, array_to_string(nodes, ',') AS nodes FROM (SELECT DISTINCT len(path)::INT AS length, list_sort(path) AS nodes FROM p JOIN e ON e.src = p.last AND e.dst = p.start ORDER BY nodes LIMIT 25)""")
 def graph_cycles(spark, sf_dir):
     lines = tables.load(spark, sf_dir, "lineitem").where("l_orderkey < 12")
-    return graph.cycles(lines.select((F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst")).distinct(), 5, 25)
+    return graph.cycles(lines.select((F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst")).distinct(), 5, 25).withColumn("nodes", F.array_join("nodes", ","))
 
 
 @query(f"WITH {_EDGES} SELECT src, count(DISTINCT dst) AS n_targets, count(*) AS n_edges FROM e WHERE src <> dst GROUP BY src ORDER BY n_targets DESC, src LIMIT 20")
@@ -613,9 +613,9 @@ def unused_nodes(spark, sf_dir):
     return graph.unused(tables.load(spark, sf_dir, "customer").select("c_custkey"), edges, "c_custkey")
 
 
-@query("SELECT l_partkey AS dst, l_suppkey AS src, count(*) AS n_sites, list_sort(list(l_orderkey)) AS sites FROM lineitem WHERE l_partkey < 50 GROUP BY ALL")
+@query("SELECT l_partkey AS dst, l_suppkey AS src, count(*) AS n_sites, array_to_string(list_sort(list(l_orderkey)), ',') AS sites FROM lineitem WHERE l_partkey < 50 GROUP BY ALL")
 def graph_callers(spark, sf_dir):
-    return graph.callers(tables.load(spark, sf_dir, "lineitem").where("l_partkey < 50").select(F.col("l_partkey").alias("dst"), F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("site")))
+    return graph.callers(tables.load(spark, sf_dir, "lineitem").where("l_partkey < 50").select(F.col("l_partkey").alias("dst"), F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("site"))).withColumn("sites", F.array_join("sites", ","))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
