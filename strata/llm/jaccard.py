@@ -29,19 +29,21 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles",
 _SETS_SQL = "doc_id long, mark long, n_shingles long, node binary, tokens binary, point binary, prefix binary, deals binary"
 
 
-def _sets(texts: pa.Array, span: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted hashes of the distinct shingles) of each row; lower-cased in A-Z."""
+def _sets(texts: pa.Array, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bounds, hashes): the sorted hashes of the distinct shingles of some rows; lower-cased in A-Z."""
     for at, count, data, offsets in W.chunks(texts):
         h, _, row, _ = W.window_hashes(*W.word_hashes(data, offsets, lower=True), span, short=True)
-        bounds = np.searchsorted(row, np.arange(count + 1))
-        for i in range(count):
-            yield at + i, np.unique(h[bounds[i] : bounds[i + 1]])
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        yield at, np.searchsorted(row[new], np.arange(count + 1)), h[new]
 
 
 def _hashes(span: int):
     def found(texts: pa.Array) -> Iterator[np.ndarray]:
-        for _, s in _sets(texts, span):
-            yield s
+        for _, _, h in _sets(texts, span):
+            yield h
 
     return found
 
@@ -68,6 +70,15 @@ def _mark():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _described(s: np.ndarray, rare: np.ndarray, length: int) -> dict[str, bytes]:
+    """What a set that may link brings to the join; ``length`` is its prefix's."""
+    order = np.lexsort((s, rare))[:length]
+    order = order[rare[order] > 0]
+    deals = np.maximum(1, (1 << rare[order].astype(np.int64)) // DEAL * 2)
+    tokens = s[rare > 0]
+    return {"tokens": tokens.tobytes(), "point": point(tokens).tobytes(), "prefix": s[order].tobytes(), "deals": deals.astype("<i4").tobytes()}
+
+
 def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
     """(doc_id, mark, n_shingles, node, tokens, point, prefix, deals) of each document, staged.
 
@@ -87,20 +98,18 @@ def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
         for batch in batches:
             out: list[dict] = []
             ids, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, s in _sets(batch.column(0), span):
-                n = len(s)
-                row = dict.fromkeys(_SETS.names) | {"doc_id": ids[i], "mark": marks[i], "n_shingles": n}
-                if n:
-                    row["node"] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    rare = known.classes(s)
-                    tokens = s[rare > 0]
-                    need = -(-percent * n // 100)
-                    if len(tokens) >= need:
-                        order = np.lexsort((s, rare))[: n - need + 1]
-                        order = order[rare[order] > 0]
-                        deals = np.maximum(1, (1 << rare[order].astype(np.int64)) // DEAL * 2)
-                        row |= {"tokens": tokens.tobytes(), "point": point(tokens).tobytes(), "prefix": s[order].tobytes(), "deals": deals.astype("<i4").tobytes()}
-                out.append(row)
+            for at, bounds, h in _sets(batch.column(0), span):
+                classes = known.classes(h)
+                shared = np.concatenate([[0], np.cumsum(classes > 0)])
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False), at):
+                    n = b - a
+                    row = dict.fromkeys(_SETS.names) | {"doc_id": ids[i], "mark": marks[i], "n_shingles": n}
+                    if n:
+                        row["node"] = hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
+                        need = -(-percent * n // 100)
+                        if shared[b] - shared[a] >= need:
+                            row |= _described(h[a:b], classes[a:b], n - need + 1)
+                    out.append(row)
             yield pa.RecordBatch.from_pylist(out, _SETS)
 
     done = stage(rows.mapInArrow(make, _SETS_SQL), "sets")
@@ -191,39 +200,58 @@ class Tree:
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _runs(rows: pa.Table, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, int, int]]:
-    """The rows of each key that has several, sorted by size and point; with all points and sizes."""
-    rows = rows.sort_by([*[(k, "ascending") for k in keys], ("n", "ascending"), ("point", "ascending"), ("node", "ascending")])
+def _sorted(rows: pa.Table, keys: list[str]) -> pa.Table:
+    return rows.sort_by([*[(k, "ascending") for k in keys], ("n", "ascending"), ("point", "ascending"), ("node", "ascending")])
+
+
+def _allowed(rows: pa.Table, keys: list[str], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, earlier row, bound) of the rows of one key whose bound allows a link; ``rows`` are sorted.
+
+    All earlier rows of a query come in one block. A key with few rows is one leaf: such keys are scanned
+    together, at each distance at once. Every other key has a tree of its own.
+    """
     n = rows.num_rows
-    points = np.frombuffer(rows.column("point").combine_chunks().cast(pa.binary(GROUPS)).buffers()[1], np.uint8, n * GROUPS).reshape(n, GROUPS) if n else np.zeros((0, GROUPS), np.uint8)
+    if not n:
+        return
+    points = np.frombuffer(rows.column("point").combine_chunks().cast(pa.binary(GROUPS)).buffers()[1], np.uint8, n * GROUPS).reshape(n, GROUPS)
     sizes = rows.column("n").to_numpy().astype(np.int64)
-    same = np.ones(max(0, n - 1), bool)
+    same = np.ones(n - 1, bool)
     for k in keys:
         v = rows.column(k).to_numpy()
         same &= v[1:] == v[:-1]
-    cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), n]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b - a > 1:
-            yield rows, points[a:b], sizes[a:b], a, b
+    cuts = np.concatenate([[0], np.flatnonzero(~same) + 1, [n]])
+    count = np.diff(cuts)
+    begin = np.repeat(cuts[:-1], count)
+    place = np.arange(n) - begin
+    small = np.repeat(count <= LEAF, count)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for far in range(1, LEAF):
+        q = np.flatnonzero(small & (place >= far))
+        q = q[sizes[q - far] * 100 >= sizes[q] * percent]
+        for part in np.array_split(q, max(1, len(q) >> 16)):
+            score = bound(points[part], points[part - far])
+            ok = score >= least_overlap(sizes[part], sizes[part - far], percent)
+            found.append((part[ok], part[ok] - far, score[ok]))
+    yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    for a, m in zip(cuts[:-1][count > LEAF].tolist(), count[count > LEAF].tolist(), strict=True):
+        tree = Tree(points[a : a + m], sizes[a : a + m], percent)
+        for at in range(0, m, 256):
+            q, b = tree.pairs(np.arange(at, min(at + 256, m)))
+            score = np.concatenate([bound(tree.points[q[i : i + 65536]], tree.points[b[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
+            yield q + a, b + a, score
 
 
 def _nearest(percent: int):
     """For each set, the earlier one of its token with the largest bound, if that allows a link."""
 
     def join(key: tuple, table_: pa.Table) -> pa.Table:
-        left, right = [], []
-        for _, points, sizes, a, _ in _runs(table_, ["token", "deal"]):
-            tree = Tree(points, sizes, percent)
-            for at in range(0, len(sizes), 256):
-                q, b = tree.pairs(np.arange(at, min(at + 256, len(sizes))))
-                if not len(q):
-                    continue
-                score = np.concatenate([bound(points[q[i : i + 65536]], points[b[i : i + 65536]]) for i in range(0, len(q), 65536)])
-                order = np.lexsort((b, score, q))
-                last = np.append(q[order][1:] != q[order][:-1], True)
-                left.append(q[order][last] + a)
-                right.append(b[order][last] + a)
-        return _named(table_, ["token", "deal"], left, right)
+        rows, left, right = _sorted(table_, ["token", "deal"]), [], []
+        for q, b, score in _allowed(rows, ["token", "deal"], percent):
+            order = np.lexsort((b, score, q))
+            last = np.append(q[order][1:] != q[order][:-1], True)[: len(q)]
+            left.append(q[order][last])
+            right.append(b[order][last])
+        return _named(rows, left, right)
 
     return join
 
@@ -232,26 +260,21 @@ def _across(percent: int):
     """All pairs of a token in different components whose bound allows a link."""
 
     def join(key: tuple, table_: pa.Table) -> pa.Table:
-        left, right = [], []
-        for rows, points, sizes, a, b_ in _runs(table_, ["token", "cell"]):
-            tree = Tree(points, sizes, percent)
-            label = np.array(rows.column("label").slice(a, b_ - a).to_pylist(), dtype=object)
-            _, label = np.unique(label, return_inverse=True)
-            for at in range(0, len(sizes), 256):
-                q, b = tree.pairs(np.arange(at, min(at + 256, len(sizes))))
-                other = label[q] != label[b]
-                left.append(q[other] + a)
-                right.append(b[other] + a)
-        return _named(table_, ["token", "cell"], left, right)
+        rows, left, right = _sorted(table_, ["token", "cell"]), [], []
+        _, label = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True) if rows.num_rows else (None, None)
+        for q, b, _ in _allowed(rows, ["token", "cell"], percent):
+            other = label[q] != label[b]
+            left.append(q[other])
+            right.append(b[other])
+        return _named(rows, left, right)
 
     return join
 
 
-def _named(table_: pa.Table, keys: list[str], left: list, right: list) -> pa.Table:
-    """Distinct pairs of nodes, the smaller first, at the places that _runs gave."""
-    if not left or not sum(map(len, left)):
+def _named(rows: pa.Table, left: list, right: list) -> pa.Table:
+    """Distinct pairs of nodes, the smaller first, at these places of ``rows``."""
+    if not sum(map(len, left)):
         return _PAIRS.empty_table()
-    rows = table_.sort_by([*[(k, "ascending") for k in keys], ("n", "ascending"), ("point", "ascending"), ("node", "ascending")])
     node = np.array(rows.column("node").to_pylist(), dtype=object)
     pairs = {(x, y) if x < y else (y, x) for x, y in zip(node[np.concatenate(left)], node[np.concatenate(right)], strict=True) if x != y}
     return pa.Table.from_pylist([{"a": x, "b": y} for x, y in sorted(pairs)], _PAIRS)

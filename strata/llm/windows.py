@@ -28,8 +28,8 @@ BLOCK_BITS = 20
 MAX_BITS = 31
 #: From this estimate on a window counts as frequent.
 MANY = 16
-#: Windows whose cells are held before they are added up.
-HELD = 1 << 20
+#: Windows whose cells a task holds before it adds them up and passes them on.
+HELD = 4 << 20
 
 _U = np.uint64
 _BYTE, _WORD, _CHECK = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -154,49 +154,39 @@ SKETCH = pa.schema([("row", pa.int32()), ("block", pa.int64()), ("cells", pa.bin
 
 
 class Counter:
-    """Counts the cells of one task."""
+    """Counts the cells of a task, HELD windows at a time."""
 
     def __init__(self, bits: int):
         self.bits = bits
         self.held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-        self.sums = [(np.zeros(0, np.uint32), np.zeros(0, np.uint16)) for _ in range(ROWS)]
         self.n = 0
 
     def add(self, hashes: np.ndarray) -> None:
         for r in range(ROWS):
             self.held[r].append(_cell(hashes, r, self.bits).astype(np.uint32))
         self.n += len(hashes)
-        if self.n > HELD:
-            self._sum()
 
-    def _sum(self) -> None:
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The blocks met since the last call, in rows of SKETCH."""
         for r in range(ROWS):
-            cells, counts = np.unique(np.concatenate(self.held[r] or [np.zeros(0, np.uint32)]), return_counts=True)
+            if not self.held[r]:
+                continue
+            cells = np.concatenate(self.held[r])
             self.held[r] = []
-            if len(self.sums[r][0]):
-                every = np.concatenate([self.sums[r][0], cells])
-                total = np.concatenate([self.sums[r][1].astype(np.int64), counts])
-                order = np.argsort(every, kind="stable")  # two sorted runs
-                every, total = every[order], total[order]
-                first = np.flatnonzero(np.diff(every, prepend=np.uint32(0)) | (np.arange(len(every)) == 0))
-                cells, counts = every[first], np.add.reduceat(total, first)
-            self.sums[r] = cells, np.minimum(counts, 65535).astype(np.uint16)
-        self.n = 0
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """The blocks met, in rows of SKETCH."""
-        self._sum()
-        for r, (cells, counts) in enumerate(self.sums):
-            block = cells >> np.uint32(BLOCK_BITS)
+            cells.sort()
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+            counts = np.minimum(np.diff(first, append=len(cells)), 65535).astype("<u2")
+            cells = cells[first]
             rows: list[dict] = []
-            for a, b in spans(block):
+            for a, b in spans(cells >> np.uint32(BLOCK_BITS)):
                 inside = (cells[a:b] & np.uint32((1 << BLOCK_BITS) - 1)).astype(np.int64)
-                rows.append({"row": r, "block": int(block[a]), "cells": _gaps(inside), "counts": zlib.compress(counts[a:b].astype("<u2"), 1)})
+                rows.append({"row": r, "block": int(cells[a]) >> BLOCK_BITS, "cells": _gaps(inside), "counts": zlib.compress(counts[a:b], 1)})
                 if len(rows) == 64:
                     yield pa.RecordBatch.from_pylist(rows, SKETCH)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, SKETCH)
+        self.n = 0
 
 
 _MERGED = pa.schema([("row", pa.int32()), ("block", pa.int64()), ("twice", pa.binary()), ("many", pa.binary()), ("logs", pa.binary())])
@@ -222,10 +212,13 @@ def sketch(docs: DataFrame, bits: int, hashes) -> str:
     """Sketch what ``hashes(texts)`` yields over all texts; returns the path of the merged blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _LOADED.clear()  # a sketch that this worker has read is of no more use
         counter = Counter(bits)
         for batch in batches:
             for found in hashes(batch.column(0)):
                 counter.add(found)
+                if counter.n >= HELD:
+                    yield from counter.batches()
         yield from counter.batches()
 
     path = new_path(docs.sparkSession, "sketch")
