@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_substrings": substrings.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_licenses": licenses.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
 }

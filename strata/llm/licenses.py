@@ -140,3 +140,30 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda xs: F.array_join(F.sort_array(F.array_distinct(F.transform(xs, lambda x: x["label"]))), ",")
     scores = F.coalesce(F.round(F.array_max(F.transform("licenses", lambda x: x["score"])), 6), F.lit(0.0))
     return rows.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), listed(base).alias("base_labels"), listed(F.col("licenses")).alias("labels"), scores.alias("score"))
+
+
+def _oracle_sql() -> str:
+    """The same in SQL: frequencies, the rarest words, votes by offset, phrases at their places."""
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    rows = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, {listed(t.words)}, {listed(t.phrase.split(' '))}, {t.phrase_at})" for i, t in enumerate(TEMPLATES))
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    t(t, label, base, words, phrase, pos) AS (VALUES {rows}),
+    tw AS (SELECT DISTINCT t, base, unnest(words) AS x FROM t),
+    n AS (SELECT count(*)::DOUBLE AS n FROM d),
+    df AS (SELECT x, count(*)::DOUBLE AS df FROM (SELECT DISTINCT k, unnest(w) AS x FROM d) WHERE x IN (SELECT x FROM tw) GROUP BY x),
+    i AS (SELECT t, base, x, ln((n + 1) / (coalesce(df, 0) + 1)) + 1e-9 AS idf FROM tw LEFT JOIN df USING (x), n),
+    c AS (SELECT t, x, idf FROM i QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, x) <= CASE WHEN base THEN 1 ELSE {RARE} END),
+    u AS (SELECT t, unnest(words) AS x, generate_subscripts(words, 1) - 1 AS p FROM t),
+    s AS (SELECT t, x, p, round(idf / sum(idf) OVER (PARTITION BY t), 9) AS s FROM u JOIN c USING (t, x)),
+    h AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+    v AS (SELECT k, t, i - p AS o, sum(s) AS s FROM h JOIN s USING (x) GROUP BY ALL),
+    f AS (SELECT k, o, least(s, 1.0) AS s, label, base FROM v JOIN t USING (t) JOIN d USING (k)
+          WHERE s >= {SHARE} AND o + pos >= 0 AND list_slice(d.w, o + pos + 1, o + pos + len(phrase)) = phrase)
+    SELECT doc_id, len(w)::BIGINT AS n_words, count(o) FILTER (base) AS n_base, min(o) FILTER (base) AS first_word, max(o) FILTER (base) AS last_word,
+           coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+           coalesce(round(max(s), 6), 0.0)::DOUBLE AS score
+    FROM d LEFT JOIN f USING (k) GROUP BY k, doc_id, w"""
+
+
+OP6_SQL = _oracle_sql()
