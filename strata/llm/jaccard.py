@@ -327,9 +327,8 @@ def linked_nodes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     posts = postings(sets)
     near = posts.groupBy("bucket").applyInArrow(_nearest(percent), "a binary, b binary")
-    links = verify(near, sets, percent)
+    labels = stage(components(verify(near, sets, percent)), "labels")
     while True:
-        labels = stage(components(links), "labels")
         named = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("deal").alias("deals")).where("x <> y").select("token", "deals")
         # A dealt token's rows meet in all cells of a triangle of deals.
@@ -339,7 +338,13 @@ def linked_nodes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = verify(dealt.select("bucket", "token", "cell", "node", "n", "point", "label").groupBy("bucket").applyInArrow(_across(percent), "a binary, b binary"), sets, percent)
         if more.isEmpty():
             return labels
-        links = stage(links.unionByName(more).distinct(), "links")
+        # Only components are linked anew: one node for each, so later rounds are small.
+        known = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        lifted = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        up = stage(components(lifted), "labels").select(F.col("node").alias("label"), F.col("label").alias("up"))
+        ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+        every = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+        labels = stage(every.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
