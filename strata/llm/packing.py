@@ -20,18 +20,20 @@ from .common import lean, stage, table, with_rank
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of the vocabulary's JSON form, which the ranks do not list.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(2)
 def encoder(vocabulary: str):
-    """The encoder of a vocabulary of ranks; strings of special tokens are ordinary text."""
+    """The encoder of a vocabulary of ranks; strings of special tokens become those tokens, as in the JSON form."""
     import public_tokenizers
     import tiktoken
 
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -57,7 +59,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
         for batch in batches:
             out: list[tuple] = []
             for k, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encode_one(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode_one(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
                 for piece, (start, n) in enumerate(cut(len(ids), capacity)):
                     raw = ids[start : start + n].tobytes()
                     out.append((k.as_py(), piece, start, n, zlib.crc32(raw), *([raw] if with_ids else [])))

@@ -158,6 +158,17 @@ def test_packing(spark, sf_dir, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_special_tokens(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", "<|endoftext| > no", "x <|endoftext|>" * 700]
+    for t in texts:
+        assert list(packing.encoder(packing.VOCABULARY).encode_to_numpy(t, allowed_special="all")) == tok.encode(t, add_special_tokens=False).ids
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).orderBy("doc_id", "piece").collect()
+    for d, t in enumerate(texts):
+        ids = b"".join(bytes(r["ids"]) for r in got if r["doc_id"] == d)
+        assert ids == b"".join(x.to_bytes(4, "little") for x in [*tok.encode(t, add_special_tokens=False).ids, packing.END_ID])
+
+
 def test_best_fit_counts():
     import random
 
