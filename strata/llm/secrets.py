@@ -129,14 +129,18 @@ def find_secrets(docs: DataFrame, forest: str | None = None, path: str = "source
     """
     forest = forest or train(labelled_findings(docs.sparkSession))
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.regexp_extract_all(text, F.lit("|".join(SHAPES)), F.lit(0))
+    shapes = "|".join(SHAPES)
+    found = F.regexp_extract_all(text, F.lit(shapes), F.lit(0))
+    # What split() leaves stands between the matches, so both tell where each match is.
+    parts = F.arrays_zip(F.slice(F.split(text, shapes, -1), F.lit(1), F.size("_found")).alias("gap"), F.col("_found").alias("match"))
 
     def step(a: Column, c: Column) -> Column:
-        at = F.call_function("locate", c, text, a["from"])
-        return F.struct((at + F.length(c)).alias("from"), F.array_append(a["out"], F.struct((at - 1).alias("start"), (at - 1 + F.length(c)).alias("end"), c.alias("finding"))).alias("out"))
+        finding = c["match"]
+        end = a["from"] + F.length(c["gap"]) + F.length(c["match"])
+        return F.struct(end.alias("from"), F.array_append(a["out"], F.struct((end - F.length(finding)).alias("start"), end.alias("end"), finding.alias("finding"))).alias("out"))
 
-    start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<start:int,end:int,finding:string>>").alias("out"))
-    placed = F.aggregate(F.col("_found"), start, step, lambda a: a["out"])
+    start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<start:int,end:int,finding:string>>").alias("out"))
+    placed = F.aggregate(parts, start, step, lambda a: a["out"])
     rows = docs.drop(name).withColumn("_found", found)
     near = lambda x: features(x["finding"], F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR))), F.substring(text, x["end"] + 1, F.lit(NEAR)), F.col(path).cast("string"))
     described = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["finding"].alias("finding"), near(x).alias("f")))

@@ -206,6 +206,19 @@ def test_secrets(spark, docs, empty, forest):
     assert secrets.find_secrets(empty, forest).count() == 0
 
 
+def _found(spark, texts, forest="1D", path="src"):
+    rows = spark.createDataFrame([(i, t, path) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    return [r["secrets"] for r in secrets.find_secrets(rows, forest).orderBy("doc_id").collect()]
+
+
+def test_secret_places(spark):
+    s = "Xk29fQpL0vZr81TnWb5dYc47"
+    text = f'zz.{s} and {s}q0 (then) token = "{s}" end'
+    got = _found(spark, [text])[0]
+    assert all(text[x["start"] : x["end"]] == x["finding"] for x in got)
+    assert text.rindex(s) in [x["start"] for x in got if x["finding"] == s]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)
