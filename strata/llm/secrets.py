@@ -19,15 +19,24 @@ LEAST = 0.5
 #: Characters before and after a finding whose words are looked at.
 NEAR = 48
 
-# Shapes of well-known credentials, then any long run of token characters in quotes or after a
-# key's sign.
+# Token characters, key words, and shapes of well-known credentials.
+_RUN = "[A-Za-z0-9+/_-]"
+_FIRST = rf"(?:(?<!{_RUN})|\G)"
+_KEY = r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)[\"']?\s*+[=:]\s*+[\"']?"
+_VALUE = r"""[^\s"';,\[]{6,}+"""
+_PEM = r"(?s:-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)"
+_KNOWN = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+#: Before a value, part of its match: the user of an address, "bearer", or a key's name and sign.
+_LEAD = rf"(?:://[^\s:/@]*+:(?=[^\s@/])|(?i:bearer)\s++|{_RUN}*{_KEY}(?={_VALUE}))"
+#: Key blocks, well-known shapes, passwords in addresses, bearer tokens, values of keys, then any long run of
+#: token characters, which stops where a well-known shape begins. A finding is its match without _LEAD.
 SHAPES = (
-    r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b",
-    r"\b(gh[pousr]_[A-Za-z0-9]{36,251})\b",
-    r"\b(xox[abprs]-[A-Za-z0-9-]{10,250})",
-    r"\b(sk-[A-Za-z0-9_-]{20,200})",
-    r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
-    r"""(?<=["'=:\x20])([A-Za-z0-9+/_=-]{16,512})(?![A-Za-z0-9+/_=-])""",
+    _PEM,
+    _KNOWN,
+    r"://[^\s:/@]*+:[^\s@/]++(?=@)",
+    rf"{_FIRST}(?i:bearer)\s++[A-Za-z0-9._~+/=-]{{16,}}+",
+    rf"{_FIRST}{_RUN}*{_KEY}{_VALUE}",
+    rf"{_FIRST}(?={_RUN}{{16}})(?:(?!{_KNOWN}){_RUN}){{16,}}+={{0,2}}",
 )
 #: Words that secrets do not hold, and words beside true and false findings.
 DICTIONARY = ("example", "sample", "test", "dummy", "placeholder", "changeme", "your", "password", "secret", "token", "here", "insert", "default", "hello", "world", "user", "name", "value", "string", "lorem", "ipsum", "tion", "ment", "the", "and", "ing", "null", "none", "true", "false", "http", "www", "com", "abc", "xyz", "foo", "bar")
@@ -135,7 +144,7 @@ def find_secrets(docs: DataFrame, forest: str | None = None, path: str = "source
     parts = F.arrays_zip(F.slice(F.split(text, shapes, -1), F.lit(1), F.size("_found")).alias("gap"), F.col("_found").alias("match"))
 
     def step(a: Column, c: Column) -> Column:
-        finding = c["match"]
+        finding = F.regexp_replace(c["match"], F.lit("^" + _LEAD), F.lit(""))
         end = a["from"] + F.length(c["gap"]) + F.length(c["match"])
         return F.struct(end.alias("from"), F.array_append(a["out"], F.struct((end - F.length(finding)).alias("start"), end.alias("end"), finding.alias("finding"))).alias("out"))
 

@@ -219,6 +219,18 @@ def test_secret_places(spark):
     assert text.rindex(s) in [x["start"] for x in got if x["finding"] == s]
 
 
+def test_secret_shapes(spark):
+    s = "Xk29fQpL0vZr81TnWb5dYc47"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + f"{s}{s}\n" * 9 + "-----END RSA PRIVATE KEY-----"
+    cases = [(s, b + s + a) for b, a in (("", ""), ("\n", "\n"), ("x\t", ""), ("(", ")"), ("[", "]"), ("{", "}"), ("a, ", ","), ("<b>", "</b>"), ("`", "`"), ("k==", ""), ("say '", "'"))]
+    cases += [(s * 90, f"blob {s * 90} end"), ("sk-" + s * 40, f"OPENAI=sk-{s * 40}\n"), (pem, f"key:\n{pem}\nend"), ("pa5sW!", "see postgres://bob:pa5sW!@db.host:1/x"), ("hunt3r", "POSTGRES_ADMIN_PASSWORD=hunt3r\n")]
+    cases += [("hunt3r2", '{"password": "hunt3r2"}'), (s + ".x~y", f"Authorization: Bearer {s}.x~y"), ("AKIA" + "Q7" * 8, "see x.com/login/AKIA" + "Q7" * 8), ("ghp_" + s + s, f"a_long_prefix_of_it/ghp_{s}{s}")]
+    for (want, text), got in zip(cases, _found(spark, [t for _, t in cases]), strict=True):
+        assert want in [x["finding"] for x in got], text
+        assert all(text[x["start"] : x["end"]] == x["finding"] for x in got)
+    assert _found(spark, ["a" * 200000, "a-" * 100000 + "\n" + "://" * 50000, "password" * 30000]) is not None
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)
