@@ -44,7 +44,7 @@ FOR_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey"
 AGAINST_WORDS = ("example", "sample", "sha1", "sha256", "md5", "checksum", "hash", "commit", "uuid", "digest", "integrity", "revision", "etag")
 TEST_PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "spec")
 
-FEATURES = ("length", "digits", "uppers", "switches", "vowel_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned")
+FEATURES = ("length", "digits", "uppers", "switches", "vowel_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined")
 
 
 def _any_of(text: Column, listed: tuple[str, ...]) -> Column:
@@ -70,6 +70,9 @@ def features(finding: Column, before: Column, after: Column, path: Column) -> Co
         "near_for": _any_of(before, FOR_WORDS),
         "near_against": F.greatest(_any_of(before, AGAINST_WORDS), _any_of(after, AGAINST_WORDS)),
         "assigned": F.regexp_like(before, F.lit(r"[=:]\s*[\"']?$")).cast("double"),
+        "known": F.regexp_like(finding, F.lit(f"^(?:{_PEM}|{_KNOWN})")).cast("double"),
+        "code": share(r"[(){}<>*.]"),
+        "joined": share(r"[/_-](?=[A-Za-z0-9])"),
     }
     return F.struct(*[out[k].cast("double").alias(k) for k in FEATURES])
 
@@ -77,24 +80,54 @@ def features(finding: Column, before: Column, after: Column, path: Column) -> Co
 def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
     """Labelled findings made by rule: (finding, before, after, path, label); half are secrets.
 
-    Secrets are random hexadecimal, base-62 or base-64 strings of several lengths with a key's words before
-    them; the others are placeholders, words, identifiers, digests and ids beside the words that tell so.
+    Secrets are random hexadecimal, base-62 or base-64 strings of several lengths, prefixed tokens, key blocks and
+    passwords, after key words, other names or signs, in prose or at a start of a line; bare hexadecimal is none. The others are
+    placeholders, words, identifiers, expressions, digests and ids, also after key words, and every shape of
+    secret under test, doc and fixture paths.
     """
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("id")), 256)
     pick = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (F.conv(F.substring(h(salt), 1, 7), 16, 10).cast("int") % len(values) + 1))
     number = lambda salt, low, high: F.conv(F.substring(h(salt), 1, 7), 16, 10).cast("int") % (high - low + 1) + low
-    hexa = F.concat(h("x"), h("y"))
-    mixed = F.translate(F.base64(F.unhex(hexa)), "+/=", "abc")
+
+    def cases(column: str, values: dict) -> Column:
+        out = F.lit(None).cast("string")
+        for keys, value in reversed(values.items()):
+            out = F.when(F.col(column).isin(*keys), value).otherwise(out)
+        return out
+
+    base62 = lambda *salts: F.translate(F.base64(F.unhex(F.concat(*map(h, salts)))), "+/=", "abc")
+    hexa, mixed = F.concat(h("x"), h("y")), base62("x", "y")
+    base64 = F.base64(F.unhex(F.concat(h("x"), h("y"), h("z"), h("u"))))
     words = F.concat_ws("", *[pick(f"w{i}", ("user", "Name", "value", "default", "Config", "handler", "string", "Factory", "test", "example", "token", "the", "ment", "tion", "able", "list")) for i in range(6)])
+    parts = F.concat_ws("/", *[pick(f"q{i}", ("src", "main", "controller", "build", "license", "module", "2024", "service", "v2", "index", "strata", "common", "linux", "x86", "release", "MAX", "BUFFER", "account")) for i in range(5)])
+    parts = F.replace(parts, F.lit("/"), pick("ps", ("/", "_", "-", "/")))
     dashed = F.concat_ws("-", *[pick(f"d{i}", ("your", "secret", "here", "insert", "api", "key", "sample", "dummy", "change", "me", "foo", "bar")) for i in range(6)])
     uuid = F.concat_ws("-", *[F.substring(hexa, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    secret = F.substring(F.when(F.col("kind") == 0, hexa).when(F.col("kind") == 1, mixed).otherwise(F.concat(pick("p", ("AKIA", "ghp_", "sk-", "")), mixed)), 1, 1000)
-    secret = F.substring(secret, F.lit(1), number("n", 16, 64))
-    other = F.when(F.col("kind") == 0, words).when(F.col("kind") == 1, dashed).when(F.col("kind") == 2, uuid).when(F.col("kind") == 3, F.repeat(pick("r", ("x", "0", "ab", "-", "=")), 20)).otherwise(F.substring(hexa, F.lit(1), pick("dn", (32, 40, 64))))
-    base = spark.range(rows).withColumn("label", (F.col("id") % 2).cast("double")).withColumn("kind", F.when(F.col("label") == 1, number("k", 0, 2)).otherwise(number("k", 0, 4)))
-    keys = F.concat(pick("kw", FOR_WORDS[:8]), pick("as", (' = "', "=", ": ", ' = "')))
-    plain = F.when(F.col("kind") >= 4, F.concat(pick("aw", AGAINST_WORDS[2:]), pick("as", (" ", ": ", "=")))).otherwise(pick("pw", ('token = "', "see ", "value=", "name: ", 'password = "')))
-    fields = {"finding": F.when(F.col("label") == 1, secret).otherwise(other), "before": F.when(F.col("label") == 1, keys).otherwise(plain), "after": pick("af", ('" ', " and", "\n", '";')), "path": pick("pa", ("src", "src1", "src2", "app", "config", "lib")), "label": F.col("label")}
+    short = pick("sh", ("string", "required", "undefined", "changeme", "password", "example", "please", "optional", "must-be-set", "user_name", "forgotten", "authentication", "expired", "tokenizer", "invalid", "default"))
+    code = F.concat(pick("c1", ("os.environ", "process.env.", "get", "config.", "${", "<", "{{", "settings.", "self.", "request.headers.", "*****")), pick("c2", ("TOKEN", "API_KEY", "dbPassword", "secret", "user")), pick("c3", ("()", "}", ">", "}}", ".get()", "***")))
+    masked = F.concat(pick("p", ("AKIA", "ghp_", "sk-", "xoxb-")), F.when(F.col("id") % 4 < 2, F.concat(F.upper(F.substring(mixed, F.lit(1), number("mn", 6, 12))), F.lit("EXAMPLE"), pick("mx", ("", "", "KEY", "xxxx")))).otherwise(F.repeat(pick("r", ("x", "0", "X", "a")), 30)))
+    known = cases("prefix", {(0,): F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), (1,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), (2,): F.concat(F.lit("sk-"), F.substring(mixed, F.lit(1), number("n", 20, 80))), (3,): F.concat(F.lit("xoxb-"), F.substring(mixed, F.lit(1), number("n", 12, 50))), (4,): F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit("."), F.substring(base62("z", "u"), 1, 40), F.lit("."), F.substring(mixed, 22, 40)), (5,): F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base64, F.lit("\n"), base64, F.lit("\n-----END RSA PRIVATE KEY-----"))})
+    password = F.concat(F.substring(mixed, F.lit(1), number("n", 5, 12)), pick("p1", ("!", "", "#", "7", "$9", "9x", "2")), pick("p2", ("", "k4", "Zq", "!", "31")))
+    human = F.concat(pick("h1", ("hunter", "Summer", "correcthorse", "dragon", "Winter", "letmein", "Monkey", "qwerty")), pick("h2", ("", "_", "-", "!")), number("hn", 2, 99999).cast("string"), pick("h3", ("!", "", "#", "$x")))
+    secret = cases("kind", {(0,): F.substring(hexa, F.lit(1), number("n", 16, 64)), (1, 2): F.substring(mixed, F.lit(1), number("n", 16, 80)), (3, 4): known, (5,): F.substring(base64, F.lit(1), number("bn", 40, 172)), (6,): password, (7,): human})
+    other = cases("kind", {(0,): words, (1,): dashed, (2,): uuid, (3,): F.repeat(pick("r", ("x", "0", "ab", "-", "=")), 20), (4,): F.substring(hexa, F.lit(1), pick("dn", (32, 40, 64))), (5,): parts, (6,): short, (7,): code, (8,): masked, (9,): cases("prefix", {(0, 1): F.substring(hexa, F.lit(1), number("n", 16, 64)), (2, 3): F.substring(mixed, F.lit(1), number("n", 16, 80)), (4,): password, (5,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))})})
+    base = spark.range(rows).withColumn("label", (F.col("id") % 2).cast("double")).withColumn("kind", F.when(F.col("label") == 1, number("k", 0, 8) % 8).otherwise(number("k", 0, 14)))
+    base = base.withColumn("kind", F.when(F.col("kind") > 11, 4).otherwise(F.least("kind", F.lit(9)))).withColumn("prefix", number("pf", 0, 5)).withColumn("place", number("pl", 0, 3))
+    signs = (' = "', "=", ": ", ' = "')
+    keys = F.concat(pick("kw", FOR_WORDS[:8]), pick("as", signs))
+    names = F.concat(pick("ow", ("aws", "OPENAI", "value", "x", "config", "github", "ACCOUNT", "stripe", "conn", "k")), pick("as", signs))
+    prose = pick("pr", ("", "\n", "(", "[", "{", ">", "`", "\t", "we use ", "the value is ", "see ", "login with ", "it was ", "and ", "- "))
+    address = F.concat(pick("ur", ("postgres", "https", "redis", "amqp")), F.lit("://"), pick("us", ("admin", "app", "root", "")), F.lit(":"))
+    digest = F.concat(pick("aw", AGAINST_WORDS[2:]), pick("as", (" ", ": ", "=")))
+    anywhere = F.when(F.col("place") == 0, keys).when(F.col("place") == 1, names).otherwise(prose)
+    valued = F.when(F.col("kind") == 0, F.when(F.col("place") > 0, keys).otherwise(names)).when(F.col("place") > 1, keys).otherwise(address)
+    true_before = F.when(F.col("kind").isin(0, 6, 7), valued).otherwise(anywhere)
+    false_before = cases("kind", {(4,): F.when(F.col("place") == 0, prose).otherwise(digest), (2,): F.when(F.col("place") == 0, keys).otherwise(F.concat(pick("iw", ("id", "uuid", "request", "see")), pick("as", (" ", ": ", "=")))), (6, 7): F.when(F.col("place") == 0, address).otherwise(keys), (9,): F.when(F.col("place") == 0, prose).otherwise(keys)})
+    before = F.when(F.col("label") == 1, true_before).otherwise(F.coalesce(false_before, anywhere))
+    after = pick("af", ('" ', " and", "\n", '";', ")", "`", " is the token", " as password", ""))
+    plain = F.concat(pick("pa", ("src", "src1", "src2", "app", "config", "lib")), pick("pn", ("", "/a.py", "/config.yml")))
+    path = plain
+    fields = {"finding": F.when(F.col("label") == 1, secret).otherwise(other), "before": before, "after": after, "path": path, "label": F.col("label")}
     return base.select(*[v.alias(k) for k, v in fields.items()])
 
 
