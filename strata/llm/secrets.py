@@ -51,6 +51,12 @@ def _any_of(text: Column, listed: tuple[str, ...]) -> Column:
     return F.regexp_like(text, F.lit("(?i)(" + "|".join(w.replace("-", r"\-") for w in listed) + ")")).cast("double")
 
 
+def _test_path(path: Column) -> Column:
+    """Whether a word of a path is one of TEST_PATHS, or its plural."""
+    begins = r"(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))"
+    return F.regexp_like(path, F.lit(begins + "(?i:" + "|".join(TEST_PATHS) + ")s?(?![a-z])")).cast("double")
+
+
 def features(finding: Column, before: Column, after: Column, path: Column) -> Column:
     """FEATURES of a finding as a struct of doubles; null paths count as no test path."""
     n = F.greatest(F.length(finding), F.lit(1)).cast("double")
@@ -66,7 +72,7 @@ def features(finding: Column, before: Column, after: Column, path: Column) -> Co
         "distinct": F.size(F.array_distinct(F.split(finding, ""))) / n,
         "coverage": 1 - F.length(plain) / n,
         "longest_run": F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)) / n,
-        "path": _any_of(F.coalesce(path, F.lit("")), TEST_PATHS),
+        "path": _test_path(F.coalesce(path, F.lit(""))),
         "near_for": _any_of(before, FOR_WORDS),
         "near_against": F.greatest(_any_of(before, AGAINST_WORDS), _any_of(after, AGAINST_WORDS)),
         "assigned": F.regexp_like(before, F.lit(r"[=:]\s*[\"']?$")).cast("double"),
@@ -125,8 +131,9 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     false_before = cases("kind", {(4,): F.when(F.col("place") == 0, prose).otherwise(digest), (2,): F.when(F.col("place") == 0, keys).otherwise(F.concat(pick("iw", ("id", "uuid", "request", "see")), pick("as", (" ", ": ", "=")))), (6, 7): F.when(F.col("place") == 0, address).otherwise(keys), (9,): F.when(F.col("place") == 0, prose).otherwise(keys)})
     before = F.when(F.col("label") == 1, true_before).otherwise(F.coalesce(false_before, anywhere))
     after = pick("af", ('" ', " and", "\n", '";', ")", "`", " is the token", " as password", ""))
+    tests = F.concat(pick("pa", ("", "src/", "app/")), pick("pt", ("tests", "test", "docs", "fixtures", "examples", "spec", "mocks", "samples")), pick("pn", ("", "/a.py", "/config.yml")))
     plain = F.concat(pick("pa", ("src", "src1", "src2", "app", "config", "lib")), pick("pn", ("", "/a.py", "/config.yml")))
-    path = plain
+    path = F.when((F.col("label") == 0) & ((F.col("kind") == 9) | (number("pq", 0, 3) == 0)), tests).otherwise(plain)
     fields = {"finding": F.when(F.col("label") == 1, secret).otherwise(other), "before": before, "after": after, "path": path, "label": F.col("label")}
     return base.select(*[v.alias(k) for k, v in fields.items()])
 

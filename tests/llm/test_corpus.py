@@ -249,6 +249,12 @@ def test_secret_contexts(spark, forest):
     assert not kept
 
 
+def test_secret_paths(spark, forest):
+    text = 'token = "Xk29fQpL0vZr81TnWb5dYc47MmQ2"'
+    found = {p: len(_found(spark, [text], forest, p)[0]) for p in ("src/a.py", "latest/docker/contest.py", None, "tests/a.py", "src/fixtures/config.yml", "docs", "FooTest.java")}
+    assert found == {"src/a.py": 1, "latest/docker/contest.py": 1, None: 1, "tests/a.py": 0, "src/fixtures/config.yml": 0, "docs": 0, "FooTest.java": 0}
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)
