@@ -25,7 +25,7 @@ _FIRST = rf"(?:(?<!{_RUN})|\G)"
 _KEY = r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)[\"']?\s*+[=:]\s*+[\"']?"
 _VALUE = r"""[^\s"';,\[]{6,}+"""
 _PEM = r"(?s:-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)"
-_KNOWN = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+_KNOWN = r"(?=[Agsxe])(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
 #: Before a value, part of its match: the user of an address, "bearer", or a key's name and sign.
 _LEAD = rf"(?:://[^\s:/@]*+:(?=[^\s@/])|(?i:bearer)\s++|{_RUN}*{_KEY}(?={_VALUE}))"
 #: Key blocks, well-known shapes, passwords in addresses, bearer tokens, values of keys, then any long run of
@@ -34,9 +34,7 @@ SHAPES = (
     _PEM,
     _KNOWN,
     r"://[^\s:/@]*+:[^\s@/]++(?=@)",
-    rf"{_FIRST}(?i:bearer)\s++[A-Za-z0-9._~+/=-]{{16,}}+",
-    rf"{_FIRST}{_RUN}*{_KEY}{_VALUE}",
-    rf"{_FIRST}(?={_RUN}{{16}})(?:(?!{_KNOWN}){_RUN}){{16,}}+={{0,2}}",
+    rf"(?={_RUN}){_FIRST}(?:(?i:bearer)\s++[A-Za-z0-9._~+/=-]{{16,}}+|(?={_RUN}++[\"']?\s*+[=:]){_RUN}*{_KEY}{_VALUE}|(?={_RUN}{{16}})(?:(?!{_KNOWN}){_RUN}){{16,}}+={{0,2}})",
 )
 #: Words that secrets do not hold, and words beside true and false findings.
 DICTIONARY = ("example", "sample", "test", "dummy", "placeholder", "changeme", "your", "password", "secret", "token", "here", "insert", "default", "hello", "world", "user", "name", "value", "string", "lorem", "ipsum", "tion", "ment", "the", "and", "ing", "null", "none", "true", "false", "http", "www", "com", "abc", "xyz", "foo", "bar")
@@ -88,7 +86,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
 
     Secrets are random hexadecimal, base-62 or base-64 strings of several lengths, prefixed tokens, key blocks and
     passwords, after key words, other names or signs, in prose or at a start of a line; bare hexadecimal is none. The others are
-    placeholders, words, identifiers, expressions, digests and ids, also after key words, and every shape of
+    placeholders, words, identifiers, expressions, numbers, digests and ids, also after key words, and every shape of
     secret under test, doc and fixture paths.
     """
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("id")), 256)
@@ -103,6 +101,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
 
     base62 = lambda *salts: F.translate(F.base64(F.unhex(F.concat(*map(h, salts)))), "+/=", "abc")
     hexa, mixed = F.concat(h("x"), h("y")), base62("x", "y")
+    digits = F.substring(F.translate(hexa, "abcdef", "012345"), F.lit(1), number("dg", 10, 24))
     base64 = F.base64(F.unhex(F.concat(h("x"), h("y"), h("z"), h("u"))))
     words = F.concat_ws("", *[pick(f"w{i}", ("user", "Name", "value", "default", "Config", "handler", "string", "Factory", "test", "example", "token", "the", "ment", "tion", "able", "list")) for i in range(6)])
     parts = F.concat_ws("/", *[pick(f"q{i}", ("src", "main", "controller", "build", "license", "module", "2024", "service", "v2", "index", "strata", "common", "linux", "x86", "release", "MAX", "BUFFER", "account")) for i in range(5)])
@@ -116,7 +115,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     password = F.concat(F.substring(mixed, F.lit(1), number("n", 5, 12)), pick("p1", ("!", "", "#", "7", "$9", "9x", "2")), pick("p2", ("", "k4", "Zq", "!", "31")))
     human = F.concat(pick("h1", ("hunter", "Summer", "correcthorse", "dragon", "Winter", "letmein", "Monkey", "qwerty")), pick("h2", ("", "_", "-", "!")), number("hn", 2, 99999).cast("string"), pick("h3", ("!", "", "#", "$x")))
     secret = cases("kind", {(0,): F.substring(hexa, F.lit(1), number("n", 16, 64)), (1, 2): F.substring(mixed, F.lit(1), number("n", 16, 80)), (3, 4): known, (5,): F.substring(base64, F.lit(1), number("bn", 40, 172)), (6,): password, (7,): human})
-    other = cases("kind", {(0,): words, (1,): dashed, (2,): uuid, (3,): F.repeat(pick("r", ("x", "0", "ab", "-", "=")), 20), (4,): F.substring(hexa, F.lit(1), pick("dn", (32, 40, 64))), (5,): parts, (6,): short, (7,): code, (8,): masked, (9,): cases("prefix", {(0, 1): F.substring(hexa, F.lit(1), number("n", 16, 64)), (2, 3): F.substring(mixed, F.lit(1), number("n", 16, 80)), (4,): password, (5,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))})})
+    other = cases("kind", {(0,): words, (1,): dashed, (2,): uuid, (3,): F.when(F.col("id") % 8 < 6, digits).otherwise(F.repeat(pick("r", ("x", "0", "ab", "-", "=")), 20)), (4,): F.substring(hexa, F.lit(1), pick("dn", (32, 40, 64))), (5,): parts, (6,): short, (7,): code, (8,): masked, (9,): cases("prefix", {(0, 1): F.substring(hexa, F.lit(1), number("n", 16, 64)), (2, 3): F.substring(mixed, F.lit(1), number("n", 16, 80)), (4,): password, (5,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))})})
     base = spark.range(rows).withColumn("label", (F.col("id") % 2).cast("double")).withColumn("kind", F.when(F.col("label") == 1, number("k", 0, 8) % 8).otherwise(number("k", 0, 14)))
     base = base.withColumn("kind", F.when(F.col("kind") > 11, 4).otherwise(F.least("kind", F.lit(9)))).withColumn("prefix", number("pf", 0, 5)).withColumn("place", number("pl", 0, 3))
     signs = (' = "', "=", ": ", ' = "')
