@@ -33,6 +33,17 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(key, "512")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,7 +57,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that no DataFrame needs any more."""
+    for df in staged:
+        remove_path(df.sparkSession, df.staged_at)
 
 
 def keep_where(df: DataFrame, condition: str) -> DataFrame:

@@ -1,4 +1,15 @@
-"""N-gram Jaccard join: documents whose sets of word shingles are alike, found through an R-tree of group counts."""
+"""N-gram Jaccard join: documents whose sets of word shingles are alike, found through R-trees of group counts.
+
+Sets that link share a rare shingle, so the sets of each such shingle, its posting, are one index: a tree over their
+points, the counts of their shingles by group of hashes. A pair is proposed where summed minima of two points allow a link.
+
+1. Every posting proposes pairs and keeps a spanning forest of them, so it sends fewer rows than it has sets. Postings
+   that list the same sets are one. What the forests connect is a cluster: every link is inside one.
+2. Each set's shingles go once to its cluster, where a tree proposes pairs again and these are verified exactly;
+   the cluster, too, sends only a spanning forest, of verified links.
+A posting or cluster of more than DEAL sets is dealt to several tasks. What its tasks have joined is then known, and
+only sets outside the largest group so found still visit all the other tasks' sets.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import lean, remove_path, stage, table
+from .common import discard, fresh, lean, remove_path, stage, table
 
 SPAN = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -20,19 +31,20 @@ PERCENT = 80
 GROUPS = 64
 #: Points in a leaf of the tree, and leaves in a node above.
 LEAF = 16
-#: A token in about so many sets or more is dealt to several tasks.
-DEAL = 512
-#: Tasks' worth of tokens.
-BUCKETS = 1024
+#: Sets of a posting or cluster that one task compares with one another; more are dealt.
+DEAL = 256
+#: Bytes of text for each group of postings, and of clusters, that a task takes at once, and the least number of groups.
+GROUP_BYTES, LEAST_GROUPS = 1 << 20, 64
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("tokens", pa.binary()), ("point", pa.binary()), ("prefix", pa.binary()), ("deals", pa.binary())])
-_SETS_SQL = "doc_id long, mark long, n_shingles long, node binary, tokens binary, point binary, prefix binary, deals binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("tokens", pa.binary()), ("point", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SETS_SQL = "doc_id long, mark long, n_shingles long, node binary, tokens binary, point binary, prefix array<long>"
 
 
 def _sets(texts: pa.Array, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bounds, hashes): the sorted hashes of the distinct shingles of some rows; lower-cased in A-Z."""
     for at, count, data, offsets in W.chunks(texts):
-        h, _, row, _ = W.window_hashes(*W.word_hashes(data, offsets, lower=True), span, short=True)
+        words, bounds, _ = W.word_hashes(data, offsets, lower=True)
+        h, _, row, _ = W.window_hashes(words, bounds, None, span, short=True)
         order = np.lexsort((h, row))
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
@@ -70,35 +82,33 @@ def _mark():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _described(s: np.ndarray, rare: np.ndarray, length: int) -> dict[str, bytes]:
+def _described(s: np.ndarray, rare: np.ndarray, length: int) -> dict:
     """What a set that may link brings to the join; ``length`` is its prefix's."""
     order = np.lexsort((s, rare))[:length]
-    order = order[rare[order] > 0]
-    deals = np.maximum(1, (1 << rare[order].astype(np.int64)) // DEAL * 2)
     tokens = s[rare > 0]
-    return {"tokens": tokens.tobytes(), "point": point(tokens).tobytes(), "prefix": s[order].tobytes(), "deals": deals.astype("<i4").tobytes()}
+    return {"tokens": tokens.tobytes(), "point": point(tokens).tobytes(), "prefix": s[order[rare[order] > 0]].view(np.int64)}
 
 
 def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, tokens, point, prefix, deals) of each document, staged.
+    """(doc_id, mark, n_shingles, node, tokens, point, prefix) of each document, staged.
 
-    mark is a hash of the text, which tells rows of one doc_id apart. node is a digest of the set, null without words. Only shingles that the sketch estimates in two documents
-    can be in an intersection; where these are too few for a link, the rest is null. tokens are the estimated
-    repeated shingles; prefix are those of them among the first n - least overlap + 1 shingles in an order that
-    is rare first, so that linked sets share one; deals tells over how many tasks each of them is dealt.
+    mark is a hash of the text, which tells rows of one doc_id apart. node is a digest of the set, null without words.
+    Only shingles that the sketch estimates in two documents can be in an intersection; where these are too few for
+    a link, the rest is null. tokens are the estimated repeated shingles; prefix are those of them among the first
+    n - least overlap + 1 shingles in an order that is rare first, so that linked sets share one.
     """
     spark = docs.sparkSession
     lean(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
-    bits = W.sketch_bits(rows)
+    bits, _ = W.sketch_size(W.text_bytes(rows))
     path = W.sketch(rows, bits, _hashes(span))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = W.estimates(path, bits)
         for batch in batches:
-            out: list[dict] = []
             ids, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for at, bounds, h in _sets(batch.column(0), span):
+                out: list[dict] = []
                 classes = known.classes(h)
                 shared = np.concatenate([[0], np.cumsum(classes > 0)])
                 for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False), at):
@@ -110,41 +120,31 @@ def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
                         if shared[b] - shared[a] >= need:
                             row |= _described(h[a:b], classes[a:b], n - need + 1)
                     out.append(row)
-            yield pa.RecordBatch.from_pylist(out, _SETS)
+                yield pa.RecordBatch.from_pylist(out, _SETS)
 
     done = stage(rows.mapInArrow(make, _SETS_SQL), "sets")
     remove_path(spark, path)
     return done
 
 
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("token", pa.int64()), ("deal", pa.int32()), ("node", pa.binary()), ("n", pa.int32()), ("point", pa.binary())])
-_POSTINGS_SQL = "bucket int, token long, deal int, node binary, n int, point binary"
+def postings(sets: DataFrame, deal: int = DEAL) -> DataFrame:
+    """(key, deals, node, n, point): the sets of each prefix token that two sets or more have, staged.
 
+    Tokens that list the same sets, told by two sums of hashes over them, are one. deals is over how many tasks a
+    posting is dealt.
+    """
+    described = sets.where("prefix is not null").groupBy("node")
+    tokens = stage(described.agg(F.first("prefix").alias("p")).select("node", F.explode("p").alias("token")), "tokens")
+    listed = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
+    one = listed.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
+    points = described.agg(F.first("n_shingles").cast("int").alias("n"), F.first("point").alias("point"))
+    found = stage(tokens.join(one, "token").join(points, "node").select(F.col("token").alias("key"), _deals(F.col("m"), deal).alias("deals"), "node", "n", "point"), "postings")
+    discard(tokens)
+    return found
 
-def postings(sets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """A row for each prefix token of each distinct set, staged; a frequent token's rows are dealt by node."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens, deal, reps = [], [], []
-                for node, prefix, deals in zip(part.column("node"), part.column("prefix"), part.column("deals"), strict=True):
-                    t, d = np.frombuffer(prefix.as_py(), np.uint64), np.frombuffer(deals.as_py(), "<i4")
-                    of_node = W.mix(t ^ np.frombuffer(node.as_py()[:8], np.uint64))
-                    tokens.append(t)
-                    deal.append((of_node % d.astype(np.uint64)).astype(np.int32))
-                    reps.append(len(t))
-                if not sum(reps):
-                    continue
-                t, d = np.concatenate(tokens), np.concatenate(deal)
-                row = pa.array(np.repeat(np.arange(len(reps)), reps))
-                bucket = (W.mix(t + d.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                cols = [pa.array(bucket), pa.array(t.view(np.int64)), pa.array(d), part.column("node").take(row), part.column("n_shingles").cast(pa.int32()).take(row), part.column("point").take(row)]
-                yield pa.RecordBatch.from_arrays(cols, schema=_POSTINGS)
-
-    distinct = sets.where("prefix is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "point", "prefix", "deals")])
-    return stage(distinct.select("node", "n_shingles", "point", "prefix", "deals").mapInArrow(make, _POSTINGS_SQL), "postings")
+def _deals(count, deal: int):
+    return F.ceil(count / deal).cast("int")
 
 
 class Tree:
@@ -197,11 +197,7 @@ class Tree:
         return q, b
 
 
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-
-def _sorted(rows: pa.Table, keys: list[str]) -> pa.Table:
-    return rows.sort_by([*[(k, "ascending") for k in keys], ("n", "ascending"), ("point", "ascending"), ("node", "ascending")])
+_EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _allowed(rows: pa.Table, keys: list[str], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -241,69 +237,102 @@ def _allowed(rows: pa.Table, keys: list[str], percent: int) -> Iterator[tuple[np
             yield q + a, b + a, score
 
 
-def _nearest(percent: int):
-    """For each set, the earlier one of its token with the largest bound, if that allows a link."""
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining each a with its b; a label is the place of a row that has itself as its label."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
+def _verifier(rows: pa.Table, percent: int):
+    """A function of places (q, b) that tells which pairs of sets link, by their whole intersections."""
+    column = rows.column("tokens").combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) // 8
+    tokens = np.frombuffer(column.buffers()[2], np.uint64)[offsets[0] : offsets[-1]]
+    known, ids = np.unique(tokens, return_inverse=True)
+    counts, first = np.diff(offsets), offsets[:-1] - offsets[0]
+    # Tokens of a row are sorted, so these numbers are.
+    every = np.repeat(np.arange(len(counts)) * len(known), counts) + ids
+    n = rows.column("n").to_numpy().astype(np.int64)
+
+    def links(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(q), bool)
+        ends = np.cumsum(counts[q])
+        at = 0
+        while at < len(q):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + (1 << 19), "right")))
+            k = counts[q[at:stop]]
+            begin = np.cumsum(k) - k
+            mine = np.repeat(first[q[at:stop]] - begin, k) + np.arange(k.sum())
+            want = np.repeat(b[at:stop] * len(known), k) + ids[mine]
+            hit = every[np.minimum(np.searchsorted(every, want), len(every) - 1)] == want
+            both = np.add.reduceat(hit.astype(np.int64), begin)
+            out[at:stop] = 100 * both >= percent * (n[q[at:stop]] + n[b[at:stop]] - both)
+            at = stop
+        return out
 
-    def join(key: tuple, table_: pa.Table) -> pa.Table:
-        rows, left, right = _sorted(table_, ["token", "deal"]), [], []
-        for q, b, score in _allowed(rows, ["token", "deal"], percent):
-            order = np.lexsort((b, score, q))
-            last = np.append(q[order][1:] != q[order][:-1], True)[: len(q)]
-            left.append(q[order][last])
-            right.append(b[order][last])
-        return _named(rows, left, right)
+    return links
 
-    return join
 
+def _joined(percent: int):
+    """For one group of rows (key, cell, label, n, point and maybe side, tokens): the labels that its pairs join, as a forest.
 
-def _across(percent: int):
-    """All pairs of a token in different components whose bound allows a link."""
+    Pairs are of one key and cell and, where there are sides, of two sides. With tokens they are verified, the most
+    promising of each set first, and pairs that are joined by then are not.
+    """
 
-    def join(key: tuple, table_: pa.Table) -> pa.Table:
-        rows, left, right = _sorted(table_, ["token", "cell"]), [], []
-        _, label = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True) if rows.num_rows else (None, None)
-        for q, b, _ in _allowed(rows, ["token", "cell"], percent):
-            other = label[q] != label[b]
-            left.append(q[other])
-            right.append(b[other])
-        return _named(rows, left, right)
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        W.release()
+        rows = rows.sort_by([(k, "ascending") for k in ("key", "cell", "n", "point", "label")])
+        if not rows.num_rows:
+            return _EDGES.empty_table()
+        names = rows.column("label").combine_chunks().dictionary_encode()
+        of = names.indices.to_numpy()
+        side = rows.column("side").to_numpy(zero_copy_only=False) if "side" in rows.column_names else None
+        links = _verifier(rows, percent) if "tokens" in rows.column_names else None
+        label = np.arange(len(names.dictionary))
+        for q, b, score in _allowed(rows, ["key", "cell"], percent):
+            if side is not None:
+                keep = side[q] != side[b]
+                q, b, score = q[keep], b[keep], score[keep]
+            if links is None:
+                label = unite(label, of[q], of[b])
+                continue
+            while True:
+                keep = label[of[q]] != label[of[b]]
+                q, b, score = q[keep], b[keep], score[keep]
+                if not len(q):
+                    break
+                order = np.lexsort((-score, q))
+                best = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])]
+                ok = links(q[best], b[best])
+                label = unite(label, of[q[best[ok]]], of[b[best[ok]]])
+                rest = np.ones(len(q), bool)
+                rest[best] = False
+                q, b, score = q[rest], b[rest], score[rest]
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.Table.from_arrays([names.dictionary.take(pa.array(far)), names.dictionary.take(pa.array(label[far]))], schema=_EDGES)
 
     return join
 
 
-def _named(rows: pa.Table, left: list, right: list) -> pa.Table:
-    """Distinct pairs of nodes, the smaller first, at these places of ``rows``."""
-    if not sum(map(len, left)):
-        return _PAIRS.empty_table()
-    node = np.array(rows.column("node").to_pylist(), dtype=object)
-    pairs = {(x, y) if x < y else (y, x) for x, y in zip(node[np.concatenate(left)], node[np.concatenate(right)], strict=True) if x != y}
-    return pa.Table.from_pylist([{"a": x, "b": y} for x, y in sorted(pairs)], _PAIRS)
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link, staged: exact intersections of the shingles that can be shared."""
-    whole = sets.where("tokens is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("t"))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n1, t1, n2, t2 in zip(*[batch.column(i) for i in range(2, 6)], strict=True):
-                both = len(np.intersect1d(np.frombuffer(t1.as_py(), np.uint64), np.frombuffer(t2.as_py(), np.uint64), assume_unique=True))
-                keep.append(100 * both >= percent * (n1.as_py() + n2.as_py() - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    met = pairs.distinct().join(whole.withColumnsRenamed({"node": "a", "n": "n1", "t": "t1"}), "a").join(whole.withColumnsRenamed({"node": "b", "n": "n2", "t": "t2"}), "b")
-    return stage(met.select("a", "b", "n1", "t1", "n2", "t2").mapInArrow(links, "a binary, b binary"), "links")
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all linked nodes: label is the smallest node reachable. ``links`` (a, b) is staged.
+    """(node, label) of all linked nodes, staged: label is the smallest node reachable. ``links`` (a, b) is staged, and discarded.
 
     Large-star and small-star rounds until nothing changes, each written to the shared folder: neighbours above
     a node are hung to its smallest neighbour, then the others. Each key's smallest neighbour is found with
     partial sums and joined back, so a hub is never gathered.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    discard(links)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -311,40 +340,68 @@ def components(links: DataFrame) -> DataFrame:
         large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(hung.unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct(), "edges")
+        before, edges = edges, stage(hung.unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct(), "edges")
+        discard(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            found = stage(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
+            discard(edges)
+            return found
         state = tuple(now)
 
 
-def linked_nodes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, label) of all nodes with a link; every link is inside a component.
+def _edges(rows: DataFrame, groups: int, percent: int) -> DataFrame:
+    """What the cells of ``rows`` join, staged: cells are dealt to groups, and a task takes a group at once."""
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("key", "cell"), F.lit(groups)).cast("int")).groupBy("group")
+    return stage(grouped.applyInArrow(_joined(percent), "a binary, b binary"), "edges")
+
 
-    First each set meets the nearest earlier set of each of its prefix tokens, which links most of a group by a
-    tree instead of all its pairs. Then tokens whose sets are in several components are looked at again, and all
-    pairs across components that the bound allows are verified, until no token gives a new link.
+def linked(rows: DataFrame, groups: int, percent: int = PERCENT, deal: int = DEAL, dealings: int = 2) -> DataFrame:
+    """(node, label), staged, of the nodes that pairs join: all that share a key, as the points or the tokens allow.
+
+    ``rows`` are (key, deals, node, n, point and maybe tokens) and may be read twice. A key's rows are dealt to
+    tasks ``dealings`` times. After that, of a key with several deals, those outside its largest joined group visit
+    all of its deals, also dealt; no key's rows ever meet in one task, and where little is left apart, little travels.
     """
-    posts = postings(sets)
-    near = posts.groupBy("bucket").applyInArrow(_nearest(percent), "a binary, b binary")
-    labels = stage(components(verify(near, sets, percent)), "labels")
-    while True:
-        named = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("deal").alias("deals")).where("x <> y").select("token", "deals")
-        # A dealt token's rows meet in all cells of a triangle of deals.
-        open_ = named.join(mixed, "token")
-        cells = F.transform(F.sequence(F.lit(0), F.col("deals")), lambda i: F.least(i, F.col("deal")) * (F.col("deals") + 1) + F.greatest(i, F.col("deal")))
-        dealt = open_.withColumn("cell", F.explode(cells)).withColumn("bucket", F.pmod(F.xxhash64("token", "cell"), F.lit(BUCKETS)).cast("int"))
-        more = verify(dealt.select("bucket", "token", "cell", "node", "n", "point", "label").groupBy("bucket").applyInArrow(_across(percent), "a binary, b binary"), sets, percent)
-        if more.isEmpty():
-            return labels
-        # Only components are linked anew: one node for each, so later rounds are small.
-        known = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        lifted = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        up = stage(components(lifted), "labels").select(F.col("node").alias("label"), F.col("label").alias("up"))
-        ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
-        every = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-        labels = stage(every.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+    carried = [c for c in ("n", "point", "tokens") if c in rows.columns]
+    turns = F.sequence(F.lit(0), F.when(F.col("deals") > 1, dealings - 1).otherwise(0))
+    turned = rows.withColumn("turn", F.explode(turns))
+    cell = (F.pmod(F.xxhash64("node", "key", "turn"), F.col("deals")) + F.col("turn") * F.col("deals")).cast("long")
+    labels = components(_edges(turned.select("key", cell.alias("cell"), F.col("node").alias("label"), *carried), groups, percent))
+    hot = rows.where("deals > 1")
+    named = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    home = shares.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("home"), (F.sum("c") - F.max("c")).alias("away")).where("away > 0")
+    home = stage(home, "homes")
+    if home.isEmpty():
+        discard(home)
+        return labels
+    met = named.join(F.broadcast(home) if home.count() <= 4096 else home, "key").withColumn("visits", _deals(F.col("away"), deal).cast("long"))
+    across = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+    stay = met.withColumn("deal", F.pmod(F.xxhash64("node", "key"), F.col("deals"))).withColumn("visit", F.explode(across("visits")))
+    go = met.where("label <> home").withColumn("visit", F.pmod(F.xxhash64("node", "key", F.lit(1)), F.col("visits"))).withColumn("deal", F.explode(across("deals")))
+    both = stay.withColumn("side", F.lit(False)).unionByName(go.withColumn("side", F.lit(True)))
+    more = components(_edges(both.select("key", (F.col("deal") * F.col("visits") + F.col("visit")).alias("cell"), "label", "side", *carried), groups, percent))
+    up = more.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    alone = more.join(labels, "node", "left_anti")
+    lifted = labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(alone)
+    found = stage(lifted, "labels")
+    discard(labels, home, more)
+    return found
+
+
+def linked_nodes(sets: DataFrame, total: int, percent: int = PERCENT, deal: int = DEAL) -> DataFrame:
+    """(node, label), staged, of all nodes with a link; ``total`` is the bytes of all texts."""
+    groups = max(LEAST_GROUPS, total // GROUP_BYTES)
+    posts = postings(sets, deal)
+    clusters = linked(posts, groups, percent, deal)
+    discard(posts)
+    sizes = clusters.groupBy("label").agg(_deals(F.count(F.lit(1)), deal).alias("deals"))
+    cluster = clusters.join(sizes, "label").select("node", F.xxhash64("label").alias("key"), "deals")
+    whole = sets.where("prefix is not null").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("point").alias("point"), F.first("tokens").alias("tokens"))
+    found = linked(whole.join(cluster, "node"), groups, percent, deal)
+    discard(clusters)
+    return found
 
 
 def near_duplicates(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
@@ -358,7 +415,7 @@ def near_duplicates(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -
     """
     sets = sets_of(docs, span, percent)
     rows = sets.select("doc_id", "mark", "n_shingles", "node")
-    labels = linked_nodes(sets, percent)
+    labels = linked_nodes(sets, W.text_bytes(docs.select(F.col("text").cast("string").alias("text"))), percent)
     label = F.coalesce("label", "node").alias("label")
     firsts = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", label)
     ids = firsts.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -373,10 +430,11 @@ def keep_first(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> Dat
     Rows that repeat the kept doc_id of a group are kept with it, as is a group in which no row has an id.
     Documents without words are all kept.
     """
+    mark, id_, mark_ = fresh(docs, "mark", "id", "mark2")
     found = near_duplicates(docs, span, percent)
-    drop = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")).distinct()
-    rows = docs.withColumn("_mark", _mark())
-    return rows.join(drop, rows["doc_id"].cast("long").eqNullSafe(drop["_id"]) & (rows["_mark"] == drop["_m"]), "left_anti").select(*docs.columns)
+    drop = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark_)).distinct()
+    rows = docs.withColumn(mark, _mark())
+    return rows.join(drop, rows["doc_id"].cast("long").eqNullSafe(drop[id_]) & (rows[mark] == drop[mark_]), "left_anti").select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

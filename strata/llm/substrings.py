@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import windows as W
-from .common import lean, remove_path, stage, table
+from .common import fresh, lean, remove_path, stage, table
 
 SPAN = 20
 #: Windows estimated repeated that a task holds before it settles them among themselves.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Text bytes for each group of windows and of documents, and the least number of groups.
 GROUP_BYTES, GROUPS = 4 << 20, 256
 
@@ -27,7 +28,8 @@ _RANGES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("ranges", pa
 def _hashes(span: int):
     def found(texts: pa.Array) -> Iterator[np.ndarray]:
         for _, _, data, offsets in W.chunks(texts):
-            yield W.window_hashes(*W.word_hashes(data, offsets), span)[0]
+            words, bounds, _ = W.word_hashes(data, offsets)
+            yield W.window_hashes(words, bounds, None, span)[0]
 
     return found
 
@@ -69,7 +71,7 @@ def _unpack(rows: list[dict]) -> tuple[_Docs, np.ndarray, np.ndarray]:
 
 def _later(hashes: np.ndarray, checks: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by window, then start; firsts in that order; those in that order that start after their first)."""
-    start = (rank << 32) | place
+    start = (rank.astype(np.int64) << 32) | place
     order = np.lexsort((start, checks, hashes))
     h, c, s = hashes[order], checks[order], start[order]
     first = np.ones(len(order), bool)
@@ -103,23 +105,24 @@ def _mark():
     return F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32).cast("int")
 
 
-def find_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def find_repeats(docs: DataFrame, span: int = SPAN, held_most: int = HELD, max_bits: int = W.MAX_BITS) -> DataFrame:
     """(doc_id, mark, ranges): for each document the words covered by windows that also start earlier.
 
     1. Each task sketches its windows; the sketches are merged.
-    2. Each task reads its texts again and groups exactly, by 96 bits, the windows that the sketch estimates
-       repeated; a window that occurs once alone is never one of them unless cells collide, and one that occurs
-       twice always is. All but the first of a task are to be removed; the firsts meet those of other tasks by
-       hash, so a window in any share of all documents sends one row from each task.
+    2. Each task reads its texts again and groups the windows that the sketch estimates repeated, by a fingerprint
+       of 96 bits from two independent hashes; a window that occurs once is one of them only where cells
+       collide, and one that occurs twice always is. All but the first of ``held_most`` windows are to be
+       removed; the firsts meet those of other tasks by hash, so a window in any share of all documents sends one
+       row for so many held.
     3. What is to be removed is gathered by document.
-    ``ranges`` are pairs of 32-bit numbers: first word, end.
+    With more windows than a sketch's 2 ** max_bits cells, 1 and 2 go through the texts once for each range of the
+    hashes, up to W.MAX_RANGES times. ``ranges`` are pairs of 32-bit numbers: first word, end.
     """
     spark = docs.sparkSession
     lean(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
-    bits = W.sketch_bits(rows)
-    path = W.sketch(rows, bits, _hashes(span))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = W.text_bytes(rows)
+    bits, parts = W.sketch_size(total, max_bits)
     groups = max(GROUPS, total // GROUP_BYTES)
 
     def settle(held: list[tuple[np.ndarray, ...]], ids: list[np.ndarray], nulls: list[np.ndarray], marks: list[np.ndarray]) -> Iterator[dict]:
@@ -135,27 +138,30 @@ def find_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             by = np.lexsort((place[a:b], rank[a:b])) + a
             yield _pack(int(bucket[a]), 0, h[by].tobytes() + c[by].tobytes(), known, rank[by], place[by])
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def local(batches: Iterator[pa.RecordBatch], path: str, part: int) -> Iterator[dict]:
         known = W.estimates(path, bits)
         held, ids, nulls, marks, n, base = [], [], [], [], 0, 0
         for batch in batches:
             for at, count, data, offsets in W.chunks(batch.column(0)):
-                h, c, row, place = W.window_hashes(*W.word_hashes(data, offsets), span)
+                h, c, row, place = W.window_hashes(*W.word_hashes(data, offsets, twice=True), span)
                 ask = known.repeated(h)
-                held.append((h[ask], (c[ask] >> np.uint64(32)).astype("<u4"), row[ask] + base, place[ask]))
+                if parts > 1:
+                    ask &= W.in_range(h, part, parts)
+                held.append((h[ask], (c[ask] >> np.uint64(32)).astype("<u4"), (row[ask] + base).astype(np.int32), place[ask].astype(np.int32)))
                 id_ = batch.column(1).slice(at, count)
                 nulls.append(np.asarray(id_.is_null()).astype(np.uint8))
                 ids.append(np.asarray(id_.fill_null(0)).astype(np.int64))
                 marks.append(np.asarray(batch.column(2).slice(at, count)).astype(np.int32))
                 base += count
                 n += int(ask.sum())
-                if n >= HELD:
+                if n >= held_most:
                     yield from settle(held, ids, nulls, marks)
                     held, ids, nulls, marks, n, base = [], [], [], [], 0, 0
         if n:
             yield from settle(held, ids, nulls, marks)
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        W.release()
         every = rows.to_pylist()
         out = [r for r in every if r["kind"] == 1]
         if mine := [r for r in every if r["kind"] == 0]:
@@ -178,10 +184,14 @@ def find_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
         out = [{"doc_id": None if known.nulls[whose[a]] else int(known.ids[whose[a]]), "mark": int(known.marks[whose[a]]), "ranges": pairs[a:b].tobytes()} for a, b in W.spans(whose)]
         return pa.Table.from_pylist(out, _RANGES)
 
-    first = rows.mapInArrow(lambda batches: _in_batches(local(batches), _ARROW), _ROWS)
-    met = first.groupBy("bucket").applyInArrow(meet, _ROWS)
+    firsts, paths = [], []
+    for part in range(parts):
+        paths.append(W.sketch(rows, bits, _hashes(span), part, parts))
+        firsts.append(rows.mapInArrow(lambda batches, path=paths[-1], part=part: _in_batches(local(batches, path, part), _ARROW), _ROWS))
+    met = reduce(DataFrame.unionByName, firsts).groupBy("bucket").applyInArrow(meet, _ROWS)
     found = stage(met.groupBy("bucket").applyInArrow(gather, "doc_id long, mark int, ranges binary"), "repeats")
-    remove_path(spark, path)
+    for path in paths:
+        remove_path(spark, path)
     return found
 
 
@@ -191,6 +201,7 @@ _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_wor
 @F.arrow_udf(_CUT)
 def cut_words(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     """The words of each text but those in its ranges, joined by one space, with counts."""
+    W.release()
     out = []
     for text, found in zip(texts, ranges, strict=True):
         kept = (text.as_py() or "").encode().split()  # of bytes: at 9 to 13 and 32
@@ -209,14 +220,17 @@ def drop_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     A window is ``span`` consecutive words of a document, whole texts are read, and windows are judged on the
     input. Documents are ordered by doc_id, null last, and by a hash of the text where ids repeat; rows equal in
     both are one document and get one result. Null and empty texts give empty ones; texts shorter than a window
-    lose nothing but their spacing; no rows give none. Existing columns n_words and n_removed are replaced.
+    lose nothing but their spacing; no rows give none. Existing columns n_words and n_removed are replaced; all
+    others are kept, whatever their names.
     """
-    found = find_repeats(docs, span).withColumnsRenamed({"doc_id": "_id", "mark": "_m", "ranges": "_ranges"})
-    rows = docs.drop("n_words", "n_removed").withColumn("_mark", _mark())
-    met = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows["_mark"] == found["_m"]), "left")
-    cut = met.withColumn("_cut", cut_words(F.col("text").cast("string"), F.col("_ranges")))
-    same = [F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_words", "n_removed")]
-    return cut.select(*same, "_cut.n_words", "_cut.n_removed")
+    docs = docs.drop("n_words", "n_removed")
+    mark, id_, mark_, ranges, cut = fresh(docs, "mark", "id", "mark2", "ranges", "cut")
+    found = find_repeats(docs, span).withColumnsRenamed({"doc_id": id_, "mark": mark_, "ranges": ranges})
+    rows = docs.withColumn(mark, _mark())
+    met = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found[id_]) & (rows[mark] == found[mark_]), "left")
+    met = met.withColumn(cut, cut_words(F.col("text").cast("string"), F.col(ranges)))
+    same = [F.col(f"{cut}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return met.select(*same, F.col(f"{cut}.n_words").alias("n_words"), F.col(f"{cut}.n_removed").alias("n_removed"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

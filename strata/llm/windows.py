@@ -1,12 +1,18 @@
 """Windows of words over Arrow batches: hashes of words and of windows, and count-min sketches of them.
 
+Words are hashed byte by byte through tables of random numbers, one for each place in a word, so no pattern of bytes
+makes words collide, as a power series modulo 2 ** 64 would let some; longer words than the tables have places for are
+digested whole. A second set of tables gives every word a second, independent hash.
+
 A sketch has ROWS rows of 2 ** bits cells. Each task counts its own windows; only cells that it has met travel,
 in blocks of BLOCK cells, and blocks of one number are added. A window's estimate is the least of its cells, so
-it is never below the true count.
+it is never below the true count. A sketch counts one range of the hashes: with more windows than cells there are
+several ranges, so a worker's memory is bounded and estimates stay as sharp.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +30,19 @@ from .common import new_path
 CHUNK_BYTES = 1 << 18
 ROWS = 2
 BLOCK_BITS = 20
-#: Cells of a row at most: 2 ** MAX_BITS bits are 256 MB. With more windows estimates only get larger.
-MAX_BITS = 31
+#: Cells of a row at most: 2 ** MAX_BITS bits are 32 MB, in each worker for each row.
+MAX_BITS = 28
+#: Ranges of hashes at most. Each costs two more passes over the texts; with more windows estimates only get larger.
+MAX_RANGES = 16
 #: From this estimate on a window counts as frequent.
 MANY = 16
 #: Windows whose cells a task holds before it adds them up and passes them on.
-HELD = 4 << 20
+HELD = 2 << 20
+#: Bytes of a word that have a table of their own.
+PLACES = 64
 
 _U = np.uint64
-_BYTE, _WORD, _CHECK = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+_WORD, _CHECK = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _ROW = (_U(0xFF51AFD7ED558CCD), _U(0xD6E8FEB86659FD93))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -56,7 +66,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values times powers of the base up to each place, and the inverse powers."""
-    n = max(1 << 19, 1 << int(len(values)).bit_length())
+    n = max(1 << 17, 1 << int(len(values)).bit_length())
     up, down = _powers(int(base), n)
     sums = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -78,8 +88,19 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the end); words are runs of bytes but 9 to 13 and 32."""
+@lru_cache(1)
+def _tables() -> np.ndarray:
+    """For each of two hashes a random number for each place in a word and each byte, the same in every process."""
+    n = 2 * PLACES * 256 * 8
+    raw = b"".join(hashlib.blake2b(i.to_bytes(8, "little"), digest_size=64, person=b"word bytes").digest() for i in range(n // 64))
+    return np.frombuffer(raw, "<u8").astype(_U).reshape(2, PLACES * 256)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, twice: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hash of each word, first word of each row and the end, a second hash if asked for).
+
+    Words are runs of bytes but 9 to 13 and 32.
+    """
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -92,14 +113,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     cuts = offsets[1:][offsets[1:] > 0] - 1
     end[cuts] = full[cuts]
     first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    sums, down = _sums(data.astype(_U) + _U(1), _BYTE)
-    return mix((sums[last] - sums[first]) * down[first]), np.searchsorted(first, offsets)
-
-
-def window_hashes(words: np.ndarray, bounds: np.ndarray, span: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bounds = np.searchsorted(first, offsets)
+    if not len(first):
+        return np.zeros(0, _U), bounds, np.zeros(0, _U) if twice else None
+    sizes = (last - first).astype(np.int32)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    place = np.arange(starts[-1] + sizes[-1], dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    at = (np.minimum(place, PLACES - 1) << 8) + data[full]
+    out = [np.add.reduceat(t[at], starts) for t in _tables()[: 1 + twice]]
+    for i in np.flatnonzero(sizes > PLACES).tolist():
+        digest = hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=16, person=b"long word").digest()
+        for h, part in zip(out, (digest[:8], digest[8:]), strict=False):
+            h[i] = int.from_bytes(part, "little")
+    return mix(out[0]), bounds, mix(out[1]) if twice else None
+
+
+def window_hashes(words: np.ndarray, bounds: np.ndarray, checks: np.ndarray | None, span: int, short: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """(hash, check, row, place in the row) of all windows of ``span`` words in one row.
 
-    hash and check together have 128 bits. With ``short``, a row of fewer words, but some, is one window.
+    hash comes from the words' first hashes, check from their second ones: together they are a fingerprint of 128
+    bits. With ``short``, a row of fewer words, but some, is one window.
     """
     counts = np.diff(bounds)
     sizes = np.maximum(counts - (span - 1), ((counts > 0) & short).astype(counts.dtype))
@@ -108,8 +141,11 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, span: int, short: bool
     first = bounds[:-1][row] + place
     last = np.minimum(first + span, bounds[1:][row])
     out = []
-    for base, words_ in ((_WORD, words), (_CHECK, mix(words ^ _CHECK))):
-        sums, down = _sums(words_, base)
+    for base, values in ((_WORD, words), (_CHECK, checks)):
+        if values is None:
+            out.append(None)
+            continue
+        sums, down = _sums(values, base)
         out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U)))
     return out[0], out[1], row, place
 
@@ -153,6 +189,11 @@ def _cell(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 SKETCH = pa.schema([("row", pa.int32()), ("block", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
+def in_range(hashes: np.ndarray, part: int, parts: int) -> np.ndarray | slice:
+    """Which hashes are in range ``part`` of ``parts``."""
+    return slice(None) if parts == 1 else (hashes >> _U(5)) % _U(parts) == _U(part)
+
+
 class Counter:
     """Counts the cells of a task, HELD windows at a time."""
 
@@ -202,21 +243,26 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], _MERGED)
 
 
-def sketch_bits(docs: DataFrame) -> int:
-    """Bits of a cell's number: cells for twice as many windows as the texts have at six bytes a word."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MAX_BITS, max(BLOCK_BITS, int(total // 3).bit_length()))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
 
+def sketch_size(total: int, max_bits: int = MAX_BITS, max_ranges: int = MAX_RANGES) -> tuple[int, int]:
+    """(bits of a cell's number, ranges) for texts of so many bytes, at six bytes a word: a cell or two for each window of a range."""
+    bits = max(BLOCK_BITS, min(max_bits, int(total // 6).bit_length()))
+    return bits, max(1, min(max_ranges, -(-int(total // 6) >> max_bits)))
 
-def sketch(docs: DataFrame, bits: int, hashes) -> str:
-    """Sketch what ``hashes(texts)`` yields over all texts; returns the path of the merged blocks."""
+
+def sketch(docs: DataFrame, bits: int, hashes, part: int = 0, parts: int = 1) -> str:
+    """Sketch what ``hashes(texts)`` yields over all texts, in one range; returns the path of the merged blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _LOADED.clear()  # a sketch that this worker has read is of no more use
+        release()
         counter = Counter(bits)
         for batch in batches:
             for found in hashes(batch.column(0)):
-                counter.add(found)
+                counter.add(found[in_range(found, part, parts)])
                 if counter.n >= HELD:
                     yield from counter.batches()
         yield from counter.batches()
@@ -276,10 +322,17 @@ class Estimates:
 _LOADED: dict[tuple[str, int], Estimates] = {}
 
 
+def release() -> None:
+    """Give back what this worker holds of sketches, and memory that only allocators hold."""
+    _LOADED.clear()
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def estimates(path: str, bits: int) -> Estimates:
     """The sketch at a path, loaded once in each worker; the one before is let go first."""
     if (path, bits) not in _LOADED:
-        _LOADED.clear()
+        release()
         _LOADED[path, bits] = Estimates(path, bits)
     return _LOADED[path, bits]
 

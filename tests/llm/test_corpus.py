@@ -71,15 +71,10 @@ def test_jaccard(corpus):
     assert sorted(kept) == sorted({c for _, _, c in brute_components(rows)})
 
 
-def test_jaccard_dealt_tokens(corpus, monkeypatch):
-    """The same where every token counts as frequent and is dealt, so that links meet only across deals."""
+def test_jaccard_dealt(corpus):
+    """The same where three sets fill a task, so that most links meet only across deals."""
     sets = jaccard.sets_of(corpus)
-    deals = "transform(sequence(1, length(deals) div 4), x -> 3)"
-    from pyspark.sql import functions as F
-
-    forced = F.unhex(F.array_join(F.transform(F.expr(deals), lambda x: F.lit("03000000")), ""))
-    sets = stage(sets.withColumn("deals", F.when(F.col("deals").isNotNull(), forced)), "forced")
-    labels = {bytes(r["node"]): bytes(r["label"]) for r in jaccard.linked_nodes(sets).collect()}
+    labels = {bytes(r["node"]): bytes(r["label"]) for r in jaccard.linked_nodes(sets, 1, deal=3).collect()}
     group = {}
     for r in sets.where("node is not null").collect():
         group.setdefault(labels.get(bytes(r["node"]), bytes(r["node"])), []).append(r["doc_id"])
@@ -90,6 +85,21 @@ def test_jaccard_dealt_tokens(corpus, monkeypatch):
     assert sorted(sorted(v) for v in group.values()) == sorted(sorted(v) for v in want.values())
 
 
+def thue_morse(n):
+    """Two words that collide under any power series of bytes modulo 2 ** 64 with an odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[i] for i in bits), "".join("ba"[i] for i in bits)
+
+
+def test_words_that_power_series_confuse(spark):
+    x, y = thue_morse(2048)
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x), (4, y), (5, f"{x} {rest}"), (6, x)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.drop_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 20, 6: 0}
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs.where("doc_id in (3, 4, 6)")).collect()}
+    assert found == {3: 3, 4: 4, 6: 3}
+
+
 def test_tree_finds_all_that_the_bound_allows():
     rnd = np.random.default_rng(1)
     for n in (2, 17, 300, 700):
@@ -133,10 +143,14 @@ def test_substrings(corpus):
     assert sorted((tuple(r) for r in got.collect()), key=key) == brute_substrings([tuple(r) for r in corpus.collect()])
 
 
-def test_substrings_in_small_tasks(corpus, monkeypatch):
-    """The same where tasks settle after few windows; functions are shipped with their globals, so the bound is too."""
-    found = substrings.find_repeats(corpus, span=3).count()
-    assert found > 50
+def test_substrings_in_small_tasks(corpus):
+    """The same ranges where tasks settle after each chunk of texts, and where the hashes have several ranges."""
+    rows = lambda df: sorted((r["doc_id"], r["mark"], bytes(r["ranges"])) for r in df.collect())
+    want = rows(substrings.find_repeats(corpus, span=3))
+    assert len(want) > 50
+    assert rows(substrings.find_repeats(corpus, span=3, held_most=1)) == want
+    assert W.sketch_size(1 << 20, max_bits=16) == (20, 3) and W.sketch_size(W.text_bytes(corpus), max_bits=12)[1] > 1
+    assert rows(substrings.find_repeats(corpus, span=3, max_bits=12)) == want
 
 
 def test_substrings_edges(spark, sf_dir, docs, empty):
@@ -171,7 +185,7 @@ def test_window_hashes_tell_windows_apart():
     texts = ["a b c", "b c", "ab c", "a bc", "", "a  b\tc", "c b a", "é b c", "A b c"]
     seen = {}
     for at, _, data, offsets in W.chunks(pa.array(texts)):
-        h, c, row, place = W.window_hashes(*W.word_hashes(data, offsets), 2)
+        h, c, row, place = W.window_hashes(*W.word_hashes(data, offsets, twice=True), 2)
         for a, b, r, p in zip(h.tolist(), c.tolist(), row.tolist(), place.tolist(), strict=True):
             seen.setdefault(tuple(texts[at + r].split()[p : p + 2]), set()).add((a, b))
     assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
