@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values of the tokenizer's contract: what a word is, and where an identifier is split.
 TOKEN = r"[\p{L}\p{N}_]+"
 _BOUNDARY = r"_|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])"
 
 #: Words that carry no meaning in a query.
-STOP_WORDS = tuple(
-    "a an the is are was were be been being do does did have has had where what which who whom how when why in on of to for and or not "
-    "with by at from this that these those it its as i we you my our your can could should would will into about there here any some all me us them".split()
-)
+STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had", "where", "what", "which", "who", "whom", "how", "when",
+    "why", "in", "on", "of", "to", "for", "and", "or", "not", "with", "by", "at", "from", "this", "that", "these", "those", "it", "its", "as", "i", "we", "you", "my", "our",
+    "your", "can", "could", "should", "would", "will", "into", "about", "there", "here", "any", "some", "all", "me", "us", "them",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -47,6 +51,15 @@ def query_terms(text: str) -> list[str]:
     return [t for t in every if t not in STOP_WORDS] or every
 
 
+def query_tokens(text: str) -> list[str]:
+    """The words of a query that the driver has, with the parts of identifiers, lower-cased, as split_identifiers gives them."""
+    out = []
+    for word in re.findall(r"\w+", text or ""):
+        parts = [p.lower() for p in re.split(_BOUNDARY, word) if p]
+        out += [word.lower(), *parts] if len(parts) > 1 else [word.lower()]
+    return out
+
+
 def identifier_words(text: Column, most: int = 400) -> Column:
     """Words that look like identifiers: three letters or more, with a capital or an underscore; distinct."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -91,6 +104,59 @@ def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("\u2026")))
 
 
+def one_line(text: Column) -> Column:
+    """A text on one line: without carriage returns, blanks for line ends, trimmed; null is empty."""
+    return F.trim(F.translate(F.coalesce(text, F.lit("")), "\n\r", " "))
+
+
+def first_line(text: Column) -> Column:
+    """What stands before the first line end, trimmed; null stays null."""
+    return F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "\r", ""))
+
+
+def listed(values: Column) -> Column:
+    """An array as a list with commas, or None where there is nothing to list."""
+    return F.when(F.size(F.coalesce(values, F.array().cast("array<string>"))) > 0, F.array_join(values, ", ")).otherwise("None")
+
+
+def split_list(text: Column) -> Column:
+    """What listed() wrote, or a list with semicolons, as an array; None and blanks are empty."""
+    parts = F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.lower(F.trim(text)) == "none", F.array().cast("array<string>")).otherwise(F.coalesce(parts, F.array().cast("array<string>")))
+
+
+def since(text: str | None, now: dt.datetime) -> dt.datetime | None:
+    """The moment that "24h", "7d", "2w" or "3m" (calendar months) before ``now`` means, or an ISO one; nothing is None."""
+    text = (text or "").strip()
+    if not text:
+        return None
+    if m := re.fullmatch(r"(\d+)([hdwm])", text, re.IGNORECASE | re.ASCII):
+        n, unit = int(m[1]), m[2].lower()
+        if unit != "m":
+            return now - dt.timedelta(hours=n * {"h": 1, "d": 24, "w": 168}[unit])
+        years, month = divmod(now.year * 12 + now.month - 1 - n, 12)
+        first = now.replace(year=years, month=month + 1, day=1)
+        last = (first.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
+        return first.replace(day=min(now.day, last.day))
+    try:
+        found = dt.datetime.fromisoformat(text)
+    except ValueError:
+        raise ValueError(f"Neither a duration such as 7d, 24h or 2w nor an ISO date: {text!r}") from None
+    return found if found.tzinfo is None else found.astimezone(dt.UTC).replace(tzinfo=None)
+
+
+def _marked() -> tuple[str, str]:
+    """Latin letters with a diacritic, and the same without it, by Unicode's own decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    plain = [(a, b[0]) for a, b in pairs if len(b) > 1 and unicodedata.combining(b[1])]
+    return "".join(a for a, _ in plain), "".join(b for _, b in plain)
+
+
+def fold_marks(text: Column) -> Column:
+    """A text without the diacritics of its Latin letters."""
+    return F.translate(text, *_marked())
+
+
 REDACTED = "[REDACTED]"
 #: Pattern and replacement, applied in this order; RE2 reads them like Java (with \\1 for $1).
 SECRET_SHAPES = (

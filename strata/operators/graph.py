@@ -1,10 +1,15 @@
-"""Bounded graph analytics over edges (src, dst): levels, closures, cycles, fan-out, unused nodes."""
+"""Graph analytics over edges (src, dst): levels, closures, call graphs, hierarchies, cycles, fan-out, unused nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..sources import tables
+
 
 def levels(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """(node, level) of all nodes within ``depth`` steps of ``start`` (node), each at its first level.
@@ -21,34 +26,83 @@ def levels(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
-def closure(spark, edges: DataFrame, start: list, most: int = 100) -> DataFrame:
-    """(node) of all nodes that can be reached from ``start``, itself left out, by a recursive query of bounded depth."""
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_closure_edges")
-    first = spark.createDataFrame([(s,) for s in start], edges.select(F.col("src").alias("node")).schema)
-    first.createOrReplaceTempView("_closure_start")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(node, depth) AS (
-          SELECT node, 0 FROM _closure_start
-          UNION ALL
-          SELECT e.dst, r.depth + 1 FROM reach r JOIN _closure_edges e ON e.src = r.node WHERE r.depth < {most})
-        SELECT DISTINCT node FROM reach WHERE depth > 0""")
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, level) of all nodes that can be reached from ``start`` (node), themselves left out, at their first level.
+
+    Each level joins only the nodes that the one before has found first, and is written before the next, so neither
+    cycles nor the number of paths matter. Ends when nothing new is reached.
+    """
+    step = edges.select("src", F.col("dst").alias("node")).distinct()
+    first = tables.staged(start.select("node").distinct().withColumn("level", F.lit(0)), "reached")
+    found = [first]
+    while True:
+        seen = reduce(DataFrame.unionByName, found)
+        reached = found[-1].select(F.col("node").alias("src")).join(step, "src").select("node").distinct()
+        new = reached.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(len(found)))
+        found.append(tables.staged(new, "reached"))
+        if found[-1].isEmpty():
+            return seen.where("level > 0")
+
+
+def call_graph(edges: DataFrame, start: DataFrame, depth: int = 2, direction: str = "both", most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around ``start`` (node): nodes (node, direction, level) within 1 to 3 steps to callees ("out"), callers
+    ("in") or both, at most ``most`` of them, nearest first; and among these, edges (src, dst, n_sites) with their number of calls."""
+    if direction not in ("in", "out", "both"):
+        raise ValueError("in, out or both")
+    depth = max(1, min(depth, 3))
+    turned = {"out": edges.select("src", "dst"), "in": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
+    wanted = [d for d in ("out", "in") if direction in (d, "both")]
+    every = [levels(turned[d], start, depth).where("level > 0").withColumn("direction", F.lit(d)) for d in wanted]
+    every.append(start.select("node").distinct().withColumn("level", F.lit(0)).withColumn("direction", F.lit("start")))
+    nodes = reduce(DataFrame.unionByName, every).orderBy("level", "direction", "node").limit(most)
+    inside = nodes.select("node").distinct()
+    among = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return nodes, among.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+def hierarchy(bases: DataFrame, node, depth: int = 64) -> DataFrame:
+    """(relation, node, level) of a type in bases (child, parent): all its ancestors, nearest first, and what derives from it directly."""
+    start = bases.sparkSession.createDataFrame([(node,)], bases.select(F.col("child").alias("node")).schema)
+    up = closure(bases.select(F.col("child").alias("src"), F.col("parent").alias("dst")), start).where(F.col("level") <= depth).select(F.lit("ancestor").alias("relation"), "node", "level")
+    return up.unionByName(bases.where(F.col("parent") == node).select(F.lit("descendant").alias("relation"), F.col("child").alias("node"), F.lit(1).alias("level")).distinct())
 
 
 def cycles(edges: DataFrame, longest: int = 12, most: int = 25) -> DataFrame:
     """(length, nodes) of simple cycles, each node set once, sorted; paths only go through nodes above their start.
 
-    A join for each step; a path ends when it would be longer than ``longest``.
+    Nodes without a way in or out are dropped first. A join for each step; of paths with one start, one end and the
+    same nodes only one goes on, as they close the same node sets. A path ends when it would be longer than ``longest``.
     """
-    step = edges.where("src <> dst").select("src", "dst").distinct()
-    paths = step.where("dst > src").select(F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
+    step = tables.staged(edges.where("src <> dst").select("src", "dst").distinct(), "step")
+    while True:  # what is on a cycle has edges both ways
+        kept = step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        before, step = step, tables.staged(kept.select("src", "dst"), "step")
+        if step.count() == before.count():
+            break
+        tables.drop(before)
+    paths = step.where("dst > src").select(F.col("src").alias("start"), F.array("src", "dst").alias("nodes"), F.col("dst").alias("end"))
     found = None
     for _ in range(2, longest + 1):
         met = paths.join(step, paths["end"] == step["src"])
-        closed = met.where(F.col("dst") == F.col("start")).select(F.array_sort("path").alias("nodes"))
+        closed = met.where(F.col("dst") == F.col("start")).select("nodes")
         found = closed if found is None else found.unionByName(closed)
-        ahead = met.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
-        paths = ahead.select("start", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("end"))
-    return found.distinct().select(F.size("nodes").alias("length"), "nodes").orderBy("nodes").limit(most)
+        ahead = met.where((F.col("dst") > F.col("start")) & ~F.array_contains("nodes", F.col("dst")))
+        paths = tables.staged(ahead.select("start", F.array_sort(F.array_append("nodes", F.col("dst"))).alias("nodes"), F.col("dst").alias("end")).distinct(), "paths")
+        if paths.isEmpty():
+            break
+    return found.select(F.array_sort("nodes").alias("nodes")).distinct().select(F.size("nodes").alias("length"), "nodes").orderBy("nodes").limit(most)
+
+
+def folded(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """Edges between dotted names cut at ``depth`` parts, without those that lead to themselves; cycles, edge_counts and
+    fan_out of these are what namespaces depend on."""
+    fold = (lambda c: T.fold_namespace(F.col(c), depth)) if depth else F.col
+    return edges.select(fold("src").alias("src"), fold("dst").alias("dst")).where("src <> dst")
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(src, dst, n)."""
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fan_out(edges: DataFrame, most: int = 20) -> DataFrame:
@@ -62,6 +116,17 @@ def unused(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias(node)).distinct(), node, "left_anti")
 
 
+def implementations(bases: DataFrame, node) -> DataFrame:
+    """(node, level) of all types that derive from one, directly or not."""
+    start = bases.sparkSession.createDataFrame([(node,)], bases.select(F.col("parent").alias("node")).schema)
+    return closure(bases.select(F.col("parent").alias("src"), F.col("child").alias("dst")), start)
+
+
+def references(edges: DataFrame, node: Column) -> DataFrame:
+    """The edges that lead to nodes for which a condition over dst holds."""
+    return edges.where(node)
+
+
 def callers(edges: DataFrame, node: str = "dst", site: str = "site") -> DataFrame:
     """(dst, src, n_sites, sites): callers of each node with their call sites in order."""
     return edges.groupBy(node, "src").agg(F.count(F.lit(1)).alias("n_sites"), F.array_sort(F.collect_list(site)).alias("sites"))

@@ -2,72 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import catalog, graph, guard, indexing, learnings, search
+from ..operators import catalog, graph, indexing, learnings, search
 from ..sources import files, tables
-
-AS_OF = "2024-01-31 00:00:00"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL twin."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def both(name: str, sql: str, spark_sql: str | None = None) -> None:
-    """Register one text as a guarded query on both sides, or a Spark wording of it."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables.register(spark, sf_dir)
-        guard.ensure_read(spark_sql or sql)
-        return spark.sql(spark_sql or sql)
-
-    QUERIES[name] = run
-    ORACLE_SQL[name] = sql
-
-
-_TOK = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))"
-
-
-def tok(column: str) -> str:
-    return _TOK.format(f"coalesce({column}, '')")
-
+from ..streaming import streams
+from .registry import AS_OF, KEYS, ORACLE_SQL, QUERIES, TOK, bm25_sql, both, query, redact_sql, tok
 
 # --- full text ---------------------------------------------------------------------------------------------------
 
 
-def bm25_sql(table: str, key: str, fields: dict[str, float], terms: list[str], prefix: bool, most: int) -> str:
-    words = " UNION ALL ".join(f"SELECT {key}, unnest({tok(f)}) AS w, {float(w)}::DOUBLE AS weight FROM {table}" for f, w in fields.items())
-    length = " + ".join(f"len({tok(f)})" for f in fields)
-    asked = " UNION ALL ".join(f"SELECT {i} AS p, '{t}' AS t, {str(prefix and i == len(terms) - 1).lower()} AS pre" for i, t in enumerate(terms))
-    return f"""
-    WITH q AS ({asked}), words AS ({words}), n AS (SELECT {key}, ({length})::DOUBLE AS len FROM {table}),
-    s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM n),
-    tf AS (SELECT {key}, p, sum(weight) AS tf FROM words JOIN q ON (w = t AND NOT pre) OR (pre AND starts_with(w, t)) GROUP BY ALL),
-    df AS (SELECT p, count(*)::DOUBLE AS df FROM tf GROUP BY p)
-    SELECT {key}, round(sum(greatest(ln((s.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
-    FROM tf JOIN df USING (p) JOIN n USING ({key}) CROSS JOIN s GROUP BY {key} ORDER BY score DESC, {key} LIMIT {most}"""
-
-
 def _bm25(table: str, key: str, fields: dict[str, float], text: str, prefix: bool, most: int = 20):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search.bm25(tables.load(spark, sf_dir, table), text, key, fields, prefix)
+    def run(spark, sf_dir) -> DataFrame:
+        found = search.search_index(spark, search.index_of(spark, sf_dir, table, key, fields), text, key, prefix)
         return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(most)
 
     return run, bm25_sql(table, key, fields, T.query_terms(text), prefix, most)
@@ -82,9 +35,43 @@ for _name, _args in {
     QUERIES[_name], ORACLE_SQL[_name] = _bm25(*_args)
 
 
+@query(bm25_sql("documents", "doc_id", {"text": 1.0}, T.query_terms("reading that licence and the license of them"), True, 20))
+def fts_scan(spark, sf_dir):
+    """The same by a scan, for stores that are searched once."""
+    found = search.bm25(tables.load(spark, sf_dir, "documents"), "reading that licence and the license of them", "doc_id", {"text": 1.0})
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""WITH old AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' maintained' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)
+SELECT * FROM ({bm25_sql("new", "doc_id", {"text": 1.0}, T.query_terms("maintained license"), True, 50)})""")
+def fts_maintenance(spark, sf_dir):
+    """An index of one state of the documents brought to another: kept postings are copied, new texts are read."""
+    docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 10 <> 0")
+    new = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" maintained"))).otherwise(F.col("text")))
+    base = f"{tables.work_folder(spark)}/index/maintained-{uuid.uuid4().hex}"
+    search.write_index(old, f"{base}/old", "doc_id", {"text": 1.0})
+    search.update_index(spark, f"{base}/old", f"{base}/new", "doc_id", _changed(old, new), _changed(new, old), {"text": 1.0})
+    found = search.search_index(spark, f"{base}/new", "maintained license", "doc_id")
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+def _changed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` that ``b`` does not have with the same text."""
+    return a.withColumn("h", F.md5("text")).join(b.select("doc_id", F.md5("text").alias("h")), ["doc_id", "h"], "left_anti").select("doc_id", "text")
+
+
+@query()
+def fts_stemmed(spark, sf_dir):
+    """English terms by their stems, without diacritics; DuckDB has no stemmer here."""
+    path = search.index_of(spark, sf_dir, "documents", "doc_id", {"text": 1.0}, stemmed=True)
+    found = search.search_index(spark, path, "licensing readings", "doc_id", prefix_last=False)
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
 @query(rf"""
 WITH d AS (SELECT doc_id, regexp_split_to_array(text, '\s+') AS p FROM documents WHERE regexp_matches(lower(text), 'licen')),
-m AS (SELECT doc_id, p, list_position(list_transform(p, lambda x: len(list_intersect({_TOK.format("x")}, ['licensed', 'license'])) > 0), true) AS i FROM d)
+m AS (SELECT doc_id, p, list_position(list_transform(p, lambda x: len(list_intersect({TOK.format("x")}, ['licensed', 'license'])) > 0), true) AS i FROM d)
 SELECT doc_id, CASE WHEN i > 0 THEN array_to_string(list_slice(p, greatest(i - 5, 1), greatest(i - 5, 1) + 39), ' ') END AS snippet FROM m""".replace("lambda x: lower(x)", "lambda y: lower(y)"))
 def snippet_first_match(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents").where(F.lower("text").contains("licen"))
@@ -100,11 +87,11 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
 @query(f"""
-WITH t AS (SELECT conv_id, turn, list_distinct({tok('left(text, 60)')}) AS t FROM conversations),
+WITH t AS (SELECT conv_id, turn, list_distinct({tok('text')}) AS t FROM conversations),
 k AS (SELECT conv_id, turn, t, list_filter(t, lambda x: NOT list_contains({_STOP}, x)) AS k FROM t)
 SELECT conv_id, turn, array_to_string(list_sort(CASE WHEN len(k) > 0 THEN k ELSE t END), ' ') AS terms FROM k""")
 def stopword_terms(spark, sf_dir):
-    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.terms(F.left("text", F.lit(60)))), " ").alias("terms"))
+    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.terms(F.col("text"))), " ").alias("terms"))
 
 
 # --- names, vectors, fusion --------------------------------------------------------------------------------------
@@ -118,17 +105,6 @@ def symbol_exact_prefix(spark, sf_dir):
     return search.exact_or_prefix(tables.load(spark, sf_dir, "customer"), "Customer#00000001", "c_name").select("c_custkey", "c_name", "grade", "rank")
 
 
-@query("""
-WITH legs AS (SELECT p_partkey, 0 AS leg FROM part WHERE starts_with(lower(p_name), 'red') UNION ALL SELECT p_partkey, 1 FROM part WHERE p_size < 5)
-SELECT p_partkey, min(leg)::INT AS leg FROM legs GROUP BY p_partkey""")
-def symbols_concat_distinct(spark, sf_dir):
-    part = tables.load(spark, sf_dir, "part")
-    a = part.where(F.lower("p_name").startswith("red")).select("p_partkey", F.lit(0).alias("leg"))
-    legs = a.unionByName(part.where("p_size < 5").select("p_partkey", F.lit(1).alias("leg")))
-    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("leg"))
-    return legs.withColumn("place", place).where("place = 1").drop("place")
-
-
 def _first_vector(spark, sf_dir) -> list[float]:
     return tables.load(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
 
@@ -157,58 +133,6 @@ def vector_mismatch_zero(spark, sf_dir):
     return tables.load(spark, sf_dir, "embeddings").select("vec_id", V.cosine(e, F.slice(e, 1, 5)).alias("short"), V.cosine(e, zero).alias("zero"), V.cosine(e, F.lit(None).cast("array<float>")).alias("missing"))
 
 
-def _rankings(spark, sf_dir) -> DataFrame:
-    """Three rankings of users: by clicks, purchases and value; ten each, with legs' weights."""
-    ev = tables.load(spark, sf_dir, "events")
-    out = None
-    for no, (name, order) in enumerate({"exact": F.count_if(F.col("event_type") == "click"), "symbols": F.count_if(F.col("event_type") == "purchase"), "text": F.round(F.sum("value"), 2)}.items()):
-        top = search.ranked(ev.groupBy(F.col("user_id").alias("key")).agg(order.alias("v")), [F.desc("v"), "key"], 30)
-        part = top.select(F.lit(name).alias("ranking"), F.lit(no).alias("ranking_no"), F.lit(search.LEG_WEIGHTS[name]).alias("weight"), "rank", "key")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-_RANK_SQL = """
-WITH u AS (SELECT user_id AS key, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'purchase') AS b, round(sum(value), 2) AS c FROM events GROUP BY 1),
-r AS (SELECT key, 'exact' AS ranking, 0 AS no, 1.2::DOUBLE AS w, row_number() OVER (ORDER BY a DESC, key) AS rank FROM u
-      UNION ALL SELECT key, 'symbols', 1, 1.0, row_number() OVER (ORDER BY b DESC, key) FROM u
-      UNION ALL SELECT key, 'text', 2, 0.9, row_number() OVER (ORDER BY c DESC, key) FROM u),
-f AS (SELECT key, sum({w} / (60 + rank)) AS score, min(no * 1000 + rank) AS seen FROM r WHERE rank <= 30 GROUP BY key)"""
-
-
-@query(_RANK_SQL.format(w="1.0::DOUBLE") + " SELECT key, round(score, 6) AS score FROM f")
-def rrf_fuse(spark, sf_dir):
-    return search.fuse(_rankings(spark, sf_dir).withColumn("weight", F.lit(1.0))).select("key", F.round("score", 6).alias("score"))
-
-
-@query(_RANK_SQL.format(w="w") + " SELECT key, round_even(score, 6) AS score, row_number() OVER (ORDER BY round_even(score, 6) DESC, seen)::INT AS rank FROM f ORDER BY rank LIMIT 20")
-def rrf_weights(spark, sf_dir):
-    return search.hybrid(_rankings(spark, sf_dir), spark.createDataFrame([], "key long, boost double"), 20)
-
-
-_BOOST_SQL = f"""b AS (
-  SELECT user_id AS key, sum(0.012 * len(list_intersect(['click', 'home'], [event_type, 'page']))::DOUBLE / 2
-         * pow(0.5, greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts), 0) / 86400e6 / 30)) AS boost
-  FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000) GROUP BY 1)"""
-
-
-def _feedback(spark, sf_dir) -> DataFrame:
-    ev = tables.load(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", F.lit("page")).alias("tokens"), F.col("user_id").alias("target"), F.col("ts").alias("created_at"))
-
-
-@query(f"WITH {_BOOST_SQL} SELECT key, round(boost, 6) AS boost FROM b")
-def feedback_boost(spark, sf_dir):
-    found = search.feedback_boosts(_feedback(spark, sf_dir), "click home", AS_OF)
-    return found.select("key", F.round("boost", 6).alias("boost"))
-
-
-@query(_RANK_SQL.format(w="w") + f""", {_BOOST_SQL}, s AS (SELECT key, round_even(score + coalesce(boost, 0), 6) AS score, seen FROM f LEFT JOIN b USING (key))
-SELECT key, score, row_number() OVER (ORDER BY score DESC, seen)::INT AS rank FROM s ORDER BY rank LIMIT 15""")
-def hybrid_search(spark, sf_dir):
-    return search.hybrid(_rankings(spark, sf_dir), search.feedback_boosts(_feedback(spark, sf_dir), "click home", AS_OF), 15)
-
-
 # --- scalars -----------------------------------------------------------------------------------------------------
 
 _SPLIT_ROWS = "GetUserToken user_token HTTPClient2 plain parseXMLFile2x ABC a1b2".split()
@@ -224,14 +148,7 @@ def identifier_split(spark, sf_dir):
     return rows.select("token", T.split_identifiers(F.col("token")).alias("words"))
 
 
-def _redact_sql() -> str:
-    out = "text"
-    for shape, put in T.SECRET_SHAPES:
-        out = f"regexp_replace({out}, '{shape.replace(chr(39), chr(39) * 2)}', '{put.replace('$1', chr(92) + '1')}', 'g')"
-    return f"SELECT doc_id, md5({out}) AS digest, {out} <> text AS changed FROM documents"
-
-
-@query(_redact_sql())
+@query(f"SELECT doc_id, md5({redact_sql('text')}) AS digest, {redact_sql('text')} <> text AS changed FROM documents")
 def secret_redaction(spark, sf_dir):
     return tables.load(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest"), (T.redact(F.col("text")) != F.col("text")).alias("changed"))
 
@@ -241,9 +158,9 @@ def repo_ref_normalize(spark, sf_dir):
     return tables.load(spark, sf_dir, "pages").select("page_id", T.normalize_repo(F.col("url")).alias("repo"))
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(lower(left(text, 80)), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM conversations")
+@query(r"SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM conversations")
 def title_normalize(spark, sf_dir):
-    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_title(F.left("text", F.lit(80))).alias("title"))
+    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_title(F.col("text")).alias("title"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 40) || '…' END AS short FROM documents")
@@ -282,24 +199,6 @@ def line_stats(spark, sf_dir):
     return tables.load(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.array_max(F.transform(lines, lambda x: F.length(x))).alias("longest"))
 
 
-_MARKDOWN = "# Guide\n\nIntro.\n\n## Setup\n\n```bash\n# no heading\n```\n\n### Details\n\nMore.\n\n## Usage ##\n\nUse it."
-
-
-@query("""SELECT * FROM (VALUES (1, 'Guide', 'Guide', 1, 1, 4), (1, 'Setup', 'Guide > Setup', 2, 5, 10), (1, 'Details', 'Guide > Setup > Details', 3, 11, 14), (1, 'Usage', 'Guide > Usage', 2, 15, 17))
-AS t(id, title, full_name, level, start_line, end_line)""")
-def markdown_headings(spark, sf_dir):
-    return indexing.headings(spark.createDataFrame([(1, _MARKDOWN)], "id int, text string"), "id")
-
-
-_SOURCES = [("a.py", "python", "class Order:\n    def total(self):\n        return 1\n\ndef main():\n    pass\n"), ("b.ts", "typescript", "export async function fetchOrders(id: string) {\n}\nexport class OrderClient {\n}\nexport const MAX = 3;"), ("c.go", "go", "func (s *S) Run() {\n}\ntype S struct {\n}")]
-
-
-@query("""SELECT * FROM (VALUES ('a.py', 'Order', 'class', 1), ('a.py', 'total', 'function', 2), ('a.py', 'main', 'function', 5), ('b.ts', 'fetchOrders', 'function', 1), ('b.ts', 'OrderClient', 'class', 3),
-('b.ts', 'MAX', 'constant', 5), ('c.go', 'Run', 'function', 1), ('c.go', 'S', 'type', 3)) AS t(path, name, kind, start_line)""")
-def regex_symbols(spark, sf_dir):
-    return indexing.symbols(spark.createDataFrame(_SOURCES, "path string, language string, text string")).drop("signature")
-
-
 @query(r"""SELECT page_id, CASE regexp_extract(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1)), '(\.[^.]*)$', 1) WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' ELSE 'text' END AS language FROM pages""")
 def language_detect(spark, sf_dir):
     return tables.load(spark, sf_dir, "pages").select("page_id", files.language(F.regexp_replace("url", r"[?#].*$", "")).alias("language"))
@@ -339,9 +238,9 @@ def orphans_not_in(spark, sf_dir):
     return indexing.orphans(tables.load(spark, sf_dir, "documents"), tables.load(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.doc_id % 3 = 0)")
+@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = l.doc_id)")
 def dangling_not_exists(spark, sf_dir):
-    return indexing.dangling(tables.load(spark, sf_dir, "labels"), tables.load(spark, sf_dir, "documents").where("doc_id % 3 = 0"), "doc_id").select("doc_id", "quality")
+    return indexing.dangling(tables.load(spark, sf_dir, "labels"), tables.load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id").select("doc_id", "quality")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -430,7 +329,7 @@ def recommend_do_avoid(spark, sf_dir):
 
 @query(_REC + _KEYED.format(where="true") + " SELECT id, conflict FROM k")
 def conflict_flags(spark, sf_dir):
-    return learnings.recommend(_records(spark, sf_dir), AS_OF, None, 1 << 30).select("id", "conflict")
+    return learnings.conflicts(_records(spark, sf_dir)).select("id", "conflict")
 
 
 @query("""WITH r AS (SELECT *, md5(concat_ws(chr(10), lower(event_type), trim(regexp_replace(lower('User ' || (user_id % 20)), '[^\\p{L}\\p{N}]+', ' ', 'g')), '', 'a/b.cs', '')) AS fingerprint, substr(props, 1, 6 + event_id % 5) AS detail FROM events)
@@ -459,9 +358,32 @@ def feedback_summary(spark, sf_dir):
 
 
 @query(_REC + f""", f AS (SELECT * FROM r WHERE last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)
-SELECT 'outcome' AS section, outcome AS name, count(*) AS n FROM f GROUP BY outcome UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'ready', 'all', count(*) FROM f WHERE occurrences >= 3""")
+SELECT 'outcome' AS section, outcome AS name, count(*) AS n FROM f GROUP BY outcome UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'ready', 'all', count(*) FROM f WHERE occurrences >= 3
+UNION ALL (SELECT 'corroborated', id::VARCHAR, (occurrences + useful)::BIGINT FROM f ORDER BY occurrences + useful DESC, id LIMIT 10)
+UNION ALL SELECT 'failed tool', event_type, count(*) FROM events WHERE value <= 20 AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY event_type
+UNION ALL SELECT 'proposal', CASE o_orderstatus WHEN 'P' THEN 'draft' WHEN 'F' THEN 'failed' ELSE 'dispatched' END, count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 2""")
 def summarize_period(spark, sf_dir):
-    return learnings.summarize(_records(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"))
+    since = F.lit(T.since("7d", _at(AS_OF)).isoformat(" ")).cast("timestamp_ntz")
+    fed = tables.load(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), (F.col("value") > 20).alias("worked"), F.col("ts").alias("at"))
+    made = tables.load(spark, sf_dir, "orders").select(_status().alias("status"), F.col("o_orderdate").alias("created_at"))
+    return learnings.summarize(_records(spark, sf_dir), since, fed, made)
+
+
+def _at(text: str):
+    import datetime as dt
+
+    return dt.datetime.fromisoformat(text)
+
+
+def _status():
+    return F.when(F.col("o_orderstatus") == "P", "draft").when(F.col("o_orderstatus") == "F", "failed").otherwise("dispatched")
+
+
+@query(_REC + """, p AS (SELECT CASE o_orderstatus WHEN 'P' THEN 'draft' WHEN 'F' THEN 'failed' ELSE 'dispatched' END AS status FROM orders)
+SELECT a.*, b.* FROM (SELECT count(*) AS total, count(*) FILTER (outcome = 'worked') AS worked, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'partial') AS partial FROM r) a,
+(SELECT count(*) FILTER (status = 'draft') AS proposals_draft, count(*) FILTER (status = 'dispatched') AS proposals_dispatched, 0::BIGINT AS proposals_pr_opened, 0::BIGINT AS proposals_merged, 0::BIGINT AS proposals_rejected, count(*) FILTER (status = 'failed') AS proposals_failed FROM p) b""")
+def learn_stats(spark, sf_dir):
+    return learnings.stats(_records(spark, sf_dir), tables.load(spark, sf_dir, "orders").select(_status().alias("status")))
 
 
 @query(_REC + """, c AS (SELECT title, category, count(*) AS c FROM r GROUP BY ALL), t AS (SELECT title, file, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, file) AS p FROM r GROUP BY title, file)
@@ -484,33 +406,91 @@ def dispatch_eligible(spark, sf_dir):
 # --- metadata and the SQL surface --------------------------------------------------------------------------------
 
 
-@query()
+_TYPES = "CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' WHEN data_type LIKE 'FLOAT[%' THEN 'array<float>' ELSE lower(data_type) END"
+_NAMED = "(" + ", ".join(f"'{t}'" for t in KEYS) + ")"
+
+
+def _database(sf_dir: str) -> catalog.Database:
+    return catalog.folder_database("test", sf_dir)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", 'table' AS type, count(*) AS n_rows FROM {t}" for t in KEYS))
 def list_tables(spark, sf_dir):
-    return catalog.list_tables(spark, sf_dir)
+    return catalog.list_tables(spark, _database(sf_dir)).drop("schema")
 
 
-@query()
+@query('SELECT \'orders\' AS "table", \'table\' AS type, count(*) AS n_rows FROM orders')
+def list_tables_search(spark, sf_dir):
+    return catalog.list_tables(spark, _database(sf_dir), "ORDER").drop("schema")
+
+
+def _described_sql(name: str) -> str:
+    primary, foreign = KEYS[name]
+    refs = " ".join(f"WHEN '{c}' THEN '{t}.{k}'" for c, (t, k) in foreign.items())
+    listed = ", ".join(f"'{c}'" for c in primary)
+    return f"""SELECT table_name AS "table", ordinal_position::INT AS ordinal, column_name AS "column", {_TYPES} AS type, true AS nullable, column_name IN ({listed}) AS primary_key, {f"CASE column_name {refs} END" if refs else "NULL::VARCHAR"} AS "references"
+    FROM information_schema.columns WHERE table_name = '{name}'"""
+
+
+@query(_described_sql("lineitem"))
 def describe_table(spark, sf_dir):
-    return catalog.describe(spark, sf_dir, "lineitem")
+    return catalog.describe(spark, _database(sf_dir), "lineitem", KEYS)
 
 
-@query()
+@query(" UNION ALL ".join(f"""SELECT "table", 'table' AS type, string_agg("column" || ' ' || type || CASE WHEN primary_key THEN ' PK' ELSE '' END, ', ' ORDER BY ordinal) AS columns, coalesce(string_agg("column" || ' -> ' || "references", ', ' ORDER BY ordinal), '') AS "references", NULL::VARCHAR AS error FROM ({_described_sql(t)}) GROUP BY 1""" for t in KEYS))
 def schema_overview(spark, sf_dir):
-    return catalog.overview(spark, sf_dir).withColumn("columns", F.array_join("columns", ", "))
+    return catalog.overview(spark, _database(sf_dir), KEYS).withColumn("columns", F.array_join("columns", ", ")).withColumn("references", F.array_join("references", ", "))
+
+
+@query("""SELECT 'bad' AS alias, 'parquet' AS engine, false AS reachable UNION ALL SELECT 'main', 'parquet', true""")
+def list_databases(spark, sf_dir):
+    found = catalog.Registry()
+    found.add_spec(f"main=parquet:{sf_dir}")
+    found.add_spec(f"bad=parquet:{sf_dir}/no-such-folder")
+    return found.listing(spark).select("alias", "engine", "reachable")
+
+
+@query(r"SELECT event_id, regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '(\.\d*?)0+$', '\1'), '\.$', '') AS ts, base64(encode(event_type)) AS kind, value, value > 50 AS high FROM events".replace("\\", chr(92)))
+def value_rendering(spark, sf_dir):
+    rows = tables.load(spark, sf_dir, "events").select("event_id", "ts", F.encode("event_type", "utf-8").alias("kind"), "value", (F.col("value") > 50).alias("high"))
+    return catalog.rendered(rows)
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(repeat(text, 4))) > 65536 THEN '<' || octet_length(encode(repeat(text, 4))) || ' bytes>' ELSE md5(base64(encode(repeat(text, 4)))) END AS shown FROM documents")
+def binary_rendering(spark, sf_dir):
+    rows = tables.load(spark, sf_dir, "documents").select("doc_id", F.encode(F.repeat("text", 4), "utf-8").alias("shown"))
+    return catalog.rendered(rows).withColumn("shown", F.when(F.col("shown").startswith("<"), F.col("shown")).otherwise(F.md5("shown")))
+
+
+@query(r"SELECT c_custkey, 'Host=db' || c_custkey || ';Password=***;User=' || c_name AS connection FROM customer")
+def connection_redaction(spark, sf_dir):
+    rows = tables.load(spark, sf_dir, "customer")
+    return catalog.redacted(rows.select("c_custkey", F.concat(F.lit("Host=db"), F.col("c_custkey").cast("string"), F.lit(";Password=p w"), F.col("c_custkey").cast("string"), F.lit(";User="), F.col("c_name")).alias("connection")), "connection")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def write_query_count(spark, sf_dir):
+    """Rows that a guarded INSERT says it wrote to a table of the warehouse, which is dropped again."""
+    tables.register(spark, sf_dir)
+    name = f"written_{uuid.uuid4().hex}"
+    catalog.write_query(spark, f"CREATE TABLE {name} (k BIGINT) USING parquet", read_only=False)
+    n = catalog.write_query(spark, f"INSERT INTO {name} SELECT o_orderkey FROM orders WHERE o_orderstatus = @status", {"status": "F"}, read_only=False)
+    catalog.write_query(spark, f"DROP TABLE {name}", read_only=False)
+    return spark.createDataFrame([(n,)], "n long")
 
 
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 9000 ORDER BY c_custkey LIMIT 200")
+@query("""SELECT c_custkey, c_name, c_acctbal, (SELECT count(*) FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 5000) > 20 AS truncated FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 5000 ORDER BY c_custkey LIMIT 20""")
 def read_query_params(spark, sf_dir):
     tables.register(spark, sf_dir)
-    return catalog.read_query(spark, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = @seg AND c_acctbal > @least ORDER BY c_custkey;", {"seg": "HOUSEHOLD", "least": 9000})
+    return catalog.read_query(spark, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = @seg AND c_acctbal > @least ORDER BY c_custkey;", {"seg": "HOUSEHOLD", "least": 5000}, 20)
 
 
-@query("SELECT n_nationkey, n_name, true AS truncated FROM nation ORDER BY n_nationkey LIMIT 10")
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM customer) > 200 AS truncated FROM customer ORDER BY c_custkey LIMIT 200")
 def row_cap_truncated(spark, sf_dir):
-    return catalog.capped(tables.load(spark, sf_dir, "nation").orderBy("n_nationkey"), 10).select("n_nationkey", "n_name", "truncated")
+    return files.capped(tables.load(spark, sf_dir, "customer").orderBy("c_custkey"), 200).select("c_custkey", "c_name", "truncated")
 
 
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
+@query("SELECT c_custkey, c_name, count(*) OVER () AS total, CASE WHEN count(*) OVER () > 150 THEN to_base64(encode('o:150')) END AS next_token FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
 def page_offset(spark, sf_dir):
     return catalog.page(tables.load(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], catalog.page_token(100))
 
@@ -530,12 +510,6 @@ def export_json(spark, sf_dir):
 # --- listings and summaries --------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place FROM conversations")
-def outline_ordered(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", place.alias("place"))
-
-
 @query("SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
 def first_per_group(spark, sf_dir):
     return tables.load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_totalprice", "o_orderkey").alias("o_totalprice"))
@@ -559,12 +533,6 @@ def severity_threshold(spark, sf_dir):
     return tables.load(spark, sf_dir, "events").where(F.element_at(grades, F.col("event_type")) >= 3).select("event_id", "event_type")
 
 
-@query("SELECT source, count(*) AS n, round(avg(n_chars), 2) AS mean, max(n_chars) AS most, count(*) FILTER (n_chars > 1000) AS over_1000, count(*) FILTER (n_chars > 2000) AS over_2000 FROM documents GROUP BY source")
-def metric_summary(spark, sf_dir):
-    c = F.col("n_chars")
-    return tables.load(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 2).alias("mean"), F.max(c).alias("most"), F.count_if(c > 1000).alias("over_1000"), F.count_if(c > 2000).alias("over_2000"))
-
-
 # --- graphs ------------------------------------------------------------------------------------------------------
 
 
@@ -586,20 +554,71 @@ def graph_bfs_depth3(spark, sf_dir):
     return graph.levels(_edges(spark, sf_dir), spark.createDataFrame([("c5",)], "node string"), 3)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, w(node) AS (SELECT 'c7' UNION SELECT e.dst FROM w JOIN e ON e.src = w.node) SELECT node FROM w WHERE node <> 'c7'")
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, level) AS (SELECT 'c7', 0 UNION SELECT b.dst, level + 1 FROM w JOIN b ON b.src = w.node WHERE level < 4)
+SELECT node, min(level)::INT AS level FROM w WHERE node <> 'c7' GROUP BY node""")
 def graph_closure(spark, sf_dir):
-    return graph.closure(spark, _edges(spark, sf_dir), ["c7"], 8)
+    """All that is linked to a customer, over edges both ways: many paths and cycles lead to each node."""
+    edges = _edges(spark, sf_dir)
+    both_ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.closure(both_ways, spark.createDataFrame([("c7",)], "node string"))
+
 
+def _sales(spark, sf_dir) -> DataFrame:
+    """An edge for each line of an order, from its customer to its supplier, named region.nation.key."""
+    li, o, c, s, n = (tables.load(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
+    named = lambda p, key, nation: n.select(F.col("n_nationkey").alias(nation), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".n"), F.col("n_nationkey").cast("string"), F.lit(f".{p}")).alias(f"{p}_place"))
+    buys = c.join(named("c", "c_custkey", "c_nationkey"), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), F.concat("c_place", F.col("c_custkey").cast("string")).alias("src"))
+    sells = s.join(named("s", "s_suppkey", "s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), F.concat("s_place", F.col("s_suppkey").cast("string")).alias("dst"))
+    return li.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").join(o.select("o_orderkey", "o_custkey"), "o_orderkey").join(buys, "o_custkey").join(sells, "l_suppkey").select("src", "dst")
 
-_RING = "SELECT DISTINCT (l_suppkey % 9)::BIGINT AS src, (l_partkey % 9)::BIGINT AS dst FROM lineitem WHERE l_orderkey < 12"
 
+_SALES = """sales AS (SELECT 'r' || a.n_regionkey || '.n' || a.n_nationkey || '.c' || c_custkey AS src, 'r' || b.n_regionkey || '.n' || b.n_nationkey || '.s' || s_suppkey AS dst
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation b ON s_nationkey = b.n_nationkey)"""
 
-@query(f"""WITH RECURSIVE e AS ({_RING}), p(start, path, last) AS (SELECT src, [src, dst], dst FROM e WHERE dst > src
-UNION ALL SELECT start, list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.last WHERE len(path) < 5 AND e.dst > start AND NOT list_contains(path, e.dst))
+
+@query(f"""WITH RECURSIVE {_SALES}, e AS (SELECT DISTINCT split_part(src, '.', 1) AS src, split_part(dst, '.', 1) AS dst FROM sales), p(start, path, last) AS (SELECT src, [src, dst], dst FROM e WHERE dst > src
+UNION ALL SELECT start, list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.last WHERE len(path) < 12 AND e.dst > start AND NOT list_contains(path, e.dst))
 SELECT length, array_to_string(nodes, ',') AS nodes FROM (SELECT DISTINCT len(path)::INT AS length, list_sort(path) AS nodes FROM p JOIN e ON e.src = p.last AND e.dst = p.start ORDER BY nodes LIMIT 25)""")
 def graph_cycles(spark, sf_dir):
-    lines = tables.load(spark, sf_dir, "lineitem").where("l_orderkey < 12")
-    return graph.cycles(lines.select((F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst")).distinct(), 5, 25).withColumn("nodes", F.array_join("nodes", ","))
+    """Cycles of regions that sell to one another: names are cut at their first part."""
+    return graph.cycles(graph.folded(_sales(spark, sf_dir), 1)).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(f"WITH {_SALES}, f AS (SELECT split_part(src, '.', 1) || '.' || split_part(src, '.', 2) AS src, split_part(dst, '.', 1) || '.' || split_part(dst, '.', 2) AS dst FROM sales) SELECT src, dst, count(*) AS n FROM f WHERE src <> dst GROUP BY ALL")
+def namespace_edges(spark, sf_dir):
+    return graph.edge_counts(graph.folded(_sales(spark, sf_dir), 2))
+
+
+@query(f"WITH {_SALES}, f AS (SELECT split_part(src, '.', 1) || '.' || split_part(src, '.', 2) AS src, split_part(dst, '.', 1) || '.' || split_part(dst, '.', 2) AS dst FROM sales) SELECT src, count(DISTINCT dst) AS n_targets, count(*) AS n_edges FROM f WHERE src <> dst GROUP BY src ORDER BY n_targets DESC, src LIMIT 20")
+def namespace_fan_out(spark, sf_dir):
+    return graph.fan_out(graph.folded(_sales(spark, sf_dir), 2))
+
+
+_AROUND = f"""WITH RECURSIVE {_EDGES}, o(node, level) AS (SELECT 'n3', 0 UNION SELECT e.dst, level + 1 FROM o JOIN e ON e.src = o.node WHERE level < 2), i(node, level) AS (SELECT 'n3', 0 UNION SELECT e.src, level + 1 FROM i JOIN e ON e.dst = i.node WHERE level < 2),
+nodes AS (SELECT node, 'out' AS direction, min(level)::INT AS level FROM o GROUP BY node HAVING min(level) > 0 UNION ALL SELECT node, 'in', min(level)::INT FROM i GROUP BY node HAVING min(level) > 0 UNION ALL SELECT 'n3', 'start', 0),
+few AS (SELECT * FROM nodes ORDER BY level, direction, node LIMIT 500)"""
+
+
+@query(_AROUND + " SELECT node, direction, level FROM few")
+def call_graph_nodes(spark, sf_dir):
+    return graph.call_graph(_edges(spark, sf_dir), spark.createDataFrame([("n3",)], "node string"), 2)[0].select("node", "direction", "level")
+
+
+@query(_AROUND + " SELECT src, dst, count(*) AS n_sites FROM e WHERE src IN (SELECT node FROM few) AND dst IN (SELECT node FROM few) GROUP BY ALL")
+def call_graph_edges(spark, sf_dir):
+    return graph.call_graph(_edges(spark, sf_dir), spark.createDataFrame([("n3",)], "node string"), 2)[1]
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, up(node, level) AS (SELECT dst, 1 FROM e WHERE src = 'n7' UNION SELECT e.dst, level + 1 FROM up JOIN e ON e.src = up.node)
+SELECT 'ancestor' AS relation, node, min(level)::INT AS level FROM up GROUP BY node UNION ALL SELECT DISTINCT 'descendant', src, 1 FROM e WHERE dst = 'n7'""")
+def type_hierarchy(spark, sf_dir):
+    """What a nation is part of or supplied by, and its customers, as a type's ancestors and what derives from it."""
+    return graph.hierarchy(_edges(spark, sf_dir).select(F.col("src").alias("child"), F.col("dst").alias("parent")), "n7")
+
+
+@query("SELECT DISTINCT 'c' || c_custkey AS node, 2 AS level FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation WHERE n_regionkey = 1")
+def type_implementations(spark, sf_dir):
+    return graph.implementations(_edges(spark, sf_dir).select(F.col("src").alias("child"), F.col("dst").alias("parent")), "r1")
 
 
 @query(f"WITH {_EDGES} SELECT src, count(DISTINCT dst) AS n_targets, count(*) AS n_edges FROM e WHERE src <> dst GROUP BY src ORDER BY n_targets DESC, src LIMIT 20")
@@ -613,9 +632,9 @@ def unused_nodes(spark, sf_dir):
     return graph.unused(tables.load(spark, sf_dir, "customer").select("c_custkey"), edges, "c_custkey")
 
 
-@query("SELECT l_partkey AS dst, l_suppkey AS src, count(*) AS n_sites, array_to_string(list_sort(list(l_orderkey)), ',') AS sites FROM lineitem WHERE l_partkey < 50 GROUP BY ALL")
+@query("SELECT l_partkey AS dst, l_suppkey AS src, count(*) AS n_sites, array_to_string(list_sort(list(l_orderkey)), ',') AS sites FROM lineitem GROUP BY ALL")
 def graph_callers(spark, sf_dir):
-    return graph.callers(tables.load(spark, sf_dir, "lineitem").where("l_partkey < 50").select(F.col("l_partkey").alias("dst"), F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("site"))).withColumn("sites", F.array_join("sites", ","))
+    return graph.callers(tables.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dst"), F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("site"))).withColumn("sites", F.array_join("sites", ","))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -623,12 +642,6 @@ def manifest_left_anti(spark, sf_dir):
     return tables.load(spark, sf_dir, "part").join(tables.load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("SELECT s_nationkey, split_part(s_name, '#', 1) AS folded, count(*) AS n FROM supplier GROUP BY ALL")
-def namespace_fold(spark, sf_dir):
-    rows = tables.load(spark, sf_dir, "supplier").select("s_nationkey", T.fold_namespace(F.replace("s_name", F.lit("#"), F.lit(".")), 1).alias("folded"))
-    return rows.groupBy("s_nationkey", "folded").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- files -------------------------------------------------------------------------------------------------------
 
 
@@ -644,35 +657,31 @@ def glob_search(spark, sf_dir):
     return files.search_files(_paths(spark, sf_dir), "en", ("**/*.html",))
 
 
-_RULES = ["src/App/bin/Debug/App.dll", "node_modules/x/index.js", ".env", "config/.env.production", "certs/server.pem", "assets/logo.png", "package-lock.json", "generated/Model.cs", "src/generated/Model.cs", "src/Foo.g.cs", "src/keep.g.cs", "docs/private.md", "other/docs/private.md", "src/App/Program.cs", "README.md"]
+#: Paths of a page by its number, whether rules leave them out; the last has what the user's rules say.
+_KINDS = (("src/p{}.py", False), ("node_modules/p{}/index.js", True), ("conf/.env.p{}", True), ("certs/s{}.pem", True), ("img/{}.png", True), ("generated/M{}.cs", True), ("src/F{}.g.cs", True), ("src/keep{}.g.cs", False), ("docs/private{}.md", True), ("other/docs/private{}.md", False))
 
 
-@query("SELECT path, path NOT IN ('src/keep.g.cs', 'other/docs/private.md', 'src/App/Program.cs', 'README.md') AS ignored FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in _RULES) + "]) AS path)")
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {i} THEN {str(out).lower()}" for i, (_, out) in enumerate(_KINDS)) + " END AS ignored FROM pages")
 def ignore_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in _RULES], "path string")
-    return rows.select("path", files.ignored(F.col("path"), ("# comment", "generated/", "*.g.cs", "!keep.g.cs", "/docs/private.md")).alias("ignored"))
+    path = F.element_at(F.array(*[F.lit(p) for p, _ in _KINDS]), (F.col("page_id") % 10 + 1).cast("int"))
+    rows = tables.load(spark, sf_dir, "pages").select("page_id", F.replace(path, F.lit("{}"), F.col("page_id").cast("string")).alias("path"))
+    return rows.select("page_id", files.ignored(F.col("path"), ("# comment", "generated/", "*.g.cs", "!keep*.g.cs", "/docs/private*.md")).alias("ignored"))
 
 
 @query(f"""WITH p AS (SELECT string_split(path, '/') AS s FROM {_PATHS}), l AS (SELECT s, unnest(range(1, len(s) + 1)) AS level FROM p)
-SELECT array_to_string(list_slice(s, 1, level), '/') AS entry, level::INT AS level, CASE WHEN level = len(s) THEN 'file' ELSE 'dir' END AS kind, count(*) AS n_files FROM l WHERE level <= 2 GROUP BY ALL ORDER BY entry, kind LIMIT 5000""")
+SELECT array_to_string(list_slice(s, 1, level), '/') AS entry, level::INT AS level, CASE WHEN level = len(s) THEN 'file' ELSE 'dir' END AS kind, count(*) AS n_files FROM l WHERE level <= 2 GROUP BY ALL ORDER BY entry, kind LIMIT 5000""".replace("count(*) AS n_files", "count(*) AS n_files, count(*) OVER () > 5000 AS truncated"))
 def tree_levels(spark, sf_dir):
     return files.tree(_paths(spark, sf_dir), "path", 2)
 
 
-_LOG = "src/A.cs(3,5): error CS1002: ; expected [/x/A.csproj]\nsrc/A.cs(3,5): error CS1002: ; expected [/x/A.csproj]\nnoise\nsrc/B.cs(10): warning CS0168: never used"
-
-
-@query("SELECT * FROM (VALUES ('src/A.cs', 3, 'error', 'CS1002', '; expected'), ('src/B.cs', 10, 'warning', 'CS0168', 'never used')) AS t(file, line, severity, code, message)")
+@query("""SELECT DISTINCT 'src/P' || l_partkey || '.cs' AS file, l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN 'error' ELSE 'warning' END AS severity, 'CS' || l_suppkey AS code, 'status ' || l_linestatus AS message FROM lineitem WHERE l_returnflag <> 'N'""")
 def parse_log_lines(spark, sf_dir):
-    return files.build_lines(spark.createDataFrame([(_LOG,)], "text string"))
-
-
-_NOTES = "# Log\n\n## 2026-01-05 — /Review\n\n- Provider: Acme\n- Result: pass\n- Next tweak: keep it\n\n## 2026-01-06 — /plan\n\n- Provider: other\n- Result: FAIL\n- Next tweak: None\n"
-
-
-@query("SELECT * FROM (VALUES (1, 0, '2026-01-05', 'review', 'pass', 'acme', 'keep it'), (1, 1, '2026-01-06', 'plan', 'fail', 'other', 'None')) AS t(id, entry, date, kind, result, provider, tweak)")
-def markdown_log(spark, sf_dir):
-    return learnings.parse_log(spark.createDataFrame([(1, _NOTES)], "id int, text string"), "id")
+    """Compiler output made of order lines, a text for each order, with lines that are none and lines that repeat."""
+    li = tables.load(spark, sf_dir, "lineitem")
+    at = F.concat(F.lit("src/P"), F.col("l_partkey").cast("string"), F.lit(".cs("), F.col("l_linenumber").cast("string"))
+    line = F.concat(at, F.lit(",5): "), F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "N", "note").otherwise("warning"), F.lit(" CS"), F.col("l_suppkey").cast("string"), F.lit(": status "), F.col("l_linestatus"), F.lit(" [/x/P.csproj]"))
+    texts = li.withColumn("line", line).groupBy("l_orderkey").agg(F.array_join(F.collect_list("line"), "\nBuild continues.\n").alias("text"))
+    return files.build_lines(texts.unionByName(texts))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) AS head, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 1, 1), 1000000), chr(10)) AS tail FROM documents")
@@ -684,7 +693,13 @@ def text_head_tail(spark, sf_dir):
 
 both("sql_inner_join", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 400000")
 both("sql_left_join", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 GROUP BY c.c_custkey")
-both("sql_right_full_join", "SELECT coalesce(a.doc_id, b.vec_id) AS id, a.quality, b.label FROM labels a FULL JOIN embeddings b ON a.doc_id = b.vec_id")
+both("sql_full_join", "SELECT coalesce(a.doc_id, b.vec_id) AS id, a.quality, b.label FROM labels a FULL JOIN embeddings b ON a.doc_id = b.vec_id")
+both("sql_right_join", "SELECT d.doc_id, d.lang, l.quality FROM labels l RIGHT JOIN documents d ON d.doc_id = l.doc_id")
+both("sql_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+both("sql_composite_join", "SELECT a.conv_id, a.turn, b.role AS answered_by, length(b.text) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn JOIN documents d ON d.doc_id = a.conv_id WHERE a.role = 'user'")
+both("sql_range_join", "SELECT b.lo, count(*) AS n, round(sum(c.c_acctbal), 2) AS total FROM customer c JOIN (SELECT r_regionkey * 2200 - 1000 AS lo, r_regionkey * 2200 + 1200 AS hi FROM region) b ON c.c_acctbal >= b.lo AND c.c_acctbal < b.hi GROUP BY b.lo")
+both("sql_interval_join", "SELECT a.event_id AS bought, count(*) AS views FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 2 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'view' GROUP BY a.event_id", "SELECT a.event_id AS bought, count(*) AS views FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 2 DAYS WHERE a.event_type = 'purchase' AND b.event_type = 'view' GROUP BY a.event_id")
+both("sql_exists_correlated", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS large FROM customer")
 both("sql_semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 both("sql_anti_join", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.08)")
 both("sql_theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -692,18 +707,19 @@ both("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, rou
 both("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 both("sql_rollup_having", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_type) HAVING count(*) > 3")
 both("sql_distinct_aggregates", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag")
-both("sql_ranks", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER (ORDER BY o_orderkey) AS q, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders WHERE o_custkey < 300 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+both("sql_ranks", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
 both("sql_frames", "SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events")
 both("sql_set_operations", "(SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 9) UNION ALL (SELECT n_nationkey FROM nation INTERSECT SELECT s_nationkey FROM supplier)")
 both("sql_union_all_distinct", "SELECT lang AS v FROM documents UNION SELECT event_type FROM events UNION SELECT role FROM conversations")
-both("sql_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
-both("sql_lateral_unnest", "SELECT o_orderkey, x AS i FROM orders, unnest([1, 2, 3]) AS t(x) WHERE o_orderkey < 100", "SELECT o_orderkey, x AS i FROM orders LATERAL VIEW explode(array(1, 2, 3)) t AS x WHERE o_orderkey < 100")
+both("sql_recursive", "WITH RECURSIVE y(y, last) AS (SELECT year(min(o_orderdate))::INT, year(max(o_orderdate))::INT FROM orders UNION ALL SELECT y + 1, last FROM y WHERE y < last) SELECT y.y, count(o_orderkey) AS n FROM y LEFT JOIN orders ON year(o_orderdate) = y.y GROUP BY y.y", "WITH RECURSIVE y(y, last) AS (SELECT year(min(o_orderdate)), year(max(o_orderdate)) FROM orders UNION ALL SELECT y + 1, last FROM y WHERE y < last) SELECT y.y, count(o_orderkey) AS n FROM y LEFT JOIN orders ON year(o_orderdate) = y.y GROUP BY y.y")
+both("sql_lateral_unnest", "SELECT o_orderkey, unnest(a) AS x, (generate_subscripts(a, 1) - 1)::INT AS pos FROM (SELECT o_orderkey, string_split(o_orderpriority, '-') AS a FROM orders)", "SELECT o_orderkey, x, pos FROM orders LATERAL VIEW posexplode(split(o_orderpriority, '-')) t AS pos, x")
 both("sql_json", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type")
 both("sql_pivot", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey", "SELECT o_custkey, coalesce(f, 0) AS f, coalesce(o, 0) AS o, coalesce(p, 0) AS p FROM (SELECT o_custkey, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))")
 both("sql_subqueries", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.6 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = l.l_partkey)")
 both("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 4) AS d, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 4) AS d, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '2000-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
 both("sql_dates", "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, datediff('day', TIMESTAMP '1995-01-01', o_orderdate)::INT AS d FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, datediff(o_orderdate, DATE '1995-01-01') AS d FROM orders")
-both("sql_modes_and_quantiles", "SELECT user_id, mode() WITHIN GROUP (ORDER BY event_type) AS m0 FROM (SELECT 1 AS user_id, 'a' AS event_type UNION ALL SELECT 1, 'a' UNION ALL SELECT 1, 'b') GROUP BY user_id", "SELECT user_id, mode() WITHIN GROUP (ORDER BY event_type) AS m0 FROM (SELECT 1 AS user_id, 'a' AS event_type UNION ALL SELECT 1, 'a' UNION ALL SELECT 1, 'b') GROUP BY user_id")
+both("sql_modes_and_quantiles", "SELECT l_linestatus, mode(l_returnflag) AS m, round(quantile_cont(l_quantity, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90, round(stddev_samp(l_discount), 6) AS sd FROM lineitem GROUP BY l_linestatus", "SELECT l_linestatus, mode(l_returnflag) AS m, round(percentile(l_quantity, 0.5), 4) AS q50, round(percentile(l_extendedprice, 0.9), 4) AS q90, round(stddev_samp(l_discount), 6) AS sd FROM lineitem GROUP BY l_linestatus")
+both("sql_approximate", "SELECT l_returnflag, abs(approx_count_distinct(l_orderkey) - count(DISTINCT l_orderkey)) < 0.25 * count(DISTINCT l_orderkey) AS near FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, abs(approx_count_distinct(l_orderkey) - count(DISTINCT l_orderkey)) < 0.25 * count(DISTINCT l_orderkey) AS near FROM lineitem GROUP BY l_returnflag")
 
 
 @query("SELECT e.event_id, arg_max(p.event_id, p.ts) AS before FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'view' AND p.ts <= e.ts WHERE e.event_type = 'purchase' GROUP BY e.event_id")
@@ -714,36 +730,72 @@ def sql_asof(spark, sf_dir):
     return ev.select("event_id", "event_type", last.alias("before")).where("event_type = 'purchase' and before is not null").select("event_id", "before")
 
 
-# --- streams: their batch forms; tests replay them as streams -----------------------------------------------------
+# --- streams: batch forms, and replays of events as files, one late and one twice -----------------------------------
 
-
-@query("""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+_SESSIONS = """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s)
-SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 2 HOUR AS finish, count(*) AS n FROM g GROUP BY user_id, g""")
-def stream_debounce(spark, sf_dir):
-    from ..streaming import streams
+SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 2 HOUR AS finish, count(*) AS n FROM g GROUP BY user_id, g"""
+_ROLLING = """SELECT b AS begin, b + INTERVAL 24 HOUR AS finish, count(*) AS n FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR, time_bucket(INTERVAL 6 HOUR, ts), INTERVAL 6 HOUR)) AS b FROM events) GROUP BY b"""
+#: How late rows of the replay may come, and who sends the event that ends it.
+_LATE, _NOBODY = "90 days", -1
 
+
+@query(_SESSIONS)
+def debounce_batch(spark, sf_dir):
     return streams.debounced(tables.load(spark, sf_dir, "events"), "user_id", "ts", "2 hours")
 
 
-@query("""SELECT b AS begin, b + INTERVAL 24 HOUR AS finish, count(*) AS n FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR, time_bucket(INTERVAL 6 HOUR, ts), INTERVAL 6 HOUR)) AS b FROM events) GROUP BY b""")
-def stream_rolling_cap(spark, sf_dir):
-    from ..streaming import streams
-
+@query(_ROLLING)
+def rolling_cap_batch(spark, sf_dir):
     return streams.rolling(tables.load(spark, sf_dir, "events"), "ts", "24 hours", "6 hours")
 
 
+def _replay(spark, sf_dir) -> tuple[DataFrame, str]:
+    """(a stream of all events in four files that come out of order, one of them twice, and an event that lets all windows end, a folder)."""
+    ev = tables.load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    part = F.pmod(F.dayofyear("ts") * 4 / 31, F.lit(4)).cast("int")
+    end = ev.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit(_NOBODY).cast("long").alias("event_id"), "ts", F.lit(_NOBODY).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    folder, schema = streams.replayed(ev, 4, part, end)
+    return streams.watch(spark, folder, schema, 1), folder
+
+
+def _ntz(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in rows.dtypes])
+
+
+@query(_SESSIONS)
+def stream_debounce(spark, sf_dir):
+    events, folder = _replay(spark, sf_dir)
+    once = streams.deduplicated(events, ["event_id"], "ts", _LATE)
+    found = streams.run_now(streams.debounced(once, "user_id", "ts", "2 hours", None), f"{folder}-out", f"{folder}-at")
+    return _ntz(found.where(F.col("user_id") != _NOBODY))
+
+
+@query(_ROLLING)
+def stream_rolling_cap(spark, sf_dir):
+    events, folder = _replay(spark, sf_dir)
+    once = streams.deduplicated(events, ["event_id"], "ts", _LATE)
+    found = streams.run_now(streams.rolling(once, "ts", "24 hours", "6 hours", None), f"{folder}-out", f"{folder}-at")
+    return _ntz(found)
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    from ..streaming import streams
-
-    return streams.deduplicated(tables.load(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+    events, folder = _replay(spark, sf_dir)
+    found = streams.run_now(streams.deduplicated(events, ["user_id", "event_type"], "ts", _LATE).select("user_id", "event_type"), f"{folder}-out", f"{folder}-at")
+    return found.where(F.col("user_id") != _NOBODY)
 
 
-@query("SELECT arg_max(event_id, ts) AS event_id, user_id, max(ts) AS ts FROM events GROUP BY user_id")
+@query("SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark, sf_dir):
-    ev = tables.load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    base = ev.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"), F.max("ts").alias("ts")).select("event_id", "user_id", "ts")
-    both_ = base.unionByName(ev.where("event_id % 2 = 1"))
-    newest = both_.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"), F.max("ts").alias("ts")).select("event_id", "user_id", "ts")
-    return indexing.upsert(base, newest, ["user_id"])
+    events, folder = _replay(spark, sf_dir)
+    streams.upsert_stream(events.select("event_id", "user_id", "ts"), f"{folder}-table", ["user_id"], ["ts", "event_id"], f"{folder}-at")
+    return _ntz(streams.latest(spark, f"{folder}-table").where(F.col("user_id") != _NOBODY).select("event_id", "user_id", "ts"))
+
+
+@query(f"SELECT user_id, round(sum(value * pow(0.5, greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts), 0) / 86400e6 / 30)), 6) AS total FROM events GROUP BY user_id")
+def decayed_sum(spark, sf_dir):
+    return streams.decayed(tables.load(spark, sf_dir, "events"), "user_id", "ts", "value", AS_OF, 30.0).withColumn("total", F.round("total", 6))
+
+
+from . import code_queries, knowledge  # noqa: E402, F401  they register theirs

@@ -1,28 +1,29 @@
-"""Tables in Parquet folders: loading, registering as views, declared keys."""
+"""Tables in Parquet folders: discovering, loading, registering as views; a folder for what the library itself writes."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-#: Keys that Parquet cannot hold: table to (primary key, {column: (table, column)}).
-KEYS: dict[str, tuple[tuple[str, ...], dict[str, tuple[str, str]]]] = {
-    "region": (("r_regionkey",), {}),
-    "nation": (("n_nationkey",), {"n_regionkey": ("region", "r_regionkey")}),
-    "customer": (("c_custkey",), {"c_nationkey": ("nation", "n_nationkey")}),
-    "supplier": (("s_suppkey",), {"s_nationkey": ("nation", "n_nationkey")}),
-    "part": (("p_partkey",), {}),
-    "orders": (("o_orderkey",), {"o_custkey": ("customer", "c_custkey")}),
-    "lineitem": (("l_orderkey", "l_linenumber"), {"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")}),
-    "events": (("event_id",), {}),
-    "documents": (("doc_id",), {}),
-    "embeddings": (("vec_id",), {}),
-    "pages": (("page_id",), {}),
-    "benchmark": (("item_id",), {}),
-    "labels": (("doc_id",), {"doc_id": ("documents", "doc_id")}),
-    "conversations": (("conv_id", "turn"), {}),
-}
+#: A table's keys, which Parquet cannot hold: its primary key, and for each referring column (table, column).
+Keys = dict[str, tuple[tuple[str, ...], dict[str, tuple[str, str]]]]
+
+
+def listing(spark: SparkSession, folder: str) -> list[tuple[str, bool, int, int]]:
+    """(name, is_folder, bytes, modified in ms) of what is in a folder, by name; by Spark's own file systems. No folder is empty."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    found = [(f.getPath().getName(), f.isDirectory(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)]
+    return sorted(found)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The tables of a folder: its entries that end in .parquet, in order."""
+    return [name[: -len(".parquet")] for name, *_ in listing(spark, folder) if name.endswith(".parquet")]
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +31,47 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def register(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> None:
+def register(spark: SparkSession, folder: str) -> None:
     """All tables of a folder as temporary views."""
-    for name in names:
+    for name in names(spark, folder):
         load(spark, folder, name).createOrReplaceTempView(name)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return found.rstrip("/") + "/strata"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all in it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def version(spark: SparkSession, folder: str, name: str) -> str:
+    """A name for a table's present files: it changes when a file, its size or its time does."""
+    whole = [f for f in listing(spark, folder) if f[0] == f"{name}.parquet"] + listing(spark, f"{folder}/{name}.parquet")
+    return hashlib.md5(repr((folder, name, whole)).encode(), usedforsecurity=False).hexdigest()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the work folder and read back, which cuts its lineage; drop() deletes it."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def drop(*found: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in found:
+        remove(df.sparkSession, df.staged_at)
