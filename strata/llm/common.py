@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +20,31 @@ SLICES = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a session whose executors are in the driver's own process may leave it unset: the warehouse is taken then.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def lean(spark: SparkSession) -> None:
-    """Arrow batches of at most 512 rows in this session: rows hold whole texts, and batches are copied in both processes."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of at most so many rows while jobs run in here: rows hold whole texts, and batches are copied in both processes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= 512:
-        spark.conf.set(key, "512")
+    before = spark.conf.get(key, None)
+    if 0 < int(before or 0) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -74,7 +88,8 @@ def keep_where(df: DataFrame, condition: str) -> DataFrame:
     A plain filter is pushed below the projections that make its columns, which are then computed in the filter,
     once for each mention, and again after it. A filter on a column that is not deterministic stays where it is.
     """
-    return df.withColumn("_here", F.monotonically_increasing_id() >= 0).where(f"_here and ({condition})").drop("_here")
+    (here,) = fresh(df, "here")
+    return df.withColumn(here, F.monotonically_increasing_id() >= 0).where(f"{here} and ({condition})").drop(here)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -83,6 +98,27 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def running_sums(values: Column, block: int = 256) -> Column:
+    """The sums of an array's numbers up to each place, as integers: block by block, so that long arrays are not copied for each number."""
+
+    def sums(of: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, v: F.struct((a["sum"] + v).cast("int").alias("sum"), F.array_append(a["out"], (a["sum"] + v).cast("int")).alias("out"))
+        return F.aggregate(of, start, step, lambda a: a["out"])
+
+    def once(of: Column, f) -> Column:
+        """f of a value that is made once: inside a lambda an expression would be evaluated again for each use."""
+        return F.transform(F.array(of), f)[0]
+
+    def moved(inside: Column) -> Column:
+        lasts = F.transform(inside, lambda x: F.element_at(x, -1))
+        starts = F.slice(F.concat(F.array(F.lit(0)), sums(lasts)), F.lit(1), F.size(inside))
+        return F.flatten(F.zip_with(inside, starts, lambda x, s: F.transform(x, lambda v: v + s)))
+
+    cut = lambda of: F.transform(F.sequence(F.lit(0), F.size(of) - 1, F.lit(block)), lambda i: sums(F.slice(of, i + 1, block)))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(once(values, lambda of: once(cut(of), moved)))
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order, unchanged; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")

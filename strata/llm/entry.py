@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_jaccard": jaccard.op10_jaccard,
+    "quality_policies": quality.quality_policies,
 }
 ORACLE_SQL = {
     "op4_substrings": substrings.OP4_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_licenses": licenses.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "quality_policies": quality.QUALITY_POLICIES_SQL,
 }

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import discard, fresh, lean, remove_path, stage, table
+from .common import discard, fresh, remove_path, small_batches, stage, table
 
 SPAN = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -98,10 +98,10 @@ def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
     n - least overlap + 1 shingles in an order that is rare first, so that linked sets share one.
     """
     spark = docs.sparkSession
-    lean(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     bits, _ = W.sketch_size(W.text_bytes(rows))
-    path = W.sketch(rows, bits, _hashes(span))
+    with small_batches(spark):
+        path = W.sketch(rows, bits, _hashes(span))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = W.estimates(path, bits)
@@ -122,7 +122,8 @@ def sets_of(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, _SETS)
 
-    done = stage(rows.mapInArrow(make, _SETS_SQL), "sets")
+    with small_batches(spark):
+        done = stage(rows.mapInArrow(make, _SETS_SQL), "sets")
     remove_path(spark, path)
     return done
 

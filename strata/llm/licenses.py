@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import license_texts as L
+from .common import fresh, table
 
 #: Between words, after A-Z are lower-cased: ASCII but for digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,11 +22,11 @@ SHARE = 0.5
 
 @dataclass(frozen=True)
 class Template:
-    """A license text in words, the phrase that must be at its place, and how many rare words are looked up."""
+    """A license's text in words, and the phrases of it that must all be at their places."""
 
     label: str
     text: str
-    phrase: str
+    phrases: tuple[str, ...]
     base: bool = False
 
     @property
@@ -32,30 +34,45 @@ class Template:
         return self.text.split(" ")
 
     @property
-    def phrase_at(self) -> int:
-        p, w = self.phrase.split(" "), self.words
-        return next(i for i in range(len(w)) if w[i : i + len(p)] == p)
+    def places(self) -> list[int]:
+        """Where each phrase begins in the text; of several places the first."""
+        w = self.words
+        return [next(i for i in range(len(w)) if w[i : i + len(p)] == p) for p in (x.split(" ") for x in self.phrases)]
 
 
 def _base(label: str, phrase: str) -> Template:
-    return Template(label, phrase, phrase, True)
+    return Template(label, phrase, (phrase,), True)
 
 
-# The phrases that always count, then sentences of well-known licenses.
+def _whole(label: str, text: str, *phrases: str) -> Template:
+    """A template of a license's text as it is written."""
+    return Template(label, " ".join(re.findall("[a-z0-9]+", text.lower())), phrases)
+
+
+# The phrases that always count; then texts of licenses with what tells each from the others, versions and clauses included.
 TEMPLATES = (
     _base("gpl", "gnu general public license"),
     _base("apache", "apache license"),
     _base("cc-by", "cc by"),
     _base("mit", "mit license"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it under the terms"),
-    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "you may not use this file except in compliance with the license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    _whole("gpl-2.0", L.GPL_2, "the gnu general public license as published", "either version 2 of the license or at your option any later version"),
+    _whole("gpl-3.0", L.GPL_3, "the gnu general public license as published", "either version 3 of the license or at your option any later version"),
+    _whole("lgpl-2.1", L.LGPL_21, "the gnu lesser general public license as published", "either version 2 1 of the license"),
+    _whole("lgpl-3.0", L.LGPL_3, "the gnu lesser general public license as published", "either version 3 of the license"),
+    _whole("agpl-3.0", L.AGPL_3, "the gnu affero general public license as published", "either version 3 of the license"),
+    _whole("apache-2.0", L.APACHE_2, "you may not use this file except in compliance with the license", "apache org licenses license 2 0"),
+    _whole("mit", L.MIT, "permission is hereby granted free of charge to any person obtaining a copy", "to deal in the software without restriction"),
+    _whole("bsd-2-clause", L.BSD_2, "redistributions in binary form must reproduce", "provided with the distribution this software is provided"),
+    _whole("bsd-3-clause", L.BSD_3, "redistributions in binary form must reproduce", "may be used to endorse or promote products"),
+    _whole("isc", L.ISC, "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    _whole("zlib", L.ZLIB, "the origin of this software must not be misrepresented"),
+    _whole("bsl-1.0", L.BOOST, "to use reproduce display distribute execute and transmit the software"),
+    _whole("mpl-2.0", L.MPL_2, "subject to the terms of the mozilla public license v 2 0"),
+    _whole("unlicense", L.UNLICENSE, "this is free and unencumbered software released into the public domain"),
+    _whole("cc0-1.0", L.CC0, "has dedicated the work to the public domain"),
+    _whole("cc-by-4.0", L.CC_BY, "creative commons attribution 4 0 international license"),
+    _whole("cc-by-sa-4.0", L.CC_BY_SA, "creative commons attribution sharealike 4 0 international license"),
+    _whole("cc-by-nc-4.0", L.CC_BY_NC, "creative commons attribution noncommercial 4 0 international license"),
 )
 
 VOCABULARY = tuple(sorted({w for t in TEMPLATES for w in t.words}))
@@ -112,9 +129,12 @@ def _alignments(w: Column, postings: dict[str, list[tuple[int, int, float]]], te
 
     start = run(F.lit(-1), F.lit(0), F.lit(0.0), F.array().cast(_FOUND))
     runs = F.aggregate(F.sort_array(votes), start, step, ended)
-    phrases = F.array(*[F.array(*map(F.lit, t.phrase.split(" "))) for t in templates])
-    places = F.array(*[F.lit(t.phrase_at) for t in templates])
-    there = lambda a: (a["o"] + F.get(places, a["t"]) >= 0) & (F.slice(w, F.greatest(a["o"] + F.get(places, a["t"]), F.lit(0)) + 1, F.size(F.get(phrases, a["t"]))) == F.get(phrases, a["t"]))
+    phrases = F.array(*[F.array(*[F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, p.split(" "))).alias("words")) for at, p in zip(t.places, t.phrases, strict=True)]) for t in templates])
+
+    def there(a):
+        at = lambda p: a["o"] + p["at"]
+        return F.forall(F.get(phrases, a["t"]), lambda p: (at(p) >= 0) & (F.slice(w, F.greatest(at(p), F.lit(0)) + 1, F.size(p["words"])) == p["words"]))
+
     return F.filter(runs, there)
 
 
@@ -122,14 +142,16 @@ def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """Add ``licenses``: an array of (label, start, score, base) and n_words, over each whole text.
 
     ``docs`` is read twice: word frequencies first, then the scan, row by row without a shuffle. A text without
-    license words, empty or null gives an empty array; equal rows equal arrays; no rows none. Existing columns of
-    these names are replaced.
+    license words, empty or null gives an empty array; texts of any length are read whole; equal rows give equal
+    arrays, no rows none. Existing columns of these names are replaced, all others stay, whatever their names.
     """
+    docs = docs.drop("licenses", "n_words")
+    (ws,) = fresh(docs, "words")
     postings = build_index(*document_frequencies(docs), templates, rare)
     labels = F.array(*[F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base")) for t in templates])
-    rows = docs.withColumn("_w", license_words(F.col("text"))).withColumn("n_words", F.size("_w").cast("long"))
+    rows = docs.withColumn(ws, license_words(F.col("text"))).withColumn("n_words", F.size(ws).cast("long"))
     named = lambda a: F.struct(F.get(labels, a["t"])["label"].alias("label"), a["o"].alias("start"), a["s"].alias("score"), F.get(labels, a["t"])["base"].alias("base"))
-    return rows.withColumn("licenses", F.transform(_alignments(F.col("_w"), postings, templates, share), named)).drop("_w")
+    return rows.withColumn("licenses", F.transform(_alignments(F.col(ws), postings, templates, share), named)).drop(ws)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +167,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle_sql() -> str:
     """The same in SQL: frequencies, the rarest words, votes by offset, phrases at their places."""
     listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    rows = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, {listed(t.words)}, {listed(t.phrase.split(' '))}, {t.phrase_at})" for i, t in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, {listed(t.words)})" for i, t in enumerate(TEMPLATES))
+    phrases = ", ".join(f"({i}, {listed(p.split(' '))}, {at})" for i, t in enumerate(TEMPLATES) for at, p in zip(t.places, t.phrases, strict=True))
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-    t(t, label, base, words, phrase, pos) AS (VALUES {rows}),
+    t(t, label, base, words) AS (VALUES {rows}),
+    ph(t, phrase, pos) AS (VALUES {phrases}),
     tw AS (SELECT DISTINCT t, base, unnest(words) AS x FROM t),
     n AS (SELECT count(*)::DOUBLE AS n FROM d),
     df AS (SELECT x, count(*)::DOUBLE AS df FROM (SELECT DISTINCT k, unnest(w) AS x FROM d) WHERE x IN (SELECT x FROM tw) GROUP BY x),
@@ -159,7 +183,7 @@ def _oracle_sql() -> str:
     h AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
     v AS (SELECT k, t, i - p AS o, sum(s) AS s FROM h JOIN s USING (x) GROUP BY ALL),
     f AS (SELECT k, o, least(s, 1.0) AS s, label, base FROM v JOIN t USING (t) JOIN d USING (k)
-          WHERE s >= {SHARE} AND o + pos >= 0 AND list_slice(d.w, o + pos + 1, o + pos + len(phrase)) = phrase)
+          WHERE s >= {SHARE} AND NOT EXISTS (SELECT 1 FROM ph WHERE ph.t = v.t AND NOT (o + pos >= 0 AND list_slice(d.w, o + pos + 1, o + pos + len(phrase)) = phrase)))
     SELECT doc_id, len(w)::BIGINT AS n_words, count(o) FILTER (base) AS n_base, min(o) FILTER (base) AS first_word, max(o) FILTER (base) AS last_word,
            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
            coalesce(round(max(s), 6), 0.0)::DOUBLE AS score

@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import lean, new_path, table
+from .common import new_path, remove_path, small_batches, stage, table
 
 #: Samples in a row of an image; payloads are padded to whole rows, one at least.
 WIDTH = 64
 #: Bytes after which a writer begins another archive, and bytes of an archive that one task reads.
-ARCHIVE_BYTES = 256 << 20
+ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 32 << 20
+#: Ranges that the driver plans at most; with more bytes than so many ranges hold, ranges are larger.
+RANGES = 1 << 17
 #: Payload bytes in an Arrow batch, but for a single larger member.
 BATCH_BYTES = 4 << 20
 #: Tries for each member before its row carries an error.
@@ -117,7 +119,6 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     well, so a lost executor leaves at most a file that no list names. A null key is kept as a null.
     """
     spark = docs.sparkSession
-    lean(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
@@ -135,7 +136,8 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
         yield pa.RecordBatch.from_pylist(done, pa.schema([("archive", pa.string()), ("members", pa.int64())]))
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("binary").alias("raw"))
-    rows.mapInArrow(write, "archive string, members long").write.parquet(f"{folder}/_list")
+    with small_batches(spark):
+        rows.mapInArrow(write, "archive string, members long").write.parquet(f"{folder}/_list")
     return spark.read.schema("archive string, members long").parquet(f"{folder}/_list")
 
 
@@ -161,6 +163,19 @@ def read_member(file, info: zipfile.ZipInfo) -> bytes:
     return data
 
 
+def read_directory(opened) -> list[zipfile.ZipInfo]:
+    """The members that an archive lists; ``opened()`` gives its file, for each of TRIES tries anew. The last failure is raised."""
+    for attempt in range(TRIES):
+        try:
+            with opened() as file, zipfile.ZipFile(file) as z:
+                return z.infolist()
+        except (OSError, zipfile.BadZipFile, pa.ArrowException):
+            if attempt + 1 == TRIES:
+                raise
+            time.sleep(0.05 * (attempt + 1))
+    return []
+
+
 class ArchiveReader(DataSourceReader):
     """Plans ranges from the sizes of the listed archives; each task reads its archive's directory for itself."""
 
@@ -171,21 +186,22 @@ class ArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[_Range]:
+        """A row of the list for each archive reaches the driver, and at most about RANGES ranges leave it."""
         store, path = _store(self.folder)
         import pyarrow.parquet as pq
 
         listed = [f for f in store.get_file_info(pafs.FileSelector(f"{path}/_list")) if f.path.endswith(".parquet")]
         names = sorted({a for f in listed for a in pq.read_table(store.open_input_file(f.path), columns=["archive"]).column(0).to_pylist()})
-        sizes = store.get_file_info([f"{path}/{n}" for n in names])
-        return [_Range(n, at, at + self.range_bytes) for n, f in zip(names, sizes, strict=True) for at in range(0, f.size, self.range_bytes)] or [_Range("", 0, 0)]
+        sizes = [f.size for f in store.get_file_info([f"{path}/{n}" for n in names])]
+        step = max(self.range_bytes, -(-sum(sizes) // RANGES))
+        return [_Range(n, at, at + step) for n, size in zip(names, sizes, strict=True) for at in range(0, size, step)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
         store, path = _store(self.folder)
         where = f"{path}/{partition.archive}"
-        with zipfile.ZipFile(store.open_input_file(where)) as z:
-            mine = [i for i in z.infolist() if partition.start <= i.header_offset < partition.stop]
+        mine = [i for i in read_directory(lambda: store.open_input_file(where)) if partition.start <= i.header_offset < partition.stop]
         rows: list[dict] = []
         held, file = 0, None
         for info in sorted(mine, key=lambda i: i.header_offset):
@@ -240,13 +256,17 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id and what its image holds after it was stored and read back.
 
     Any null or empty text gives a payload of WIDTH zeros, equal texts give equal values, repeated rows give
-    repeated rows, no rows give none. Extra columns are not stored.
+    repeated rows, no rows give none; a text of any length is one member. Extra columns are not stored. The archives
+    are removed when what was read from them has been written.
     """
     folder = new_path(docs.sparkSession, "media")
     write_archives(docs, folder)
     rows = read_archives(docs.sparkSession, folder)
     tail = F.crc32(F.substring("payload", -64, 64))
-    return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    read = rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    found = stage(read, "media-columns")
+    remove_path(docs.sparkSession, folder)
+    return found
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

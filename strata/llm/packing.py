@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, stage, table, with_rank
+from .common import small_batches, stage, table, with_rank
 
 #: Tokens of a sequence, the id that ends a document, and the vocabulary, by name or by path.
 CAPACITY = 1024
@@ -51,7 +51,6 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 
     A null text is empty; a document always ends with ``end_id``, so it has one piece at least.
     """
-    lean(docs.sparkSession)
     schema = _ARROW.append(pa.field("ids", pa.binary())) if with_ids else _ARROW
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +147,12 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """All pieces of all documents in sequences of at most ``capacity`` tokens, as few as best-fit decreasing gives.
 
-    No documents give no rows; repeated rows are packed each; extra columns are not carried.
+    A text longer than a sequence is cut into whole sequences but for its first piece, however long it is; a null or
+    empty text is its end alone. No documents give no rows; repeated rows are packed each; extra columns are not carried.
     """
-    return place(stage(pieces(docs, vocabulary, capacity, end_id, with_ids), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        made = stage(pieces(docs, vocabulary, capacity, end_id, with_ids), "pieces")
+    return place(made, capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep_where, table, words
+from .common import SPACE, fresh, keep_where, stage, table, words
 
 #: Words in a window of the repetition rule.
 SPAN = 8
@@ -84,15 +84,16 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    rows = docs.drop(*MEASURES).withColumn("_words", words(F.col("text"))).withColumn("_lines", lines)
-    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    ws, ls, hs = fresh(docs, "words", "lines", "hashes")
+    rows = docs.drop(*MEASURES).withColumn(ws, words(F.col("text"))).withColumn(ls, lines)
+    rows = rows.withColumn(hs, F.transform(ws, lambda w: F.xxhash64(w)))
     found = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
+        "n_words": F.size(ws),
+        "word_chars": F.length(F.array_join(ws, "")),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_hashes")),
-        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size(ls) - F.size(F.array_distinct(ls)),
+        "n_repeat_words": _repeat_words(F.col(hs)),
+        "n_lines": F.size(ls),
     }
     return rows.select(*docs.drop(*MEASURES).columns, *[v.cast("long").alias(k) for k, v in found.items()])
 
@@ -126,9 +127,31 @@ def ablations(rows: DataFrame, policy: Policy = POLICY, rules: tuple[Rule, ...]
 
 
 def keep_good(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
-    """The documents that a policy keeps, with the columns given."""
-    kept = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return keep_where(apply_policy(ledger(kept), policy), "kept").select("_row.*")
+    """The documents that a policy keeps, with the columns given, whatever their names.
+
+    Null and empty texts have no words and fail; texts of any length are read whole; repeated rows are judged alike, no rows give none.
+    """
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return keep_where(apply_policy(ledger(kept), policy), "kept").select("row.*")
+
+
+def write_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of documents (doc_id, measurements, failed), written to the shared folder: policies and ablations read it, not the texts."""
+    return stage(ledger(docs.select("doc_id", "text")).drop("text"), "ledger")
+
+
+#: A second version, for comparison: without the rules on the lengths of words.
+EARLIER = Policy("v0", ("few_words", "repeated_words", "symbols", "repeated_lines"))
+
+
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the policy over one stored ledger: for each rule how many documents fail it, fail it alone, and are kept without it."""
+    led = write_ledger(table(spark, sf_dir, "documents"))
+    rows = None
+    for policy in (EARLIER, POLICY):
+        one = ablations(led, policy).withColumn("version", F.lit(policy.version))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,3 +178,6 @@ f AS (SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_wor
                 + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f
 """
+
+QUALITY_POLICIES_SQL = OP7_SQL.rsplit("SELECT", 1)[0] + ", " + "r(bit, rule) AS (VALUES " + ", ".join(f"({1 << i}, '{r.name}')" for i, r in enumerate(RULES)) + "), v(version, mask) AS (VALUES " + ", ".join(f"('{p.version}', {p.mask()})" for p in (EARLIER, POLICY)) + """)
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS failed, count(*) FILTER (failed & mask = bit) AS alone, count(*) FILTER (failed & mask IN (0, bit)) AS kept_without, version FROM f, r, v WHERE mask & bit <> 0 GROUP BY rule, bit, version"""

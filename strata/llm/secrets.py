@@ -6,10 +6,13 @@ a finding's features, so scanning is a row-by-row projection.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_where, table
+from .common import fresh, keep_where, running_sums, table
 
 #: Labelled findings to train on at most; more are thinned by a hash of the finding, not by place.
 TRAIN_ROWS = 4000
@@ -36,13 +39,23 @@ SHAPES = (
     r"://[^\s:/@]*+:[^\s@/]++(?=@)",
     rf"(?={_RUN}){_FIRST}(?:(?i:bearer)\s++[A-Za-z0-9._~+/=-]{{16,}}+|(?={_RUN}++[\"']?\s*+[=:]){_RUN}*{_KEY}{_VALUE}|(?={_RUN}{{16}})(?:(?!{_KNOWN}){_RUN}){{16,}}+={{0,2}})",
 )
-#: Words that secrets do not hold, and words beside true and false findings.
-DICTIONARY = ("example", "sample", "test", "dummy", "placeholder", "changeme", "your", "password", "secret", "token", "here", "insert", "default", "hello", "world", "user", "name", "value", "string", "lorem", "ipsum", "tion", "ment", "the", "and", "ing", "null", "none", "true", "false", "http", "www", "com", "abc", "xyz", "foo", "bar")
+#: Words that texts and names are made of and secrets are not, and words beside true and false findings.
+DICTIONARY = (
+    "about", "access", "account", "action", "active", "address", "admin", "after", "again", "agent", "alert", "allow", "also", "amount", "answer", "apply", "archive", "array", "asset", "async",
+    "author", "backup", "balance", "batch", "before", "block", "branch", "buffer", "build", "button", "cache", "call", "cancel", "change", "changeme", "channel", "check", "child", "class", "client",
+    "close", "cloud", "cluster", "code", "color", "column", "command", "commit", "common", "config", "connect", "content", "context", "control", "copy", "count", "create", "current", "custom", "data",
+    "date", "debug", "default", "delete", "deploy", "detail", "device", "display", "document", "domain", "download", "dummy", "editor", "email", "enable", "engine", "entity", "entry", "error", "event",
+    "example", "export", "factory", "false", "field", "file", "filter", "find", "first", "folder", "format", "forward", "frame", "from", "function", "global", "group", "handler", "hash", "header",
+    "hello", "here", "history", "host", "image", "import", "index", "info", "input", "insert", "invalid", "item", "key", "label", "language", "last", "layout", "length", "level", "library", "license",
+    "line", "link", "list", "load", "local", "login", "main", "manager", "master", "member", "memory", "message", "method", "mode", "model", "module", "name", "network", "node", "none", "null",
+    "number", "object", "option", "order", "output", "package", "page", "parent", "password", "path", "placeholder", "please", "private", "process", "product", "profile", "public", "query", "queue",
+    "read", "record", "release", "report", "request", "response", "result", "sample", "search", "secret", "section", "select", "server", "service", "session", "setting", "source", "state", "status",
+)
 FOR_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "credential", "bearer")
 AGAINST_WORDS = ("example", "sample", "sha1", "sha256", "md5", "checksum", "hash", "commit", "uuid", "digest", "integrity", "revision", "etag")
 TEST_PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "spec")
 
-FEATURES = ("length", "digits", "uppers", "switches", "vowel_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined")
+FEATURES = ("length", "digits", "uppers", "switches", "letter_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined")
 
 
 def _any_of(text: Column, listed: tuple[str, ...]) -> Column:
@@ -55,6 +68,25 @@ def _test_path(path: Column) -> Column:
     return F.regexp_like(path, F.lit(begins + "(?i:" + "|".join(TEST_PATHS) + ")s?(?![a-z])")).cast("double")
 
 
+def pair_odds() -> list[float]:
+    """For each two letters in turn, a to z, the logarithm of how much likelier they follow in DICTIONARY's words than by chance."""
+    seen = Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
+    every = sum(seen.values())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [round(math.log((seen[x + y] + 0.5) * 676 / (every + 338)), 4) for x in letters for y in letters]
+
+
+def _letter_pairs(finding: Column) -> Column:
+    """The mean odds of a finding's adjacent letters, in any case; 0 if none are adjacent."""
+    chars = F.split(F.lower(finding), "")
+    code = lambda c: F.ascii(c) - 97
+    letter = lambda c: code(c).between(0, 25)
+    odds = F.array(*map(F.lit, pair_odds()))
+    n = F.size(chars) - 1
+    found = F.filter(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.when(letter(x) & letter(y), F.get(odds, code(x) * 26 + code(y)))), lambda v: v.isNotNull())
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda t, v: t + v) / F.size(found)).otherwise(0.0)
+
+
 def features(finding: Column, before: Column, after: Column, path: Column) -> Column:
     """FEATURES of a finding as a struct of doubles; null paths count as no test path."""
     n = F.greatest(F.length(finding), F.lit(1)).cast("double")
@@ -66,7 +98,7 @@ def features(finding: Column, before: Column, after: Column, path: Column) -> Co
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "switches": share(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])"),
-        "vowel_pairs": share(r"[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"),
+        "letter_pairs": _letter_pairs(finding),
         "distinct": F.size(F.array_distinct(F.split(finding, ""))) / n,
         "coverage": 1 - F.length(plain) / n,
         "longest_run": F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)) / n,
@@ -164,49 +196,86 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
     return "(" + " + ".join(votes) + f") / {len(votes)}D"
 
 
+def evaluate(forest: str, labelled: DataFrame, least: float = LEAST) -> tuple[float, float]:
+    """(precision, recall) of a forest on labelled findings that it was not trained on."""
+    f = features(F.col("finding"), F.col("before"), F.col("after"), F.col("path")).alias("f")
+    rows = labelled.select(f, "label").selectExpr("label", f"{forest} >= {least} AS hit")
+    both = F.count_if(F.col("hit") & (F.col("label") == 1))
+    return tuple(rows.agg(both / F.count_if("hit"), both / F.count_if(F.col("label") == 1)).first())
+
+
 _FINDING = "array<struct<start:int,end:int,finding:string,score:double>>"
+#: Pieces of a text, gaps and matches in turn, that hold NEAR characters on a side of a finding: a match has five at least.
+_SIDE = 2 * (NEAR // 5 + 1) + 1
 
 
-def find_secrets(docs: DataFrame, forest: str | None = None, path: str = "source", least: float = LEAST, name: str = "secrets") -> DataFrame:
-    """Add ``name``: an array of (start, end, finding, score) for each proposed finding whose mean vote is ``least`` or more.
+def _scanned(docs: DataFrame, forest: str, path: str, out: str) -> DataFrame:
+    """Add ``out``: what stands between and in the proposed findings of a text, in order, null where there are none.
 
-    Code points, end exclusive, by start; whole texts, row by row, without a shuffle. Where shapes overlap, the
-    longest from the leftmost start is one finding. ``forest`` is what train() returns (default: trained here on
-    labelled_findings). A null or empty text has an empty array, a null path counts as none, equal rows get equal
-    arrays, and no rows give none. An existing column of that name is replaced.
+    Each is (gap, lead, finding, start, end, score): gap is the text since the match before, lead what the match has
+    before its finding. The last has the text after all matches as its gap, and no finding. All in time linear in the
+    text: places are running sums of lengths, and surroundings are joined from the pieces next to a finding.
     """
-    forest = forest or train(labelled_findings(docs.sparkSession))
     text = F.coalesce(F.col("text"), F.lit(""))
     shapes = "|".join(SHAPES)
-    found = F.regexp_extract_all(text, F.lit(shapes), F.lit(0))
+    matches, parts, around = fresh(docs, "matches", "parts", "around")
+    rows = docs.withColumn(matches, F.regexp_extract_all(text, F.lit(shapes), F.lit(0)))
+    hit = F.size(matches) > 0
     # What split() leaves stands between the matches, so both tell where each match is.
-    parts = F.arrays_zip(F.slice(F.split(text, shapes, -1), F.lit(1), F.size("_found")).alias("gap"), F.col("_found").alias("match"))
+    zipped = F.arrays_zip(F.split(text, shapes, -1).alias("gap"), F.col(matches).alias("match"))
+    made = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), F.coalesce(x["match"], F.lit("")).alias("match"), F.regexp_replace(F.coalesce(x["match"], F.lit("")), F.lit("^" + _LEAD), F.lit("")).alias("finding")))
+    rows = rows.withColumn(parts, F.when(hit, made))
+    trimmed = lambda cut: F.flatten(F.transform(parts, lambda x: F.array(cut(x["gap"]), cut(x["match"]))))
+    ends = running_sums(F.transform(parts, lambda x: F.length(x["gap"]) + F.length(x["match"])))
+    rows = rows.withColumn(around, F.when(hit, F.struct(ends.alias("ends"), trimmed(lambda t: F.left(t, F.lit(NEAR))).alias("heads"), trimmed(lambda t: F.right(t, F.lit(NEAR))).alias("tails"))))
+    pieces, scored = fresh(docs, "pieces", out)
+
+    def described(x: Column, i: Column) -> Column:
+        lead = F.left(x["match"], F.length(x["match"]) - F.length(x["finding"]))
+        first = F.greatest(2 * i + 2 - _SIDE, F.lit(1))
+        before = F.right(F.concat(F.array_join(F.slice(F.col(f"{around}.tails"), first, 2 * i + 2 - first), ""), lead), F.lit(NEAR))
+        after = F.left(F.array_join(F.slice(F.col(f"{around}.heads"), 2 * i + 3, F.lit(_SIDE)), ""), F.lit(NEAR))
+        end = F.get(F.col(f"{around}.ends"), i)
+        f = F.when(x["finding"] != "", features(x["finding"], before, after, F.col(path).cast("string")))
+        return F.struct(x["gap"].alias("gap"), lead.alias("lead"), x["finding"].alias("finding"), (end - F.length(x["finding"])).alias("start"), end.alias("end"), f.alias("f"))
+
+    rows = rows.withColumn(pieces, F.when(hit, F.transform(parts, described)))
+    vote = f"CASE WHEN x.f IS NOT NULL THEN round(element_at(transform(array(x.f), f -> {forest}), 1), 6) END"
+    rows = rows.withColumn(scored, F.expr(f"transform({pieces}, x -> named_struct('gap', x.gap, 'lead', x.lead, 'finding', x.finding, 'start', x.start, 'end', x.end, 'score', {vote}))"))
+    return rows.drop(matches, parts, around, pieces)
 
-    def step(a: Column, c: Column) -> Column:
-        finding = F.regexp_replace(c["match"], F.lit("^" + _LEAD), F.lit(""))
-        end = a["from"] + F.length(c["gap"]) + F.length(c["match"])
-        return F.struct(end.alias("from"), F.array_append(a["out"], F.struct((end - F.length(finding)).alias("start"), end.alias("end"), finding.alias("finding"))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<start:int,end:int,finding:string>>").alias("out"))
-    placed = F.aggregate(parts, start, step, lambda a: a["out"])
-    rows = docs.drop(name).withColumn("_found", found)
-    near = lambda x: features(x["finding"], F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR))), F.substring(text, x["end"] + 1, F.lit(NEAR)), F.col(path).cast("string"))
-    described = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["finding"].alias("finding"), near(x).alias("f")))
-    rows = rows.withColumn("_described", F.when(F.size("_found") > 0, described))
-    scored = F.expr(f"transform(_described, x -> named_struct('start', x.start, 'end', x.end, 'finding', x.finding, 'score', round(element_at(transform(array(x.f), f -> {forest}), 1), 6)))")
-    kept = F.coalesce(F.filter(scored, lambda x: x["score"] >= least), F.array().cast(_FINDING))
-    return rows.withColumn(name, kept).drop("_found", "_described")
+def find_secrets(docs: DataFrame, forest: str | None = None, path: str = "source", least: float = LEAST, name: str = "secrets") -> DataFrame:
+    """Add ``name``: an array of (start, end, finding, score) for each proposed finding whose mean vote is ``least`` or more.
+
+    Code points, end exclusive, by start; whole texts of any length, row by row, without a shuffle. Where shapes
+    overlap, the longest from the leftmost start is one finding. ``forest`` is what train() returns (default: trained
+    here on labelled_findings). A null or empty text has an empty array, a null path counts as none, equal rows get
+    equal arrays, and no rows give none. An existing column of that name is replaced; all others stay, whatever their names.
+    """
+    forest = forest or train(labelled_findings(docs.sparkSession))
+    docs = docs.drop(name)
+    (out,) = fresh(docs, "scan")
+    kept = F.filter(out, lambda x: x["score"] >= least)
+    listed = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["finding"].alias("finding"), x["score"].alias("score")))
+    return _scanned(docs, forest, path, out).withColumn(name, F.coalesce(listed, F.array().cast(_FINDING))).drop(out)
 
 
 def redact_secrets(docs: DataFrame, forest: str | None = None, path: str = "source", least: float = LEAST) -> DataFrame:
-    """The documents with each confirmed secret replaced by [SECRET]; columns as given, n_chars with the text's."""
-    rows = find_secrets(docs, forest, path, least, "_secrets")
-    step = lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("[SECRET]")).alias("out"), s["end"].alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate("_secrets", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    hit = F.size("_secrets") > 0
-    rows = rows.withColumn("_text", F.when(hit, done).otherwise(F.col("text")))
-    swap = {"text": F.col("_text"), "n_chars": F.when(hit, F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
+    """The documents with each confirmed secret replaced by [SECRET]; columns as given, n_chars with the text's.
+
+    Null, empty and clean texts stay as they are, repeated rows give repeated rows, no rows give none; texts may be
+    of any length, and columns of any other names are carried.
+    """
+    forest = forest or train(labelled_findings(docs.sparkSession))
+    out, done = fresh(docs, "scan", "clean")
+    rows = _scanned(docs, forest, path, out)
+    clean = F.array_join(F.transform(out, lambda x: F.concat(x["gap"], x["lead"], F.when(x["score"] >= least, "[SECRET]").otherwise(x["finding"]))), "")
+    hit = F.coalesce(F.exists(out, lambda x: F.coalesce(x["score"] >= least, F.lit(False))), F.lit(False))
+    rows = rows.withColumn(done, F.when(hit, clean))
+    swap = {"text": F.coalesce(done, "text")}
+    if "n_chars" in docs.columns:
+        swap["n_chars"] = F.when(F.col(done).isNotNull(), F.length(done).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return rows.select(*[swap[c].alias(c) if c in swap else F.col(c) for c in docs.columns])
 
 

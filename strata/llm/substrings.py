@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import windows as W
-from .common import fresh, lean, remove_path, stage, table
+from .common import fresh, remove_path, small_batches, stage, table
 
 SPAN = 20
 #: Windows estimated repeated that a task holds before it settles them among themselves.
@@ -119,7 +119,6 @@ def find_repeats(docs: DataFrame, span: int = SPAN, held_most: int = HELD, max_b
     hashes, up to W.MAX_RANGES times. ``ranges`` are pairs of 32-bit numbers: first word, end.
     """
     spark = docs.sparkSession
-    lean(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     total = W.text_bytes(rows)
     bits, parts = W.sketch_size(total, max_bits)
@@ -185,11 +184,12 @@ def find_repeats(docs: DataFrame, span: int = SPAN, held_most: int = HELD, max_b
         return pa.Table.from_pylist(out, _RANGES)
 
     firsts, paths = [], []
-    for part in range(parts):
-        paths.append(W.sketch(rows, bits, _hashes(span), part, parts))
-        firsts.append(rows.mapInArrow(lambda batches, path=paths[-1], part=part: _in_batches(local(batches, path, part), _ARROW), _ROWS))
-    met = reduce(DataFrame.unionByName, firsts).groupBy("bucket").applyInArrow(meet, _ROWS)
-    found = stage(met.groupBy("bucket").applyInArrow(gather, "doc_id long, mark int, ranges binary"), "repeats")
+    with small_batches(spark):
+        for part in range(parts):
+            paths.append(W.sketch(rows, bits, _hashes(span), part, parts))
+            firsts.append(rows.mapInArrow(lambda batches, path=paths[-1], part=part: _in_batches(local(batches, path, part), _ARROW), _ROWS))
+        met = reduce(DataFrame.unionByName, firsts).groupBy("bucket").applyInArrow(meet, _ROWS)
+        found = stage(met.groupBy("bucket").applyInArrow(gather, "doc_id long, mark int, ranges binary"), "repeats")
     for path in paths:
         remove_path(spark, path)
     return found

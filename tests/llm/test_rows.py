@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strata.llm.common import stage
@@ -76,6 +77,19 @@ def test_personal_data(spark, sf_dir):
     assert any("iban" in r["spans"] for r in got.collect())
 
 
+def test_added_spans_follow_their_context(spark):
+    cases = {
+        "my ssn is 123-45-6789": ["ssn"], "part 123-45-6789": [], "ssn 000-45-6789 or 123-00-6789": [], "the sample ssn 123-45-6789": [],
+        "pay to DE89 3704 0044 0532 0130 00": ["iban"], "an example: DE89 3704 0044 0532 0130 00": [], "example account DE89 3704 0044 0532 0130 00": ["iban"], "iban DE89 3704 0044 0532 0130 0": [],
+        "born 1984-02-29 in Rome": ["birth"], "on 1984-02-29 it rained": [], "geboren am 3.12.1990": ["birth"], "version of birth 1984-02-29": [], "dob 31/13/1990": [],
+        "passport C01234567 expired": ["passport"], "order C01234567": [], "passport order C01234567": [],
+    }
+    rows = pii.find_pii(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
+    assert {r["text"]: [s["kind"] for s in r["spans"]] for r in rows} == cases
+    strong, weak = (pii.find_spans(f"{w} 10.0.0.1")[0]["score"] for w in ("host", "version"))
+    assert strong > weak
+
+
 def test_redaction(docs, empty):
     out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert out[7] == "mail me at [EMAIL], [EMAIL]@d.e or @nobody; [IP] and 256.1.1.1 and [IP].5"
@@ -100,10 +114,21 @@ def test_licenses(spark, sf_dir, empty):
     got = licenses.op6_licenses(spark, sf_dir)
     assert rows(got.select(*got.columns[:6])) == sorted((brute(*p) for p in pairs(sf_dir, spark)), key=key)
     by_id = {r["doc_id"]: r for r in got.collect()}
-    assert by_id[10]["labels"] == "mit" and by_id[10]["base_labels"] == "" and 0.5 <= by_id[10]["score"] <= 1
     assert by_id[3]["score"] == 0 and licenses.find_licenses(empty).count() == 0
 
 
+def test_whole_licenses(spark, docs):
+    """Each text is told from those that share most of it, also between other words; half a text, or one without its phrases, is none."""
+    own = [t for t in licenses.TEMPLATES if not t.base]
+    texts = [(i, "Some code.\n// " + t.text.upper().replace(" ", "\n// ", 3) + " more words") for i, t in enumerate(own)]
+    texts += [(100, " ".join(own[6].words[:12])), (101, own[-1].text.replace("noncommercial", "x")), (102, own[0].text.replace("version 2", "version 9"))]
+    found = licenses.find_licenses(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = {r["doc_id"]: {x["label"] for x in r["licenses"] if not x["base"]} for r in found.collect()}
+    assert got == {i: {t.label} for i, t in enumerate(own)} | {100: set(), 101: set(), 102: set()}
+    kept = licenses.find_licenses(docs.withColumn("words", F.lit("mine"))).select("words").distinct().collect()
+    assert [r[0] for r in kept] == ["mine"]
+
+
 def test_media(spark, sf_dir, empty):
     def brute(d, t):
         raw = (t or "").encode()
@@ -135,9 +160,38 @@ def test_media_ranges_and_retries(spark, docs, tmp_path):
         media.read_archives(spark, folder).collect()
 
 
+def test_directories_are_tried_again(tmp_path):
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("0/1", b"x")
+    whole, tries = (tmp_path / "a.zip").read_bytes(), []
+
+    def opened(good_at):
+        tries.append(1)
+        if len(tries) < good_at:
+            raise OSError("gone")
+        return io.BytesIO(whole)
+
+    assert [i.filename for i in media.read_directory(lambda: opened(3))] == ["0/1"] and len(tries) == 3
+    tries.clear()
+    with pytest.raises(OSError, match="gone"):
+        media.read_directory(lambda: opened(9))
+    assert len(tries) == media.TRIES
+
+
+def test_media_leaves_no_archives(spark, docs):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = {f for f in os.listdir(shared) if f.startswith("media-") and "columns" not in f}
+    assert media.media_columns(docs).count() == docs.count()
+    assert {f for f in os.listdir(shared) if f.startswith("media-") and "columns" not in f} == before
+
+
 def test_packing(spark, sf_dir, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = []
     for d, t in pairs(sf_dir, spark):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
@@ -215,6 +269,68 @@ def test_sharding_is_near_equal():
     assert sorted(x for x, _ in exact.heap) == sorted(x for x, _ in many.heap)
 
 
+def test_shards_of_the_query_are_balanced(spark):
+    """Many small groups, copies, and one group as large as an even share: it has a shard to itself, the others are level."""
+    texts = [f"text {i} " * (1 + i % 9) for i in range(3000)] + ["copy"] * 300
+    even = sum(len(t) + 1 for t in texts) // 15
+    texts.append("x" * even)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard_documents(rows, 16).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    loads = sorted(r["b"] for r in got)
+    assert len(got) == 16 and max(loads) - min(loads) <= 0.01 * even
+    assert [r["n"] for r in got if r["n"] == 1] == [1]
+
+
+def test_written_shards(spark, docs, tmp_path):
+    rows = sharding.assign_shards(stage(docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.length("text").alias("size")), "w"), 4)
+    sharding.write_shards(rows, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and {r["shard"] for r in back.select("shard").distinct().collect()} == {r["shard"] for r in rows.select("shard").distinct().collect()}
+    for f in (tmp_path / "s").glob("shard=*/*.parquet"):
+        slots = [r["slot"] for r in spark.read.parquet(str(f)).collect()]
+        assert slots == sorted(slots)
+
+
+def test_packed_ids(spark, docs):
+    """Sequences put together from the ids that pack() carries hold all tokens, in order."""
+    got = packing.pack(docs, with_ids=True).collect()
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
+    sequences = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert len(sequences.setdefault(r["sequence_id"], bytearray())) == 4 * r["offset"]
+        sequences[r["sequence_id"]] += r["ids"]
+    assert all(len(x) <= 4096 for x in sequences.values()) and sum(map(len, sequences.values())) == sum(len(r["ids"]) for r in got)
+
+
+def test_tokens_equal_the_contract(spark):
+    """All documents of the small table, as the contract's own tokenizer encodes them."""
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(packing.VOCABULARY).encode_to_numpy
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert list(encode(r["text"], allowed_special="all")) == tok.encode(r["text"], add_special_tokens=False).ids
+
+
+def test_session_settings_stay(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    packing.pack(docs).count()
+    pii.find_pii(docs).count()
+    assert spark.conf.get(key, None) == before and spark.conf.get("spark.checkpoint.dir") == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_columns_of_any_name_are_kept(spark, docs, empty):
+    """Names that operators use inside are a caller's own here, and stay as they are."""
+    names = ("mark", "_mark", "id", "ranges", "cut", "words", "lines", "hashes", "spans", "scan", "clean", "matches", "parts", "around", "pieces", "_w", "_words", "_spans", "_secrets", "_row", "row")
+    rows = docs.select("doc_id", "text", "source", "n_chars", *[F.lit(n).alias(n) for n in names if n != "spans"])
+    from strata.llm import jaccard, secrets, substrings
+
+    for f in (jaccard.keep_first, substrings.drop_repeats, lambda d: secrets.redact_secrets(d, "1D"), quality.keep_good, pii.redact, mixing.mix, lambda d: licenses.find_licenses(d)):
+        out = f(rows)
+        assert [c for c in out.columns if c in names] == [n for n in names if n != "spans"]
+        assert out.select([n for n in names if n != "spans"]).distinct().count() <= 1
+        assert f(rows.limit(0)).count() == 0
+
+
 def test_mixing(spark, docs, empty, sf_dir):
     got = mixing.op5_mixing(spark, sf_dir).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got) and len(got) == docs.count()
