@@ -30,8 +30,8 @@ def apply_edits(text: Column, edits: list[tuple[str, str]]) -> Column:
 
 def unified(before: str, after: str, name: str = "file", context: int = 3) -> str:
     """The unified diff of two texts; empty where they are equal."""
-    lines = difflib.unified_diff(before.splitlines(), after.splitlines(), f"a/{name}", f"b/{name}", n=context, lineterm="")
-    return "\n".join(lines)
+    lines = lambda text: re.split(r"\r?\n", text)
+    return "\n".join(difflib.unified_diff(lines(before), lines(after), f"a/{name}", f"b/{name}", n=context, lineterm=""))
 
 
 @F.arrow_udf(StringType())

@@ -167,17 +167,19 @@ def edit_fold(spark, sf_dir):
 
 @query()
 def text_diff(spark, sf_dir):
-    """What redaction changes in each document, as a unified diff."""
+    """What redaction and a line at the end change in each document, as a unified diff."""
     docs = tables.load(spark, sf_dir, "documents")
-    redacted = T.redact(F.col("text"))
-    return docs.where(T.contains_secret(F.col("text"))).select("doc_id", edits.diffs(F.col("text"), redacted).alias("diff"))
+    after = F.concat(T.redact(F.col("text")), F.lit("\nend."))
+    return docs.select("doc_id", edits.diffs(F.col("text"), after).alias("diff"))
 
 
-@query(f"SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE {redact_sql('text')} <> text")
-def text_diff_lines(spark, sf_dir):
-    """The diffs of text_diff by their number of lines in the text, which SQL can tell too."""
-    found = text_diff(spark, sf_dir).where(F.col("diff") != "").select("doc_id")
-    return tables.load(spark, sf_dir, "documents").join(found, "doc_id").select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n"))
+@query(f"""WITH r AS (SELECT doc_id, string_split_regex(text, '\r?\n') AS a, string_split_regex({redact_sql('text')} || chr(10) || 'end.', '\r?\n') AS b FROM documents)
+SELECT doc_id, (len(list_filter(b, lambda x, i: i > len(a) OR x <> a[i])))::BIGINT AS added FROM r WHERE len(b) = len(a) + 1""".replace("\\r", "\r"))
+def text_diff_added(spark, sf_dir):
+    """Lines that the diffs of text_diff add, where redaction takes no line away."""
+    docs = tables.load(spark, sf_dir, "documents").where(F.size(F.split("text", "\r?\n", -1)) == F.size(F.split(T.redact(F.col("text")), "\r?\n", -1)))
+    added = F.size(F.filter(F.split("diff", "\n"), lambda x: x.startswith("+") & ~x.startswith("+++ b/")))
+    return text_diff(spark, sf_dir).join(docs.select("doc_id"), "doc_id").select("doc_id", added.cast("long").alias("added"))
 
 
 @query(r"SELECT page_id, CASE WHEN regexp_matches(url, '\.html$') THEN 'text/html' ELSE 'application/octet-stream' END AS media_type FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)")
