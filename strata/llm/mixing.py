@@ -26,7 +26,7 @@ def source_targets(sized: DataFrame, share: float, cap: float, weights: tuple[fl
     what is cut off is shared again by weight among the others. This equals a common level: a source takes
     weight * level or its cap. In the order of cap / weight, the level is the first that its own source could
     still take. Sizes are summed before rows meet, so a source may hold any share of the rows. The windows
-    hold a row for each source. A source without words has rate 0. A null source is a source of its own, last.
+    hold a row for each source in one task, which sorts and spills them: meant for up to some ten million sources. A source without words has rate 0. A null source is a source of its own, last.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
