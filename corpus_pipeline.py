@@ -9,27 +9,28 @@ from strata.llm.common import stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Documents that the current policy keeps, columns as given. Null, empty and blank texts fail; equal rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one of least doc_id, with rows that repeat it; documents without words, and
+    groups in which no row has an id, stay."""
     return jaccard.keep_first(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with confirmed secrets replaced."""
+    """The documents with confirmed secrets replaced; all others, null and empty texts included, as they are."""
     return secrets.redact_secrets(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a null source is a source, a null text has no words, equal rows draw alike."""
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All pieces of all documents in sequences of at most 1024 tokens."""
+    """All pieces of all documents in sequences of at most 1024 tokens; a null text is its end alone, a long one is cut, repeats are packed each."""
     return packing.pack(docs)
 
 
@@ -46,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again before the next stage."""
+    """All stages over the documents; each result is written and read again before the next stage.
+
+    Texts may be of any length, and documents may have columns of any other names, which stages before the last carry.
+    No documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
