@@ -86,6 +86,22 @@ class Store:
         """One more than the largest id."""
         return (self.read(table).agg(F.max("id")).first()[0] or 0) + 1
 
+    def lock(self, name: str) -> bool:
+        """Take the lock of a name, if nobody has it: the creation of a file that must not exist decides."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_locks/{name}")
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            store.create(path, False).close()
+        except Exception:  # whatever the file system raises for a file that exists
+            if not store.exists(path):
+                raise
+            return False
+        return True
+
+    def unlock(self, name: str) -> None:
+        """Give a lock back."""
+        tables.remove(self.spark, f"{self.root}/_locks/{name}")
+
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         fields = self.spark.createDataFrame([], self.schemas[table]).schema.fields
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from strata import cli
 from strata.functions import edits
 from strata.functions import text as T
 from strata.operators import catalog, code, gateway, indexing, learnings, notes
@@ -199,3 +200,17 @@ def test_gateway(spark):
     with pytest.raises(ValueError, match="Addresses"):
         gateway.refuse_addresses({"a": " HTTPS://x"})
     assert catalog.server_info(spark).first()["engine"] == "spark"
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.py").write_text("def one():\n    pass\n")
+    store = Store.at(spark, str(tmp_path / "store"))
+    run = lambda c: cli.run(spark, c, str(tmp_path / "repo"), store, now=NOW).first()
+    assert run("status")["stale"] and run("index")["added"] == 1 and not run("status")["stale"]
+    assert run("verify")["healthy"] and run("rebuild")["generation"] == 2 and run("stats")["total"] == 0
+    repo = store.read("repositories").first()["repo_id"]
+    assert store.lock(repo) and not store.lock(repo)
+    assert run("index")["skipped"]
+    store.unlock(repo)
+    assert run("index")["unchanged"] == 1
