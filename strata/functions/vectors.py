@@ -24,7 +24,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(fits, dot(a, b) / scale), F.lit(0.0))
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is made once: inside a lambda an expression would be evaluated again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalize(a: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: (x / length).cast("float"))).otherwise(a)
+    return once(a, lambda v: once(norm(v), lambda length: F.when(length > 0, F.transform(v, lambda x: (x / length).cast("float"))).otherwise(v)))
