@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, media, mixing, packing, pii, quality, secrets, sharding, substrings
+from . import importance, jaccard, licenses, media, mixing, packing, pii, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op12_importance": importance.op12_importance,
     "quality_policies": quality.quality_policies,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op6_licenses": licenses.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "op12_importance": importance.OP12_SQL,
     "quality_policies": quality.QUALITY_POLICIES_SQL,
 }
