@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, jaccard, licenses, media, mixing, packing, pii, quality, secrets, sharding, substrings
+from . import importance, jaccard, licenses, media, mixing, packing, pii, quality, secrets, sharding, substrings, wavelet
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_jaccard": jaccard.op10_jaccard,
     "op12_importance": importance.op12_importance,
+    "op13_search": wavelet.op13_search,
     "quality_policies": quality.quality_policies,
 }
 ORACLE_SQL = {
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op7_quality": quality.OP7_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
     "op12_importance": importance.OP12_SQL,
+    "op13_search": wavelet.OP13_SQL,
     "quality_policies": quality.QUALITY_POLICIES_SQL,
 }
