@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, jaccard, licenses, media, mixing, packing, pii, quality, secrets, sharding, substrings, wavelet
+from . import importance, jaccard, licenses, media, mixing, packing, pages, pii, quality, secrets, sharding, substrings, wavelet
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_pages": pages.op11_pages,
     "op12_importance": importance.op12_importance,
     "op13_search": wavelet.op13_search,
     "quality_policies": quality.quality_policies,
