@@ -1,4 +1,4 @@
-"""Declarations and metrics of source code, found by pattern: no compiler runs here, so results approximate one."""
+"""Declarations, metrics and references of source code, from its tokens: no compiler runs here, so results approximate one."""
 
 from __future__ import annotations
 
@@ -6,132 +6,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_NAME = r"([\p{L}_$][\w$]*)"
-
-
-def _line(modifiers: tuple[str, ...], kinds: tuple[str, ...], between: str = "") -> str:
-    """A declaration on a line: any modifiers, a kind, what may stand before the name, the name."""
-    before = r"(?:(?:" + "|".join(modifiers) + r")\s+)*" if modifiers else ""
-    return rf"^\s*{before}({'|'.join(kinds)})\s+{between}{_NAME}"
-
-
-#: Declarations by language, from their grammars.
-DECLARED = {
-    "python": _line(("async",), ("class", "def")),
-    "typescript": _line(("export", "default", "declare", "abstract", "async"), ("class", "interface", "enum", "namespace", "type", "function", "const", "let", "var"), r"(?:\*\s*)?"),
-    "javascript": _line(("export", "default", "async"), ("class", "function", "const", "let", "var"), r"(?:\*\s*)?"),
-    "go": _line((), ("func", "type", "const", "var"), r"(?:\([^)]*\)\s*)?"),
-    "rust": _line((r"pub(?:\s*\([^)]*\))?", "default", "async", "unsafe", r"extern(?:\s+\"[^\"]*\")?", r"const(?=\s+(?:unsafe\s+)?fn\b)"), ("fn", "struct", "enum", "union", "trait", "impl", "mod", "type", "const", "static"), r"(?:mut\s+)?(?:<[^>]*>\s*)?"),
-    "java": _line(("public", "protected", "private", "static", "final", "abstract", "sealed", "non-sealed", "strictfp"), ("class", "interface", "@interface", "enum", "record")),
-    "kotlin": _line(("public", "internal", "protected", "private", "open", "final", "abstract", "sealed", "data", "inner", "value", "override", "suspend", "inline", "operator", "infix", "tailrec", "const", "lateinit", "companion"), ("class", "interface", "object", "fun", "val", "var", "typealias"), r"(?:<[^>]*>\s*)?(?:[\w.]+\.)?"),
-    "csharp": _line(("public", "internal", "protected", "private", "static", "abstract", "sealed", "partial", "readonly", "ref", "file", "unsafe", "new"), ("class", "interface", "struct", "enum", "record(?:\\s+(?:class|struct))?", "delegate\\s+[\\w.<>\\[\\]?]+", "namespace")),
-}
-#: What a kind is called, where it is not its own word.
-KINDS = {"def": "function", "fn": "function", "func": "function", "fun": "function", "const": "constant", "let": "constant", "var": "constant", "val": "constant", "static": "constant"}
-#: C# methods: modifiers, a type, a name, a list of parameters, and a body or an arrow on the line or after it.
-_METHOD = r"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|internal|protected|private|static|virtual|override|abstract|sealed|async|partial|extern|unsafe|new)\s+)+(?:[\w.<>\[\],?]+\s+)?" + _NAME + r"\s*(?:<[^>]*>)?\s*\("
-#: Lines after a declaration that a block without an opening brace may take to begin.
-OPENS_WITHIN = 3
-
-
-def _declared(language: Column, line: Column) -> tuple[Column, Column]:
-    """(kind, name) that a line declares; both are empty for none."""
-    kind = name = F.lit("")
-    for lang, shape in DECLARED.items():
-        hit = language == lang
-        kind, name = F.when(hit, F.regexp_extract(line, shape, 1)).otherwise(kind), F.when(hit, F.regexp_extract(line, shape, 2)).otherwise(name)
-    method = F.when((language == "csharp") & (name == "") & ~F.regexp_like(line, F.lit(r"^\s*(?:return|new|else|throw|await|using)\b")), F.regexp_extract(line, _METHOD, 1)).otherwise("")
-    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    word = F.regexp_extract(kind, r"^(@?\w+)", 1)
-    return F.when(method != "", "method").otherwise(F.coalesce(F.element_at(kinds, word), word)), F.when(method != "", method).otherwise(name)
-
-
-def _plain(line: Column) -> Column:
-    """A line without strings and what a comment says, for counting."""
-    return F.regexp_replace(F.regexp_replace(line, r"\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'", "\"\""), r"//.*$", "")
-
-
-def block_end(lines: Column, at: Column, language: Column) -> Column:
-    """The last line, from 1, of the block that the line at place ``at`` (from 0) opens.
-
-    In Python, what is indented deeper; elsewhere up to where braces are even again. A declaration that ends in a
-    semicolon, or without a brace on its own or the next lines, ends on its line.
-    """
-    rest = F.slice(lines, at + 1, F.size(lines))
-    indent = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" \t")))
-    own = indent(F.element_at(rest, 1))
-    after = F.transform(rest, lambda x, i: F.when((i > 0) & (F.trim(x) != "") & (indent(x) <= own), i))
-    dedent = F.array_min(after)
-    python = at + F.coalesce(dedent, F.size(rest))
-
-    def step(a: Column, x: Column) -> Column:
-        depth = a["depth"] + F.regexp_count(_plain(x), F.lit(r"\{")) - F.regexp_count(_plain(x), F.lit(r"\}"))
-        opened = a["opened"] | F.contains(_plain(x), F.lit("{"))
-        ended = ~opened & ((a["n"] + 1 > OPENS_WITHIN) | ((a["n"] == 0) & F.regexp_like(x, F.lit(r";\s*$"))))
-        last = F.when(a["end"].isNotNull(), a["end"]).when(opened & (depth <= 0), a["n"] + 1).when(ended, F.lit(1))
-        return F.struct(depth.alias("depth"), opened.alias("opened"), (a["n"] + 1).alias("n"), last.cast("int").alias("end"))
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("end"))
-    braces = at + F.aggregate(rest, start, step, lambda a: F.coalesce(a["end"], F.lit(1)))
-    return F.when(language == "python", python).otherwise(braces)
-
+from ..sources import tables
+from . import scanner
 
 def symbols(files: DataFrame, key: str = "path", text: str = "text", language: str = "language") -> DataFrame:
-    """(key, name, kind, container, signature, doc, start_line, end_line) of declarations, line by line.
+    """(key, name, kind, container, scope, signature, doc, start_line, start_column, end_line, complexity, nesting) of declarations.
 
-    container is the innermost declaration of another line whose block holds this one; doc is a comment right above.
-    Each text is handled in its row.
+    container is the innermost declaration whose block holds this one, scope the names of all of them, doc a comment right
+    above. Each file is scanned once, in its row, in time linear in it.
     """
-    lines = F.split(F.col(text), "\r?\n", -1)
-    known = files.where(F.col(language).isin(*DECLARED)).select(key, F.col(language).alias("_language"), lines.alias("_lines"))
-    kind, name = _declared(F.col("_language"), F.col("line"))
-    rows = known.select(key, "_language", "_lines", F.posexplode("_lines").alias("_at", "line")).withColumn("kind", kind).withColumn("name", name).where("name <> ''")
-    above = F.when(F.col("_at") > 0, F.element_at("_lines", F.col("_at")))
-    doc = F.nullif(F.trim(F.regexp_extract(above, r"^\s*(?:///?|#|\*|/\*\*?)\s*(.*?)\s*(?:\*/)?$", 1)), F.lit(""))
-    rows = rows.withColumn("end_line", block_end(F.col("_lines"), F.col("_at"), F.col("_language")).cast("int"))
-    rows = rows.select(key, "name", "kind", F.trim("line").alias("signature"), doc.alias("doc"), (F.col("_at") + 1).alias("start_line"), "end_line")
-    listed = F.sort_array(F.collect_list(F.struct("start_line", "end_line", "name")).over(Window.partitionBy(key)))
-    holding = F.filter(listed, lambda o: (o["start_line"] < F.col("start_line")) & (o["end_line"] >= F.col("end_line")))
-    return rows.withColumn("container", F.when(F.size(holding) > 0, F.element_at(holding, -1)["name"]))
-
-
-#: What adds a way through a method: branches, loops, cases, handlers, conditions, and operators that may not evaluate their right side.
-BRANCHES = r"\b(?:if|for|foreach|while|catch|case|when|elif|except)\b|&&|\|\||\?\?(?!=)|\?\.|\?(?![?.:\]>)])(?=\s)|\b(?:and|or)\b"
-_NESTS = r"\b(?:if|for|foreach|while|do|switch|try|using|lock)\b"
-
-
-def complexity(body: Column) -> Column:
-    """Cyclomatic complexity of a method's text: one, and one for each branch."""
-    plain = F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?\*/", " "), r"(?m)//.*$|\"(?:[^\"\\\\\n]|\\\\.)*\"", " ")
-    return 1 + F.regexp_count(plain, F.lit(BRANCHES))
-
-
-def nesting(body: Column) -> Column:
-    """The deepest nesting of statements with a block of their own, by braces, within a method's text."""
-    lines = F.split(F.regexp_replace(body, r"(?m)//.*$|\"(?:[^\"\\\\\n]|\\\\.)*\"", " "), "\n", -1)
-
-    def step(a: Column, line: Column) -> Column:
-        nests = F.regexp_like(line, F.lit(_NESTS)) & ~F.regexp_like(line, F.lit(r"\belse\s+if\b"))
-        waiting = a["waiting"] | nests
-        opens, closes = F.regexp_count(line, F.lit(r"\{")), F.regexp_count(line, F.lit(r"\}"))
-        left = F.greatest(F.size(a["open"]) - closes, F.lit(0))
-        held = F.slice(a["open"], F.lit(1), left)
-        held = F.when(opens > 0, F.concat(held, F.array(waiting.cast("int")), F.array_repeat(F.lit(0), F.greatest(opens - 1, F.lit(0))))).otherwise(held)
-        depth = F.aggregate(held, F.lit(0), lambda s, x: s + x)
-        alone = F.when(nests & (opens == 0), depth + 1).otherwise(depth)
-        return F.struct(held.alias("open"), (waiting & (opens == 0)).alias("waiting"), F.greatest(a["most"], alone).alias("most"))
-
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(False).alias("waiting"), F.lit(0).alias("most"))
-    return F.aggregate(lines, start, step, lambda a: a["most"])
+    known = files.where(F.col(language).isin(*scanner.LANGUAGES))
+    return known.select(key, F.explode(scanner.declarations(F.col(text), F.col(language))).alias("s")).select(key, "s.*")
 
 
 def metrics(files: DataFrame, key: str = "path", text: str = "text", language: str = "language") -> DataFrame:
     """(key, name, container, complexity, nesting, lines, start_line) of functions and methods."""
     found = symbols(files, key, text, language).where(F.col("kind").isin("function", "method"))
-    met = found.join(files.select(key, F.split(F.col(text), "\r?\n", -1).alias("_lines")), key)
-    body = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    rows = met.withColumn("_body", body)
-    return rows.select(key, "name", "container", complexity(F.col("_body")).alias("complexity"), nesting(F.col("_body")).alias("nesting"), (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "start_line")
+    return found.select(key, "name", "container", "complexity", "nesting", (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "start_line")
+
+
+def references(files: DataFrame, key: str = "path", text: str = "text", language: str = "language") -> DataFrame:
+    """(path, line, column, name, role, scope, target_path, target, target_line, reach, candidates): where declared names are used,
+    and the declaration of the same language that each use most likely means.
+
+    reach tells how it was found: 0 by its qualifier, which is the type that declares it; 1 in the file, in a scope around the
+    use, the innermost; 2 in the file; 3 in the folder; 4 elsewhere. Of ``candidates`` equals the first by path and line is
+    named. Declarations are brought to one row a key before each join, so no use is multiplied, however frequent its name.
+    """
+    known = files.where(F.col(language).isin(*scanner.LANGUAGES)).select(F.col(key).alias("path"), F.col(language).alias("lang"), F.col(text).alias("text"))
+    folder = F.regexp_extract("path", r"^(.*?)[^/]*$", 1)
+    found = known.select("path", "lang", F.explode(scanner.declarations("text", "lang")).alias("s")).select("path", "lang", folder.alias("folder"), "s.name", "s.container", "s.scope", "s.start_line")
+    found = tables.staged(found.withColumn("full", F.concat_ws(".", F.nullif("scope", F.lit("")), "name")), "declared")
+    uses = known.select("path", "lang", F.explode(scanner.occurrences("text", "lang")).alias("u")).select("path", "lang", folder.alias("folder"), "u.*")
+    uses = uses.join(found.select("lang", "name").distinct(), ["lang", "name"], "left_semi")
+
+    def by(name: str, *keys: str) -> DataFrame:
+        first = F.min(F.struct("path", "start_line", "full"))
+        return found.where(F.col(keys[1]).isNotNull()).groupBy(*keys).agg(F.struct(first.alias("at"), F.count(F.lit(1)).alias("n")).alias(name))
+
+    here = found.groupBy("path", "name").agg(F.collect_list(F.struct("scope", "start_line", "full")).alias("own"))  # one name's in one file
+    rows = uses.join(here, ["path", "name"], "left")
+    typed = by("typed", "lang", "container", "name").withColumnRenamed("container", "qualifier")
+    rows = rows.join(typed, ["lang", "qualifier", "name"], "left").join(by("near", "lang", "folder", "name"), ["lang", "folder", "name"], "left").join(by("far", "lang", "name"), ["lang", "name"], "left")
+    around = lambda d: (d["scope"] == "") | F.concat(F.col("scope"), F.lit(".")).startswith(F.concat(d["scope"], F.lit(".")))
+    best = F.array_max(F.transform("own", lambda d: F.struct(around(d).alias("around"), F.when(around(d), F.length(d["scope"])).otherwise(0).alias("depth"), (-d["start_line"]).alias("up"), d["full"].alias("full"))))
+    rows = rows.withColumn("best", best)
+    other = lambda c: F.struct(F.col(f"{c}.at.path").alias("path"), F.col(f"{c}.at.full").alias("full"), F.col(f"{c}.at.start_line").alias("line"), F.col(f"{c}.n").alias("n"))
+    mine = F.struct(F.col("path"), F.col("best.full").alias("full"), (-F.col("best.up")).alias("line"), F.lit(1).cast("long").alias("n"))
+    reach = F.when(F.col("typed").isNotNull(), 0).when(F.col("best.around"), 1).when(F.col("best").isNotNull(), 2).when(F.col("near").isNotNull(), 3).otherwise(4)
+    target = F.when(F.col("reach") == 0, other("typed")).when(F.col("reach") <= 2, mine).when(F.col("reach") == 3, other("near")).otherwise(other("far"))
+    rows = rows.withColumn("reach", reach).withColumn("t", target)
+    return rows.select("path", "line", "column", "name", "role", "scope", F.col("t.path").alias("target_path"), F.col("t.full").alias("target"), F.col("t.line").alias("target_line"), "reach", F.col("t.n").alias("candidates"))
+
+
+def unused(found: DataFrame, used: DataFrame) -> DataFrame:
+    """Symbols (path, full_name, start_line) that may be reported as unused and that no reference means."""
+    meant = used.select(F.col("target_path").alias("path"), F.col("target_line").alias("start_line"), F.element_at(F.split("target", "[.]"), -1).alias("name")).distinct()
+    return unused_candidates(found).join(meant, ["path", "start_line", "name"], "left_anti")
+
+
+def calls(used: DataFrame) -> DataFrame:
+    """(src, dst, path, line, column): calls inside declarations, as edges of a call graph, a row a site."""
+    return used.where(F.col("role").isin("call", "new") & (F.col("scope") != "")).select(F.concat_ws(":", "path", "scope").alias("src"), F.concat_ws(":", "target_path", "target").alias("dst"), "path", "line", "column")
 
 
 def metric_summary(rows: DataFrame) -> DataFrame:
