@@ -3,10 +3,10 @@
 Tokens are elements, told apart by their path of names and classes, and runs of text between block elements, told apart by
 the path they stand on. A token's occurrence vector over its host's pages is kept as a fingerprint that adds up over tasks,
 so nothing larger than a token's sums is ever gathered. Tokens of one host with equal vectors and support enough are an
-equivalence class; a class of one token is no evidence. Classes are valid if they nest: of two that overlap in part the one
+equivalence class, an element counting as its two tags; a class of one run is no evidence. Classes are valid if they nest: of two that overlap in part the one
 on fewer pages goes. Valid classes, in order of place, are the host's template. Its elements are slots, each with the sums of
 what its runs held: a slot inside an article is content; on hosts without one a slot is content if most of its text is no
-constant run of the template and no link. A run belongs to the deepest slot on its path.
+constant run of the template and no link, and undecided without text. A run belongs to the deepest decided slot on its path.
 
 Words inside a run are not tokens: the main text keeps or drops whole blocks, so they could not change it.
 
@@ -67,6 +67,8 @@ LAYOUT = frozenset("ad ads advert adverts advertisement advertising banner spons
 TALK = frozenset("comment comments discussion replies disqus respond".split())
 
 _DEAD, _LAYOUT, _TALK, _ARTICLE = 1, 2, 4, 8
+#: What a slot is.
+CONTENT, NO_CONTENT, UNDECIDED = 1, 0, -1
 
 _SUMS = ("pages", "occurs", "high", "low", "place", "chars", "links")
 _TOKENS = "host string, path long, token long, flags int, " + ", ".join(f"{c} long" for c in _SUMS)
@@ -272,8 +274,8 @@ def tokens(pages: DataFrame, host: Column, page: Column) -> DataFrame:
         return stage(counted.groupBy("host", "path", "token", "flags").agg(*[F.sum(c).alias(c) for c in _SUMS]), "tokens")
 
 
-def deduce(found: pd.DataFrame, support: float = SUPPORT) -> tuple[list[int], list[bool], list[int]]:
-    """(paths of slots, whether each is content, tokens of constant runs) from the tokens of one host that have support enough.
+def deduce(found: pd.DataFrame, support: float = SUPPORT) -> tuple[list[int], list[int], list[int]]:
+    """(paths of slots, what each is, tokens of constant runs) from the tokens of one host that have support enough.
 
     ``found`` is bounded: tokens on a share of a host's pages are at most its mean number of tokens a page over that share.
     """
@@ -282,7 +284,7 @@ def deduce(found: pd.DataFrame, support: float = SUPPORT) -> tuple[list[int], li
     members["at"] = members.place / members.pages
     classes = []
     for vector, rows in members.groupby(["pages", "occurs", "high", "low"], sort=True):
-        if len(rows) > 1:
+        if len(rows) + (rows.token == ELEMENT).sum() > 1:
             classes.append((vector[0], len(rows), np.sort(rows["at"].to_numpy()), rows))
     classes.sort(key=lambda c: (-c[0], -c[1], c[2][0]))
     valid: list = []
@@ -298,13 +300,13 @@ def deduce(found: pd.DataFrame, support: float = SUPPORT) -> tuple[list[int], li
     slots = template[template.token == ELEMENT]
     article = any(f & _ARTICLE and _live(f) for f in slots["flags"])
 
-    def content(path: int, flags: int) -> bool:
+    def content(path: int, flags: int) -> int:
         if not _live(flags):
-            return False
+            return NO_CONTENT
         if article:
-            return bool(flags & _ARTICLE)
+            return CONTENT if flags & _ARTICLE else NO_CONTENT
         chars, links = (int(sums.chars.get(path, 0)), int(sums.links.get(path, 0)))
-        return chars > 0 and 2 * (chars - int(kept.get(path, 0))) > chars and 2 * links < chars
+        return UNDECIDED if not chars else CONTENT if 2 * (chars - int(kept.get(path, 0))) > chars and 2 * links < chars else NO_CONTENT
 
     return slots.path.tolist(), [content(p, f) for p, f in zip(slots["path"], slots["flags"], strict=True)], constant.token.tolist()
 
@@ -321,38 +323,39 @@ def templates(counted: DataFrame, min_pages: int = MIN_PAGES, support: float = S
     hosts = counted.where(F.col("token") == PAGE).where(F.col("pages") >= min_pages).select("host", F.col("pages").alias("of"))
     often = counted.where((F.col("pages") >= min_pages * support)).join(hosts, "host").where(F.col("pages") >= support * F.col("of"))
 
-    def make(key, found: pd.DataFrame) -> pd.DataFrame:
+    def make(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         slots, content, constant = deduce(found, support)
         return pd.DataFrame({"host": [key[0]], "slots": [slots], "content": [content], "constant": [constant]})
 
-    return often.groupBy("host").applyInPandas(make, "host string, slots array<long>, content array<boolean>, constant array<long>")
+    return often.groupBy("host").applyInPandas(make, "host string, slots array<long>, content array<int>, constant array<long>")
 
 
-def main_text(page: str | None, slots: dict[int, bool], constant: frozenset[int]) -> str:
+def main_text(page: str | None, slots: dict[int, int], constant: frozenset[int]) -> str:
     """The blocks of a page in its host's content slots, one a line; without any, by its own elements."""
     runs, elements = blocks(page or "")
     live = [b for b in runs if _live(b.flags)]
     deepest: dict[int, int | None] = {0: None}
     for e in elements:
-        deepest[e.path] = e.path if e.path in slots else deepest[e.parent]
-    held = [b for b in live if slots.get(deepest[b.path])]
+        deepest[e.path] = e.path if slots.get(e.path, UNDECIDED) != UNDECIDED else deepest[e.parent]
+    kind = lambda b: slots.get(deepest[b.path], UNDECIDED)
+    fits = lambda b: _run_token(b) not in constant and (kind(b) == CONTENT or 2 * b.links < len(b.text))
     if any(b.flags & _ARTICLE for b in live):
         # articles that the template does not have count as much as those it has
         kept = [b for b in live if b.flags & _ARTICLE]
     else:
-        kept = [b for b in held if _run_token(b) not in constant] or [b for b in live if 2 * b.links < len(b.text) and _run_token(b) not in constant] or live
+        kept = [b for b in live if kind(b) != NO_CONTENT and fits(b)] or [b for b in live if fits(b)] or live
     return "\n".join(b.text for b in kept)
 
 
 @lru_cache(256)
-def _template(slots: bytes, content: bytes, constant: bytes) -> tuple[dict[int, bool], frozenset[int]]:
-    return dict(zip(np.frombuffer(slots, np.int64).tolist(), np.frombuffer(content, bool).tolist(), strict=True)), frozenset(np.frombuffer(constant, np.int64).tolist())
+def _template(slots: bytes, content: bytes, constant: bytes) -> tuple[dict[int, int], frozenset[int]]:
+    return dict(zip(np.frombuffer(slots, np.int64).tolist(), np.frombuffer(content, np.int8).tolist(), strict=True)), frozenset(np.frombuffer(constant, np.int64).tolist())
 
 
 @F.arrow_udf(T.StringType())
 def _extracted(page: pa.Array, slots: pa.Array, content: pa.Array, constant: pa.Array) -> pa.Array:
     flat = lambda column, kind: [b"" if v is None else np.array(v, kind).tobytes() for v in column.to_pylist()]
-    rows: Iterator = zip(page.to_pylist(), flat(slots, np.int64), flat(content, bool), flat(constant, np.int64), strict=True)
+    rows: Iterator = zip(page.to_pylist(), flat(slots, np.int64), flat(content, np.int8), flat(constant, np.int64), strict=True)
     return pa.array([main_text(p, *_template(s, c, k)) for p, s, c, k in rows], pa.string())
 
 
