@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import discard, small_batches, stage, table
 from .windows import chunks, word_hashes
 
-#: Postings of a shard: it is closed with the document that reaches them.
+#: Postings of a shard: it is closed with the part of the texts (windows.CHUNK_BYTES, or one longer text) that reaches them.
 SHARD = 1 << 20
 #: Terms of the queries that are searched together; a larger set is searched in blocks of about so many.
 BLOCK_TERMS = 1 << 18
