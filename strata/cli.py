@@ -30,12 +30,10 @@ def run(spark: SparkSession, command: str, folder: str, store: Store, changed_on
     if command == "verify":
         return indexing.verify_index(mine, snapshot, store.read("contents"))
     only = [r["path"] for r in files.git_changes(spark, root).collect()] if changed_only and git else None
-    if not store.lock(repo):
-        return spark.createDataFrame([(repo, "another run is at work")], "repo_id string, skipped string")
-    try:
+    with store.lease(repo) as held:
+        if not held:
+            return spark.createDataFrame([(repo, "another run is at work")], "repo_id string, skipped string")
         return indexing.index_run(store, repo, root, snapshot, now, force=command == "rebuild", only_paths=only, head_sha=files.git_head(root) if git else None)
-    finally:
-        store.unlock(repo)
 
 
 def main(arguments: list[str] | None = None) -> None:

@@ -57,11 +57,58 @@ def run_now(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def decayed(events: DataFrame, key: str, at: str, value: str, as_of, half_life_days: float) -> DataFrame:
-    """(key, total): values halved for each half-life of their age; as a sum it can be kept by adding, which decayed_stream does."""
+    """(key, total): values halved for each half-life of their age; decayed_stream keeps the same from rows as they come."""
     days = F.greatest((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 86400e6, F.lit(0.0))
     return events.groupBy(key).agg(F.sum(F.col(value) * F.pow(F.lit(0.5), days / half_life_days)).alias("total"))
 
 
+#: Parts that decayed_stream leaves before it adds them up.
+PARTS = 32
+
+
+def _sums(rows: DataFrame, key: str, micros, value, ref: int, half_life_days: float) -> DataFrame:
+    """(key, ref, total): values halved for each half-life between their time and ``ref``, which may lie before it."""
+    return rows.groupBy(key).agg(F.sum(value * F.pow(F.lit(0.5), (F.lit(ref) - micros) / 86400e6 / half_life_days)).alias("total")).select(key, F.lit(ref).cast("long").alias("ref"), "total")
+
+
+def decayed_stream(stream: DataFrame, target: str, key: str, at: str, value: str, half_life_days: float, checkpoint: str) -> None:
+    """Keep in ``target`` decayed sums, which decayed_total() gives as of any time.
+
+    A part (key, ref, total) is a sum as of a time of its own. Parts add up once they are brought to one time, in any order,
+    so a batch writes one and reads none; it has the batch's number, so a batch that is given again writes it again.
+    After PARTS of them all before the last are added up. Rows without a time count for nothing.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark, micros = batch.sparkSession, F.unix_micros(F.col(at).cast("timestamp"))
+        last = batch.agg(F.max(micros)).first()[0]
+        if last is None:
+            return
+        _sums(batch.where(F.col(at).isNotNull()), key, micros, F.col(value), last, half_life_days).write.mode("overwrite").parquet(f"{target}/part={number}")
+        before = [p for p in _decayed_parts(spark, target) if p != f"part={number}"]
+        if len(before) >= PARTS:
+            rows = spark.read.parquet(*[f"{target}/{p}" for p in before])
+            _sums(rows, key, F.col("ref"), F.col("total"), last, half_life_days).write.mode("overwrite").parquet(f"{target}/upto={number - 1}")
+            for p in before:
+                tables.remove(spark, f"{target}/{p}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _decayed_parts(spark: SparkSession, target: str) -> list[str]:
+    """The folders that count: the last sum that is complete, and parts after it."""
+    found = {k: [int(n.partition("=")[2]) for n, *_ in tables.listing(spark, target) if n.startswith(f"{k}=") and tables.exists(spark, f"{target}/{n}/_SUCCESS")] for k in ("upto", "part")}
+    top = max(found["upto"], default=-1)
+    return [f"upto={top}"] * (top >= 0) + [f"part={n}" for n in sorted(found["part"]) if n > top]
+
+
+def decayed_total(spark: SparkSession, target: str, key: str, as_of, half_life_days: float) -> DataFrame:
+    """(key, total) of what decayed_stream has kept, as of a time."""
+    now = spark.range(1).select(F.unix_micros(F.lit(as_of).cast("timestamp"))).first()[0]
+    rows = spark.read.parquet(*[f"{target}/{p}" for p in _decayed_parts(spark, target)])
+    return _sums(rows, key, F.col("ref"), F.col("total"), now, half_life_days).select(key, "total")
+
+
 def upsert_stream(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS) -> None:
     """Keep in ``target`` the row of each key that is last in ``order``, whichever batch brought it.
 

@@ -1,4 +1,7 @@
 import datetime as dt
+import hashlib
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from strata import cli
 from strata.functions import edits
 from strata.functions import text as T
 from strata.operators import catalog, code, gateway, indexing, learnings, notes
+from strata.operators import store as store_module
 from strata.operators.store import MIGRATIONS, Store
 from strata.sources import files
 
@@ -57,6 +61,50 @@ def test_index_runs_follow_a_folder(spark, tmp_path):
     assert [indexing.refresh_policy(*x) for x in ((False, 9999), (True, 200), (True, 201))] == ["inline", "inline", "background"]
 
 
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_one_change_writes_little(spark, tmp_path):
+    """What a run writes for one changed file does not grow with the store; a batch that is given again changes nothing."""
+    schema = "path string, size long, modified timestamp, language string, content_hash string, text string"
+
+    def snapshot(n, changed=()):
+        texts = [f"class A{i}:\n    def run{i}(self):\n        return {'9' if i in changed else i}\n" for i in range(n)]
+        return spark.createDataFrame([(f"s/{i}.py", len(t), NOW + dt.timedelta(seconds=int(i in changed)), "python", hashlib.md5(t.encode()).hexdigest(), t) for i, t in enumerate(texts)], schema)
+
+    written = {}
+    for n in (20, 400):
+        root = tmp_path / str(n)
+        store = Store.at(spark, str(root))
+        indexing.index_run(store, "r", "/x", snapshot(n), NOW, searchable=True, batch=("s", 0))
+        before = _bytes(root)
+        run = indexing.index_run(store, "r", "/x", snapshot(n, (3,)), NOW, only_paths=["s/3.py"], searchable=True, batch=("s", 1)).first()
+        written[n] = _bytes(root) - before
+        assert (run["updated"], run["file_count"], store.read("symbols").count()) == (1, n, 2 * n)
+        assert indexing.index_run(store, "r", "/x", snapshot(n, (3, 4)), NOW, searchable=True, batch=("s", 1)).count() == 0
+        symbols, _ = indexing.text_indexes(store)
+        assert symbols.totals()[0] == 2 * n and symbols.bm25("run3", prefix_last=False).count() == 1
+    assert written[400] < 1.3 * written[20]
+
+
+def test_content_that_comes_back(spark, tmp_path):
+    store = Store.at(spark, str(tmp_path))
+    row = lambda t: spark.createDataFrame([("a.py", len(t), NOW, "python", hashlib.md5(t.encode()).hexdigest(), t)] if t else [], "path string, size long, modified timestamp, language string, content_hash string, text string")
+    for text in ("def a(): pass", None, "def a(): pass", "def bb(): pass", "def a(): pass"):
+        indexing.index_run(store, "r", "/x", row(text), NOW, searchable=True)
+        assert store.read("symbols").count() == store.read("contents").count() == store.read("files").count() == (1 if text else 0)
+        assert indexing.text_indexes(store)[0].totals()[0] == (1 if text else 0)
+    log = store._read("files", store._stored("files")).count()
+    assert log == 5
+    store_module.SLACK, kept = 0, store_module.SLACK
+    try:
+        store.put("files", store.read("files"), None, store.next_seq())
+        assert store._read("files", store._stored("files")).count() == 1 == store.read("files").count()
+    finally:
+        store_module.SLACK = kept
+
+
 def test_notes(spark):
     have = spark.createDataFrame([("r", "a/x.py", "h1"), ("r", "b.py", "h2")], "repo_id string, path string, content_hash string")
     inputs = spark.createDataFrame([(1, "r", "OrderService is the door, password=hunter22", ["\\a\\x.py", "gone.py"], [" CI ", "ci", ""]), (2, "r", "other", [], [])], "seq int, repo_id string, note string, files array<string>, tags array<string>")
@@ -210,7 +258,22 @@ def test_commands(spark, tmp_path):
     assert run("status")["stale"] and run("index")["added"] == 1 and not run("status")["stale"]
     assert run("verify")["healthy"] and run("rebuild")["generation"] == 2 and run("stats")["total"] == 0
     repo = store.read("repositories").first()["repo_id"]
-    assert store.lock(repo) and not store.lock(repo)
-    assert run("index")["skipped"]
-    store.unlock(repo)
+    with store.lease(repo) as first, store.lease(repo) as second:
+        assert first and not second
+        assert run("index")["skipped"]
     assert run("index")["unchanged"] == 1
+
+
+def test_lease_of_a_dead_writer(spark, tmp_path):
+    store = Store.at(spark, str(tmp_path / "store"))
+    with store.lease("r", 0.8) as held:
+        time.sleep(1.5)  # it is written anew while it is held
+        with store.lease("r", 0.8) as other:
+            assert held and not other
+    assert store._create(f"{store.root}/_locks/r", "dead")
+    with store.lease("r", 60) as held:
+        assert not held
+    time.sleep(1.2)
+    with store.lease("r", 1.0) as held:
+        assert held and store._owner(f"{store.root}/_locks/r") != "dead"
+    assert store._owner(f"{store.root}/_locks/r") is None
