@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import indexing, learnings, notes, search
+from ..operators import finder, indexing, learnings, notes, search
 from ..operators.store import Store
 from ..sources import files, tables
 from .registry import AS_OF, ORACLE_SQL, QUERIES, bm25_sql, query, redact_sql, words_sql
@@ -92,21 +92,36 @@ def _search_sql(text: str, language: str | None, prefix: str | None, most: int)
     SELECT id, type, path, title, score, row_number() OVER (ORDER BY score DESC, seen)::INT AS place FROM sc ORDER BY place LIMIT {most}"""
 
 
+def _extraction(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A text's first words as its symbol, and its windows of lines; the symbol is the first eight words alone."""
+    words = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
+    first = F.element_at("w", 1)
+    symbols = contents.select("content_hash", words.alias("w")).where(F.size("w") > 0)
+    symbols = symbols.select("content_hash", first.alias("name"), F.array_join(F.slice("w", 1, 3), ".").alias("full_name"), F.lit("opening").alias("kind"), F.array_join(F.slice("w", 1, 8), " ").alias("signature"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lower(first).alias("tokens"), F.lit(None).cast("string").alias("doc"))
+    chunks = indexing.window_chunks(contents, "content_hash").withColumnRenamed("chunk", "text")
+    heading = F.when((F.col("ordinal") == 0) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 3), " "))
+    return symbols, chunks.withColumn("heading", heading).withColumn("tokens", F.lower("heading"))
+
+
+def _indexed(spark, sf_dir) -> Store:
+    """The store of the documents as files, with vectors and feedback; indexed where their present files are not yet."""
+    path = f"{tables.work_folder(spark)}/index/store-{tables.version(spark, sf_dir, 'documents')}-{tables.version(spark, sf_dir, 'events')}"
+    store = Store.at(spark, path)
+    if not tables.exists(spark, f"{path}/_complete"):
+        d = tables.load(spark, sf_dir, "documents").where("text is not null")
+        snapshot = d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.lit(NOW).alias("modified"), F.col("lang").alias("language"), F.md5("text").alias("content_hash"), "text")
+        indexing.index_run(store, "r", "/docs", snapshot, NOW, searchable=True, extraction=_extraction)
+        vectors = tables.load(spark, sf_dir, "embeddings").join(d.select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("content_hash")), "vec_id")
+        store.write("embeddings", vectors.groupBy("content_hash").agg(F.min_by("embedding", "vec_id").alias("vector")).withColumn("ordinal", F.lit(0)).withColumn("model", F.lit("given")))
+        store.write("search_feedback", _feedback(spark, sf_dir).withColumn("repo_id", F.lit("r")).withColumnRenamed("tokens", "query_tokens"))
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/_complete")
+    return store
+
+
 def _search(text: str, language: str | None = None, prefix: str | None = None, most: int = 20):
     def run(spark, sf_dir) -> DataFrame:
-        rows, symbols, chunks = _files(spark, sf_dir), _symbols(spark, sf_dir), _chunks(spark, sf_dir)
-        by = search.Filters(language, prefix)
-        of_symbols = search.search_index(spark, _index(spark, sf_dir, "symbols", _symbols, "symbol_id", search.SYMBOL_FIELDS), text, "symbol_id")
-        of_chunks = search.search_index(spark, _index(spark, sf_dir, "chunks", _chunks, "chunk_id", search.CHUNK_FIELDS), text, "chunk_id")
-        e = tables.load(spark, sf_dir, "embeddings")
-        vectors = e.join(tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("content_hash")), "vec_id")
-        vectors = vectors.groupBy("content_hash").agg(F.min_by("embedding", "vec_id").alias("vector")).withColumn("ordinal", F.lit(0))
-        asked = e.where("vec_id = 0").first()["embedding"]
-        legs = {
-            "exact": search.exact_leg(symbols, rows, text, by, min(most, 10)), "symbols": search.symbol_leg(of_symbols, symbols, rows, by, 2 * most),
-            "text": search.chunk_leg(of_chunks, chunks, rows, text, by, 2 * most), "vector": search.vector_leg(vectors, chunks, rows, asked, by, 2 * most),
-        }
-        found = search.search_code(legs, search.feedback_boosts(_feedback(spark, sf_dir), text, AS_OF), most)
+        asked = tables.load(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+        found = finder.find(_indexed(spark, sf_dir), "r", text, AS_OF, search.Filters(language, prefix), most, asked, "given")
         return found.select("id", "type", "path", "title", "score", "place")
 
     return run, _search_sql(text, language, prefix, most)
@@ -156,6 +171,25 @@ def feedback_boost(spark, sf_dir):
     return search.feedback_boosts(rows, "click home", AS_OF).select("key", F.round("boost", 6).alias("boost"))
 
 
+_BASE = _search_sql("licensed", None, None, 20).rpartition("SELECT id, type")[0]
+
+
+@query(f"""{_BASE.rstrip()}, h AS (SELECT *, row_number() OVER (ORDER BY score DESC, seen) AS p FROM sc), u AS (SELECT id, path FROM h WHERE p = 3),
+n AS (SELECT h.id, h.p, h.seen, round(score + CASE WHEN h.id = u.id THEN 0.012 ELSE 0 END + CASE WHEN h.path = u.path THEN 0.012 ELSE 0 END, 6) AS score FROM h, u)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, seen)::INT AS place FROM n ORDER BY place LIMIT 20""")
+def search_remembered(spark, sf_dir):
+    """A search is remembered, its third hit is noted as useful, and the same search then raises this hit and its path."""
+    store, asked = _indexed(spark, sf_dir), tables.load(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+    repo, first = uuid.uuid4().hex, uuid.uuid4().hex  # a repository of the same files, whose feedback is its own
+    store.put("files", store.read("files").where("repo_id = 'r'").withColumn("repo_id", F.lit(repo)), None, store.next_seq())
+    find = lambda **k: finder.find(store, repo, "licensed", AS_OF, vector=asked, model="given", **k)
+    find(query_id=first)
+    finder.useful(store, first, [3], NOW)
+    found = tables.staged(find().select("id", "score", "place"), "again")
+    indexing.forget_repository(store, repo)
+    return found
+
+
 @query(f"""WITH {_STORE}, ss AS ({bm25_sql("sy", "symbol_id", search.SYMBOL_FIELDS, T.query_terms("that"), True, None, 9)}),
 ex AS (SELECT f.path, sy.*, row_number() OVER (ORDER BY CASE WHEN name = 'that' THEN 0 WHEN starts_with(lower(name), 'that') THEN 1 ELSE 2 END, length(name), full_name, path) AS rank FROM f JOIN sy USING (content_hash) WHERE starts_with(lower(name), 'that') OR starts_with(lower(full_name), 'that') QUALIFY rank <= 30),
 sl AS (SELECT f.path, sy.*, row_number() OVER (ORDER BY score DESC, name, path) AS rank FROM f JOIN sy USING (content_hash) JOIN ss USING (symbol_id) QUALIFY rank <= 30),
@@ -235,6 +269,24 @@ def verify_index(spark, sf_dir):
     return indexing.verify_index(_snapshot(spark, sf_dir, False), _snapshot(spark, sf_dir, True), contents)
 
 
+@query("""WITH b AS (SELECT count(*) FILTER (doc_id % 10 = 1) AS missing, count(*) FILTER (doc_id % 10 = 2) AS mismatched, count(DISTINCT CASE WHEN doc_id % 10 NOT IN (1, 2) THEN md5(text) END) AS good FROM documents)
+SELECT 'broken' AS state, (SELECT count(*) FROM documents) AS checked, missing, mismatched, (SELECT count(DISTINCT md5(text)) FROM documents) AS contents FROM b
+UNION ALL SELECT 'repaired', (SELECT count(*) FROM documents WHERE doc_id % 10 <> 1), 0, 0, (SELECT count(DISTINCT CASE WHEN doc_id % 10 = 2 THEN md5(text || '!') ELSE md5(text) END) FROM documents WHERE doc_id % 10 <> 1) FROM b""")
+def verify_repair(spark, sf_dir):
+    """A store whose files are gone or other than it says, found out and mended: files, contents and text indexes agree again."""
+    d = tables.load(spark, sf_dir, "documents").where("text is not null")
+    now = d.where("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    shot = lambda rows: rows.select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(NOW).alias("modified"), F.col("lang").alias("language"), F.md5("text").alias("content_hash"), "text")
+    store = Store.at(spark, f"{tables.work_folder(spark)}/store-{uuid.uuid4().hex}")
+    indexing.index_run(store, "r", "/docs", shot(d), NOW, searchable=True)
+    n = lambda: store.read("contents").count()
+    out = [("broken", *indexing.repair(store, "r", "/docs", shot(now), NOW).first()[:3], d.select(F.md5("text")).distinct().count())]
+    again = indexing.repair(store, "r", "/docs", shot(now), NOW).first()
+    assert again["healthy"]
+    out.append(("repaired", *again[:3], n()))
+    return spark.createDataFrame(out, "state string, checked long, missing long, mismatched long, contents long")
+
+
 @query("SELECT 0::BIGINT AS missing, 0::BIGINT AS surplus")
 def verify_postings(spark, sf_dir):
     """The stored index of the documents against postings derived from their texts now."""
