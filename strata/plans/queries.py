@@ -135,11 +135,10 @@ def vector_mismatch_zero(spark, sf_dir):
 
 # --- scalars -----------------------------------------------------------------------------------------------------
 
-_SPLIT_ROWS = "GetUserToken user_token HTTPClient2 plain parseXMLFile2x ABC a1b2".split()
+_SPLIT_ROWS = ("closeLedgerBook", "tax_rate", "XYZGraph7", "harbour", "readCSVRow4b", "IBAN", "v3beta")
 
 
-@query("""
-WITH w AS (SELECT unnest(['GetUserToken', 'user_token', 'HTTPClient2', 'plain', 'parseXMLFile2x', 'ABC', 'a1b2']) AS t UNION SELECT DISTINCT replace(p_name, ' ', '_') FROM part),
+@query(f"WITH w AS (SELECT unnest({list(_SPLIT_ROWS)}) AS t UNION" + """ SELECT DISTINCT replace(p_name, ' ', '_') FROM part),
 p AS (SELECT t, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([A-Za-z])([0-9])', '\\1_\\2', 'g'), '([A-Za-z])([0-9])', '\\1_\\2', 'g'), '_'), lambda x: x <> '') AS p FROM w)
 SELECT t AS token, CASE WHEN len(p) > 1 THEN t || ' ' || lower(array_to_string(p, ' ')) ELSE lower(t) END AS words FROM p""".replace("\\\\", "\\"))
 def identifier_split(spark, sf_dir):
