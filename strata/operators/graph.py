@@ -130,3 +130,68 @@ def references(edges: DataFrame, node: Column) -> DataFrame:
 def callers(edges: DataFrame, node: str = "dst", site: str = "site") -> DataFrame:
     """(dst, src, n_sites, sites): callers of each node with their call sites in order."""
     return edges.groupBy(node, "src").agg(F.count(F.lit(1)).alias("n_sites"), F.array_sort(F.collect_list(site)).alias("sites"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes: strongly connected components, each named by its largest node.
+
+    Nodes without a way in or out are components of their own and are trimmed away, again and again. Then the largest name that
+    reaches a node colours it; what reaches the node of that name within its colour is its component. These nodes go, and
+    the rest is trimmed and coloured anew. Every step is a join of what changed, and is written before the next; a round takes as
+    many steps as its longest shortest path, and each round finds a component in every colour.
+    """
+    every = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    rest = tables.staged(edges.where("src <> dst").select("src", "dst").distinct(), "rest")
+    found: list[DataFrame] = []
+    while True:
+        rest = _trimmed(rest)
+        if rest.isEmpty():
+            break
+        colours = _coloured(rest)
+        named = rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        inside = tables.staged(named.where("a = b").select("src", "dst", F.col("a").alias("colour")), "inside")
+        front = tables.staged(colours.where("node = colour").select("node", "colour"), "reached")
+        reached = front
+        while True:
+            back = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            front = tables.staged(back.join(reached.select("node"), "node", "left_anti"), "reached")
+            if front.isEmpty():
+                break
+            reached = reached.unionByName(front)
+        found.append(tables.staged(reached.select("node", F.col("colour").alias("component")), "components"))
+        gone = found[-1].select("node")
+        kept = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        before, rest = rest, tables.staged(kept.select("src", "dst"), "rest")
+        tables.drop(before, inside, colours)
+    if not found:
+        return every.withColumn("component", F.col("node"))
+    return every.join(reduce(DataFrame.unionByName, found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _trimmed(rest: DataFrame) -> DataFrame:
+    """Edges between nodes that have a way in and a way out, when no others are left."""
+    n = rest.count()
+    while n:
+        kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        before, rest = rest, tables.staged(kept.select("src", "dst"), "rest")
+        tables.drop(before)
+        m = rest.count()
+        if m == n:
+            break
+        n = m
+    return rest
+
+
+def _coloured(rest: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that reaches each; only nodes whose colour has changed pass it on."""
+    colours = tables.staged(rest.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+    changed = colours
+    while True:
+        sent = changed.select(F.col("node").alias("src"), "colour").join(rest, "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+        new = colours.join(sent, "node", "left").withColumn("now", F.greatest("colour", "sent"))
+        before, colours = colours, tables.staged(new.select("node", F.col("now").alias("colour"), (F.col("now") > F.col("colour")).alias("changed")), "colours")
+        changed = colours.where("changed")
+        if changed.isEmpty():
+            tables.drop(before)
+            return colours
+        tables.drop(before)

@@ -797,4 +797,4 @@ def decayed_sum(spark, sf_dir):
     return streams.decayed(tables.load(spark, sf_dir, "events"), "user_id", "ts", "value", AS_OF, 30.0).withColumn("total", F.round("total", 6))
 
 
-from . import code_queries, fulltext, knowledge, reference_queries, stream_queries  # noqa: E402, F401  they register theirs
+from . import code_queries, fulltext, join_queries, knowledge, reference_queries, stream_queries  # noqa: E402, F401  they register theirs
