@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ NEAR = 48
 # Token characters, key words, and shapes of well-known credentials.
 _RUN = "[A-Za-z0-9+/_-]"
 _FIRST = rf"(?:(?<!{_RUN})|\G)"
-_KEY = r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)[\"']?\s*+[=:]\s*+[\"']?"
+_KEY = r"(?i:password|passwd|pwd|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key|token)[\"']?\s*+[=:]\s*+[\"']?"
 _VALUE = r"""[^\s"';,\[]{6,}+"""
 _PEM = r"(?s:-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)"
 _KNOWN = r"(?=[Agsxe])(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
@@ -50,12 +51,15 @@ DICTIONARY = (
     "line", "link", "list", "load", "local", "login", "main", "manager", "master", "member", "memory", "message", "method", "mode", "model", "module", "name", "network", "node", "none", "null",
     "number", "object", "option", "order", "output", "package", "page", "parent", "password", "path", "placeholder", "please", "private", "process", "product", "profile", "public", "query", "queue",
     "read", "record", "release", "report", "request", "response", "result", "sample", "search", "secret", "section", "select", "server", "service", "session", "setting", "source", "state", "status",
+    "stop", "store", "stream", "string", "style", "submit", "success", "summary", "support", "symbol", "system", "table", "target", "task", "template", "test", "text", "thread", "time", "title", "token",
+    "total", "track", "transfer", "type", "undefined", "under", "union", "unique", "unit", "update", "upload", "user", "valid", "value", "variable", "vector", "version", "view", "visible", "volume", "wait",
+    "warning", "watch", "weight", "widget", "width", "window", "with", "word", "work", "worker", "wrapper", "write", "year", "your", "zone",
 )
 FOR_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "credential", "bearer")
 AGAINST_WORDS = ("example", "sample", "sha1", "sha256", "md5", "checksum", "hash", "commit", "uuid", "digest", "integrity", "revision", "etag")
 TEST_PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "spec")
 
-FEATURES = ("length", "digits", "uppers", "switches", "letter_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined")
+FEATURES = ("length", "digits", "uppers", "switches", "letter_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined", "classes", "marks")
 
 
 def _any_of(text: Column, listed: tuple[str, ...]) -> Column:
@@ -109,6 +113,8 @@ def features(finding: Column, before: Column, after: Column, path: Column) -> Co
         "known": F.regexp_like(finding, F.lit(f"^(?:{_PEM}|{_KNOWN})")).cast("double"),
         "code": share(r"[(){}<>*.]"),
         "joined": share(r"[/_-](?=[A-Za-z0-9])"),
+        "classes": sum((F.regexp_like(finding, F.lit(p)).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", r"[!@#$%^&~]")), F.lit(0)),
+        "marks": share(r"[!@#$%^&~]"),
     }
     return F.struct(*[out[k].cast("double").alias(k) for k in FEATURES])
 
@@ -145,13 +151,13 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     masked = F.concat(pick("p", ("AKIA", "ghp_", "sk-", "xoxb-")), F.when(F.col("id") % 4 < 2, F.concat(F.upper(F.substring(mixed, F.lit(1), number("mn", 6, 12))), F.lit("EXAMPLE"), pick("mx", ("", "", "KEY", "xxxx")))).otherwise(F.repeat(pick("r", ("x", "0", "X", "a")), 30)))
     known = cases("prefix", {(0,): F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), (1,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), (2,): F.concat(F.lit("sk-"), F.substring(mixed, F.lit(1), number("n", 20, 80))), (3,): F.concat(F.lit("xoxb-"), F.substring(mixed, F.lit(1), number("n", 12, 50))), (4,): F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit("."), F.substring(base62("z", "u"), 1, 40), F.lit("."), F.substring(mixed, 22, 40)), (5,): F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base64, F.lit("\n"), base64, F.lit("\n-----END RSA PRIVATE KEY-----"))})
     password = F.concat(F.substring(mixed, F.lit(1), number("n", 5, 12)), pick("p1", ("!", "", "#", "7", "$9", "9x", "2")), pick("p2", ("", "k4", "Zq", "!", "31")))
-    human = F.concat(pick("h1", ("hunter", "Summer", "correcthorse", "dragon", "Winter", "letmein", "Monkey", "qwerty")), pick("h2", ("", "_", "-", "!")), number("hn", 2, 99999).cast("string"), pick("h3", ("!", "", "#", "$x")))
+    human = F.concat(pick("h1", ("hunter", "Summer", "correcthorse", "dragon", "Winter", "letmein", "Monkey", "qwerty")), pick("h2", ("", "_", "-", "!")), number("hn", 2, 99999).cast("string"), pick("h3", ("!", "", "#", "$x")), pick("h4", ("", "", "", "secret", "pass", "home", "Admin")))
     secret = cases("kind", {(0,): F.substring(hexa, F.lit(1), number("n", 16, 64)), (1, 2): F.substring(mixed, F.lit(1), number("n", 16, 80)), (3, 4): known, (5,): F.substring(base64, F.lit(1), number("bn", 40, 172)), (6,): password, (7,): human})
-    other = cases("kind", {(0,): words, (1,): dashed, (2,): uuid, (3,): F.when(F.col("id") % 8 < 6, digits).otherwise(F.repeat(pick("r", ("x", "0", "ab", "-", "=")), 20)), (4,): F.substring(hexa, F.lit(1), pick("dn", (32, 40, 64))), (5,): parts, (6,): short, (7,): code, (8,): masked, (9,): cases("prefix", {(0, 1): F.substring(hexa, F.lit(1), number("n", 16, 64)), (2, 3): F.substring(mixed, F.lit(1), number("n", 16, 80)), (4,): password, (5,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))})})
+    other = cases("kind", {(0,): words, (1,): dashed, (2,): uuid, (3,): F.when(F.col("id") % 8 < 6, digits).otherwise(F.repeat(pick("r", ("x", "0", "ab", "-", "=")), 20)), (4,): F.when(number("di", 0, 3) == 0, F.concat(pick("ds", ("sha256-", "sha384-", "sha512-")), F.substring(base64, F.lit(1), pick("db", (43, 64, 86))))).otherwise(F.substring(hexa, F.lit(1), pick("dn", (32, 40, 64)))), (5,): parts, (6,): short, (7,): code, (8,): masked, (9,): cases("prefix", {(0, 1): F.substring(hexa, F.lit(1), number("n", 16, 64)), (2, 3): F.substring(mixed, F.lit(1), number("n", 16, 80)), (4,): password, (5,): F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))})})
     base = spark.range(rows).withColumn("label", (F.col("id") % 2).cast("double")).withColumn("kind", F.when(F.col("label") == 1, number("k", 0, 8) % 8).otherwise(number("k", 0, 14)))
     base = base.withColumn("kind", F.when(F.col("kind") > 11, 4).otherwise(F.least("kind", F.lit(9)))).withColumn("prefix", number("pf", 0, 5)).withColumn("place", number("pl", 0, 3))
     signs = (' = "', "=", ": ", ' = "')
-    keys = F.concat(pick("kw", FOR_WORDS[:8]), pick("as", signs))
+    keys = F.when(number("kb", 0, 7) == 0, pick("be", ("Authorization: Bearer ", "authorization: bearer ", "-H 'Authorization: Bearer "))).otherwise(F.concat(pick("kw", FOR_WORDS[:8]), pick("as", signs)))
     names = F.concat(pick("ow", ("aws", "OPENAI", "value", "x", "config", "github", "ACCOUNT", "stripe", "conn", "k")), pick("as", signs))
     prose = pick("pr", ("", "\n", "(", "[", "{", ">", "`", "\t", "we use ", "the value is ", "see ", "login with ", "it was ", "and ", "- "))
     address = F.concat(pick("ur", ("postgres", "https", "redis", "amqp")), F.lit("://"), pick("us", ("admin", "app", "root", "")), F.lit(":"))
@@ -196,6 +202,17 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
     return "(" + " + ".join(votes) + f") / {len(votes)}D"
 
 
+@lru_cache(8)
+def _kept_forest(application: str, rows: int, seed: int) -> str:
+    """The forest of labelled_findings, fitted once in an application: it depends on its parameters alone."""
+    return train(labelled_findings(SparkSession.active(), rows, seed), rows, seed=seed)
+
+
+def default_forest(spark: SparkSession) -> str:
+    """What train() gives for labelled_findings."""
+    return _kept_forest(spark.sparkContext.applicationId, TRAIN_ROWS, SEED)
+
+
 def evaluate(forest: str, labelled: DataFrame, least: float = LEAST) -> tuple[float, float]:
     """(precision, recall) of a forest on labelled findings that it was not trained on."""
     f = features(F.col("finding"), F.col("before"), F.col("after"), F.col("path")).alias("f")
@@ -253,7 +270,7 @@ def find_secrets(docs: DataFrame, forest: str | None = None, path: str = "source
     here on labelled_findings). A null or empty text has an empty array, a null path counts as none, equal rows get
     equal arrays, and no rows give none. An existing column of that name is replaced; all others stay, whatever their names.
     """
-    forest = forest or train(labelled_findings(docs.sparkSession))
+    forest = forest or default_forest(docs.sparkSession)
     docs = docs.drop(name)
     (out,) = fresh(docs, "scan")
     kept = F.filter(out, lambda x: x["score"] >= least)
@@ -267,7 +284,7 @@ def redact_secrets(docs: DataFrame, forest: str | None = None, path: str = "sour
     Null, empty and clean texts stay as they are, repeated rows give repeated rows, no rows give none; texts may be
     of any length, and columns of any other names are carried.
     """
-    forest = forest or train(labelled_findings(docs.sparkSession))
+    forest = forest or default_forest(docs.sparkSession)
     out, done = fresh(docs, "scan", "clean")
     rows = _scanned(docs, forest, path, out)
     clean = F.array_join(F.transform(out, lambda x: F.concat(x["gap"], x["lead"], F.when(x["score"] >= least, "[SECRET]").otherwise(x["finding"]))), "")
