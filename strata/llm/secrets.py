@@ -57,9 +57,10 @@ DICTIONARY = (
 )
 FOR_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "credential", "bearer")
 AGAINST_WORDS = ("example", "sample", "sha1", "sha256", "md5", "checksum", "hash", "commit", "uuid", "digest", "integrity", "revision", "etag")
+FILLERS = ("example", "sample", "dummy", "placeholder", "changeme", "your", "xxxx", "0000", "insert", "sha256-", "sha384-", "sha512-")
 TEST_PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "spec")
 
-FEATURES = ("length", "digits", "uppers", "switches", "letter_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined", "classes", "marks")
+FEATURES = ("length", "digits", "uppers", "switches", "letter_pairs", "distinct", "coverage", "longest_run", "path", "near_for", "near_against", "assigned", "known", "code", "joined", "classes", "marks", "filler")
 
 
 def _any_of(text: Column, listed: tuple[str, ...]) -> Column:
@@ -115,6 +116,7 @@ def features(finding: Column, before: Column, after: Column, path: Column) -> Co
         "joined": share(r"[/_-](?=[A-Za-z0-9])"),
         "classes": sum((F.regexp_like(finding, F.lit(p)).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", r"[!@#$%^&~]")), F.lit(0)),
         "marks": share(r"[!@#$%^&~]"),
+        "filler": _any_of(finding, FILLERS),
     }
     return F.struct(*[out[k].cast("double").alias(k) for k in FEATURES])
 
@@ -163,11 +165,12 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     address = F.concat(pick("ur", ("postgres", "https", "redis", "amqp")), F.lit("://"), pick("us", ("admin", "app", "root", "")), F.lit(":"))
     digest = F.concat(pick("aw", AGAINST_WORDS[2:]), pick("as", (" ", ": ", "=")))
     anywhere = F.when(F.col("place") == 0, keys).when(F.col("place") == 1, names).otherwise(prose)
+    true_anywhere = F.when((F.col("place") == 1) & (number("ta", 0, 3) == 0), address).otherwise(anywhere)
     valued = F.when(F.col("kind") == 0, F.when(F.col("place") > 0, keys).otherwise(names)).when(F.col("place") > 1, keys).otherwise(address)
-    true_before = F.when(F.col("kind").isin(0, 6, 7), valued).otherwise(anywhere)
+    true_before = F.when(F.col("kind").isin(0, 6, 7), valued).otherwise(true_anywhere)
     false_before = cases("kind", {(4,): F.when(F.col("place") == 0, prose).otherwise(digest), (2,): F.when(F.col("place") == 0, keys).otherwise(F.concat(pick("iw", ("id", "uuid", "request", "see")), pick("as", (" ", ": ", "=")))), (6, 7): F.when(F.col("place") == 0, address).otherwise(keys), (9,): F.when(F.col("place") == 0, prose).otherwise(keys)})
     before = F.when(F.col("label") == 1, true_before).otherwise(F.coalesce(false_before, anywhere))
-    after = pick("af", ('" ', " and", "\n", '";', ")", "`", " is the token", " as password", ""))
+    after = F.when(F.contains(before, F.lit("://")), pick("ah", ("@db.internal:5432/app", "@cache.example.com", "@10.0.0.5/x", "@mq.sample.org/q"))).otherwise(pick("af", ('" ', " and", "\n", '";', ")", "`", " is the token", " as password", "")))
     tests = F.concat(pick("pa", ("", "src/", "app/")), pick("pt", ("tests", "test", "docs", "fixtures", "examples", "spec", "mocks", "samples")), pick("pn", ("", "/a.py", "/config.yml")))
     plain = F.concat(pick("pa", ("src", "src1", "src2", "app", "config", "lib")), pick("pn", ("", "/a.py", "/config.yml")))
     path = F.when((F.col("label") == 0) & ((F.col("kind") == 9) | (number("pq", 0, 3) == 0)), tests).otherwise(plain)

@@ -227,6 +227,7 @@ def brute_features(finding, before, after, path):
         "known": None, "code": sum(c in _CODE for c in finding) / n, "joined": sum(a in "/_-" and b.isascii() and b.isalnum() for a, b in pairs) / n,
         "classes": float(sum(any(f(c) for c in finding) for f in ("abcdefghijklmnopqrstuvwxyz".__contains__, "ABCDEFGHIJKLMNOPQRSTUVWXYZ".__contains__, "0123456789".__contains__, "!@#$%^&~".__contains__))),
         "marks": sum(c in "!@#$%^&~" for c in finding) / n,
+        "filler": float(any(w in finding.lower() for w in secrets.FILLERS)),
     }
 
 
@@ -262,7 +263,7 @@ def test_secrets_by_brute_force(spark, forest, texts):
     for path in ("src/main.py", "tests/a.py"):
         got = [[(x["start"], x["end"], x["finding"], x["score"]) for x in r] for r in _found(spark, every, forest, path)]
         assert got == brute_secrets(every, forest, path)
-    assert sum(map(len, got)) > 0
+        assert any(got) or path.startswith("tests")
 
 
 def test_many_findings_of_one_text(spark):
