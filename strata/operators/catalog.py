@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import redact_connection
-from ..sources import tables
+from ..sources import sqlite, tables
 from ..sources.files import capped
 from . import guard
 
@@ -76,6 +76,15 @@ def jdbc_database(alias: str, engine: str, url: str, listed: tuple[str, ...] = (
     return Database(alias, engine, url, names, lambda spark, name: read(spark, dbtable=name))
 
 
+def sqlite_database(alias: str, path: str) -> Database:
+    """A SQLite file, or a folder of files of the same tables, read in ranges of row ids without a driver; keys are the files' own."""
+
+    def names(spark: SparkSession) -> list[tuple[str | None, str, str]]:
+        return [(None, n, "table") for n in sqlite.keys(path)]
+
+    return Database(alias, "sqlite", path, names, lambda spark, name: sqlite.read(spark, path, name))
+
+
 class Registry:
     """Databases by alias, in any case. A single one is the default."""
 
@@ -95,6 +104,8 @@ class Registry:
         alias, kind, where = m.groups()
         if kind == "parquet":
             return self.add(folder_database(alias, where))
+        if kind == "sqlite":
+            return self.add(sqlite_database(alias, where))
         url, _, listed = where.rpartition("?") if kind == "jdbc" else (where, "", "")
         return self.add(jdbc_database(alias, kind, url or where, tuple(listed.split(",")) if url and listed else ()))
 
@@ -161,6 +172,8 @@ def describe(spark: SparkSession, database: Database, table: str, keys: tables.K
 
 
 def _described(spark: SparkSession, database: Database, table: str, keys: tables.Keys | None) -> list[tuple]:
+    if keys is None and database.engine == "sqlite" and not database.connection.startswith("jdbc:"):
+        keys = sqlite.keys(database.connection)
     primary, foreign = (keys or {}).get(table, ((), {}))
     fields = database.load(spark, table).schema.fields
     return [(table, i, f.name, f.dataType.simpleString(), f.nullable, f.name in primary, ".".join(foreign[f.name]) if f.name in foreign else None) for i, f in enumerate(fields, 1)]

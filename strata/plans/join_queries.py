@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ann, graph, ranges
-from ..sources import tables
+from ..operators import ann, catalog, graph, ranges
+from ..sources import sqlite, tables
 from .registry import query
 
 _SPANS = "SELECT s_suppkey, s_acctbal - 40 * (s_suppkey % 9) AS lo, s_acctbal + 300 * (s_suppkey % 4) AS hi FROM supplier"
@@ -74,3 +74,25 @@ def vector_lsh(spark, sf_dir):
 def vector_lsh_recall(spark, sf_dir):
     """Whether the mean recall of the ten nearest is at least 0.9."""
     return vector_lsh(spark, sf_dir).agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("recalled"))
+
+
+def _files(spark, sf_dir) -> str:
+    """The orders as SQLite files in the shared folder; made where the table's present files have none yet."""
+    path = f"{tables.work_folder(spark)}/sqlite-{tables.version(spark, sf_dir, 'orders')}"
+    if not tables.exists(spark, f"{path}/part-00000.sqlite"):
+        rows = tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority")
+        sqlite.write(rows.repartitionByRange(4, "o_orderkey"), path, "orders", "o_orderkey", ("o_custkey",))
+    return path
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS first FROM orders WHERE o_totalprice > 100000 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey IS NOT NULL GROUP BY o_orderstatus")
+def sqlite_orders(spark, sf_dir):
+    """A table of SQLite files, read by ranges of row ids; the filters are SQLite's."""
+    rows = sqlite.read(spark, _files(spark, sf_dir), "orders").where("o_totalprice > 100000 and o_orderpriority in ('1-URGENT', '5-LOW') and o_custkey is not null")
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("first"))
+
+
+@query("SELECT * FROM (VALUES ('orders', 1, 'o_orderkey', 'bigint', true), ('orders', 2, 'o_custkey', 'bigint', false), ('orders', 3, 'o_orderstatus', 'string', false), ('orders', 4, 'o_totalprice', 'double', false), ('orders', 5, 'o_orderdate', 'string', false), ('orders', 6, 'o_orderpriority', 'string', false)) v(\"table\", ordinal, \"column\", type, primary_key)")
+def sqlite_describe(spark, sf_dir):
+    """What the files themselves say of a table's columns and key."""
+    return catalog.describe(spark, catalog.sqlite_database("s", _files(spark, sf_dir)), "orders").select("table", "ordinal", "column", "type", "primary_key")
