@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import tables
 from . import search
 from .notes import file_stem
 
@@ -94,7 +95,7 @@ def record(learnings: DataFrame, inputs: DataFrame) -> DataFrame:
     met = old.join(n, "fingerprint", "full")
     known, told = F.coalesce("_known", F.lit(False)), F.col("n_n").isNotNull()
     last = learnings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
-    fresh = met.where(~known).withColumn("_place", F.row_number().over(Window.orderBy("n_first_seq"))).crossJoin(F.broadcast(last))  # what is new in one call
+    fresh = tables.numbered(met.where(~known), ["n_first_seq"], "_place").crossJoin(F.broadcast(last))  # one row
     longer = lambda c: F.when(F.coalesce(F.length(f"n_{c}"), F.lit(0)) > F.coalesce(F.length(c), F.lit(0)), F.col(f"n_{c}")).otherwise(F.col(c))
     merged = {
         "occurrences": F.col("occurrences") + F.coalesce("n_n", F.lit(0)), "detail": longer("detail"), "evidence": longer("evidence"),
@@ -265,7 +266,7 @@ def create_proposal(records: DataFrame, by: str, as_of: str, default_repo: str,
     rows = rows.withColumn("title", T.redact(title if title is not None else made)).withColumn("rationale", F.array_join(F.concat(F.array(counted), F.col("_lines")), "\n"))
     rows = rows.withColumn("likely_files", F.coalesce("likely_files", F.array().cast("array<string>"))).withColumn("acceptance_criteria", F.array(*[T.redact(F.lit(c.strip())) for c in criteria or ACCEPTANCE]))
     rows = rows.withColumn("prompt", improvement_prompt()).withColumn("status", F.lit("draft")).withColumn("created_at", F.lit(as_of).cast("timestamp")).withColumn("updated_at", F.lit(as_of).cast("timestamp"))
-    return rows.withColumn("id", (F.row_number().over(Window.orderBy(by)) + (first_id - 1)).cast("long")).select("id", by, "status", "target_repo", "title", "rationale", "learning_ids", "likely_files", "acceptance_criteria", "prompt", "corroborations", "created_at", "updated_at")  # one caller's proposals
+    return tables.numbered(rows, [by], "id", first_id).select("id", by, "status", "target_repo", "title", "rationale", "learning_ids", "likely_files", "acceptance_criteria", "prompt", "corroborations", "created_at", "updated_at")
 
 
 ACCEPTANCE = ("The change addresses the records listed above.", "Checks and tests that passed before still pass.", "A person reviews the change before it is merged.")
@@ -362,8 +363,8 @@ def parse_log(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def import_log(learnings: DataFrame, texts: DataFrame, key: str, as_of: str, repo: str | None = None) -> DataFrame:
     """``learnings`` with a log's entries recorded in order; an import again only counts them once more. As record()."""
     rows = parse_log(texts, key)
-    seq = F.row_number().over(Window.orderBy(key, "entry"))  # the entries of the logs that one call names
-    return record(learnings, rows.select(seq.alias("seq"), "outcome", "title", "detail", "category", "tags", F.coalesce("repo", F.lit(repo).cast("string")).alias("repo"), "files", "tool", "provider", F.lit(None).cast("string").alias("model"), "evidence", F.lit("import").alias("source"), F.lit(as_of).cast("timestamp").alias("seen_at")))
+    rows = tables.numbered(rows, [key, "entry"], "seq")
+    return record(learnings, rows.select("seq", "outcome", "title", "detail", "category", "tags", F.coalesce("repo", F.lit(repo).cast("string")).alias("repo"), "files", "tool", "provider", F.lit(None).cast("string").alias("model"), "evidence", F.lit("import").alias("source"), F.lit(as_of).cast("timestamp").alias("seen_at")))
 
 
 def format_entry() -> Column:

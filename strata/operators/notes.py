@@ -9,9 +9,9 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import tables
 from . import indexing, search
 
 USEFUL_BOOST = 0.1
@@ -30,9 +30,8 @@ def remember(inputs: DataFrame, files: DataFrame, as_of: dt.datetime, first_id:
     note = T.redact(F.col("note"))
     rows = inputs.select("seq", "repo_id", note.alias("note"), T.normalize_files(F.col("files")).alias("files"), T.normalize_tags(F.col("tags")).alias("tags"))
     tokens = T.split_identifiers(F.concat_ws(" ", "note", F.array_join(F.transform("files", file_stem), " ")))
-    id_ = F.row_number().over(Window.orderBy("seq")) + (first_id - 1)  # inputs are what one caller wrote
     now = F.lit(as_of).cast("timestamp")
-    rows = rows.withColumn("id", id_.cast("long")).withColumn("tokens", tokens).withColumn("useful_count", F.lit(0).cast("long")).withColumn("created_at", now).withColumn("updated_at", now)
+    rows = tables.numbered(rows, ["seq"], "id", first_id).withColumn("tokens", tokens).withColumn("useful_count", F.lit(0).cast("long")).withColumn("created_at", now).withColumn("updated_at", now)
     return _pinned(rows, files).drop("seq")
 
 

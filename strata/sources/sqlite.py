@@ -171,8 +171,12 @@ def write(rows: DataFrame, folder: str, table: str, key: str | None = None, inde
         con.close()
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():05}.sqlite"
+        task = TaskContext.get()
+        name = f"part-{task.partitionId() if task else 0:05}.sqlite"
         os.replace(path, f"{folder}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "rows": [n]})
 
-    return rows.sparkSession.createDataFrame(kept.mapInArrow(put, "file string, rows long").collect(), "file string, rows long")  # a row a file
+    files = [tuple(r) for r in kept.mapInArrow(put, "file string, rows long").collect()]  # a row a file
+    if not files:  # no partitions: an empty table, which no task has made
+        files = [(r["file"], r["rows"]) for b in put(iter(())) for r in b.to_pylist()]
+    return rows.sparkSession.createDataFrame(files, "file string, rows long")

@@ -6,6 +6,8 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A table's keys, which Parquet cannot hold: its primary key, and for each referring column (table, column).
 Keys = dict[str, tuple[tuple[str, ...], dict[str, tuple[str, str]]]]
@@ -38,8 +40,12 @@ def register(spark: SparkSession, folder: str) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder that driver and executors share: spark.checkpoint.dir; the warehouse where that is unset and all is one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        found = spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/") + "/strata"
 
 
@@ -75,3 +81,17 @@ def drop(*found: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in found:
         remove(df.sparkSession, df.staged_at)
+
+
+def numbered(rows: DataFrame, order: list, name: str, first: int = 1) -> DataFrame:
+    """``rows`` with ``name``: their numbers from ``first``, without gaps, in an order; the columns _part and _before are taken.
+
+    Rows are dealt to ranges of the order and written; each range is numbered by itself and moved on by the sizes of those
+    before it, so no task holds more than a range.
+    """
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_before"))
+    before = F.sum("_before").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn(name, place).join(F.broadcast(starts), "_part").withColumn(name, (F.col(name) + F.col("_before") + (first - 1)).cast("long")).drop("_part", "_before")
