@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..sources import tables
 from . import search
+from .inverted import Index
 from .notes import file_stem
 
 HALF_LIFE_DAYS, FLOOR = 90.0, 0.3
@@ -139,14 +140,18 @@ def filtered(learnings: DataFrame, repo: str | None = None, outcome: str | None
     return rows.where(F.col("last_seen") >= F.lit(since)) if since else rows
 
 
-def query_learnings(learnings: DataFrame, query: str | None = None, most: int = 20, **filters) -> DataFrame:
+#: The fields that are searched, each with weight 1.
+FIELDS = ("title", "detail", "tokens")
+
+
+def query_learnings(learnings: DataFrame, query: str | None = None, most: int = 20, index: Index | None = None, **filters) -> DataFrame:
     """Up to ``most`` records that filters let through, with place: those that a query finds, best first, or the latest.
 
-    BM25 is over title, detail and tokens of all records, whatever the filters.
+    BM25 is over FIELDS of all records, whatever the filters; from ``index``, an index of these fields by id, where there is one.
     """
     rows = filtered(learnings, **filters)
     if query and query.strip():
-        scores = search.bm25(learnings, query, "id", {"title": 1.0, "detail": 1.0, "tokens": 1.0})
+        scores = search.bm25(learnings, query, "id", dict.fromkeys(FIELDS, 1.0)) if index is None else index.bm25(query)
         rows = rows.join(scores.withColumn("score", F.round("score", 6)), "id")
         order = [F.desc("score"), F.col("id")]
     else:
@@ -154,13 +159,13 @@ def query_learnings(learnings: DataFrame, query: str | None = None, most: int =
     return search.ranked(rows, order, max(1, min(most, 200))).withColumnRenamed("rank", "place")
 
 
-def candidates(learnings: DataFrame, task: str | None, repo: str | None, tags: tuple[str, ...] = (), most: int = 8) -> DataFrame:
+def candidates(learnings: DataFrame, task: str | None, repo: str | None, tags: tuple[str, ...] = (), most: int = 8, index: Index | None = None) -> DataFrame:
     """What get_recommendations looks at: four times ``most`` found by the task and tags, then, if these are fewer than
     ``most``, the latest ones that are not among them, of twice ``most``; ``place`` goes on."""
     text = " ".join([task or "", *tags]).strip()
     if not text:
         return query_learnings(learnings, None, most * 4, repo=repo)
-    found = query_learnings(learnings, text, most * 4, repo=repo)
+    found = query_learnings(learnings, text, most * 4, index, repo=repo)
     n = found.agg(F.count(F.lit(1)).alias("_n"))  # one row
     extra = query_learnings(learnings, None, most * 2, repo=repo).join(found.select("id"), "id", "left_anti").crossJoin(F.broadcast(n)).where(F.col("_n") < most)
     return found.unionByName(extra.withColumn("place", F.col("_n").cast("int") + F.col("place")).drop("_n").select(*found.columns))
@@ -200,6 +205,31 @@ def recommend(records: DataFrame, as_of: str, repo: str | None = None, most: int
     return rows.withColumn("place", place).where(F.col("place") <= most)
 
 
+def get_recommendations(learnings: DataFrame, as_of: str, task: str | None = None, repo: str | None = None, tags: tuple[str, ...] = (), most: int = 8, index: Index | None = None) -> DataFrame:
+    """What to do, to avoid and to beware of for a task: (id, advice, title, detail, tool, tags, files, occurrences, useful, confidence,
+    last_seen, conflict, evidence, place), at most ``most`` of each advice.
+
+    Candidates are found first, so their number bounds all that follows. Where some of one title, tool and repository worked
+    and some failed, these come first; then confidence counts, then the order in which the search found the first of each
+    such group, then the latest of it. Records of no repository count for 0.8 where one is asked for.
+    """
+    repo = repo and repo.strip().lower() or None
+    tags = tuple(dict.fromkeys(t.strip().lower() for t in tags if t.strip()))
+    found = tables.staged(candidates(learnings, task, repo, tags, most, index), "candidates")
+    key = F.concat_ws("|", T.normalize_title(F.col("title")), F.lower(F.coalesce("tool", F.lit(""))), F.coalesce("repo", F.lit("")))
+    group = Window.partitionBy("_key")
+    any_ = lambda o: F.max((F.col("outcome") == o).cast("int")).over(group) == 1
+    rows = found.withColumn("_key", key).withColumn("conflict", any_("worked") & any_("failed")).withColumn("_first", F.min("place").over(group))
+    scale = F.lit(1.0) if repo is None else F.when(F.col("repo").isNull(), 0.8).otherwise(1.0)
+    rows = rows.withColumn("confidence", F.bround(confidence(F.col("occurrences"), F.col("useful"), F.col("last_seen"), F.lit(as_of)) * scale, 3))
+    advice = F.when(F.col("outcome") == "worked", "do").when(F.col("outcome") == "failed", "avoid").otherwise("caution")
+    order = Window.partitionBy("advice").orderBy(F.desc("conflict"), F.desc("confidence"), "_first", F.desc("last_seen"), "place")
+    rows = rows.withColumn("advice", advice).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    shown = {"detail": T.truncate(F.col("detail"), 600), "evidence": F.nullif(T.truncate(F.col("evidence"), 300), F.lit(""))}
+    columns = ("id", "advice", "title", "detail", "tool", "tags", "files", "occurrences", "useful", "confidence", "last_seen", "conflict", "evidence", "place")
+    return rows.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in columns])
+
+
 def feedback_summary(feedback: DataFrame, tool: str = "tool", worked: str = "worked", at: str = "at") -> DataFrame:
     """(tool, n_worked, n_failed, last_at)."""
     return feedback.groupBy(tool).agg(F.count_if(F.col(worked)).alias("n_worked"), F.count_if(~F.col(worked)).alias("n_failed"), F.max(at).alias("last_at"))

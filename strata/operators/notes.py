@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import tables
 from . import indexing, search
+from .inverted import Index
 
 USEFUL_BOOST = 0.1
 
 
+#: The fields that are searched, each with weight 1.
+FIELDS = ("note", "tokens")
+
+
 def file_stem(path: Column) -> Column:
     """A path's last part without its extension."""
     return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
@@ -77,16 +82,17 @@ def mark_hits_useful(query: DataFrame, hits: DataFrame, as_of: dt.datetime) -> D
     return one.select("repo_id", "query_tokens", F.explode(both).alias("target"), F.lit(as_of).cast("timestamp").alias("created_at"))
 
 
-def recall(notes: DataFrame, files: DataFrame, repo_id: str, query: str | None = None, tag: str | None = None, most: int = 10) -> DataFrame:
+def recall(notes: DataFrame, files: DataFrame, repo_id: str, query: str | None = None, tag: str | None = None, most: int = 10, index: Index | None = None) -> DataFrame:
     """Notes of a repository that a query finds, or the most useful and latest ones, with place, changed_files and possibly_stale.
 
-    Scores are BM25 over note and tokens of all notes, and USEFUL_BOOST for each vote.
+    Scores are BM25 over note and tokens of all notes, from ``index``, an index of these fields by id, where there is one, and
+    USEFUL_BOOST for each vote.
     """
     rows = notes.where(F.col("repo_id") == repo_id)
     if tag:
         rows = rows.where(F.array_contains("tags", tag.strip().lower()))
     if query and query.strip():
-        scores = search.bm25(notes, query, "id", {"note": 1.0, "tokens": 1.0})
+        scores = search.bm25(notes, query, "id", dict.fromkeys(FIELDS, 1.0)) if index is None else index.bm25(query)
         rows = rows.join(scores, "id").withColumn("score", F.round(F.col("score") + USEFUL_BOOST * F.col("useful_count"), 6))
     else:
         rows = rows.withColumn("score", F.lit(None).cast("double"))

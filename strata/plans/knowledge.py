@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import finder, indexing, learnings, notes, search
+from ..operators.inverted import Index
 from ..operators.store import Store
 from ..sources import files, tables
 from .registry import AS_OF, ORACLE_SQL, QUERIES, bm25_sql, query, redact_sql, words_sql
@@ -350,6 +351,17 @@ def note_recall(spark, sf_dir):
     return found.select("id", "score", "useful_count", "place", F.array_join("changed_files", ",").alias("changed_files"), "possibly_stale")
 
 
+@query(ORACLE_SQL["note_recall"])
+def note_recall_indexed(spark, sf_dir):
+    """What note_recall finds by a scan, from an index of the notes."""
+    rows, have = _notes(spark, sf_dir)
+    voted = notes.mark_notes_useful(rows, tables.load(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("id")), NOW)
+    index = Index(spark, f"{tables.work_folder(spark)}/index/notes-{tables.version(spark, sf_dir, 'conversations')}", "id", notes.FIELDS)
+    index.add(rows, segment="all")
+    found = notes.recall(voted, have, "r", "the license that", " USER ", 25, index)
+    return found.select("id", "score", "useful_count", "place", F.array_join("changed_files", ",").alias("changed_files"), "possibly_stale")
+
+
 @query(f"""WITH {_NOTES}, u AS (SELECT user_id + 1 AS id, count(*) AS votes FROM events GROUP BY 1) SELECT id, coalesce(votes, 0)::BIGINT AS useful_count, row_number() OVER (ORDER BY coalesce(votes, 0) DESC, coalesce(votes, 0) > 0 DESC, id DESC)::INT AS place
 FROM nt LEFT JOIN u USING (id) WHERE id <> 5 ORDER BY place LIMIT 10""")
 def note_recall_useful(spark, sf_dir):
@@ -438,6 +450,33 @@ def learn_candidates(spark, sf_dir):
     return learnings.candidates(_records(spark, sf_dir), "apache", "owner/repo1", ("zebra",), 8).select("id", "place")
 
 
+_CANDIDATES = ORACLE_SQL["learn_candidates"].rpartition("SELECT id, place FROM f UNION ALL")[0].rstrip()
+_CONFIDENCE = f"(1 - 1.0::DOUBLE / (1 + occurrences + useful)) * (0.3 + 0.7 * pow(0.5, greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_seen), 0) / 86400e6 / 90))"
+
+
+@query(_CANDIDATES + f""", c AS (SELECT id, place FROM f UNION ALL SELECT id, (n + place)::INT FROM x, n WHERE n < 8 AND id NOT IN (SELECT id FROM f)),
+k AS (SELECT r.*, place, concat_ws('|', trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), lower(coalesce(tool, '')), coalesce(repo, '')) AS key FROM c JOIN r USING (id)),
+g AS (SELECT *, bool_or(outcome = 'worked') OVER w AND bool_or(outcome = 'failed') OVER w AS conflict, min(place) OVER w AS first, round_even({_CONFIDENCE} * CASE WHEN repo IS NULL THEN 0.8 ELSE 1.0 END, 3) AS confidence,
+CASE outcome WHEN 'worked' THEN 'do' WHEN 'failed' THEN 'avoid' ELSE 'caution' END AS advice FROM k WINDOW w AS (PARTITION BY key))
+SELECT id, advice, title, conflict, confidence, row_number() OVER (PARTITION BY advice ORDER BY conflict DESC, confidence DESC, first, last_seen DESC, place)::INT AS rank FROM g QUALIFY rank <= 8""")
+def learn_recommendations(spark, sf_dir):
+    """A task's recommendations from candidates to advice in one chain; the search reads an index of the records."""
+    rows = _records(spark, sf_dir)
+    index = Index(spark, f"{tables.work_folder(spark)}/index/records-{tables.version(spark, sf_dir, 'conversations')}", "id", learnings.FIELDS)
+    index.add(rows, segment="all")
+    found = learnings.get_recommendations(rows, AS_OF, "apache", " Owner/Repo1", ("Zebra", "zebra "), 8, index)
+    return found.select("id", "advice", "title", "conflict", "confidence", F.col("place").alias("rank"))
+
+
+@query(ORACLE_SQL["learn_query_text"])
+def learn_query_indexed(spark, sf_dir):
+    """What learn_query_text finds by a scan, from an index."""
+    rows = _records(spark, sf_dir)
+    index = Index(spark, f"{tables.work_folder(spark)}/index/records-{tables.version(spark, sf_dir, 'conversations')}", "id", learnings.FIELDS)
+    index.add(rows, segment="all")
+    return learnings.query_learnings(rows, "the license of user", index=index, repo="owner/repo1").select("id", "score", "place")
+
+
 @query(f"WITH {_RECORDS} SELECT id, occurrences, useful + CASE WHEN id IN (101, 102) THEN 1 ELSE 0 END AS useful FROM r WHERE id <> 103")
 def learn_useful_and_forget(spark, sf_dir):
     rows = learnings.mark_learning_useful(_records(spark, sf_dir), [101, 102, 101])
