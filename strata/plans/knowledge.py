@@ -454,7 +454,7 @@ _CANDIDATES = ORACLE_SQL["learn_candidates"].rpartition("SELECT id, place FROM f
 _CONFIDENCE = f"(1 - 1.0::DOUBLE / (1 + occurrences + useful)) * (0.3 + 0.7 * pow(0.5, greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_seen), 0) / 86400e6 / 90))"
 
 
-@query(_CANDIDATES + f""", c AS (SELECT id, place FROM f UNION ALL SELECT id, (n + place)::INT FROM x, n WHERE n < 8 AND id NOT IN (SELECT id FROM f)),
+@query(_CANDIDATES + rf""", c AS (SELECT id, place FROM f UNION ALL SELECT id, (n + place)::INT FROM x, n WHERE n < 8 AND id NOT IN (SELECT id FROM f)),
 k AS (SELECT r.*, place, concat_ws('|', trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), lower(coalesce(tool, '')), coalesce(repo, '')) AS key FROM c JOIN r USING (id)),
 g AS (SELECT *, bool_or(outcome = 'worked') OVER w AND bool_or(outcome = 'failed') OVER w AS conflict, min(place) OVER w AS first, round_even({_CONFIDENCE} * CASE WHEN repo IS NULL THEN 0.8 ELSE 1.0 END, 3) AS confidence,
 CASE outcome WHEN 'worked' THEN 'do' WHEN 'failed' THEN 'avoid' ELSE 'caution' END AS advice FROM k WINDOW w AS (PARTITION BY key))
