@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table, with_rank
+from .common import fresh, stage, table, with_rank
 
 #: A group is scheduled alone if it holds over 1 / (shards * ALONE) of all bytes; so at most shards * ALONE are.
 ALONE = 64
@@ -93,11 +93,15 @@ def assign_shards(rows: DataFrame, n_shards: int, group: str = "digest", size: s
     Groups are scheduled by longest processing time: the driver gets the largest groups one by one (at most
     n_shards * ALONE) and counts by class of size for the others, and answers with rank ranges; neither grows
     with the rows. A group takes the shard of its rank in its class. ``rows`` is read several times and should
-    be staged. Null sizes count as 0 and null groups are a group. No rows give no rows. Other columns stay;
-    shard, slot and names that begin with "_" are replaced.
+    be staged. Null sizes count as 0 and null groups are a group. No rows give no rows; repeated rows are a group and get slots
+    of their own. Other columns stay, whatever their names; existing ones named shard and slot are replaced.
     """
     spark = rows.sparkSession
-    extra = [c for c in rows.columns if c not in ("shard", "slot") and c[:1] != "_"]
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    hidden = [c for c in kept if c[:1] == "_"]  # names like those used here wait under others
+    names = dict(zip(hidden, fresh(rows, *[f"kept_{i}" for i in range(len(hidden))]), strict=True))
+    rows, extra = rows.withColumnsRenamed(names), [names.get(c, c) for c in kept]
+    group, size, order = (names.get(c, c) for c in (group, size, order))
     rows = rows.select(*extra).withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("")))
     groups = rows.groupBy("_g").agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_size"))
     groups = stage(groups.withColumn("_size", F.greatest("_size", F.lit(1))), "shard-groups")
@@ -116,18 +120,21 @@ def assign_shards(rows: DataFrame, n_shards: int, group: str = "digest", size: s
     placed = ranked.select("_g", shard).unionByName(spark.createDataFrame(list(plan.alone.items()), kinds))
     # One key may hold a third of the rows: a plain sort-merge join, whose large partitions Spark splits.
     dealt = stage(rows.join(placed.hint("merge"), "_g"), "shard-rows")
-    return with_rank(dealt, ["shard"], ["_g", order], "slot").select(*extra, "shard", "slot")
+    return with_rank(dealt, ["shard"], ["_g", order], "slot").select(*[F.col(names.get(c, c)).alias(c) for c in kept], "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
-    """Write rows that have a shard and a slot as one folder for each shard, in the order of their slots."""
+    """Write rows that have a shard and a slot as one folder for each shard, in the order of their slots.
+
+    Values, nulls, empty and long texts and repeated rows are written as they are; no rows make a folder without shards.
+    """
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """Documents to shards of nearly equal bytes; equal texts stay together, and a null text counts as an empty one.
 
-    Size: UTF-8 bytes and 1 for the end. Returns doc_id, size, text_crc32, law ("bytes"), shard, slot and
+    Size: UTF-8 bytes and 1 for the end. Repeated rows stay together and get slots of their own, no rows give none. Returns doc_id, size, text_crc32, law ("bytes"), shard, slot and
     grown_shard (null: this law makes no promise on another number of shards).
     """
     text = F.coalesce(F.col("text"), F.lit(""))

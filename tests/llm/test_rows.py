@@ -476,3 +476,15 @@ def test_mixing(spark, docs, empty, sf_dir):
     assert abs(sum(t for _, t in {(r["source_size"], r["target"]) for r in got}) - 1.5 * total) < 1 and len(sizes) == 4
     assert rows(mixing.op5_mixing(spark, sf_dir)) == sorted(map(tuple, got), key=key)
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(empty).count() == 0
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    rows = [(i, f"d{i % 7}", 10 + i % 5, f"x{i}", i * 2, -1) for i in range(60)] + [(None, None, None, "y", None, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, digest string, size long, _g string, _size long, shard int")
+    found = sharding.assign_shards(df, 3)
+    assert found.columns == ["doc_id", "digest", "size", "_g", "_size", "shard", "slot"]
+    got = found.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["_g"], r["_size"]) for r in got if r["doc_id"] is not None) == sorted((False, *r[:1], r[3], r[4]) for r in rows if r[0] is not None)
+    assert len(got) == 61 and all(len({r["shard"] for r in got if r["digest"] == f"d{i}"}) == 1 for i in range(7))
+    under = sharding.assign_shards(df.withColumnsRenamed({"digest": "_d", "size": "_s"}), 3, "_d", "_s")
+    assert sorted((r["_d"] or "", r["shard"], r["slot"]) for r in under.collect()) == sorted((r["digest"] or "", r["shard"], r["slot"]) for r in got)
