@@ -56,9 +56,9 @@ class Index:
         gone = {s for r in rows for s in r["replaces"]}
         return sorted((r for r in rows if r["segment"] not in gone), key=lambda r: r["seq"])
 
-    def totals(self) -> tuple[int, int]:
-        """(rows, words) now."""
-        live = self.segments()
+    def totals(self, live: list[Row] | None = None) -> tuple[int, int]:
+        """(rows, words) now. Here and below, ``live`` is what segments() gives, for callers that have it."""
+        live = self.segments() if live is None else live
         return sum(r["docs"] - r["dead_docs"] for r in live), sum(r["words"] - r["dead_words"] for r in live)
 
     def _part(self, part: str, of: list[Row]) -> DataFrame | None:
@@ -77,9 +77,9 @@ class Index:
         gone = self._part("removed", removers).groupBy(self.key).agg(F.max("seq").alias("_gone"))
         return rows.join(gone, self.key, "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("seq"))).drop("_gone")
 
-    def dictionary(self) -> DataFrame:
+    def dictionary(self, live: list[Row] | None = None) -> DataFrame:
         """(term, df, most) of all terms now: in how many rows it is, and at most how often in one."""
-        found = self._part("dictionary", self.segments())
+        found = self._part("dictionary", self.segments() if live is None else live)
         if found is None:
             return self.spark.createDataFrame([], "term string, df long, most int")
         return found.groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most")).where("df > 0")
@@ -90,9 +90,9 @@ class Index:
         found = self._part("rows", live)
         return None if found is None else self._live(found, live).drop("seq")
 
-    def postings(self, condition: Column) -> DataFrame | None:
+    def postings(self, condition: Column, live: list[Row] | None = None) -> DataFrame | None:
         """(term, key, length, tf, places) of the terms that a condition on ``term`` selects; it reaches the scan."""
-        live = self.segments()
+        live = self.segments() if live is None else live
         found = self._part("postings", live)
         return None if found is None else self._live(found.where(condition), live).drop("seq")
 
@@ -193,7 +193,7 @@ class Index:
 
     # searching -------------------------------------------------------------------------------------------------------
 
-    def expansions(self, query: str, prefix_last: bool = True) -> tuple[list[str], dict[str, int] | None]:
+    def expansions(self, query: str, prefix_last: bool = True, live: list[Row] | None = None) -> tuple[list[str], dict[str, int] | None]:
         """(the query's terms, document frequency of each term of the index that one of them stands for); None for too many.
 
         Only the dictionary is read.
@@ -201,16 +201,16 @@ class Index:
         terms = T.query_terms(query)
         if not terms:
             return [], {}
-        found = self.dictionary().where(_asked(terms, prefix_last)).select("term", "df").limit(LISTED + 1).collect()
+        found = self.dictionary(live).where(_asked(terms, prefix_last)).select("term", "df").limit(LISTED + 1).collect()
         return terms, {r["term"]: r["df"] for r in found} if len(found) <= LISTED else None
 
-    def _found(self, query: str, prefix_last: bool) -> tuple[list[str], dict[str, int] | None, DataFrame | None]:
+    def _found(self, query: str, prefix_last: bool, live: list[Row]) -> tuple[list[str], dict[str, int] | None, DataFrame | None]:
         """(terms, expansions, their live postings with ``phrase``, the place of the query's term that each stands for)."""
-        terms, known = self.expansions(query, prefix_last)
+        terms, known = self.expansions(query, prefix_last, live)
         if not terms or known == {}:
             return terms, known, None
         asked = F.col("term").isin(*sorted(known)) if known is not None else _asked(terms, prefix_last)
-        found = self.postings(asked)
+        found = self.postings(asked, live)
         return terms, known, None if found is None else found.withColumn("phrase", F.explode(_phrases(F.col("term"), terms, prefix_last)))
 
     def _none(self, columns: str) -> DataFrame:
@@ -220,10 +220,11 @@ class Index:
 
     def bm25(self, query: str, weights: dict[str, float] | None = None, prefix_last: bool = True) -> DataFrame:
         """(key, score) as search.bm25() gives with these weights of fields, 1 by default."""
-        _, _, found = self._found(query, prefix_last)
+        live = self.segments()
+        _, _, found = self._found(query, prefix_last, live)
         if found is None:
             return self._none("score double")
-        n_docs, words = self.totals()
+        n_docs, words = self.totals(live)
         chosen = [(weights or {}).get(f, 1.0) for f in self.fields]
         tf = F.col("tf").cast("double") if set(chosen) == {1.0} else F.aggregate("places", F.lit(0.0), lambda a, p: a + _by_field(p, chosen))
         counted = found.withColumn("tf", tf).groupBy(self.key, "length", "phrase").agg(F.sum("tf").alias("tf"))
@@ -236,12 +237,13 @@ class Index:
         The rows of the rarest word are found first; other words' postings are kept of those rows only.
         """
         asked = [w.lower() for w in _words(words)]
-        known = {r["term"]: r["df"] for r in self.dictionary().where(F.col("term").isin(*asked)).collect()} if asked else {}
+        live = self.segments()
+        known = {r["term"]: r["df"] for r in self.dictionary(live).where(F.col("term").isin(*asked)).collect()} if asked else {}
         if not asked or set(asked) - set(known):
             return self._none("hits int, first int")
         rarest = min(known, key=lambda t: (known[t], t))
-        rare = self.postings(F.col("term") == rarest).select(self.key, "term", "places")
-        rest = self.postings(F.col("term").isin(*[t for t in known if t != rarest])) if len(known) > 1 else None
+        rare = self.postings(F.col("term") == rarest, live).select(self.key, "term", "places")
+        rest = self.postings(F.col("term").isin(*[t for t in known if t != rarest]), live) if len(known) > 1 else None
         rows = rare if rest is None else rare.unionByName(rest.select(self.key, "term", "places").join(rare.select(self.key), self.key, "left_semi"))
         lists = rows.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))  # an entry a word asked for
         begin = lambda i, w: F.transform(F.element_at("at", F.lit(w)), lambda p: F.shiftright(p, 4) - i)
@@ -257,7 +259,7 @@ class Index:
         With ``every``, rows with all terms: each least stretch that holds all of them adds the harmonic mean of its matches'
         weights, over one more than the words in it that match nothing. Without, each match alone is such a stretch.
         """
-        terms, _, found = self._found(query, prefix_last)
+        terms, _, found = self._found(query, prefix_last, self.segments())
         if found is None:
             return self._none("score double")
         weight = _by_field(F.col("place"), [CLASSES[classes[f]] for f in self.fields])
