@@ -97,11 +97,12 @@ def assign_shards(rows: DataFrame, n_shards: int, group: str = "digest", size: s
     of their own. Other columns stay, whatever their names; existing ones named shard and slot are replaced.
     """
     spark = rows.sparkSession
-    kept = [c for c in rows.columns if c not in ("shard", "slot")]
-    hidden = [c for c in kept if c[:1] == "_"]  # names like those used here wait under others
-    names = dict(zip(hidden, fresh(rows, *[f"kept_{i}" for i in range(len(hidden))]), strict=True))
-    rows, extra = rows.withColumnsRenamed(names), [names.get(c, c) for c in kept]
-    group, size, order = (names.get(c, c) for c in (group, size, order))
+    extra = [c for c in rows.columns if c not in ("shard", "slot")]
+    hidden = [c for c in extra if c[:1] == "_"]
+    if hidden:  # names like those used here wait under others
+        names = dict(zip(hidden, fresh(rows, *[f"kept_{i}" for i in range(len(hidden))]), strict=True))
+        found = assign_shards(rows.withColumnsRenamed(names), n_shards, *(names.get(c, c) for c in (group, size, order)))
+        return found.withColumnsRenamed({n: c for c, n in names.items()})
     rows = rows.select(*extra).withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("")))
     groups = rows.groupBy("_g").agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_size"))
     groups = stage(groups.withColumn("_size", F.greatest("_size", F.lit(1))), "shard-groups")
@@ -120,7 +121,7 @@ def assign_shards(rows: DataFrame, n_shards: int, group: str = "digest", size: s
     placed = ranked.select("_g", shard).unionByName(spark.createDataFrame(list(plan.alone.items()), kinds))
     # One key may hold a third of the rows: a plain sort-merge join, whose large partitions Spark splits.
     dealt = stage(rows.join(placed.hint("merge"), "_g"), "shard-rows")
-    return with_rank(dealt, ["shard"], ["_g", order], "slot").select(*[F.col(names.get(c, c)).alias(c) for c in kept], "shard", "slot")
+    return with_rank(dealt, ["shard"], ["_g", order], "slot").select(*extra, "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
