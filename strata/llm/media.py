@@ -116,7 +116,8 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     """Write each text (null: empty) as an image into archives in ``folder``; returns the staged list of archives.
 
     Each task writes its own archives under names of its own; the list holds only those of attempts that ended
-    well, so a lost executor leaves at most a file that no list names. A null key is kept as a null.
+    well, so a lost executor leaves at most a file that no list names. A null key is kept as a null. Repeated rows are members
+    of their own, texts of any length are one member each, and no rows give an empty list.
     """
     spark = docs.sparkSession
 

@@ -78,9 +78,10 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Add the measurements, each a long, to documents. A null text has no words, lines or symbols.
+    """Add the measurements, each a long, to documents. A null or empty text has no words, lines or symbols.
 
-    One pass, row by row, without a shuffle; all of a text is read. An existing column of the same name is replaced.
+    One pass, row by row, without a shuffle; all of a text is read, however long. Equal rows measure alike, no rows give
+    none. An existing column of the same name is replaced, all others stay.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
@@ -99,7 +100,11 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measurements and ``failed``, a long whose bit i tells that rule i fails; each rule is evaluated once."""
+    """Measurements and ``failed``, a long whose bit i tells that rule i fails; each rule is evaluated once.
+
+    Null and empty texts fail what their zero measurements fail; equal rows fail alike, no rows give none; an existing
+    column named failed is replaced, all others stay.
+    """
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
     failed = bits[0]
     for b in bits[1:]:
@@ -108,7 +113,10 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def apply_policy(rows: DataFrame, policy: Policy = POLICY, base: Policy = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add base_failed and kept to a ledger; no rule is evaluated again. What the base policy rejects is never kept."""
+    """Add base_failed and kept to a ledger; no rule is evaluated again. What the base policy rejects is never kept.
+
+    Equal rows are judged alike, no rows give none; existing columns of these names are replaced.
+    """
     fails = lambda mask: F.col("failed").bitwiseAND(F.lit(mask)) != 0
     return rows.withColumn("base_failed", fails(base.mask(rules))).withColumn("kept", ~fails(base.mask(rules) | policy.mask(rules)))
 
@@ -116,7 +124,8 @@ def apply_policy(rows: DataFrame, policy: Policy = POLICY, base: Policy = BASE,
 def ablations(rows: DataFrame, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: rule, failed (documents that fail it), alone (that only it rejects), kept_without.
 
-    Documents are first counted by their failure bits, at most 2 ** len(rules) rows, so nothing is read again.
+    Documents are first counted by their failure bits, at most 2 ** len(rules) rows, so nothing is read again. Repeated rows
+    count each; of no rows nothing is said.
     """
     counts = rows.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask(rules))).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     named = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, r in enumerate(rules) if r.name in policy.reject])
@@ -136,7 +145,10 @@ def keep_good(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
 
 def write_ledger(docs: DataFrame) -> DataFrame:
-    """The ledger of documents (doc_id, measurements, failed), written to the shared folder: policies and ablations read it, not the texts."""
+    """The ledger of documents (doc_id, measurements, failed), written to the shared folder: policies and ablations read it, not the texts.
+
+    A row for each document, null ids and repeats included; no rows make an empty one.
+    """
     return stage(ledger(docs.select("doc_id", "text")).drop("text"), "ledger")
 
 
@@ -145,7 +157,8 @@ EARLIER = Policy("v0", ("few_words", "repeated_words", "symbols", "repeated_line
 
 
 def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of the policy over one stored ledger: for each rule how many documents fail it, fail it alone, and are kept without it."""
+    """Two versions of the policy over one stored ledger: for each rule how many documents fail it, fail it alone, and are kept without it;
+    null, empty and repeated texts are documents like others, and no documents give no rows."""
     led = write_ledger(table(spark, sf_dir, "documents"))
     rows = None
     for policy in (EARLIER, POLICY):
