@@ -342,13 +342,19 @@ def update_proposals(proposals: DataFrame, changes: DataFrame, as_of: str) -> Da
 
 
 def dispatch_rows(inputs: DataFrame) -> DataFrame:
-    """Rows of dispatches for inputs (id, proposal_id, mode, request_id, external_id, status, detail, created_at): details cut at 4000 and redacted."""
-    return inputs.select(*[T.redact(T.truncate(F.col("detail"), 4000)).alias("detail") if c == "detail" else F.col(c) for c in ("id", "proposal_id", "mode", "request_id", "external_id", "status", "detail", "created_at")])
+    """Rows of dispatches for inputs (id, proposal_id, mode, request_id, external_id, status, detail, created_at and maybe seq): details cut at 4000 and redacted."""
+    kept = ("id", "proposal_id", "mode", "request_id", "external_id", "status", "detail", "created_at", *[c for c in inputs.columns if c == "seq"])
+    return inputs.select(*[T.redact(T.truncate(F.col("detail"), 4000)).alias("detail") if c == "detail" else F.col(c) for c in kept])
 
 
 def dispatch_status(proposals: DataFrame, dispatches: DataFrame) -> DataFrame:
-    """(id, status, n_dispatches, last_mode, last_status) of each proposal."""
-    last = dispatches.groupBy(F.col("proposal_id").alias("id")).agg(F.count(F.lit(1)).alias("n_dispatches"), F.max_by(F.struct("mode", "status"), F.struct("created_at", "id")).alias("l"))
+    """(id, status, n_dispatches, last_mode, last_status) of each proposal.
+
+    The last is that of the latest time, then of the largest id. Where ids repeat, ``dispatches`` should have ``seq``, a
+    number: of equal times and ids, the row of the smallest counts.
+    """
+    first = [-F.col("seq")] if "seq" in dispatches.columns else []
+    last = dispatches.groupBy(F.col("proposal_id").alias("id")).agg(F.count(F.lit(1)).alias("n_dispatches"), F.max_by(F.struct("mode", "status"), F.struct("created_at", "id", *first)).alias("l"))
     return proposals.select("id", "status").join(last, "id", "left").select("id", "status", F.coalesce("n_dispatches", F.lit(0)).alias("n_dispatches"), F.col("l.mode").alias("last_mode"), F.col("l.status").alias("last_status"))
 
 

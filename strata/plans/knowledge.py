@@ -548,8 +548,8 @@ def update_proposal_status(spark, sf_dir):
 @query(f"""WITH d AS (SELECT l_orderkey AS id, count(*) AS n, arg_max(l_shipmode, (l_shipdate, l_linenumber)) AS m FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 'webhook' ELSE 'dry-run' END AS l_shipmode FROM lineitem) GROUP BY 1)
 SELECT o_orderkey AS id, {_STATUS} AS status, coalesce(n, 0) AS n_dispatches, m AS last_mode FROM orders LEFT JOIN d ON d.id = o_orderkey""")
 def dispatch_status(spark, sf_dir):
-    li = tables.load(spark, sf_dir, "lineitem")
-    rows = learnings.dispatch_rows(li.select(F.col("l_linenumber").cast("long").alias("id"), F.col("l_orderkey").alias("proposal_id"), F.when(F.col("l_returnflag") == "R", "webhook").otherwise("dry-run").alias("mode"), F.lit("q").alias("request_id"), F.lit(None).cast("string").alias("external_id"), F.col("l_linestatus").alias("status"), F.lit("sent").alias("detail"), F.col("l_shipdate").alias("created_at")))
+    li = tables.placed(tables.load(spark, sf_dir, "lineitem"), "seq")
+    rows = learnings.dispatch_rows(li.select("seq", F.col("l_linenumber").cast("long").alias("id"), F.col("l_orderkey").alias("proposal_id"), F.when(F.col("l_returnflag") == "R", "webhook").otherwise("dry-run").alias("mode"), F.lit("q").alias("request_id"), F.lit(None).cast("string").alias("external_id"), F.col("l_linestatus").alias("status"), F.lit("sent").alias("detail"), F.col("l_shipdate").alias("created_at")))
     return learnings.dispatch_status(_orders(spark, sf_dir), rows).drop("last_status")
 
 
