@@ -169,16 +169,21 @@ def unplanes(data: bytes, kind) -> np.ndarray:
 
 
 def _gaps(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as gaps of a byte; 255 goes on."""
+    """Sorted distinct numbers by their gaps. A first byte tells how: 0, gaps of a byte, where 255 goes on; 1, compressed planes of
+    wider ones, for cells that lie far apart."""
     gap = np.diff(cells, prepend=0)
+    if len(gap) and cells[-1] >= 128 * len(gap):
+        return b"\1" + planes(gap.astype("<u4"))
     more = gap // 255
     out = np.full(int(more.sum()) + len(gap), 255, np.uint8)
     out[np.cumsum(more + 1) - 1] = gap % 255
-    return out.tobytes()
+    return b"\0" + out.tobytes()
 
 
 def _ungaps(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint8)
+    if data[0]:
+        return np.cumsum(unplanes(data[1:], "<u4"), dtype=np.int64)
+    gaps = np.frombuffer(data, np.uint8, offset=1)
     return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
