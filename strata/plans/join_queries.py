@@ -16,8 +16,9 @@ _SPANS = "SELECT s_suppkey, s_acctbal - 40 * (s_suppkey % 9) AS lo, s_acctbal +
 def range_join_binned(spark, sf_dir):
     """Customers whose balance lies in a supplier's range; ranges are of many widths, some empty."""
     s = tables.load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 40 * (F.col("s_suppkey") % 9)).alias("lo"), (F.col("s_acctbal") + 300 * (F.col("s_suppkey") % 4)).alias("hi"))
-    met = ranges.range_join(tables.load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal", "lo", "hi")
-    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.min("c_custkey").alias("first"))
+    c = tables.load(spark, sf_dir, "customer").select("c_acctbal", F.lit(1).cast("long").alias("n"), F.col("c_acctbal").alias("total"), F.col("c_custkey").alias("first"))
+    met = ranges.range_sums(c, s, "c_acctbal", "lo", "hi", ["s_suppkey"], ("n", "total"), ("first",))
+    return met.select("s_suppkey", "n", F.round("total", 2).alias("total"), "first")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events), w AS (SELECT user_id, event_id, t - 3600 * (event_id % 50) AS lo, t AS hi FROM e)
@@ -34,7 +35,8 @@ def overlap_join_binned(spark, sf_dir):
     """Suppliers' ranges and parts' ranges that overlap."""
     s = tables.load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 40 * (F.col("s_suppkey") % 9)).alias("lo"), (F.col("s_acctbal") + 300 * (F.col("s_suppkey") % 4)).alias("hi"))
     p = tables.load(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") - F.col("p_size")).alias("lo2"), (F.col("p_retailprice") + 5 * F.col("p_size")).alias("hi2"))
-    return ranges.overlap_join(s, p, "lo", "hi").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
+    p = p.select("lo2", "hi2", F.lit(1).cast("long").alias("n"), F.col("p_partkey").alias("first"))
+    return ranges.overlap_sums(s, p, "lo", "hi", ["s_suppkey"], ("n",), ("first",))
 
 
 _TRADE = """t AS (SELECT c_nationkey AS k, 'c' || o_custkey AS c, 's' || l_suppkey AS s, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey),
