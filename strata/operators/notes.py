@@ -74,12 +74,21 @@ def mark_hits_useful(query: DataFrame, hits: DataFrame, as_of: dt.datetime) -> D
 
     A target that names a hit, by id or path, gives a row for both; another gives one for itself.
     """
-    known = query.select("repo_id", "query_tokens", F.explode_outer("hits").alias("h"))
-    met = hits.select("target").distinct().crossJoin(F.broadcast(query.select("repo_id", "query_tokens")))  # a query is one row
-    found = met.join(known.select(F.col("h.id").alias("i"), F.col("h.path").alias("p")), (F.col("target") == F.col("i")) | (F.col("target") == F.col("p")), "left")
-    one = found.groupBy("repo_id", "query_tokens", "target").agg(F.min_by(F.struct("i", "p"), F.col("i")).alias("hit"))
+    asked = query.select("repo_id", "query_tokens")
+    return mark_rows_useful(asked, query.select(F.explode("hits").alias("h")).select("h.id", "h.path"), hits, as_of)
+
+
+def mark_rows_useful(query: DataFrame, shown: DataFrame, hits: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The same where the hits of the query (repo_id, query_tokens), which is one row, are rows (id, path) of their own: any number.
+
+    Names are looked up by equal joins, ids and paths in one; of several hits of a name that of the least id counts.
+    """
+    pair = F.struct(F.col("id").alias("i"), F.col("path").alias("p"))
+    names = shown.select(F.explode(F.array_distinct(F.array("id", "path"))).alias("target"), "id", pair.alias("hit")).where("target is not null")
+    first = names.groupBy("target").agg(F.min_by("hit", "id").alias("hit"))
+    met = hits.select("target").distinct().join(first, "target", "left")
     both = F.array_distinct(F.when(F.col("hit.i").isNull(), F.array("target")).otherwise(F.array("hit.i", "hit.p")))
-    return one.select("repo_id", "query_tokens", F.explode(both).alias("target"), F.lit(as_of).cast("timestamp").alias("created_at"))
+    return met.select(F.explode(both).alias("target")).crossJoin(F.broadcast(query.select("repo_id", "query_tokens"))).select("repo_id", "query_tokens", "target", F.lit(as_of).cast("timestamp").alias("created_at"))
 
 
 def recall(notes: DataFrame, files: DataFrame, repo_id: str, query: str | None = None, tag: str | None = None, most: int = 10, index: Index | None = None) -> DataFrame:

@@ -382,9 +382,9 @@ def note_repin(spark, sf_dir):
 def mark_hits_useful(spark, sf_dir):
     """Every document was a hit: even ones are marked by path, odd ones by id; what no hit names is marked as it is."""
     d = tables.load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")).withColumn("id", F.concat(F.lit("chunk:"), "path", F.lit(":1")))
-    asked = d.agg(F.collect_list(F.struct("id", "path")).alias("hits")).select(F.lit("r").alias("repo_id"), F.lit("a b").alias("query_tokens"), "hits")
+    asked = spark.createDataFrame([("r", "a b")], "repo_id string, query_tokens string")
     named = d.select(F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.col("id")).alias("target")).unionByName(tables.load(spark, sf_dir, "events").select(F.concat(F.lit("other/"), F.col("user_id").cast("string")).alias("target")))
-    return notes.mark_hits_useful(asked, named, NOW).select("target")
+    return notes.mark_rows_useful(asked, d.select("id", "path"), named, NOW).select("target")
 
 
 # --- records of what worked: a turn of a conversation is one -------------------------------------------------------
