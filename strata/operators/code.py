@@ -33,11 +33,26 @@ def references(files: DataFrame, key: str = "path", text: str = "text", language
     use, the innermost; 2 in the file; 3 in the folder; 4 elsewhere. Of ``candidates`` equals the first by path and line is
     named. Declarations are brought to one row a key before each join, so no use is multiplied, however frequent its name.
     """
-    known = files.where(F.col(language).isin(*scanner.LANGUAGES)).select(F.col(key).alias("path"), F.col(language).alias("lang"), F.col(text).alias("text"))
+    return references_of(scanned(files, key, text, language))
+
+
+def scanned(files: DataFrame, key: str = "path", text: str = "text", language: str = "language") -> DataFrame:
+    """(path, lang, s): what one scan of each file finds, declarations and uses, staged, for what needs both or either twice."""
+    known = files.where(F.col(language).isin(*scanner.LANGUAGES))
+    return tables.staged(known.select(F.col(key).alias("path"), F.col(language).alias("lang"), scanner.everything(F.col(text), F.col(language)).alias("s")), "scanned")
+
+
+def symbols_of(known: DataFrame) -> DataFrame:
+    """symbols() of scanned() files, by path."""
+    return known.select("path", F.explode("s.declared").alias("s")).select("path", "s.*")
+
+
+def references_of(known: DataFrame) -> DataFrame:
+    """references() of scanned() files."""
     folder = F.regexp_extract("path", r"^(.*?)[^/]*$", 1)
-    found = known.select("path", "lang", F.explode(scanner.declarations("text", "lang")).alias("s")).select("path", "lang", folder.alias("folder"), "s.name", "s.container", "s.scope", "s.start_line")
+    found = known.select("path", "lang", F.explode("s.declared").alias("s")).select("path", "lang", folder.alias("folder"), "s.name", "s.container", "s.scope", "s.start_line")
     found = tables.staged(found.withColumn("full", F.concat_ws(".", F.nullif("scope", F.lit("")), "name")), "declared")
-    uses = known.select("path", "lang", F.explode(scanner.occurrences("text", "lang")).alias("u")).select("path", "lang", folder.alias("folder"), "u.*")
+    uses = known.select("path", "lang", F.explode("s.used").alias("u")).select("path", "lang", folder.alias("folder"), "u.*")
     uses = uses.join(found.select("lang", "name").distinct(), ["lang", "name"], "left_semi")
 
     def by(name: str, *keys: str) -> DataFrame:
@@ -128,12 +143,14 @@ def in_scope(found: DataFrame, path: str, line: int, prefix: str = "") -> DataFr
 def resolve(found: DataFrame, name: str) -> str:
     """The one full name that a name stands for: itself, else the one that ends in it, else in any case; several are an error."""
     last = lambda c: (c == name) | c.endswith("." + name)
-    for hit in (F.col("full_name") == name, last(F.col("full_name")), (F.lower("full_name") == name.lower()) | F.lower("full_name").endswith("." + name.lower())):
-        names = [r[0] for r in found.where(hit).select("full_name").distinct().orderBy("full_name").limit(6).collect()]
-        if len(names) == 1:
-            return names[0]
-        if names:
-            raise LookupError(f"{name!r} is ambiguous: {', '.join(names)}")
+    hits = (F.col("full_name") == name, last(F.col("full_name")), (F.lower("full_name") == name.lower()) | F.lower("full_name").endswith("." + name.lower()))
+    way = F.coalesce(*[F.when(hit, i) for i, hit in enumerate(hits)])
+    rows = found.select(way.alias("way"), "full_name").where("way is not null").distinct().orderBy("way", "full_name").limit(6).collect()  # one pass
+    names = [r["full_name"] for r in rows if r["way"] == rows[0]["way"]]
+    if len(names) == 1:
+        return names[0]
+    if names:
+        raise LookupError(f"{name!r} is ambiguous: {', '.join(names)}")
     raise LookupError(f"There is no {name!r}.")
 
 

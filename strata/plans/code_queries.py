@@ -36,7 +36,7 @@ _METRICS = {"size": (2, 1), "make_{}": (4, 1), "load{}": (6, 2), "Size": (4, 2),
 
 def _sources(spark, sf_dir) -> DataFrame:
     """(path, language, text): a source file for each part."""
-    part = tables.load(spark, sf_dir, "part")
+    part = tables.dealt(tables.load(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     no = (F.col("p_partkey") % len(_SOURCES) + 1).cast("int")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), no)
     k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")

@@ -20,7 +20,7 @@ _NOTE = {"csharp": "// note { Part1.M1()\n", "python": "# note Part1.M1( {\n"}
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    part = tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (2 * F.col("p_size") + F.col("p_partkey") % 2).alias("q"))
+    part = tables.dealt(tables.load(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("k"), (2 * F.col("p_size") + F.col("p_partkey") % 2).alias("q"))
     s = lambda c: F.col(c).cast("string")
 
     def text(language: str):
@@ -60,8 +60,9 @@ def code_references(spark, sf_dir):
 @query(f"WITH {_LAYOUT} SELECT path, name, line FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE target_path = d.path AND target_line = d.line AND u.name = d.name)")
 def code_unused(spark, sf_dir):
     """Declarations that nothing refers to."""
-    found = code.symbols(_files(spark, sf_dir)).withColumn("full_name", F.concat_ws(".", F.nullif("scope", F.lit("")), "name"))
-    return code.unused(found, code.references(_files(spark, sf_dir))).select("path", "name", F.col("start_line").alias("line"))
+    known = code.scanned(_files(spark, sf_dir))
+    found = code.symbols_of(known).withColumn("full_name", F.concat_ws(".", F.nullif("scope", F.lit("")), "name"))
+    return code.unused(found, code.references_of(known)).select("path", "name", F.col("start_line").alias("line"))
 
 
 @query(f"WITH {_LAYOUT} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")

@@ -33,6 +33,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` by hash of a key over several tasks a core: for few bytes that much work follows from, which files alone would leave to one task."""
+    return rows.repartition(max(64, 4 * rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def placed(rows: DataFrame, name: str) -> DataFrame:
     """A table as load() gives it with ``name``, a number that grows with a row's place: files by name, rows in their file."""
     files = sorted(rows.inputFiles())
