@@ -23,9 +23,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..sources import tables
 from .search import _phrases, _scored
+from .words import FIELDS, each_term, own_terms
 
-#: Fields that an index can have.
-FIELDS = 16
 #: Expansions of a prefix that are listed in a filter; with more, postings are filtered by the prefix itself.
 LISTED = 1000
 #: Live segments from which on compact() merges, and how many at a time.
@@ -98,23 +97,15 @@ class Index:
 
     # writing ---------------------------------------------------------------------------------------------------------
 
-    def _positions(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """((key, length, terms) of rows, (term, key, length, tf, places) of postings)."""
-        of_field = lambda f, n: F.transform(T.tokens(F.col(f)), lambda w: F.struct(w.alias("term"), F.lit(n).alias("field")))
-        marked = F.concat(*[of_field(f, n) for n, f in enumerate(self.fields)])
-        words = docs.select(self.key, marked.alias("_w"))
-        rows = words.select(self.key, F.size("_w").alias("length"), F.array_distinct(F.transform("_w", lambda x: x["term"])).alias("terms"))
-        at = F.transform("_w", lambda x, i: F.struct(x["term"].alias("term"), ((i + 1 + x["field"]) * FIELDS + x["field"]).cast("int").alias("place")))
-        each = words.select(self.key, F.size("_w").alias("length"), F.explode(at).alias("w")).select("w.term", self.key, "length", "w.place")
-        # ranges of (term, key) hold whole groups of them: one shuffle for grouping and order, and a frequent term is in several files
-        found = each.repartitionByRange("term", self.key).groupBy("term", self.key).agg(F.max("length").alias("length"), F.sort_array(F.collect_list("place")).alias("places"))
-        return rows, found.select("term", self.key, "length", F.size("places").alias("tf"), "places")
-
     def _write(self, part: str, segment: str, rows: DataFrame) -> DataFrame:
         path = f"{self.path}/{part}/segment={segment}"
         rows.write.option("parquet.block.size", _GROUP_BYTES).mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def _ordered(self, postings: DataFrame, held: int) -> DataFrame:
+        """Postings, ``held`` bytes of Parquet, in order of terms; ranges over term and key put a frequent term into several files."""
+        return postings.repartitionByRange(*tables.parts(self.spark, held), "term", self.key).sortWithinPartitions("term", self.key)
+
     def _finish(self, segment: str, row: tuple) -> None:
         kept = Y.StructType(self.spark.createDataFrame([], _STATS).schema.fields[1:])
         self.spark.createDataFrame([row], kept).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment={segment}")
@@ -133,9 +124,11 @@ class Index:
         kind = (added if added is not None else removed).select(self.key).schema[0].dataType.simpleString()
         if added is None:
             added = self.spark.createDataFrame([], ", ".join([f"`{self.key}` {kind}", *[f"`{f}` string" for f in self.fields]]))
-        rows, postings = self._positions(added)
-        rows = self._write("rows", segment, rows.repartitionByRange(self.key).sortWithinPartitions(self.key))
-        postings = self._write("postings", segment, postings.sortWithinPartitions("term", self.key))
+        own = tables.staged(own_terms(added, self.key, dict.fromkeys(self.fields, 1.0), placed=True), "words")
+        rows = self._write("rows", segment, own.select(self.key, "length", "terms"))
+        found = each_term(own, self.key).select("term", self.key, "length", F.size("places").alias("tf"), "places")
+        postings = self._write("postings", segment, self._ordered(found, tables.size(self.spark, own.staged_at)))
+        tables.drop(own)
         counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
         dead, n_removed, dead_docs, dead_words = None, 0, 0, 0
         out = removed.select(self.key).where(F.col(self.key).isNotNull()).distinct() if removed is not None and live else None
@@ -158,8 +151,9 @@ class Index:
         seq = run[-1]["seq"]
         segment = f"m{run[0]['seq']}-{seq}-{len(run)}"
         one = lambda part: self._live(self._part(part, run), run).drop("seq")
-        self._write("rows", segment, one("rows").repartitionByRange(self.key).sortWithinPartitions(self.key))
-        self._write("postings", segment, one("postings").repartitionByRange("term", self.key).sortWithinPartitions("term", self.key))
+        self._write("rows", segment, one("rows"))
+        held = sum(tables.size(self.spark, f"{self.path}/postings/segment={r['segment']}") for r in run)
+        self._write("postings", segment, self._ordered(one("postings"), held))
         counted = self._part("dictionary", run).groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most")).where("df <> 0")
         self._write("dictionary", segment, counted.repartitionByRange("term").sortWithinPartitions("term"))
         removers, n_removed = [r for r in run if r["removed"]], 0

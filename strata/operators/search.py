@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..functions.stem import stem, stems
+from ..functions.stem import stem
 from ..sources import tables
+from .words import each_term, own_terms
 
 #: Fixed values of the ranking contract.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -32,36 +33,39 @@ def _weighted(words: Column, weight: float) -> Column:
 
 
 def postings(docs: DataFrame, key: str, fields: dict[str, float], stemmed: bool = False) -> DataFrame:
-    """(key, term, tf, length): weighted term frequency and the words of all fields, one pass over the texts.
+    """(key, length, term, tf): the words of all fields and weighted term frequency, one pass over the texts and no shuffle.
 
-    ``stemmed`` folds diacritics and stems English terms; each distinct term of a text is stemmed once.
+    ``stemmed`` folds diacritics and stems English terms.
     """
-    text = lambda f: T.fold_marks(F.col(f)) if stemmed else F.col(f)
-    each = F.concat(*[_weighted(T.tokens(text(f)), w) for f, w in fields.items()])
-    rows = docs.select(F.col(key), each.alias("_words")).select(key, F.size("_words").alias("length"), F.explode("_words").alias("w"))
-    counted = rows.groupBy(key, "length", F.col("w.term").alias("term")).agg(F.sum("w.weight").alias("tf"))
-    if stemmed:
-        counted = counted.withColumn("term", stems("term")).groupBy(key, "length", "term").agg(F.sum("tf").alias("tf"))
-    return counted
+    return each_term(own_terms(docs, key, fields, stemmed=stemmed), key)
+
+
+def _write_postings(rows: DataFrame, held: int, path: str, key: str, files: int | None = None) -> None:
+    """Write postings, ``held`` bytes of Parquet, in order of terms."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*((files,) if files else tables.parts(spark, held)), "term", key)
+    ranged.sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/postings")
 
 
 def write_index(docs: DataFrame, path: str, key: str, fields: dict[str, float], stemmed: bool = False, files: int | None = None) -> None:
-    """Write postings in order of terms, and statistics.
+    """Write postings in order of terms, the texts' lengths, and statistics.
 
     Files and row groups hold ranges of terms, so a search reads those of its terms by their footers; a frequent
-    term goes over several files, as the ranges are over term and key.
+    term goes over several files, as the ranges are over term and key. Texts are read once; what is shuffled is a row for
+    each term of a text.
     """
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(_length(fields, stemmed)).alias("mean_length"), F.lit(stemmed).alias("stemmed"))
+    own = tables.staged(own_terms(docs, key, fields, stemmed=stemmed), "words")
+    stats = own.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"), F.lit(stemmed).alias("stemmed"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    rows = postings(docs, key, fields, stemmed)
-    ranged = rows.repartitionByRange(files, "term", key) if files else rows.repartitionByRange("term", key)
-    ranged.sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/postings")
+    own.select(key, "length").write.mode("overwrite").parquet(f"{path}/lengths")
+    _write_postings(each_term(own, key), tables.size(docs.sparkSession, own.staged_at), path, key, files)
+    tables.drop(own)
 
 
-def _length(fields: dict[str, float], stemmed: bool) -> Column:
+def _length(fields: dict[str, float]) -> Column:
     out = F.lit(0)
     for f in fields:
-        out = out + F.size(T.tokens(T.fold_marks(F.col(f)) if stemmed else F.col(f)))
+        out = out + F.size(T.tokens(F.col(f)))
     return out
 
 
@@ -71,16 +75,19 @@ def update_index(spark: SparkSession, path: str, target: str, key: str, removed:
     Only added texts are read; kept postings are copied. Statistics follow from counts and lengths.
     """
     stats = spark.read.parquet(f"{path}/stats").first()
-    old = spark.read.parquet(f"{path}/postings")
-    gone = old.join(removed.select(key).distinct(), key, "left_semi").select(key, "length").distinct()
-    minus = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
-    plus = added.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_length(fields, stats["stemmed"])), F.lit(0)).alias("words")).first()
-    blank = removed.select(key).distinct().count() - minus["n"]  # texts without words have no postings
-    n = stats["n_docs"] - minus["n"] - blank + plus["n"]
+    old, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    out = tables.staged(removed.select(key).distinct(), "removed")
+    own = tables.staged(own_terms(added, key, fields, stemmed=stats["stemmed"]), "words")
+    sums = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+    minus, plus = sums(lengths.join(out, key, "left_semi")), sums(own)
+    n = stats["n_docs"] - minus["n"] + plus["n"]
     words = round((stats["mean_length"] or 0.0) * stats["n_docs"]) - minus["words"] + plus["words"]
     spark.createDataFrame([(n, words / n if n else None, stats["stemmed"])], "n_docs long, mean_length double, stemmed boolean").coalesce(1).write.mode("overwrite").parquet(f"{target}/stats")
-    rows = old.join(removed.select(key).distinct(), key, "left_anti").unionByName(postings(added, key, fields, stats["stemmed"]).select(*old.columns))
-    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{target}/postings")
+    lengths.join(out, key, "left_anti").unionByName(own.select(key, "length")).write.mode("overwrite").parquet(f"{target}/lengths")
+    held = tables.size(spark, f"{path}/postings") + tables.size(spark, own.staged_at)
+    kept = old.join(out, key, "left_anti")
+    _write_postings(kept.unionByName(each_term(own, key).select(*old.columns)), held, target, key)
+    tables.drop(out, own)
 
 
 def search_index(spark: SparkSession, path: str, query: str, key: str, prefix_last: bool = True) -> DataFrame:
@@ -141,9 +148,9 @@ def bm25(docs: DataFrame, query: str, key: str, fields: dict[str, float], prefix
     terms = T.query_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(_length(fields, False)).alias("mean_length"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(_length(fields)).alias("mean_length"))
     each = F.concat(*[_weighted(T.tokens(F.col(f)), w) for f, w in fields.items()])
-    hits = docs.select(F.col(key), _length(fields, False).alias("length"), F.filter(each, lambda w: F.size(_phrases(w["term"], terms, prefix_last)) > 0).alias("ws"))
+    hits = docs.select(F.col(key), _length(fields).alias("length"), F.filter(each, lambda w: F.size(_phrases(w["term"], terms, prefix_last)) > 0).alias("ws"))
     hits = hits.select(key, "length", F.explode("ws").alias("w")).select(key, "length", F.explode(_phrases(F.col("w.term"), terms, prefix_last)).alias("phrase"), "w.weight")
     return _scored(hits.groupBy(key, "length", "phrase").agg(F.sum("weight").alias("tf")), stats, key)
 

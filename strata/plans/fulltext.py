@@ -18,7 +18,8 @@ CLASSES = {"title": "A", "text": "C"}
 
 def _titled(spark, sf_dir) -> DataFrame:
     """The documents with their first five words as title."""
-    words = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
+    begin = F.regexp_extract("text", r"^[^\p{L}\p{N}_]*+((?:[\p{L}\p{N}_]++[^\p{L}\p{N}_]*+){0,5})", 1)  # the rest of a text is not looked at
+    words = F.regexp_extract_all(begin, F.lit(T.TOKEN), F.lit(0))
     return tables.load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, 1, 5), " ").alias("title"), "text")
 
 

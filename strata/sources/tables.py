@@ -89,6 +89,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a table's files in a folder, without those of folders in it."""
+    return sum(length for _, is_folder, length, _ in listing(spark, path) if not is_folder)
+
+
+#: Bytes of Parquet that one task of a shuffle takes: what is packed there is many times larger as rows in memory.
+PART_BYTES = 8 << 20
+
+
+def parts(spark: SparkSession, held: int) -> tuple[int, ...]:
+    """The number of tasks that ``held`` bytes of Parquet are shuffled to, to be put before the columns; none where the session's own are enough.
+
+    So a task's rows fit its memory, and are not spilled, however large the table is.
+    """
+    n = -(-held // PART_BYTES)
+    return (n,) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+
+
 def drop(*found: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in found:
