@@ -72,10 +72,11 @@ def stream_index(spark, sf_dir):
         rows = one if rows is None else rows.unionByName(one)
     at = F.timestamp_seconds(F.col("no") * 60)
     changes = rows.select(F.col("doc_id").cast("string").alias("path"), at.alias("at"), F.col("text").isNull().alias("deleted"), F.length("text").cast("long").alias("size"), at.alias("modified"), F.col("lang").alias("language"), F.md5("text").alias("content_hash"), "text", "no")
-    folder, schema = streams.replayed(changes, 3, F.col("no"))
+    folder, schema = streams.replayed(changes, 3, F.col("no"), files=None)
+    files = sum(name.endswith(".parquet") for name, *_ in tables.listing(spark, folder))
     words = lambda contents: (indexing.extract(contents)[0], indexing.extract(contents)[1].withColumn("tokens", F.lit("")))  # noqa: E731  the texts alone are searched
     kept, whole = (Store.at(spark, f"{folder}-{n}") for n in ("kept", "whole"))
-    indexed.maintain(streams.watch(spark, folder, schema, 1).drop("no"), kept, "r", "/docs", f"{folder}-at", NOW, searchable=True, extraction=words)
+    indexed.maintain(streams.watch(spark, folder, schema, max(1, files // 4)).drop("no"), kept, "r", "/docs", f"{folder}-at", NOW, searchable=True, extraction=words)
     last = changes.where("(no = 0 and int(path) % 5 <> 0 or no = 1) and int(path) % 7 <> 0")
     indexing.index_run(whole, "r", "/docs", last, NOW, searchable=True, extraction=words)
     out = None

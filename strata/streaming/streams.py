@@ -161,9 +161,10 @@ def latest(spark: SparkSession, target: str) -> DataFrame | None:
     return _buckets(spark, target, _state(spark, target)[1])
 
 
-def replayed(rows: DataFrame, parts: int, part, flush: DataFrame | None = None) -> tuple[str, object]:
+def replayed(rows: DataFrame, parts: int, part, flush: DataFrame | None = None, files: int | None = 1) -> tuple[str, object]:
     """(folder, schema) of a table written as files that a stream reads one by one: rows by ``part`` (0 to parts - 1), in the
-    order last part, first, second and so on, then the first once more, then ``flush``. For tests of late and repeated files."""
+    order last part, first, second and so on, then the first once more, then ``flush``. For tests of late and repeated files.
+    Each is ``files`` files; with None as many as its rows come in, so that no task holds them all."""
     import time
 
     spark = rows.sparkSession
@@ -171,6 +172,7 @@ def replayed(rows: DataFrame, parts: int, part, flush: DataFrame | None = None)
     order = [parts - 1, *range(parts - 1), 0]
     pieces = [rows.where(part == p) for p in order] + ([flush] if flush is not None else [])
     for piece in pieces:
-        piece.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+        piece = piece.select(*rows.columns)
+        (piece.coalesce(files) if files else piece).write.mode("append").parquet(folder)
         time.sleep(0.05)  # files are read in order of their times
     return folder, rows.schema
