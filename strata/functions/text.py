@@ -31,9 +31,9 @@ def split_identifiers(text: Column) -> Column:
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
     def parts(word: Column) -> Column:
-        found = F.filter(F.split(word, _BOUNDARY), lambda p: p != "")
-        lowered = F.transform(found, lambda p: F.lower(p))
-        return F.when(F.size(found) > 1, F.concat(F.array(word), lowered)).otherwise(F.array(F.lower(word)))
+        found = F.transform(F.array(F.filter(F.split(word, _BOUNDARY), lambda p: p != "")), lambda f: F.when(F.size(f) > 1, F.concat(F.array(word), F.transform(f, lambda p: F.lower(p)))))
+        # few words have parts, and a split makes its pattern anew for each
+        return F.coalesce(F.when(F.regexp_like(word, F.lit(_BOUNDARY)), found[0]), F.array(F.lower(word)))
 
     return F.array_join(F.flatten(F.transform(words, parts)), " ")
 

@@ -85,7 +85,7 @@ def record(learnings: DataFrame, inputs: DataFrame) -> DataFrame:
     order = F.col("seq")
     given = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
     longest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.length(c), -order)))
-    tags = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tags"))), lambda x: x["tags"])))
+    tags = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "tags"))), lambda x: x["tags"])))
     first = {c: F.min_by(c, order) for c in ("outcome", "category", "title", "repo", "files", "tool", "source")}
     folded = new.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n"), longest("detail").alias("detail"), longest("evidence").alias("evidence"), tags.alias("tags"), F.max_by("tokens", order).alias("tokens"), given("provider").alias("provider"),
@@ -93,7 +93,7 @@ def record(learnings: DataFrame, inputs: DataFrame) -> DataFrame:
     )
     n = folded.select(*[F.col(c).alias("fingerprint" if c == "fingerprint" else f"n_{c}") for c in folded.columns])
     old = learnings.withColumn("_known", F.lit(True))
-    met = old.join(n, "fingerprint", "full")
+    met = tables.staged(old.join(n, "fingerprint", "full"), "recorded")  # what follows, and each table made of it, reads it several times
     known, told = F.coalesce("_known", F.lit(False)), F.col("n_n").isNotNull()
     last = learnings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
     fresh = tables.numbered(met.where(~known), ["n_first_seq"], "_place").crossJoin(F.broadcast(last))  # one row
@@ -398,8 +398,9 @@ def parse_log(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def import_log(learnings: DataFrame, texts: DataFrame, key: str, as_of: str, repo: str | None = None) -> DataFrame:
     """``learnings`` with a log's entries recorded in order; an import again only counts them once more. As record()."""
-    rows = parse_log(texts, key)
-    rows = tables.numbered(rows, [key, "entry"], "seq")
+    parsed = tables.staged(parse_log(tables.dealt(texts, key), key), "parsed")  # ranges are found first, so these rows are read twice
+    rows = tables.numbered(parsed, [key, "entry"], "seq")
+    tables.drop(parsed)
     return record(learnings, rows.select("seq", "outcome", "title", "detail", "category", "tags", F.coalesce("repo", F.lit(repo).cast("string")).alias("repo"), "files", "tool", "provider", F.lit(None).cast("string").alias("model"), "evidence", F.lit("import").alias("source"), F.lit(as_of).cast("timestamp").alias("seen_at")))
 
 
