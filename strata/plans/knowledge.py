@@ -292,7 +292,7 @@ def verify_repair(spark, sf_dir):
 def verify_postings(spark, sf_dir):
     """The stored index of the documents against postings derived from their texts now."""
     path = search.index_of(spark, sf_dir, "documents", "doc_id", {"text": 1.0})
-    return indexing.verify_postings(spark.read.parquet(f"{path}/postings"), search.postings(tables.load(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}))
+    return indexing.verify_postings(spark.read.parquet(f"{path}/postings"), search.postings(tables.load(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}), tables.size(spark, f"{path}/postings"))
 
 
 @query(f"WITH {_STORE} SELECT content_hash, ordinal, 'words' AS model, 64 AS size FROM ch WHERE content_hash NOT IN (SELECT content_hash FROM ve) ORDER BY content_hash, ordinal LIMIT 200")
