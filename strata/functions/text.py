@@ -26,6 +26,12 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
+def first_words(text: Column, most: int) -> Column:
+    """The first ``most`` words as they stand; the rest of a text is not looked at. Null stays null."""
+    begin = F.regexp_extract(text, rf"^[^\p{{L}}\p{{N}}_]*+((?:{TOKEN}+[^\p{{L}}\p{{N}}_]*+){{0,{most}}})", 1)
+    return F.regexp_extract_all(begin, F.lit(TOKEN), F.lit(0))
+
+
 def split_identifiers(text: Column) -> Column:
     """Each word and, where it has parts (case, digits, underscores), its lower-cased parts after it."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.stem import stem
 from ..sources import tables
-from .words import each_term, own_terms
+from .words import blocks_of, each_posting, each_term, own_terms, term_blocks
 
 #: Fixed values of the ranking contract.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -40,11 +40,16 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float], stemmed: bool
     return each_term(own_terms(docs, key, fields, stemmed=stemmed), key)
 
 
-def _write_postings(rows: DataFrame, held: int, path: str, key: str, files: int | None = None) -> None:
-    """Write postings, ``held`` bytes of Parquet, in order of terms."""
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(*((files,) if files else tables.parts(spark, held)), "term", key)
-    ranged.sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/postings")
+def _write_postings(rows: DataFrame, held: int, path: str, files: int | None = None) -> None:
+    """Write blocks of postings, ``held`` bytes of Parquet, in order of terms."""
+    spark, first = rows.sparkSession, F.col("keys")[0]
+    ranged = rows.repartitionByRange(*((files,) if files else tables.parts(spark, held)), "term", first)
+    ranged.sortWithinPartitions("term", first).write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/postings")
+
+
+def stored_postings(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(term, key, length, tf) of the index at ``path``."""
+    return each_posting(spark.read.parquet(f"{path}/postings"), key)
 
 
 def write_index(docs: DataFrame, path: str, key: str, fields: dict[str, float], stemmed: bool = False, files: int | None = None) -> None:
@@ -52,14 +57,20 @@ def write_index(docs: DataFrame, path: str, key: str, fields: dict[str, float],
 
     Files and row groups hold ranges of terms, so a search reads those of its terms by their footers; a frequent
     term goes over several files, as the ranges are over term and key. Texts are read once; what is shuffled is a row for
-    each term of a text.
+    each block of a term's postings.
     """
-    own = tables.staged(own_terms(docs, key, fields, stemmed=stemmed), "words")
+    made = tables.staged(term_blocks(docs, key, fields, stemmed=stemmed), "words")
+    own, blocks = _kinds(made)
     stats = own.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"), F.lit(stemmed).alias("stemmed"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     own.select(key, "length").write.mode("overwrite").parquet(f"{path}/lengths")
-    _write_postings(each_term(own, key), tables.size(docs.sparkSession, own.staged_at), path, key, files)
-    tables.drop(own)
+    _write_postings(blocks, tables.size(docs.sparkSession, made.staged_at), path, files)
+    tables.drop(made)
+
+
+def _kinds(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows and the blocks of term_blocks()."""
+    return made.where("term is null"), made.where("term is not null").select("term", "keys", "lengths", "tfs")
 
 
 def _length(fields: dict[str, float]) -> Column:
@@ -75,35 +86,36 @@ def update_index(spark: SparkSession, path: str, target: str, key: str, removed:
     Only added texts are read; kept postings are copied. Statistics follow from counts and lengths.
     """
     stats = spark.read.parquet(f"{path}/stats").first()
-    old, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    old, lengths = stored_postings(spark, path, key), spark.read.parquet(f"{path}/lengths")
     out = tables.staged(removed.select(key).distinct(), "removed")
-    own = tables.staged(own_terms(added, key, fields, stemmed=stats["stemmed"]), "words")
+    made = tables.staged(term_blocks(added, key, fields, stemmed=stats["stemmed"]), "words")
+    own, blocks = _kinds(made)
     sums = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
     minus, plus = sums(lengths.join(out, key, "left_semi")), sums(own)
     n = stats["n_docs"] - minus["n"] + plus["n"]
     words = round((stats["mean_length"] or 0.0) * stats["n_docs"]) - minus["words"] + plus["words"]
     spark.createDataFrame([(n, words / n if n else None, stats["stemmed"])], "n_docs long, mean_length double, stemmed boolean").coalesce(1).write.mode("overwrite").parquet(f"{target}/stats")
     lengths.join(out, key, "left_anti").unionByName(own.select(key, "length")).write.mode("overwrite").parquet(f"{target}/lengths")
-    held = tables.size(spark, f"{path}/postings") + tables.size(spark, own.staged_at)
-    kept = old.join(out, key, "left_anti")
-    _write_postings(kept.unionByName(each_term(own, key).select(*old.columns)), held, target, key)
-    tables.drop(out, own)
+    held = tables.size(spark, f"{path}/postings") + tables.size(spark, made.staged_at)
+    kept = tables.staged(blocks_of(old.join(out, key, "left_anti"), key).select(*blocks.columns), "kept")
+    _write_postings(kept.unionByName(blocks), held, target)
+    tables.drop(out, made, kept)
 
 
 def search_index(spark: SparkSession, path: str, query: str, key: str, prefix_last: bool = True) -> DataFrame:
     """(key, score) as bm25() gives, from the index at ``path``: only postings of the query's terms are read."""
     stats = spark.read.parquet(f"{path}/stats")
-    rows = spark.read.parquet(f"{path}/postings")
+    blocks = spark.read.parquet(f"{path}/postings")
     terms = T.query_terms(query)
     if stats.first()["stemmed"]:
         terms = list(dict.fromkeys(stem(_plain(t)) for t in terms))
     if not terms:
-        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+        return each_posting(blocks, key).select(key, F.lit(0.0).alias("score")).limit(0)
     hits = None
     for i, t in enumerate(terms):
         hit = F.col("term").startswith(t) if prefix_last and i == len(terms) - 1 else F.col("term") == t
         hits = hit if hits is None else hits | hit
-    found = rows.where(hits).withColumn("phrase", F.explode(_phrases(F.col("term"), terms, prefix_last)))
+    found = each_posting(blocks.where(hits), key).withColumn("phrase", F.explode(_phrases(F.col("term"), terms, prefix_last)))
     tf = found.groupBy(key, "length", "phrase").agg(F.sum("tf").alias("tf"))
     return _scored(tf, stats, key)
 
@@ -116,7 +128,7 @@ def _plain(term: str) -> str:
 
 def index_of(spark: SparkSession, folder: str, table: str, key: str, fields: dict[str, float], stemmed: bool = False) -> str:
     """The path of a table's index in the session's shared folder; made where the table's present files have none yet."""
-    name = "-".join([table, *fields, "stemmed" if stemmed else "plain", tables.version(spark, folder, table)])
+    name = "-".join(["blocks", table, *fields, "stemmed" if stemmed else "plain", tables.version(spark, folder, table)])
     path = f"{tables.work_folder(spark)}/index/{name}"
     if not tables.exists(spark, f"{path}/postings/_SUCCESS"):
         write_index(tables.load(spark, folder, table), path, key, fields, stemmed)

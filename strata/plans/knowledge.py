@@ -30,22 +30,21 @@ def _contents(spark, sf_dir) -> DataFrame:
 
 
 def _symbols(spark, sf_dir) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
-    rows = _contents(spark, sf_dir).select("content_hash", words.alias("w")).where(F.size("w") > 0)
+    rows = _contents(spark, sf_dir).select("content_hash", T.first_words(F.col("text"), 8).alias("w")).where(F.size("w") > 0)
     first = F.element_at("w", 1)
     return rows.select(F.col("content_hash").alias("symbol_id"), "content_hash", first.alias("name"), F.array_join(F.slice("w", 1, 3), ".").alias("full_name"), F.lit("opening").alias("kind"), F.array_join(F.slice("w", 1, 8), " ").alias("signature"), F.lit(None).cast("string").alias("doc"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lower(first).alias("tokens"))
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
     rows = indexing.window_chunks(_contents(spark, sf_dir), "content_hash").withColumnRenamed("chunk", "text")
-    words = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
-    heading = F.when((F.col("ordinal") == 0) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 3), " "))
+    words = T.first_words(F.col("text"), 3)
+    heading = F.when((F.col("ordinal") == 0) & (F.size(words) > 0), F.array_join(words, " "))
     return rows.withColumn("heading", heading).withColumn("tokens", F.lower("heading")).withColumn("chunk_id", F.concat_ws(":", "content_hash", F.col("ordinal").cast("string")))
 
 
 def _index(spark, sf_dir, name: str, rows, key: str, fields: dict[str, float]) -> str:
     """The path of an index over derived rows; made where the documents' present files have none yet."""
-    path = f"{tables.work_folder(spark)}/index/{name}-{tables.version(spark, sf_dir, 'documents')}"
+    path = f"{tables.work_folder(spark)}/index/blocks-{name}-{tables.version(spark, sf_dir, 'documents')}"
     if not tables.exists(spark, f"{path}/postings/_SUCCESS"):
         search.write_index(rows(spark, sf_dir), path, key, fields)
     return path
@@ -95,18 +94,18 @@ def _search_sql(text: str, language: str | None, prefix: str | None, most: int)
 
 def _extraction(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A text's first words as its symbol, and its windows of lines; the symbol is the first eight words alone."""
-    words = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
     first = F.element_at("w", 1)
-    symbols = contents.select("content_hash", words.alias("w")).where(F.size("w") > 0)
+    symbols = contents.select("content_hash", T.first_words(F.col("text"), 8).alias("w")).where(F.size("w") > 0)
     symbols = symbols.select("content_hash", first.alias("name"), F.array_join(F.slice("w", 1, 3), ".").alias("full_name"), F.lit("opening").alias("kind"), F.array_join(F.slice("w", 1, 8), " ").alias("signature"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lower(first).alias("tokens"), F.lit(None).cast("string").alias("doc"))
     chunks = indexing.window_chunks(contents, "content_hash").withColumnRenamed("chunk", "text")
-    heading = F.when((F.col("ordinal") == 0) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 3), " "))
+    words = T.first_words(F.col("text"), 3)
+    heading = F.when((F.col("ordinal") == 0) & (F.size(words) > 0), F.array_join(words, " "))
     return symbols, chunks.withColumn("heading", heading).withColumn("tokens", F.lower("heading"))
 
 
 def _indexed(spark, sf_dir) -> Store:
     """The store of the documents as files, with vectors and feedback; indexed where their present files are not yet."""
-    path = f"{tables.work_folder(spark)}/index/store-{tables.version(spark, sf_dir, 'documents')}-{tables.version(spark, sf_dir, 'events')}"
+    path = f"{tables.work_folder(spark)}/index/blocks-store-{tables.version(spark, sf_dir, 'documents')}-{tables.version(spark, sf_dir, 'events')}"
     store = Store.at(spark, path)
     if not tables.exists(spark, f"{path}/_complete"):
         d = tables.load(spark, sf_dir, "documents").where("text is not null")
@@ -292,7 +291,7 @@ def verify_repair(spark, sf_dir):
 def verify_postings(spark, sf_dir):
     """The stored index of the documents against postings derived from their texts now."""
     path = search.index_of(spark, sf_dir, "documents", "doc_id", {"text": 1.0})
-    return indexing.verify_postings(spark.read.parquet(f"{path}/postings"), search.postings(tables.load(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}), tables.size(spark, f"{path}/postings"))
+    return indexing.verify_postings(search.stored_postings(spark, path, "doc_id"), search.postings(tables.load(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}), tables.size(spark, f"{path}/postings"))
 
 
 @query(f"WITH {_STORE} SELECT content_hash, ordinal, 'words' AS model, 64 AS size FROM ch WHERE content_hash NOT IN (SELECT content_hash FROM ve) ORDER BY content_hash, ordinal LIMIT 200")
