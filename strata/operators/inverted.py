@@ -1,7 +1,7 @@
 """A positional full-text index in immutable segments, with a dictionary of terms.
 
-Each change of the indexed rows writes one segment and nothing else: postings (term, key, length, tf, places) in order of
-terms, a dictionary (term, df, most), the rows' own terms (key, length, terms), the keys that it removes from older segments,
+Each change of the indexed rows writes one segment and nothing else: postings in order of terms, a row for each block of a
+term's (term, keys, lengths, places, most), a dictionary (term, df, most), the rows' own terms (key, length, terms), the keys that it removes from older segments,
 and, last, one row of statistics, with which it takes effect. A place is a word's position over all fields times FIELDS plus
 its field's number, so weights of fields or classes are chosen by the query. Fields are one position apart.
 
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..sources import tables
 from .search import _phrases, _scored
-from .words import FIELDS, each_term, own_terms
+from .words import FIELDS, blocks_of, each_posting, term_blocks
 
 #: Expansions of a prefix that are listed in a filter; with more, postings are filtered by the prefix itself.
 LISTED = 1000
@@ -32,6 +32,7 @@ SEGMENTS, RUN = 8, 4
 #: Weights of the classes A to D in cover density.
 CLASSES = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 _GROUP_BYTES = 8 << 20
+_BLOCK = ("term", "keys", "lengths", "places", "most")
 
 _STATS = "segment string, seq long, docs long, words long, dead_docs long, dead_words long, removed long, replaces array<string>"
 
@@ -93,7 +94,10 @@ class Index:
         """(term, key, length, tf, places) of the terms that a condition on ``term`` selects; it reaches the scan."""
         live = self.segments() if live is None else live
         found = self._part("postings", live)
-        return None if found is None else self._live(found.where(condition), live).drop("seq")
+        if found is None:
+            return None
+        each = self._live(each_posting(found.where(condition), self.key), live)
+        return each.select("term", self.key, "length", F.size("places").alias("tf"), "places")
 
     # writing ---------------------------------------------------------------------------------------------------------
 
@@ -103,8 +107,9 @@ class Index:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _ordered(self, postings: DataFrame, held: int) -> DataFrame:
-        """Postings, ``held`` bytes of Parquet, in order of terms; ranges over term and key put a frequent term into several files."""
-        return postings.repartitionByRange(*tables.parts(self.spark, held), "term", self.key).sortWithinPartitions("term", self.key)
+        """Blocks of postings, ``held`` bytes of Parquet, in order of terms; ranges over term and key put a frequent term into several files."""
+        first = F.col("keys")[0]
+        return postings.repartitionByRange(*tables.parts(self.spark, held), "term", first).sortWithinPartitions("term", first)
 
     def _finish(self, segment: str, row: tuple) -> None:
         kept = Y.StructType(self.spark.createDataFrame([], _STATS).schema.fields[1:])
@@ -124,12 +129,12 @@ class Index:
         kind = (added if added is not None else removed).select(self.key).schema[0].dataType.simpleString()
         if added is None:
             added = self.spark.createDataFrame([], ", ".join([f"`{self.key}` {kind}", *[f"`{f}` string" for f in self.fields]]))
-        own = tables.staged(own_terms(added, self.key, dict.fromkeys(self.fields, 1.0), placed=True), "words")
-        rows = self._write("rows", segment, own.select(self.key, "length", "terms"))
-        found = each_term(own, self.key).select("term", self.key, "length", F.size("places").alias("tf"), "places")
-        postings = self._write("postings", segment, self._ordered(found, tables.size(self.spark, own.staged_at)))
-        tables.drop(own)
-        counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+        made = tables.staged(term_blocks(added, self.key, dict.fromkeys(self.fields, 1.0), placed=True, listed=True), "words")
+        rows = self._write("rows", segment, made.where("term is null").select(self.key, "length", "terms"))
+        blocks = made.where("term is not null").select(*_BLOCK)
+        postings = self._write("postings", segment, self._ordered(blocks, tables.size(self.spark, made.staged_at)))
+        tables.drop(made)
+        counted = postings.groupBy("term").agg(F.sum(F.size("keys")).alias("df"), F.max("most").alias("most"))
         dead, n_removed, dead_docs, dead_words = None, 0, 0, 0
         out = removed.select(self.key).where(F.col(self.key).isNotNull()).distinct() if removed is not None and live else None
         if out is not None:
@@ -153,10 +158,14 @@ class Index:
         one = lambda part: self._live(self._part(part, run), run).drop("seq")
         self._write("rows", segment, one("rows"))
         held = sum(tables.size(self.spark, f"{self.path}/postings/segment={r['segment']}") for r in run)
-        self._write("postings", segment, self._ordered(one("postings"), held))
+        removers, n_removed, kept = [r for r in run if r["removed"]], 0, self._part("postings", run)
+        if removers:
+            kept = tables.staged(blocks_of(self._live(each_posting(kept, self.key), run), self.key), "kept")
+        self._write("postings", segment, self._ordered(kept.select(*_BLOCK), held))
+        if removers:
+            tables.drop(kept)
         counted = self._part("dictionary", run).groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most")).where("df <> 0")
         self._write("dictionary", segment, counted.repartitionByRange("term").sortWithinPartitions("term"))
-        removers, n_removed = [r for r in run if r["removed"]], 0
         if removers and not oldest:
             n_removed = self._write("removed", segment, self._part("removed", removers).select(self.key).distinct()).count()
         sums = [sum(r[c] for r in run) for c in ("docs", "words", "dead_docs", "dead_words")]

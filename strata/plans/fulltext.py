@@ -18,14 +18,12 @@ CLASSES = {"title": "A", "text": "C"}
 
 def _titled(spark, sf_dir) -> DataFrame:
     """The documents with their first five words as title."""
-    begin = F.regexp_extract("text", r"^[^\p{L}\p{N}_]*+((?:[\p{L}\p{N}_]++[^\p{L}\p{N}_]*+){0,5})", 1)  # the rest of a text is not looked at
-    words = F.regexp_extract_all(begin, F.lit(T.TOKEN), F.lit(0))
-    return tables.load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, 1, 5), " ").alias("title"), "text")
+    return tables.load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.first_words(F.col("text"), 5), " ").alias("title"), "text")
 
 
 def _index(spark, sf_dir) -> inverted.Index:
     """The documents' index in the shared folder; made where their present files have none yet."""
-    found = inverted.Index(spark, f"{tables.work_folder(spark)}/index/positions-{tables.version(spark, sf_dir, 'documents')}", "doc_id", FIELDS)
+    found = inverted.Index(spark, f"{tables.work_folder(spark)}/index/blocks-positions-{tables.version(spark, sf_dir, 'documents')}", "doc_id", FIELDS)
     found.add(_titled(spark, sf_dir), segment="all")
     return found
 
