@@ -1,8 +1,9 @@
 """A positional full-text index in immutable segments, with a dictionary of terms.
 
 Each change of the indexed rows writes one segment and nothing else: postings in order of terms, a row for each block of a
-term's (term, keys, lengths, places, most), a dictionary (term, df, most), the rows' own terms (key, length, terms), the keys that it removes from older segments,
-and, last, one row of statistics, with which it takes effect. A place is a word's position over all fields times FIELDS plus
+term's (term, keys, lengths, ends, places, most), a dictionary (term, df, most), the rows' own terms (key, length, terms), the keys that it removes from older segments,
+and, last, one row of statistics, with which it takes effect. Where keys are strings, rows have numbers, which blocks hold in
+place of keys: a key is spelled out once, not for each of its row's terms, and found postings meet the rows for it. A place is a word's position over all fields times FIELDS plus
 its field's number, so weights of fields or classes are chosen by the query. Fields are one position apart.
 
 A row of a segment lives until a later segment removes its key. Dictionaries and statistics add up: a segment that removes
@@ -32,7 +33,7 @@ SEGMENTS, RUN = 8, 4
 #: Weights of the classes A to D in cover density.
 CLASSES = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 _GROUP_BYTES = 8 << 20
-_BLOCK = ("term", "keys", "lengths", "places", "most")
+_ROW = ("row", "length", "terms")
 
 _STATS = "segment string, seq long, docs long, words long, dead_docs long, dead_words long, removed long, replaces array<string>"
 
@@ -88,7 +89,7 @@ class Index:
         """(key, length, terms) of all rows now."""
         live = self.segments()
         found = self._part("rows", live)
-        return None if found is None else self._live(found, live).drop("seq")
+        return None if found is None else self._live(found, live).select(self.key, "length", "terms")
 
     def postings(self, condition: Column, live: list[Row] | None = None) -> DataFrame | None:
         """(term, key, length, tf, places) of the terms that a condition on ``term`` selects; it reaches the scan."""
@@ -96,20 +97,26 @@ class Index:
         found = self._part("postings", live)
         if found is None:
             return None
-        each = self._live(each_posting(found.where(condition), self.key), live)
+        each = self._living(each_posting(found.where(condition), self.key), live)
         return each.select("term", self.key, "length", F.size("places").alias("tf"), "places")
 
+    def _living(self, postings: DataFrame, of: list[Row]) -> DataFrame:
+        """Postings that none of these segments has removed; those with numbers get their keys and lengths from the rows."""
+        if "row" not in postings.columns:
+            return self._live(postings, of)
+        return postings.join(self._live(self._part("rows", of), of).select("row", self.key, "length"), "row")
+
     # writing ---------------------------------------------------------------------------------------------------------
 
     def _write(self, part: str, segment: str, rows: DataFrame) -> DataFrame:
         path = f"{self.path}/{part}/segment={segment}"
-        rows.write.option("parquet.block.size", _GROUP_BYTES).mode("overwrite").parquet(path)
+        rows.write.option("parquet.block.size", _GROUP_BYTES).option("compression", "zstd").mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _ordered(self, postings: DataFrame, held: int) -> DataFrame:
         """Blocks of postings, ``held`` bytes of Parquet, in order of terms; ranges over term and key put a frequent term into several files."""
-        first = F.col("keys")[0]
-        return postings.repartitionByRange(*tables.parts(self.spark, held), "term", first).sortWithinPartitions("term", first)
+        first = [*(["base"] if "base" in postings.columns else []), F.col("keys")[0]]
+        return postings.repartitionByRange(*tables.parts(self.spark, held), "term", *first).sortWithinPartitions("term", *first)
 
     def _finish(self, segment: str, row: tuple) -> None:
         kept = Y.StructType(self.spark.createDataFrame([], _STATS).schema.fields[1:])
@@ -129,9 +136,10 @@ class Index:
         kind = (added if added is not None else removed).select(self.key).schema[0].dataType.simpleString()
         if added is None:
             added = self.spark.createDataFrame([], ", ".join([f"`{self.key}` {kind}", *[f"`{f}` string" for f in self.fields]]))
-        made = tables.staged(term_blocks(added, self.key, dict.fromkeys(self.fields, 1.0), placed=True, listed=True), "words")
-        rows = self._write("rows", segment, made.where("term is null").select(self.key, "length", "terms"))
-        blocks = made.where("term is not null").select(*_BLOCK)
+        made = tables.staged(term_blocks(added, self.key, dict.fromkeys(self.fields, 1.0), placed=True, listed=True, segment=seq if kind == "string" else None), "words", "zstd")
+        own = [self.key, *[c for c in _ROW if c in made.columns]]
+        rows = self._write("rows", segment, made.where("term is null").select(*own))
+        blocks = made.where("term is not null").drop(*own)
         postings = self._write("postings", segment, self._ordered(blocks, tables.size(self.spark, made.staged_at)))
         tables.drop(made)
         counted = postings.groupBy("term").agg(F.sum(F.size("keys")).alias("df"), F.max("most").alias("most"))
@@ -160,8 +168,8 @@ class Index:
         held = sum(tables.size(self.spark, f"{self.path}/postings/segment={r['segment']}") for r in run)
         removers, n_removed, kept = [r for r in run if r["removed"]], 0, self._part("postings", run)
         if removers:
-            kept = tables.staged(blocks_of(self._live(each_posting(kept, self.key), run), self.key), "kept")
-        self._write("postings", segment, self._ordered(kept.select(*_BLOCK), held))
+            kept = tables.staged(blocks_of(self._living(each_posting(kept, self.key), run), self.key), "kept", "zstd")
+        self._write("postings", segment, self._ordered(kept.drop("seq"), held))
         if removers:
             tables.drop(kept)
         counted = self._part("dictionary", run).groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most")).where("df <> 0")

@@ -136,7 +136,7 @@ class Store:
         return found
 
     def _add(self, table: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("append").parquet(f"{self.root}/{table}/v={self._latest(table)}")
+        rows.write.mode("append").parquet(f"{self.root}/{table}/v={self._latest(table)}", compression="zstd")
         return self.read(table)
 
     def next_id(self, table: str) -> int:

@@ -21,6 +21,8 @@ FIELDS = 16
 PART, PART_BYTES = 8192, 32 << 20
 #: Postings of a term that a block holds at most, so that a frequent term is many rows, which ranges can part.
 BLOCK = 256
+#: Bits of a row's number: the segment that gave it, the task, the row in the task; blocks of postings count from a number near.
+SEGMENT_BITS, TASK_BITS, ROW_BITS, NEAR_BITS = 20, 17, 26, 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -177,52 +179,101 @@ def each_term(own: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "length", F.col("_p.terms").alias("term"), F.col(f"_p.{values}").alias(value))
 
 
-def term_blocks(docs: DataFrame, key: str, fields: dict[str, float], placed: bool = False, stemmed: bool = False, listed: bool = False) -> DataFrame:
+def _first_number(segment: int, task: int, seen: int, n: int) -> int:
+    """The number of the first of ``n`` more rows of a task that has numbered ``seen``."""
+    if segment >> SEGMENT_BITS or task >> TASK_BITS or seen + n > 1 << ROW_BITS:
+        raise OverflowError(f"Rows of segment {segment}, task {task}: there are no numbers beyond {seen} rows.")
+    return (segment << TASK_BITS | task) << ROW_BITS | seen
+
+
+def _blocked(*codes: np.ndarray) -> np.ndarray:
+    """Where blocks begin: where a code changes, and after BLOCK postings."""
+    new = np.zeros(len(codes[0]), bool)
+    new[:1] = True
+    for c in codes:
+        new[1:] |= c[1:] != c[:-1]
+    begin = np.flatnonzero(new)
+    return np.flatnonzero((np.arange(len(new)) - np.repeat(begin, np.diff(np.append(begin, len(new))))) % BLOCK == 0)
+
+
+def _flat(begin: np.ndarray, counts: np.ndarray, places: pa.Array) -> list[pa.Array]:
+    """(ends, places, most) of blocks: a posting's places end there in its block's."""
+    upto, at = np.cumsum(counts), np.append(begin, len(counts)).astype(np.int32)
+    before = np.concatenate([[0], upto])[at]
+    ends = pa.ListArray.from_arrays(pa.array(at), pa.array((upto - np.repeat(before[:-1], np.diff(at))).astype(np.int32)))
+    most = np.maximum.reduceat(counts, begin) if len(begin) else counts
+    return [ends, pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), places), pa.array(most.astype(np.int32))]
+
+
+def _shape(kind: str, placed: bool, numbered: bool) -> list[str]:
+    """The columns of blocks."""
+    keys = ["base bigint", "keys array<int>"] if numbered else [f"keys array<{kind}>", "lengths array<int>"]
+    return ["term string", *keys, *(["ends array<int>", "places array<int>", "most int"] if placed else ["tfs array<double>"])]
+
+
+def term_blocks(docs: DataFrame, key: str, fields: dict[str, float], placed: bool = False, stemmed: bool = False, listed: bool = False, segment: int | None = None) -> DataFrame:
     """Rows of two kinds: blocks of postings, and where ``term`` is null, (key, length) of a row of ``docs``, with ``listed`` its terms.
 
     A block (term, keys, lengths, tfs) is what own_terms() gives for up to BLOCK of the rows that are grouped at once, in order of terms;
-    ``placed`` gives places in place of tfs, and ``most``, the largest number of places. So a table of postings has a row for
-    several of a term's postings.
+    ``placed`` gives places in place of tfs, one after another with the ``ends`` of each posting's, and ``most``, the largest number
+    of places. So a table of postings has a row for several of a term's postings. With ``segment``, a number of this table's own,
+    rows have a number, ``row``, and a block has ``base`` and what to add to it in place of keys and lengths. A number stands as long as
+    what a task gave is not made again, so rows and blocks are to be written together.
     """
     weights = np.array(list(fields.values()), dtype=np.float64)
     kind = docs.select(key).schema[0].dataType.simpleString()
-    value = "places" if placed else "tfs"
-    names = [key, "length", "terms", "term", "keys", "lengths", value, "most"]
+    own_shape = [f"`{key}` {kind}", *(["row bigint"] if segment is not None else []), "length int", "terms array<string>"]
+    shape = own_shape + _shape(kind, placed, segment is not None)
+    names = [s.rpartition(" ")[0].strip("`") for s in shape]
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, seen, held = TaskContext.get().partitionId(), 0, pa.ListArray.from_arrays
         for batch in batches:
             for part in _parts(batch):
                 length, terms, term, row, first, places = _grouped(part.columns[1:], stemmed)
                 n, length = part.num_rows, pa.array(length.astype(np.int32))
-                values = _values(first, places, weights, placed)
-                held = pa.ListArray.from_arrays
-                own = held(*_listed(row, term, terms, n)[1:]) if listed else pa.nulls(n, pa.list_(pa.string()))
-                begin = np.flatnonzero(np.diff(term, prepend=-1))
-                begin = np.flatnonzero((np.arange(len(term)) - np.repeat(begin, np.diff(np.append(begin, len(term))))) % BLOCK == 0)
+                own = [part.column(0), length, held(*_listed(row, term, terms, n)[1:]) if listed else pa.nulls(n, pa.list_(pa.string()))]
+                begin, chosen = _blocked(term), pa.array(row)
                 at = pa.array(np.append(begin, len(term)).astype(np.int32))
-                counts = np.diff(np.append(first, len(places)))
-                most = pa.array((np.maximum.reduceat(counts, begin) if len(begin) else counts).astype(np.int32))
-                chosen = pa.array(row)
-                blocks = [terms.take(pa.array(term[begin])), held(at, part.column(0).take(chosen)), held(at, length.take(chosen)), held(at, values), most]
-                own = [part.column(0), length, own]
+                if segment is None:
+                    keys = [held(at, part.column(0).take(chosen)), held(at, length.take(chosen))]
+                else:
+                    base = _first_number(segment, task, seen, n)
+                    own.insert(1, pa.array(base + np.arange(n)))
+                    keys = [pa.array(np.full(len(begin), base)), held(at, pa.array(row.astype(np.int32)))]
+                blocks = [terms.take(pa.array(term[begin])), *keys]
+                blocks += _flat(begin, np.diff(np.append(first, len(places))), pa.array(places)) if placed else [held(at, _values(first, places, weights, False))]
+                seen += n
                 yield pa.RecordBatch.from_arrays(own + [pa.nulls(n, c.type) for c in blocks], names=names)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(begin), c.type) for c in own] + blocks, names=names)
 
-    shape = f"`{key}` {kind}, length int, terms array<string>, term string, keys array<{kind}>, lengths array<int>, {value} array<{'array<int>' if placed else 'double'}>, most int"
-    return _texts(docs, key, fields).mapInArrow(group, shape)
+    return _texts(docs, key, fields).mapInArrow(group, ", ".join(shape))
 
 
 def each_posting(blocks: DataFrame, key: str) -> DataFrame:
-    """A row for each posting of blocks: (term, key, length, tf), or with places in place of tf; further columns stay."""
-    values, value = ("places", "places") if "places" in blocks.columns else ("tfs", "tf")
-    more = [c for c in blocks.columns if c not in ("term", "keys", "lengths", "most", values)]
-    rows = blocks.select("term", *more, F.explode(F.arrays_zip("keys", "lengths", values)).alias("_p"))
-    return rows.select("term", F.col("_p.keys").alias(key), F.col("_p.lengths").alias("length"), F.col(f"_p.{values}").alias(value), *more)
+    """A row for each posting of blocks: (term, key, length, tf), or with places in place of tf, ``row`` in place of key and length; further columns stay."""
+    value = "places" if "places" in blocks.columns else "tf"
+    numbered = "base" in blocks.columns
+    more = [c for c in blocks.columns if c not in ("term", "base", "keys", "lengths", "ends", "most", "places", "tfs")]
+    if value == "tf":
+        values = F.col("tfs")
+    else:  # cut in the block: arrays beside its postings would be copied for each of them
+        before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+        values = F.transform("ends", lambda e, i: F.slice("places", before(i) + 1, e - before(i)))
+    each = F.explode(F.arrays_zip("keys", *([] if numbered else ["lengths"]), values.alias("values"))).alias("_p")
+    rows = blocks.select("term", *(["base"] if numbered else []), *more, each)
+    at = [(F.col("base") + F.col("_p.keys")).alias("row")] if numbered else [F.col("_p.keys").alias(key), F.col("_p.lengths").alias("length")]
+    return rows.select("term", *at, F.col("_p.values").alias(value), *more)
 
 
 def blocks_of(postings: DataFrame, key: str) -> DataFrame:
-    """Blocks of postings (term, key, length, and tf or places), of those that come in one batch."""
-    values, value = ("places", "places") if "places" in postings.columns else ("tfs", "tf")
+    """Blocks of postings (term, key and length, or row, and tf or places), of those that come in one batch."""
+    placed, numbered = "places" in postings.columns, "row" in postings.columns
+    kind = "bigint" if numbered else postings.select(key).schema[0].dataType.simpleString()
+    shape = _shape(kind, placed, numbered)
+    names = [s.partition(" ")[0] for s in shape]
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,14 +281,16 @@ def blocks_of(postings: DataFrame, key: str) -> DataFrame:
                 continue
             coded = batch.column(0).dictionary_encode()
             codes = coded.indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            begin = np.flatnonzero(np.diff(codes[order], prepend=-1))
-            begin = np.flatnonzero((np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))) % BLOCK == 0)
-            at, taken = pa.array(np.append(begin, len(order)).astype(np.int32)), [c.take(pa.array(order)) for c in batch.columns[1:]]
-            counts = pc.list_value_length(taken[2]).to_numpy().astype(np.int32) if value == "places" else np.zeros(len(order), np.int32)
-            columns = [coded.dictionary.take(pa.array(codes[order][begin])), *[pa.ListArray.from_arrays(at, c) for c in taken], pa.array(np.maximum.reduceat(counts, begin))]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "keys", "lengths", values, "most"])
-
-    kind = postings.select(key).schema[0].dataType.simpleString()
-    shape = f"term string, keys array<{kind}>, lengths array<int>, {values} array<{'array<int>' if values == 'places' else 'double'}>, most int"
-    return postings.select("term", key, "length", value).mapInArrow(group, shape)
+            base = batch.column(1).to_numpy() >> NEAR_BITS << NEAR_BITS if numbered else codes
+            order = np.lexsort((base, codes))
+            codes, base = codes[order], base[order]
+            begin = _blocked(codes, base)
+            at = pa.array(np.append(begin, len(order)).astype(np.int32))
+            *keys, values = (c.take(pa.array(order)) for c in batch.columns[1:])
+            held = pa.ListArray.from_arrays
+            of = [pa.array(base[begin]), held(at, pa.array((keys[0].to_numpy() - base).astype(np.int32)))] if numbered else [held(at, k) for k in keys]
+            columns = [coded.dictionary.take(pa.array(codes[begin])), *of]
+            columns += _flat(begin, pc.list_value_length(values).to_numpy(), values.flatten()) if placed else [held(at, values)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return postings.select("term", *(["row"] if numbered else [key, "length"]), "places" if placed else "tf").mapInArrow(group, ", ".join(shape))

@@ -23,7 +23,7 @@ def _titled(spark, sf_dir) -> DataFrame:
 
 def _index(spark, sf_dir) -> inverted.Index:
     """The documents' index in the shared folder; made where their present files have none yet."""
-    found = inverted.Index(spark, f"{tables.work_folder(spark)}/index/blocks-positions-{tables.version(spark, sf_dir, 'documents')}", "doc_id", FIELDS)
+    found = inverted.Index(spark, f"{tables.work_folder(spark)}/index/flat-positions-{tables.version(spark, sf_dir, 'documents')}", "doc_id", FIELDS)
     found.add(_titled(spark, sf_dir), segment="all")
     return found
 

@@ -105,7 +105,7 @@ def _extraction(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _indexed(spark, sf_dir) -> Store:
     """The store of the documents as files, with vectors and feedback; indexed where their present files are not yet."""
-    path = f"{tables.work_folder(spark)}/index/blocks-store-{tables.version(spark, sf_dir, 'documents')}-{tables.version(spark, sf_dir, 'events')}"
+    path = f"{tables.work_folder(spark)}/index/numbered-store-{tables.version(spark, sf_dir, 'documents')}-{tables.version(spark, sf_dir, 'events')}"
     store = Store.at(spark, path)
     if not tables.exists(spark, f"{path}/_complete"):
         d = tables.load(spark, sf_dir, "documents").where("text is not null")
@@ -355,7 +355,7 @@ def note_recall_indexed(spark, sf_dir):
     """What note_recall finds by a scan, from an index of the notes."""
     rows, have = _notes(spark, sf_dir)
     voted = notes.mark_notes_useful(rows, tables.load(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("id")), NOW)
-    index = Index(spark, f"{tables.work_folder(spark)}/index/notes-{tables.version(spark, sf_dir, 'conversations')}", "id", notes.FIELDS)
+    index = Index(spark, f"{tables.work_folder(spark)}/index/flat-notes-{tables.version(spark, sf_dir, 'conversations')}", "id", notes.FIELDS)
     index.add(rows, segment="all")
     found = notes.recall(voted, have, "r", "the license that", " USER ", 25, index)
     return found.select("id", "score", "useful_count", "place", F.array_join("changed_files", ",").alias("changed_files"), "possibly_stale")
@@ -461,7 +461,7 @@ SELECT id, advice, title, conflict, confidence, row_number() OVER (PARTITION BY
 def learn_recommendations(spark, sf_dir):
     """A task's recommendations from candidates to advice in one chain; the search reads an index of the records."""
     rows = _records(spark, sf_dir)
-    index = Index(spark, f"{tables.work_folder(spark)}/index/records-{tables.version(spark, sf_dir, 'conversations')}", "id", learnings.FIELDS)
+    index = Index(spark, f"{tables.work_folder(spark)}/index/flat-records-{tables.version(spark, sf_dir, 'conversations')}", "id", learnings.FIELDS)
     index.add(rows, segment="all")
     found = learnings.get_recommendations(rows, AS_OF, "apache", " Owner/Repo1", ("Zebra", "zebra "), 8, index)
     return found.select("id", "advice", "title", "conflict", "confidence", F.col("place").alias("rank"))
@@ -471,7 +471,7 @@ def learn_recommendations(spark, sf_dir):
 def learn_query_indexed(spark, sf_dir):
     """What learn_query_text finds by a scan, from an index."""
     rows = _records(spark, sf_dir)
-    index = Index(spark, f"{tables.work_folder(spark)}/index/records-{tables.version(spark, sf_dir, 'conversations')}", "id", learnings.FIELDS)
+    index = Index(spark, f"{tables.work_folder(spark)}/index/flat-records-{tables.version(spark, sf_dir, 'conversations')}", "id", learnings.FIELDS)
     index.add(rows, segment="all")
     return learnings.query_learnings(rows, "the license of user", index=index, repo="owner/repo1").select("id", "score", "place")
 

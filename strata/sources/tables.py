@@ -79,11 +79,11 @@ def version(spark: SparkSession, folder: str, name: str) -> str:
     return hashlib.md5(repr((folder, name, whole)).encode(), usedforsecurity=False).hexdigest()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the work folder and read back, which cuts its lineage; drop() deletes it."""
+def staged(df: DataFrame, name: str, packed: str | None = None) -> DataFrame:
+    """``df`` written to the work folder and read back, which cuts its lineage; drop() deletes it. ``packed`` names a codec other than the session's."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=packed)
     found = spark.read.schema(df.schema).parquet(path)
     found.staged_at = path
     return found

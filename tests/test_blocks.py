@@ -3,6 +3,7 @@
 import os
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -53,3 +54,28 @@ def test_terms_are_not_copied_for_each_other(spark, capsys):
     """A text's counts are not carried beside each of its terms, which grows with the square of its words."""
     search.postings(spark.createDataFrame([(1, "a b")], "id long, t string"), "id", {"t": 1.0}).explain()
     assert "posexplode" not in capsys.readouterr().out
+
+
+def test_long_keys_are_not_spelled_out_in_blocks(spark, monkeypatch):
+    """Blocks hold numbers in place of keys that are strings, places one after another; whatever is added, replaced and merged, the index is that of the rows."""
+    docs = spark.range(600).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.concat(F.lit("the same "), (F.col("id") % 50).cast("string"), F.lit(" the")).alias("t"), "id").repartition(3, "id")
+    home = f"{tables.work_folder(spark)}/numbered-test"
+    every = lambda index: sorted(map(tuple, index.postings(F.lit(True)).collect()))
+    scores = lambda index: {r["k"]: round(r["score"], 9) for r in index.bm25("the 7").collect()}
+    monkeypatch.setattr(words, "PART", 70)
+    index, anew = (inverted.Index(spark, f"{home}/{n}", "k", ("t",)) for n in "ab")
+    index.add(docs)
+    held = index._part("postings", index.segments())
+    assert held.columns[:3] == ["term", "base", "keys"] and held.schema["places"].dataType.simpleString() == "array<int>"
+    assert tables.size(spark, f"{home}/a/postings/segment=s1") < 600 * 64
+    now = docs.where("id % 3 <> 0").withColumn("t", F.when(F.col("id") % 2 == 0, "new the").otherwise(F.col("t")))
+    index.add(now.where("id % 2 = 0"), docs.where("id % 3 = 0 or id % 2 = 0"))
+    index.add(None, docs.where("id = 1"))
+    anew.add(now.where("id <> 1"))
+    want = search.bm25(now.where("id <> 1"), "the 7", "k", {"t": 1.0})
+    for most in (9, 2, 1):
+        list(index.compact(most, 2))
+        assert every(index) == every(anew) and index.totals() == anew.totals()
+        assert scores(index) == {r["k"]: round(r["score"], 9) for r in want.collect()}
+    with pytest.raises(OverflowError):
+        words._first_number(1 << words.SEGMENT_BITS, 0, 0, 1)
