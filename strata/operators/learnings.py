@@ -350,11 +350,12 @@ def dispatch_rows(inputs: DataFrame) -> DataFrame:
 def dispatch_status(proposals: DataFrame, dispatches: DataFrame) -> DataFrame:
     """(id, status, n_dispatches, last_mode, last_status) of each proposal.
 
-    The last is that of the latest time, then of the largest id. Where ids repeat, ``dispatches`` should have ``seq``, a
+    The last is that of the latest time, then of the largest id, of which null is above all, as in SQL. Where ids repeat, ``dispatches`` should have ``seq``, a
     number: of equal times and ids, the row of the smallest counts.
     """
     first = [-F.col("seq")] if "seq" in dispatches.columns else []
-    last = dispatches.groupBy(F.col("proposal_id").alias("id")).agg(F.count(F.lit(1)).alias("n_dispatches"), F.max_by(F.struct("mode", "status"), F.struct("created_at", "id", *first)).alias("l"))
+    order = [x for c in ("created_at", "id") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    last = dispatches.groupBy(F.col("proposal_id").alias("id")).agg(F.count(F.lit(1)).alias("n_dispatches"), F.max_by(F.struct("mode", "status"), F.struct(*order, *first)).alias("l"))
     return proposals.select("id", "status").join(last, "id", "left").select("id", "status", F.coalesce("n_dispatches", F.lit(0)).alias("n_dispatches"), F.col("l.mode").alias("last_mode"), F.col("l.status").alias("last_status"))
 
 

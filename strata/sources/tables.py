@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,11 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 
 def placed(rows: DataFrame, name: str) -> DataFrame:
     """A table as load() gives it with ``name``, a number that grows with a row's place: files by name, rows in their file."""
-    files = sorted(rows.inputFiles())
-    file = F.array_position(F.array(*map(F.lit, files)), F.col("_metadata.file_path"))
-    return rows.withColumn(name, F.shiftleft(file, 40) + F.col("_metadata.row_index"))
+    files = sorted(rows.inputFiles(), key=unquote)  # as input_file_name() writes them, which _metadata.file_path does not
+    order = rows.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
+    met = rows.withColumn("_path", F.input_file_name()).withColumn(name, F.col("_metadata.row_index")).join(F.broadcast(order), "_path", "left")  # a row a file
+    file = F.coalesce("_file", F.raise_error(F.concat(F.lit("No file of the table: "), F.col("_path"))).cast("long"))
+    return met.withColumn(name, F.shiftleft(file, 40) + F.col(name)).drop("_path", "_file")
 
 
 def register(spark: SparkSession, folder: str) -> None:
