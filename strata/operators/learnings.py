@@ -54,12 +54,17 @@ def merge_records(records: DataFrame, fp: str = "fingerprint", seq: str = "seq",
 def normalized(inputs: DataFrame) -> DataFrame:
     """Inputs (seq, outcome, title, detail, category, tags, repo, files, tool, provider, model, evidence, source, seen_at)
     as they are stored: redacted, normalised, with fingerprint and tokens."""
+    return _stated(inputs).withColumn("tokens", T.split_identifiers(F.col("words"))).drop("words")
+
+
+def _stated(inputs: DataFrame) -> DataFrame:
+    """As normalized(), with ``words``, the text that tokens are made of, in their place."""
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     rows = inputs.select(
         "seq",
         F.lower("outcome").alias("outcome"),
-        T.redact(F.trim("title")).alias("title"),
-        F.coalesce(T.redact(F.trim("detail")), F.lit("")).alias("detail"),
+        T.redact_rare(F.trim("title")).alias("title"),
+        F.coalesce(T.redact_rare(F.trim("detail")), F.lit("")).alias("detail"),
         F.coalesce(F.lower(blank("category")), F.lit("general")).alias("category"),
         T.normalize_tags(F.col("tags")).alias("tags"),
         T.normalize_repo(F.col("repo")).alias("repo"),
@@ -67,12 +72,12 @@ def normalized(inputs: DataFrame) -> DataFrame:
         blank("tool").alias("tool"),
         F.lower(blank("provider")).alias("provider"),
         blank("model").alias("model"),
-        T.redact(F.trim("evidence")).alias("evidence"),
+        T.redact_rare(F.trim("evidence")).alias("evidence"),
         F.col("source"),
         "seen_at",
     )
     words = F.concat_ws(" ", "title", "detail", F.coalesce("tool", F.lit("")), "category", F.array_join("tags", " "), F.array_join(F.transform("files", file_stem), " "))
-    return rows.withColumn("fingerprint", fingerprint(F.col("outcome"), F.col("title"), F.col("repo"), F.col("files"), F.col("tool"))).withColumn("tokens", T.split_identifiers(words))
+    return rows.withColumn("fingerprint", fingerprint(F.col("outcome"), F.col("title"), F.col("repo"), F.col("files"), F.col("tool"))).withColumn("words", words)
 
 
 def record(learnings: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -81,16 +86,26 @@ def record(learnings: DataFrame, inputs: DataFrame) -> DataFrame:
     A repeat of a fingerprint counts once more, keeps the longer detail and evidence and the earlier title, adds its
     tags after the known ones, takes the newest tokens and the last provider and model that are given.
     """
-    new = normalized(inputs)
+    return record_folded(learnings, folded(inputs))
+
+
+def folded(inputs: DataFrame) -> DataFrame:
+    """What each fingerprint of inputs adds to a table of records, whatever that holds: a row each, for record_folded()."""
+    new = _stated(inputs)
     order = F.col("seq")
     given = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
     longest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.length(c), -order)))
     tags = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "tags"))), lambda x: x["tags"])))
     first = {c: F.min_by(c, order) for c in ("outcome", "category", "title", "repo", "files", "tool", "source")}
-    folded = new.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("n"), longest("detail").alias("detail"), longest("evidence").alias("evidence"), tags.alias("tags"), F.max_by("tokens", order).alias("tokens"), given("provider").alias("provider"),
+    rows = new.groupBy("fingerprint").agg(
+        F.count(F.lit(1)).alias("n"), longest("detail").alias("detail"), longest("evidence").alias("evidence"), tags.alias("tags"), F.max_by("words", order).alias("words"), given("provider").alias("provider"),
         given("model").alias("model"), F.max("seen_at").alias("seen"), F.min("seen_at").alias("began"), F.min(order).alias("first_seq"), *[v.alias(k) for k, v in first.items()],
     )
+    return rows.withColumn("tokens", T.split_identifiers(F.col("words"))).drop("words")  # of the newest only
+
+
+def record_folded(learnings: DataFrame, folded: DataFrame) -> DataFrame:
+    """As record(), of inputs that folded() has put together."""
     n = folded.select(*[F.col(c).alias("fingerprint" if c == "fingerprint" else f"n_{c}") for c in folded.columns])
     old = learnings.withColumn("_known", F.lit(True))
     met = tables.staged(old.join(n, "fingerprint", "full"), "recorded")  # what follows, and each table made of it, reads it several times
@@ -364,6 +379,10 @@ _HEADING = r"(?m)^##\s+(\d{4}-\d{2}-\d{2})\s+[—-]+\s+(\S+)[ \t]*$"
 _TASKS = {"squad": "squad", "build": "squad", "squad-review": "squad-review", "review": "squad-review"}
 
 
+_FIELDS = ("Entrypoint", "Result", "Next tweak", "Provider", "Model tier", "Outcome", "Title", "Detail", "Category", "Tags", "Repo", "Files", "Tool", "Handoff themes", "Evidence")
+_FIELD = rf"(?mi)^-\s+(?:{'|'.join(_FIELDS)}):.*$"
+
+
 def parse_log(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, entry, date, kind, outcome, title, detail, category, tags, repo, files, tool, provider, evidence) of a Markdown log.
 
@@ -372,10 +391,15 @@ def parse_log(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     block = F.col("block")
     entries = F.filter(F.split(F.regexp_replace(text, "\r\n", "\n"), r"(?m)(?=^##\s+\d{4}-\d{2}-\d{2}\s)"), lambda b: F.regexp_like(b, F.lit(_HEADING)))
-    field = lambda name: F.nullif(F.trim(F.regexp_extract(block, rf"(?mi)^-\s+{name}:[ \t]*(.*)$", 1)), F.lit(""))
+    field = lambda name: F.col(f"_{name}")
     given = lambda name: F.when(F.lower(field(name)) != "none", field(name))
     names = F.create_map(*[F.lit(x) for kv in _TASKS.items() for x in kv])
     rows = texts.select(key, F.posexplode(F.filter(F.transform(entries, lambda b: F.struct(b.alias("block"), F.lower(F.trim(F.regexp_extract(b, _HEADING, 2), F.lit("/"))).alias("kind"))), lambda e: e["kind"].isin("learning", *_TASKS))).alias("entry", "e")).select(key, "entry", F.col("e.block").alias("block"), F.col("e.kind").alias("heading"))
+    # all fields are found at once; of fields of one name the first counts
+    rows = rows.withColumn("_lines", F.regexp_extract_all(block, F.lit(_FIELD), 0))
+    rows = rows.withColumn("_names", F.transform("_lines", lambda x: F.ltrim(F.lower(F.substring_index(x, ":", 1)), F.lit("- \t\n\x0b\f\r"))))
+    value = lambda x: F.trim(F.ltrim(F.substr(x, F.locate(":", x) + 1), F.lit(" \t")))
+    rows = rows.withColumns({f"_{n}": F.nullif(value(F.get("_lines", F.array_position("_names", F.lit(n.lower())) - 1)), F.lit("")) for n in _FIELDS})
     task = F.col("heading") != "learning"
     entry = F.lower(F.trim(F.coalesce(field("Entrypoint"), F.col("heading")), F.lit("/ ")))
     entry = F.coalesce(F.element_at(names, entry), entry)
@@ -397,12 +421,19 @@ def parse_log(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
+def log_records(texts: DataFrame, key: str, as_of: str, repo: str | None = None) -> DataFrame:
+    """All entries of logs, folded and written, for record_folded()."""
+    parsed = tables.staged(parse_log(tables.dealt(texts, key), key), "parsed")
+    keys = tables.numbered(parsed.select(F.col(key).alias("_key")).distinct(), ["_key"], "_log")
+    rows = parsed.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("seq", F.shiftleft("_log", 32) + F.col("entry"))  # logs in order, entries in theirs
+    found = tables.staged(folded(rows.select("seq", "outcome", "title", "detail", "category", "tags", F.coalesce("repo", F.lit(repo).cast("string")).alias("repo"), "files", "tool", "provider", F.lit(None).cast("string").alias("model"), "evidence", F.lit("import").alias("source"), F.lit(as_of).cast("timestamp").alias("seen_at"))), "folded")
+    tables.drop(parsed)
+    return found
+
+
 def import_log(learnings: DataFrame, texts: DataFrame, key: str, as_of: str, repo: str | None = None) -> DataFrame:
     """``learnings`` with a log's entries recorded in order; an import again only counts them once more. As record()."""
-    parsed = tables.staged(parse_log(tables.dealt(texts, key), key), "parsed")  # ranges are found first, so these rows are read twice
-    rows = tables.numbered(parsed, [key, "entry"], "seq")
-    tables.drop(parsed)
-    return record(learnings, rows.select("seq", "outcome", "title", "detail", "category", "tags", F.coalesce("repo", F.lit(repo).cast("string")).alias("repo"), "files", "tool", "provider", F.lit(None).cast("string").alias("model"), "evidence", F.lit("import").alias("source"), F.lit(as_of).cast("timestamp").alias("seen_at")))
+    return record_folded(learnings, log_records(texts, key, as_of, repo))
 
 
 def format_entry() -> Column:

@@ -582,10 +582,10 @@ def markdown_log(spark, sf_dir):
 
 @query(f"WITH {_LOGGED} SELECT count(DISTINCT outcome || '|' || trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || '|' || tool) AS records, 2 * count(*) AS occurrences, 0::BIGINT AS created_again FROM p".replace("\\\\", "\\"))
 def import_log(spark, sf_dir):
-    """All logs imported twice: the second time only counts."""
-    logs = _logs(spark, sf_dir)
-    once = learnings.import_log(_empty(spark), logs, "user_id", AS_OF).drop("created")
-    twice = learnings.import_log(once, logs, "user_id", AS_OF)
+    """All logs imported twice: the second time only counts. Both imports record the same entries, which are read once."""
+    read = learnings.log_records(_logs(spark, sf_dir), "user_id", AS_OF)
+    once = learnings.record_folded(_empty(spark), read).drop("created")
+    twice = learnings.record_folded(once, read)
     return twice.agg(F.count(F.lit(1)).alias("records"), F.sum("occurrences").alias("occurrences"), F.count_if("created").alias("created_again"))
 
 
